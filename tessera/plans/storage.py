@@ -35,15 +35,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files behind a materialized table that nothing will read again."""
-    spark = df.sparkSession
-    root = f"{shared_dir(spark)}/tessera/"
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        if "/tessera/" in name and name.replace("///", "/").find(root.replace("///", "/")) >= 0:
-            path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Delete the files behind materialized tables that nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
