@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import best_fit_pack
 
@@ -37,6 +43,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "n_words", F.size("passages").alias("n_passages"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import lm
+
+    documents = table(spark, sf_dir, "documents")
+    return lm.score(documents, lm.train(documents))
+
+
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.search import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import langid, toxicity
 
@@ -63,6 +83,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import archive
+
+    out = archive(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -70,9 +97,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op2_best_fit_packing, op3_toxicity, op6_language_id, op7_decontamination, op8_near_dedup, op9_token_counts, pipeline)
+        for f in (op1_sharding, op2_best_fit_packing, op3_toxicity, op4_lm_scoring, op5_topk_search, op6_language_id, op7_decontamination, op8_near_dedup, op9_token_counts, op10_warc, pipeline)
     }
 
 
+_TOP_K = """
+with v as (select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as q
+           from embeddings where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2])) as bigint) as score
+      from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_topk_search": _TOP_K}
