@@ -11,7 +11,7 @@
 4. Connected components of the links.
 
 Expected recall of a pair just at 0.8: it misses all nodes of the first level with chance exp(-trees), and falls to
-the signature filter with chance about 1e-5.
+the signature filter with chance about 2e-5.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; shorter texts than a shingle
 are one shingle of all their words; equal texts link; ties go to the smallest id; repeated ids are rows of
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bytewords as bw
 from tessera.llm.components import components
-from tessera.plans.storage import materialize
+from tessera.plans.storage import materialize, release
 
-K = 64  # minwise values of a signature
+K = 256  # minwise values of a signature, of which one byte each is kept
+FEW = 32  # of them, for a first look
 _U = np.uint64
 _A = bw.mix(np.arange(1, K + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 _B = bw.mix(np.arange(101, K + 101, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -88,7 +89,7 @@ def choose(tokens: np.ndarray, path: np.ndarray, tree: int, share: float) -> tup
 
 
 def sketch(documents: DataFrame, n: int, threshold: float, trees: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, sig (low 16 bits of each minwise value), nodes of the first level."""
+    """doc_id, n_shingles, set_key, sig (the low byte of each minwise value), nodes of the first level."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +101,7 @@ def sketch(documents: DataFrame, n: int, threshold: float, trees: int) -> DataFr
                 sig: list = [None] * len(size)
                 nodes: list = [None] * len(size)
                 values = signatures(value, first)
-                low = (values & _U(0xFFFF)).astype("<u2")
+                low = (values & _U(0xFF)).astype(np.uint8)
                 rows, childs = [], []
                 for t in range(trees):
                     row, child = choose(values, np.zeros(len(full), np.uint64), t, 1 / (threshold * K))
@@ -121,7 +122,7 @@ def sketch(documents: DataFrame, n: int, threshold: float, trees: int) -> DataFr
 
 
 def _sig(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, K)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, K)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: list[str], most: int = 20_000) -> Iterator[pa.Table]:
@@ -185,30 +186,32 @@ def leader_pairs(rows: DataFrame, key: list[str], least_same: int) -> DataFrame:
 
 def node_pairs(rows: DataFrame, key: list[str], least_same: int, threshold: float, cross: str | None = None) -> DataFrame:
     """All pairs of different components within each group that sizes and signatures don't rule out (with `cross`: of different values there)."""
+    first_look = int(FEW * threshold - 5 * np.sqrt(FEW * threshold * (1 - threshold)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, key):
-            ids, comp, size, sig = (table.column(c).to_numpy() for c in ("id", "comp", "n")), None, None, None
-            ids, comp, size = ids
+            ids, comp, size = (table.column(c).to_numpy() for c in ("id", "comp", "n"))
             sig = _sig(table.column("sig"))
             side = table.column(cross).to_numpy() if cross else None
             start = _starts(table, key)
             length = np.diff(np.append(start, len(ids)))
             mixed = np.maximum.reduceat(comp, start) != np.minimum.reduceat(comp, start)
-            group = np.repeat(np.arange(len(start)), length)
-            live = mixed[group]
-            for d in range(1, int(length[mixed].max()) if mixed.any() else 0):
-                i = np.flatnonzero(live[:-d] & (group[:-d] == group[d:]) & (comp[:-d] != comp[d:]))
+            end = np.repeat(start + np.where(mixed, length, 0), length)
+            left, d = np.arange(len(ids)), 1
+            while len(left := left[left + d < end[left]]):
+                low, high = np.minimum(size[left], size[left + d]), np.maximum(size[left], size[left + d])
+                good = (comp[left] != comp[left + d]) & (low >= threshold * high - 1e-9)
                 if side is not None:
-                    i = i[side[i] != side[i + d]]
-                low, high = np.minimum(size[i], size[i + d]), np.maximum(size[i], size[i + d])
-                i = i[low >= threshold * high - 1e-9]
+                    good &= side[left] != side[left + d]
+                i = left[good]
+                i = i[(sig[i, :FEW] == sig[i + d, :FEW]).sum(axis=1) >= first_look]
                 for at in range(0, len(i), 50_000):
                     j = i[at : at + 50_000]
                     same = (sig[j] == sig[j + d]).sum(axis=1)
                     j, same = j[same >= least_same], same[same >= least_same]
                     if len(j):
                         yield _pairs(np.minimum(ids[j], ids[j + d]), np.maximum(ids[j], ids[j + d]), same)
+                d += 1
 
     return rows.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(run, _PAIR)
 
@@ -240,7 +243,9 @@ def confirm(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> Dat
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    return materialize(joined.mapInArrow(check, "a long, b long"), "links")
+    links = materialize(joined.mapInArrow(check, "a long, b long"), "links")
+    release(whole, pairs)
+    return links
 
 
 def candidates(rows: DataFrame, least_same: int, threshold: float, leaf: int, depth: int, retries: int) -> DataFrame:
@@ -250,6 +255,8 @@ def candidates(rows: DataFrame, least_same: int, threshold: float, leaf: int, de
         pairs = node_pairs(rows.filter(F.col("cnt") <= leaf), ["node"], least_same, threshold)
         found = pairs if found is None else found.unionByName(pairs)
         big = rows.filter(F.col("cnt") > leaf)
+        if big.isEmpty():
+            return found
         mixed = materialize(big.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("node"), "mixed")
         big = big.join(mixed, "node")
         if mixed.isEmpty():
@@ -263,7 +270,7 @@ def candidates(rows: DataFrame, least_same: int, threshold: float, leaf: int, de
                     continue
                 tokens = _sig(batch.column("sig")).astype(np.uint64)
                 path = batch.column("node").to_numpy().view(np.uint64)
-                for t in range(retries):
+                for t in range(retries if level == 1 else 1):
                     row, child = choose(tokens, path, 100 * level + t, 1 / (threshold * K))
                     rest = batch.select(["id", "comp", "n", "sig"]).take(pa.array(row))
                     yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *rest.columns], ["node", "id", "comp", "n", "sig"])
@@ -281,7 +288,7 @@ def candidates(rows: DataFrame, least_same: int, threshold: float, leaf: int, de
     return found.unionByName(within).unionByName(across)
 
 
-def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 12, leaf: int = 64, depth: int = 5, retries: int = 2, block: int = 500) -> DataFrame:
+def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 12, leaf: int = 4000, depth: int = 5, retries: int = 2, block: int = 1000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id linked), kept. doc_id must be an integer."""
     percent = round(100 * threshold)
     least_same = int(K * threshold - 4.2 * np.sqrt(K * threshold * (1 - threshold)))
@@ -289,17 +296,26 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, tr
     classes = materialize(sketches.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "nodes")).alias("x"), F.count("*").alias("copies")).select("set_key", "copies", "x.*").withColumnRenamed("doc_id", "id"), "classes")
     below = classes.select(F.explode("nodes").alias("node"), "id")
     counts = materialize(below.groupBy("node").agg(F.count("*").alias("cnt")).filter("cnt > 1"), "counts")
-    rows = materialize(below.join(counts, "node").join(classes.select("id", F.col("n_shingles").alias("n"), "sig"), "id"), "level")
+    places = materialize(below.join(counts, "node"), "places")
+    marks = classes.select("id", F.col("n_shingles").alias("n"), "sig")
     # one link for each class, to the least member of the node that looks most alike
-    split = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / block)).cast("int"))
+    split = places.join(marks, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / block)).cast("int"))
     heads = split.filter(F.col("cnt") > block).groupBy("node", "block").agg(F.min(F.struct("id", "sig")).alias("x")).select("node", "x.*")
     pairs = leader_pairs(split, ["node", "block"], least_same).unionByName(leader_pairs(heads, ["node"], least_same))
     best = pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
     first = confirm(best, documents, n, percent)
     known = components(first)
-    rows = materialize(rows.join(known, "id", "left").select("node", "cnt", "id", F.coalesce("component", "id").alias("comp"), "n", "sig"), "level")
-    links = first.union(confirm(candidates(rows, least_same, threshold, leaf, depth, retries), documents, n, percent))
-    known = components(links)
+    # nodes within one component need no second look
+    places = materialize(places.join(known, "id", "left").select("node", "cnt", "id", F.coalesce("component", "id").alias("comp")), "places")
+    mixed = materialize(places.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("node"), "mixed")
+    rows = materialize(places.join(mixed, "node").join(marks, "id"), "level")
+    # links between components count once for each two of them, however many members they join
+    late = confirm(candidates(rows, least_same, threshold, leaf, depth, retries), documents, n, percent)
+    of = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
+    late = late.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")).distinct()
+    joined = components(late).withColumnRenamed("id", "first").withColumnRenamed("component", "last")
+    known = classes.select("id").join(known, "id", "left").withColumn("first", F.coalesce("component", "id")).join(joined, "first", "left")
+    known = known.select("id", F.coalesce("last", "component").alias("component")).filter("component is not null")
     # only classes that are linked, or have copies, differ from their document's own id
     told = classes.join(known, "id", "left").filter("copies > 1 or component is not null").select("set_key", F.coalesce("component", "id").alias("component"))
     told = materialize(told, "told")
