@@ -17,16 +17,25 @@ from tessera.plans.storage import materialize
 NARROW_MARGIN = 0.52
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """The text, and all other columns within one, so that no name clashes with an operator's own."""
+    return docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"), "text")
+
+
+def unwrapped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the passages search doesn't call toxic; learned on the labelled documents of the corpus."""
     model = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns).filter("predicted = 0").select(docs.columns)
+    return unwrapped(toxicity.score(wrapped(docs), model, ["row", "text"]).filter("predicted = 0"), docs)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the dictionaries tell by a margin."""
     blocks = langid.learn(table(spark, sf_dir, "documents"))
-    return langid.identify(docs, blocks, docs.columns, NARROW_MARGIN).filter("not rejected").select(docs.columns)
+    return unwrapped(langid.identify(wrapped(docs), blocks, ["row", "text"], NARROW_MARGIN).filter("not rejected"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +46,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go (hit words are a twentieth of all or more); of others the benchmark's passages are cut out."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    out = decontam.remove_spans(found.filter("not contaminated").select(*docs.columns, "spans"))
-    return out.select(docs.columns).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    found = decontam.contamination(wrapped(docs), table(spark, sf_dir, "benchmark"), ["row", "text"])
+    out = unwrapped(decontam.remove_spans(found.filter("not contaminated").select("row", "text", "spans")), docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

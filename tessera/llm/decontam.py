@@ -297,6 +297,7 @@ def text_starts(w: bw.Words, column: pa.Array, lo: int) -> np.ndarray:
 
 def remove_spans(documents: DataFrame, spans: DataFrame | None = None, column: str = "spans") -> DataFrame:
     """The texts without the bytes of their spans (a column of `documents`)."""
+    names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,6 +310,6 @@ def remove_spans(documents: DataFrame, spans: DataFrame | None = None, column: s
                         at = max(at, s["end_byte"])
                     t = b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
                 out.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in documents.columns], documents.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
     return documents.mapInArrow(run, documents.schema)

@@ -7,7 +7,7 @@ first, as far as the shard's free capacity goes. What the driver holds is a few
 
 `shard_documents` links equal texts and keeps the law `bytes`: documents of one text are grouped to cells by
 a salt of their id, so that a text with a third of all rows is many small nodes, and unlinked documents then
-fill the shards to equal sizes, to within a document's size wherever the linked ones leave room.
+fill the shards to equal sizes: those that are large against a shard one by one, the rest in one stream.
 
 Defined cases: null texts have size 1 and link with nothing; empty texts are equal texts; repeated rows get a slot each; an empty
 table gives no rows. Columns other than the id and the text are passed over.
@@ -23,6 +23,8 @@ from tessera.plans.storage import materialize, release
 
 #: Gains are told apart by powers of two and, within one, by this many hash values.
 _STEPS = 16
+#: Documents over this part of a shard's share are placed one by one.
+_LARGE = 64
 
 
 def propagate(nodes: DataFrame, links: DataFrame, shards: int, capacity: float, rounds: int = 6) -> DataFrame:
@@ -80,11 +82,27 @@ def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 6, salt
     nodes = materialize(cells.join(linked, "key").select(cell.alias("id"), F.col("key").alias("hub"), "salt", "size"), "nodes")
     total = base.agg(F.sum("size").alias("n")).first()["n"] or 0
     start = nodes.select("id", "size", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
-    settled = propagate(start, nodes.select("id", "hub"), shards, total / shards, rounds)
+    # documents beyond an even share fill shards of their own; the quota is an even share of the rest
+    over = base.filter(F.col("size") * shards > total).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    quota = (total - over["size"]) / max(shards - over["n"], 1)
+    settled = propagate(start, nodes.select("id", "hub"), shards, quota, rounds)
     settled = materialize(settled.join(nodes.select("id", "hub", "salt"), "id").select(F.col("hub").alias("key"), "salt", "shard", F.col("size").alias("bytes")), "settled")
     loads = {r["shard"]: r["n"] for r in settled.groupBy("shard").agg(F.sum("bytes").alias("n")).collect()}
     joined = materialize(base.join(settled.select("key", "salt", "shard"), ["key", "salt"], "left").select("doc_id", "size", "text_crc32", "bucket", "shard"), "placed")
-    # the unlinked fill what is free, in the order of buckets and ids
+    # the few that are large against a shard go one by one, largest first, to where least lies: `shards` * _LARGE at most
+    kind = joined.schema["doc_id"].dataType
+    alone = joined.filter(F.col("shard").isNull() & (F.col("size") * shards * _LARGE > total)).select("doc_id", "size", "text_crc32").collect()
+    large = []
+    for r in sorted(alone, key=lambda r: -r["size"]):
+        to = min(range(shards), key=lambda s: (loads.get(s, 0), s))
+        loads[to] = loads.get(to, 0) + r["size"]
+        large.append((r["doc_id"], r["size"], r["text_crc32"], to))
+    if large:
+        schema = T.StructType([T.StructField("id", kind), T.StructField("z", T.LongType()), T.StructField("crc", T.LongType()), T.StructField("to", T.IntegerType())])
+        at = F.broadcast(spark.createDataFrame(large, schema))
+        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("z")) & (F.col("text_crc32") == F.col("crc"))
+        joined = joined.join(at, same, "left").withColumn("shard", F.coalesce("shard", "to")).drop("id", "z", "crc", "to")
+    # the other unlinked fill what is free, in the order of buckets and ids
     per = {r["bucket"]: r["n"] for r in joined.filter("shard is null").groupBy("bucket").agg(F.sum("size").alias("n")).collect()}
     rest = sum(per.values())
     room = [max(total / shards - loads.get(s, 0), 0.0) for s in range(shards)]
@@ -110,7 +128,7 @@ def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 6, salt
         first[r["shard"]] = first.get(r["shard"], 0) + r["count"]
     small = spark.createDataFrame(offsets, T.StructType.fromDDL("shard int, bucket int, base long"))  # `shards` * `buckets` rows at most
     out = dealt.selectExpr("*", "row_number() over (partition by bucket, shard order by doc_id, text_crc32) - 1 as place").join(F.broadcast(small), ["shard", "bucket"])
-    release(base, cells, joined)
+    release(base, cells)
     return out.select(
         F.col("doc_id").alias(id_column), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("base") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
