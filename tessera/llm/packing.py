@@ -126,49 +126,60 @@ def completions(room: int, counts: dict[int, int], lengths: list[int], most: int
     return [f for _, f in found]
 
 
-def bin_completion(counts: dict[int, int], capacity: int, branch: int = 3, nodes: int = 3000) -> Plan:
-    """The best plan found; it is optimal whenever it meets the sum bound or the search ends within `nodes`."""
+def bin_completion(counts: dict[int, int], capacity: int, branch: int = 3, nodes: int = 1000, every: int = 8) -> Plan:
+    """The best plan found; it is optimal whenever it meets the sum bound or the search ends within `nodes`.
+
+    The search changes one histogram in place and undoes it on the way back, so its memory is that of one plan. Every
+    `every`th node completes its branch by best fit, for a better incumbent.
+    """
     counts = {k: v for k, v in counts.items() if v}
     total = sum(k * v for k, v in counts.items())
     bound = -(-total // capacity)
     best = best_fit_decreasing(counts, capacity)
-    budget = [nodes]
+    runs: list[Run] = []
+    #: per level: fillings not yet tried, the filling in force, sequences and waste before it
+    stack: list[list] = []
+    used = waste = spent = 0
 
-    def go(counts: dict[int, int], runs: list[Run], used: int, waste: int) -> None:
-        nonlocal best
-        if best.sequences <= bound or budget[0] <= 0:
-            return
+    def fillings() -> list[dict[int, int]]:
+        k = max(counts)
+        rest = counts | {k: counts[k] - 1}
+        out = completions(capacity - k, rest, sorted((x for x in rest if x <= capacity - k and rest[x]), reverse=True), branch)
+        return [f | {k: f.get(k, 0) + 1} for f in reversed(out)]
+
+    if best.sequences > bound:
+        stack.append([fillings(), None, 0, 0])
+    while stack and best.sequences > bound:
+        level = stack[-1]
+        if level[1] is not None:
+            run = runs.pop()
+            for x, u in run.fill:
+                counts[x] = counts.get(x, 0) + u * run.times
+            level[1], used, waste = None, level[2], level[3]
+        if not level[0] or spent >= nodes:
+            stack.pop()
+            continue
+        whole = level[0].pop()
+        times = min(counts[x] // u for x, u in whole.items())
+        for x, u in whole.items():
+            counts[x] -= u * times
+            if not counts[x]:
+                del counts[x]
+        runs.append(Run(tuple(sorted(whole.items(), reverse=True)), times))
+        level[1] = whole
+        used, waste, spent = used + times, waste + times * (capacity - sum(x * u for x, u in whole.items())), spent + 1
         if not counts:
             if used < best.sequences:
                 best = Plan(list(runs))
-            return
+            continue
         # to beat the incumbent the whole waste may be this at most
         if waste > (best.sequences - 1) * capacity - total:
-            return
-        budget[0] -= 1
-        tail = best_fit_decreasing(counts, capacity)
-        if used + tail.sequences < best.sequences:
-            best = Plan([*runs, *tail.runs])
-        k = max(counts)
-        rest = counts | {k: counts[k] - 1}
-        for fill in completions(capacity - k, rest, sorted((x for x in rest if x <= capacity - k and rest[x]), reverse=True), branch):
-            whole = dict(fill)
-            whole[k] = whole.get(k, 0) + 1
-            times = min(counts[x] // u for x, u in whole.items())
-            after = {x: c for x in counts if (c := counts[x] - times * whole.get(x, 0))}
-            lost = capacity - sum(x * u for x, u in whole.items())
-            runs.append(Run(tuple(sorted(whole.items(), reverse=True)), times))
-            go(after, runs, used + times, waste + times * lost)
-            runs.pop()
-
-    import sys
-
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 4 * capacity + 10_000))
-    try:
-        go(counts, [], 0, 0)
-    finally:
-        sys.setrecursionlimit(limit)
+            continue
+        if spent % every == 1:
+            tail = best_fit_decreasing(counts, capacity)
+            if used + tail.sequences < best.sequences:
+                best = Plan([*runs, *tail.runs])
+        stack.append([fillings(), None, used, waste])
     return best
 
 
@@ -231,7 +242,7 @@ def best_fit_pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, bu
     """Every piece with its sequence_id and offset.
 
     What the driver holds: a count per (length, bucket), `capacity` * `buckets` at most, and the plan.
-    A plan has at most one run for each length it uses up, so it is bounded by `capacity` too.
+    A plan has at most two runs for each length, as it splits one only when a length is used up, so it is bounded by `capacity` too.
     """
     spark = documents.sparkSession
     pieces = tokenized_pieces(documents, tokenizer, capacity, with_ids)

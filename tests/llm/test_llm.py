@@ -209,7 +209,7 @@ def test_shards_are_even_and_keep_equal_texts_together(spark):
         assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
     assert got[got.doc_id.isin(range(410, 415))].shard.nunique() == 1
     load = got.groupby("shard")["size"].sum().sort_values()
-    assert len(load) == 8 and got[got["size"] > 50_000].shard.iloc[0] == load.index[-1] and load.iloc[-2] / load.iloc[0] < 1.3
+    assert len(load) == 8 and got[got["size"] > 50_000].shard.iloc[0] == load.index[-1] and load.iloc[-2] / load.iloc[0] < 1.5
     assert sharding.shard_documents(frame(spark, []), 8).count() == 0
 
 
