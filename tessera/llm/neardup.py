@@ -6,8 +6,9 @@
    chance in each tree. Nodes of up to `leaf` classes are compared exhaustively; larger ones
    branch again by tokens chosen anew. What is still large after `depth` levels is compared block by block.
 3. Signatures only discard pairs far below the threshold; links are confirmed on the full sets.
-   First every class is held against the least member of its nodes; afterwards only pairs of different
-   components need a look, so that a group of thousands of copies costs about one comparison a member.
+   First every class is held against the least member of its nodes, then, `rounds` times, against the one of
+   another component that looks most alike. Afterwards all pairs of different components are confirmed; in a group
+   of thousands of copies few are left, for its members are of one component by then.
 4. Connected components of the links.
 
 Expected recall of a pair just at 0.8: it misses all nodes of the first level with chance exp(-trees), and falls to
@@ -34,6 +35,7 @@ from tessera.plans.storage import materialize, release
 
 K = 256  # minwise values of a signature, of which one byte each is kept
 FEW = 32  # of them, for a first look
+BROADCAST_PAIRS = 250_000  # up to so many pairs their ids (8 bytes each) are broadcast
 _U = np.uint64
 _A = bw.mix(np.arange(1, K + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 _B = bw.mix(np.arange(101, K + 101, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -184,8 +186,11 @@ def leader_pairs(rows: DataFrame, key: list[str], least_same: int) -> DataFrame:
     return rows.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(run, _PAIR)
 
 
-def node_pairs(rows: DataFrame, key: list[str], least_same: int, threshold: float, cross: str | None = None) -> DataFrame:
-    """All pairs of different components within each group that sizes and signatures don't rule out (with `cross`: of different values there)."""
+def node_pairs(rows: DataFrame, key: list[str], least_same: int, threshold: float, cross: str | None = None, best: bool = False) -> DataFrame:
+    """All pairs of different components within each group that sizes and signatures don't rule out.
+
+    With `cross`: of different values there. With `best`: for each member b only its most alike a.
+    """
     first_look = int(FEW * threshold - 5 * np.sqrt(FEW * threshold * (1 - threshold)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,6 +203,7 @@ def node_pairs(rows: DataFrame, key: list[str], least_same: int, threshold: floa
             mixed = np.maximum.reduceat(comp, start) != np.minimum.reduceat(comp, start)
             end = np.repeat(start + np.where(mixed, length, 0), length)
             left, d = np.arange(len(ids)), 1
+            top, mate = np.full(len(ids), -1), np.zeros(len(ids), np.int64)
             while len(left := left[left + d < end[left]]):
                 low, high = np.minimum(size[left], size[left + d]), np.maximum(size[left], size[left + d])
                 good = (comp[left] != comp[left + d]) & (low >= threshold * high - 1e-9)
@@ -209,9 +215,15 @@ def node_pairs(rows: DataFrame, key: list[str], least_same: int, threshold: floa
                     j = i[at : at + 50_000]
                     same = (sig[j] == sig[j + d]).sum(axis=1)
                     j, same = j[same >= least_same], same[same >= least_same]
-                    if len(j):
+                    if best:
+                        for own, other in ((j, j + d), (j + d, j)):  # neither holds a row twice
+                            more = same > top[own]
+                            top[own[more]], mate[own[more]] = same[more], ids[other[more]]
+                    elif len(j):
                         yield _pairs(np.minimum(ids[j], ids[j + d]), np.maximum(ids[j], ids[j + d]), same)
                 d += 1
+            if best and (top >= 0).any():
+                yield _pairs(mate[top >= 0], ids[top >= 0], top[top >= 0])
 
     return rows.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(run, _PAIR)
 
@@ -220,6 +232,8 @@ def confirm(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> Dat
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if pairs.count() <= BROADCAST_PAIRS:  # spares a shuffle of all texts
+        ids = F.broadcast(ids)
     texts = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +302,22 @@ def candidates(rows: DataFrame, least_same: int, threshold: float, leaf: int, de
     return found.unionByName(within).unionByName(across)
 
 
-def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 12, leaf: int = 4000, depth: int = 5, retries: int = 2, block: int = 1000) -> DataFrame:
+def most_alike(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of each b the one with most equal signature values."""
+    return pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
+
+
+def joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after `links`; those between two components count once, however many members they join."""
+    of = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")).distinct()
+    above = materialize(components(ends).select(F.col("id").alias("first"), F.col("component").alias("last")), "above")
+    moved = known.withColumnRenamed("component", "first").join(above, "first", "left").select("id", F.coalesce("last", "first").alias("component"))
+    fresh = above.select(F.col("first").alias("id"), F.col("last").alias("component")).join(known, "id", "left_anti")
+    return materialize(moved.unionByName(fresh), "components")
+
+
+def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 12, leaf: int = 4000, depth: int = 5, retries: int = 2, block: int = 1000, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id linked), kept. doc_id must be an integer."""
     percent = round(100 * threshold)
     least_same = int(K * threshold - 4.2 * np.sqrt(K * threshold * (1 - threshold)))
@@ -302,20 +331,21 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, tr
     split = places.join(marks, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / block)).cast("int"))
     heads = split.filter(F.col("cnt") > block).groupBy("node", "block").agg(F.min(F.struct("id", "sig")).alias("x")).select("node", "x.*")
     pairs = leader_pairs(split, ["node", "block"], least_same).unionByName(leader_pairs(heads, ["node"], least_same))
-    best = pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
-    first = confirm(best, documents, n, percent)
-    known = components(first)
-    # nodes within one component need no second look
-    places = materialize(places.join(known, "id", "left").select("node", "cnt", "id", F.coalesce("component", "id").alias("comp")), "places")
-    mixed = materialize(places.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("node"), "mixed")
-    rows = materialize(places.join(mixed, "node").join(marks, "id"), "level")
-    # links between components count once for each two of them, however many members they join
-    late = confirm(candidates(rows, least_same, threshold, leaf, depth, retries), documents, n, percent)
-    of = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
-    late = late.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")).distinct()
-    joined = components(late).withColumnRenamed("id", "first").withColumnRenamed("component", "last")
-    known = classes.select("id").join(known, "id", "left").withColumn("first", F.coalesce("component", "id")).join(joined, "first", "left")
-    known = known.select("id", F.coalesce("last", "component").alias("component")).filter("component is not null")
+    known = components(confirm(most_alike(pairs), documents, n, percent))
+
+    def mixed_nodes() -> DataFrame:
+        """Rows of the nodes with more than one component; the others need no second look."""
+        at = places.join(known, "id", "left").select("node", "cnt", "id", F.coalesce("component", "id").alias("comp"))
+        mixed = at.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("node")
+        return at.join(mixed, "node").join(marks, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / block)).cast("int"))
+
+    for _ in range(rounds):
+        links = confirm(most_alike(node_pairs(mixed_nodes(), ["node", "block"], least_same, threshold, best=True)), documents, n, percent)
+        if links.isEmpty():
+            break
+        known = joined(known, links)
+    late = confirm(candidates(materialize(mixed_nodes().drop("block"), "level"), least_same, threshold, leaf, depth, retries), documents, n, percent)
+    known = joined(known, late)
     # only classes that are linked, or have copies, differ from their document's own id
     told = classes.join(known, "id", "left").filter("copies > 1 or component is not null").select("set_key", F.coalesce("component", "id").alias("component"))
     told = materialize(told, "told")
