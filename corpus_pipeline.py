@@ -39,9 +39,17 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word shingle sets with a similarity of 0.8 or more: the one with the smallest id."""
-    kept = neardup.near_duplicates(docs, n=5, threshold=0.8).filter("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of five-word shingle sets with a similarity of 0.8 or more: the one with the smallest id.
+
+    Rows without an id take part under ids above all others. Of rows with the same id and text one stays.
+    """
+    keyed = wrapped(docs).withColumn("doc_id", F.col("row.doc_id").cast("long"))
+    if not docs.filter("doc_id is null").isEmpty():
+        top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("long").alias("top")).first()["top"]
+        keyed = materialize(keyed.withColumn("doc_id", F.coalesce("doc_id", F.monotonically_increasing_id() + top + 1)), "keyed")
+    kept = neardup.near_duplicates(keyed, n=5, threshold=0.8).filter("kept").select("doc_id")
+    rows = keyed.join(kept.distinct(), "doc_id", "left_semi").withColumn("digest", F.md5(F.col("text").cast("binary")))
+    return unwrapped(rows.dropDuplicates(["doc_id", "digest"]), docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
