@@ -190,7 +190,9 @@ def node_pairs(rows: DataFrame, key: list[str], least_same: int, threshold: floa
     """All pairs of different components within each group that sizes and signatures don't rule out.
 
     With `cross`: of different values there. With `best`: for each member b only its most alike a.
+    Where rows carry `mine`, the nodes of the member in which it is compared, a pair comes from the least node of both.
     """
+    shared = "mine" in rows.columns
     first_look = int(FEW * threshold - 5 * np.sqrt(FEW * threshold * (1 - threshold)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,6 +200,11 @@ def node_pairs(rows: DataFrame, key: list[str], least_same: int, threshold: floa
             ids, comp, size = (table.column(c).to_numpy() for c in ("id", "comp", "n"))
             sig = _sig(table.column("sig"))
             side = table.column(cross).to_numpy() if cross else None
+            if shared:
+                node, lists = table.column(key[0]).to_numpy(), table.column("mine").combine_chunks()
+                at, many = lists.offsets.to_numpy(), np.diff(lists.offsets.to_numpy())
+                mine = np.full((len(ids), many.max()), np.iinfo(np.int64).max)
+                mine[np.repeat(np.arange(len(ids)), many), np.arange(at[0], at[-1]) - np.repeat(at[:-1], many)] = lists.flatten().to_numpy()
             start = _starts(table, key)
             length = np.diff(np.append(start, len(ids)))
             mixed = np.maximum.reduceat(comp, start) != np.minimum.reduceat(comp, start)
@@ -219,7 +226,14 @@ def node_pairs(rows: DataFrame, key: list[str], least_same: int, threshold: floa
                         for own, other in ((j, j + d), (j + d, j)):  # neither holds a row twice
                             more = same > top[own]
                             top[own[more]], mate[own[more]] = same[more], ids[other[more]]
-                    elif len(j):
+                        continue
+                    if shared and len(j):
+                        first = np.ones(len(j), bool)
+                        for k in range(mine.shape[1]):  # no lesser node of the one is a node of the other
+                            lesser = mine[j, k] < node[j]
+                            first[lesser] &= (mine[j[lesser] + d] != mine[j[lesser], k][:, None]).all(axis=1)
+                        j, same = j[first], same[first]
+                    if len(j):
                         yield _pairs(np.minimum(ids[j], ids[j + d]), np.maximum(ids[j], ids[j + d]), same)
                 d += 1
             if best and (top >= 0).any():
@@ -231,7 +245,7 @@ def node_pairs(rows: DataFrame, key: list[str], least_same: int, threshold: floa
 def confirm(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct()
     if pairs.count() <= BROADCAST_PAIRS:  # spares a shuffle of all texts
         ids = F.broadcast(ids)
     texts = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -266,7 +280,10 @@ def candidates(rows: DataFrame, least_same: int, threshold: float, leaf: int, de
     """Pairs of different components from a level's rows (node, cnt, id, comp, n, sig) and all levels below."""
     found = None
     for level in range(1, depth + 1):
-        pairs = node_pairs(rows.filter(F.col("cnt") <= leaf), ["node"], least_same, threshold)
+        small = rows.filter(F.col("cnt") <= leaf)
+        if level == 1:
+            small = small.join(small.groupBy("id").agg(F.collect_list("node").alias("mine")), "id")  # as many as tokens chosen in all trees
+        pairs = node_pairs(small, ["node"], least_same, threshold)
         found = pairs if found is None else found.unionByName(pairs)
         big = rows.filter(F.col("cnt") > leaf)
         if big.isEmpty():

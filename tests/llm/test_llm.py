@@ -304,3 +304,14 @@ def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     kept = set(rows.doc_id)
     assert not any(i % 4 == 2 for i in kept if i < 160) and len([i for i in kept if i < 160]) == 120
     assert not {160, 161, 162} & kept and 163 in kept
+
+
+def test_near_duplicate_stage_keeps_rows_without_an_id(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(13)
+    a, b, c = (words_text(rng, 60, 5000) for _ in range(3))
+    rows = [(5, a), (5, a), (7, a), (None, a), (None, b), (None, b), (None, None), (8, ""), (9, c), (9, b + " more")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    out = sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert [x for x in out if x[1] == a] == [(5, a)] and (0, "") in out and (8, "") in out
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.filter("false"), "").count() == 0
