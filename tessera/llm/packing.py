@@ -126,13 +126,15 @@ def completions(room: int, counts: dict[int, int], lengths: list[int], most: int
     return [f for _, f in found]
 
 
-def bin_completion(counts: dict[int, int], capacity: int, branch: int = 3, nodes: int = 1000, every: int = 8) -> Plan:
+def bin_completion(counts: dict[int, int], capacity: int, branch: int = 3, nodes: int | None = None) -> Plan:
     """The best plan found; it is optimal whenever it meets the sum bound or the search ends within `nodes`.
 
-    The search changes one histogram in place and undoes it on the way back, so its memory is that of one plan. Every
-    `every`th node completes its branch by best fit, for a better incumbent.
+    A whole plan has at most two runs for each length, so four nodes a length (3000 at least) leave room for whole dives
+    and backtracking. The search changes one histogram in place and undoes it on the way back, so its memory is that of one
+    plan. Each node completes its branch by best fit, for a better incumbent.
     """
     counts = {k: v for k, v in counts.items() if v}
+    nodes = max(3000, 4 * len(counts)) if nodes is None else nodes
     total = sum(k * v for k, v in counts.items())
     bound = -(-total // capacity)
     best = best_fit_decreasing(counts, capacity)
@@ -175,10 +177,9 @@ def bin_completion(counts: dict[int, int], capacity: int, branch: int = 3, nodes
         # to beat the incumbent the whole waste may be this at most
         if waste > (best.sequences - 1) * capacity - total:
             continue
-        if spent % every == 1:
-            tail = best_fit_decreasing(counts, capacity)
-            if used + tail.sequences < best.sequences:
-                best = Plan([*runs, *tail.runs])
+        tail = best_fit_decreasing(counts, capacity)
+        if used + tail.sequences < best.sequences:
+            best = Plan([*runs, *tail.runs])
         stack.append([fillings(), None, used, waste])
     return best
 

@@ -78,6 +78,21 @@ def test_bin_completion_is_valid_and_no_worse_than_best_fit():
     assert packing.bin_completion({44: 1, 24: 2, 22: 2, 32: 2}, 100).sequences == 2
 
 
+def test_bin_completion_dives_through_a_large_corpus():
+    x = np.maximum(1, np.random.default_rng(2).lognormal(5.6, 1.2, 10**6).astype(int)) + 1
+    length, n = np.unique(np.where(x > 2048, (x - 1) % 2048 + 1, x), return_counts=True)
+    counts = dict(zip(length.tolist(), n.tolist(), strict=True))
+    bound = -(-int((length * n).sum()) // 2048)
+    assert packing.best_fit_decreasing(counts, 2048).sequences > bound
+    plan = packing.bin_completion(counts, 2048)
+    got: dict = {}
+    for run in plan.runs:
+        assert sum(k * u for k, u in run.fill) <= 2048
+        for k, u in run.fill:
+            got[k] = got.get(k, 0) + u * run.times
+    assert got == counts and plan.sequences == bound
+
+
 def test_maximal_segments_equal_the_recursive_definition():
     def slow(s, lo=0):
         best = max(((sum(s[a:b]), -(b - a), a, b) for a in range(len(s)) for b in range(a + 1, len(s) + 1)), default=(0,))
