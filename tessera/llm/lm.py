@@ -2,9 +2,9 @@
 
 Tokens are words: the corpus's most frequent ones by name, all others by their length in bytes. The network sums
 a vector for each of the two words before and after the masked place, and predicts the word by its class and its place within
-the class. Counts of words are taken over all documents. Every partition trains on every `stride`th place of each
-of its documents, starting from the same weights; weights are averaged by places seen and the next
-round starts there, so what is gathered grows with the corpus. A document's score is the sum of its tokens' conditional log-probabilities.
+the class. Counts of words are taken over all documents. Every partition trains on its documents, starting from
+the same weights; weights are averaged by places seen and the next round starts there. Each round takes every `stride`th
+place of a document, the next round those behind them, so `stride` rounds train on every place once. A document's score is the sum of its tokens' conditional log-probabilities.
 
 Defined cases: null texts and texts without words have 0 tokens, a sum of 0 and a null mean; repeated rows get a row each; on an
 empty corpus the weights stay at their start. Columns other than the id and the text are passed over.
@@ -142,7 +142,7 @@ def vocabulary(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return key[order], number[order], counts
 
 
-def train(documents: DataFrame, rounds: int = 2, stride: int = 8, batch: int = 1024) -> tuple[dict, np.ndarray, np.ndarray]:
+def train(documents: DataFrame, rounds: int = 2, stride: int = 2, batch: int = 1024) -> tuple[dict, np.ndarray, np.ndarray]:
     """Weights, names and ids, by averaging the weights that each partition trains."""
     spark = documents.sparkSession
     names, number, counts = vocabulary(documents)
@@ -159,7 +159,7 @@ def train(documents: DataFrame, rounds: int = 2, stride: int = 8, batch: int = 1
                 for _, _, words in bw.word_slices(b.column("text"), bw.ALNUM):
                     ids = token_ids(words, names, number)
                     place = np.arange(len(ids)) - words.first[words.doc]
-                    at = np.flatnonzero((place + turn * (stride // 2)) % stride == 0)
+                    at = np.flatnonzero((place - turn) % stride == 0)
                     at = np.random.default_rng(turn).permutation(at)
                     for k in range(0, len(at), batch):
                         some = at[k : k + batch]

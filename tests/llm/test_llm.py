@@ -291,6 +291,17 @@ def test_pseudo_likelihood_learns_both_sides(spark):
     assert lm.score(docs.filter("false"), lm.train(docs.filter("false"))).count() == 0
 
 
+def test_every_place_is_trained_on_with_the_parameters_of_the_query(spark):
+    def texts(step):  # of four words, the first of which tells nothing
+        k = F.col("doc_id") % 12
+        return F.concat_ws(" ", F.lit("s"), *[F.concat(F.lit("t"), ((k + i * step) % 12).cast("string")) for i in range(3)])
+
+    docs = spark.range(60_000).toDF("doc_id").coalesce(1)
+    model = lm.train(docs.withColumn("text", texts(1)))
+    good, bad = (lm.score(docs.limit(1200).withColumn("text", texts(step)), model).agg(F.avg("mean_pll")).first()[0] for step in (1, 5))
+    assert good > bad + 0.5
+
+
 def test_gradient_of_the_window_network():
     rng = np.random.default_rng(2)
     w = {k: v.astype(np.float64) for k, v in lm.start_weights(np.ones(lm.VOCABULARY)).items()}
