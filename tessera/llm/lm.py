@@ -1,10 +1,12 @@
 """Masked pseudo-likelihood: a window network, trained in numpy, predicts every token from both sides.
 
-Tokens are words: the corpus's most frequent ones by name, all others by their length in bytes. The network sums
-a vector for each of the two words before and after the masked place, and predicts the word by its class and its place within
-the class. Counts of words are taken over all documents. Every partition trains on its documents, starting from
+Tokens are words: the corpus's most frequent ones are one id, all others are spelled: cut into chunks of three bytes, of which
+the most frequent are one id each and the rest single bytes, so no word is left out and the ids have a fixed number. The
+network sums a vector for each of the two ids before and after the masked place, and predicts the id by its class and its
+place within the class. Counts of words are taken over all documents. Every partition trains on its documents, starting from
 the same weights; weights are averaged by places seen and the next round starts there. Each round takes every `stride`th
-place of a document, the next round those behind them, so `stride` rounds train on every place once. A document's score is the sum of its tokens' conditional log-probabilities.
+place of a document, the next round those behind them, so `stride` rounds train on every place once. A document's score is the sum of its ids' conditional log-probabilities,
+and its mean is that by word.
 
 Defined cases: null texts and texts without words have 0 tokens, a sum of 0 and a null mean; repeated rows get a row each; on an
 empty corpus the weights stay at their start. Columns other than the id and the text are passed over.
@@ -13,6 +15,7 @@ empty corpus the weights stay at their start. Columns other than the id and the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bytewords as bw
-from tessera.plans.storage import materialize
+from tessera.plans.storage import materialize, release
 
-CLASSES, MEMBERS, WIDTH = 32, 32, 32
+CLASSES, MEMBERS, WIDTH = 64, 64, 32
 VOCABULARY = CLASSES * MEMBERS
-NAMED = 24  # ids below are the edge of a text (0) and lengths of other words
+NAMED = 1 + 2 * 256  # ids below are the edge of a text (0) and bytes, at the beginning of a word or within one
+SPELL, CHUNKS = 3, 1024  # bytes of a chunk, and chunks with an id
 WINDOW = (-2, -1, 1, 2)
 SHAPES = {
     "context": (len(WINDOW), VOCABULARY, WIDTH), "bias": (WIDTH,), "classes": (WIDTH, CLASSES), "class_bias": (CLASSES,),
@@ -56,16 +60,23 @@ def hidden(w: dict, context: np.ndarray) -> np.ndarray:
     return np.tanh(h)
 
 
+def by_class(w: dict, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+    """The order of the rows by class, each class's range in it, the hidden rows in that order and their members' log-probabilities."""
+    order = np.argsort(c, kind="stable")
+    cut = np.searchsorted(c[order], np.arange(CLASSES + 1)).tolist()
+    ranges = [(k, a, b) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+    hs, z = h[order], w["member_bias"][c[order]]
+    for k, a, b in ranges:
+        z[a:b] += hs[a:b] @ w["members"][k]
+    return order, ranges, hs, _log_softmax(z)
+
+
 def log_likelihood(w: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     h = hidden(w, context)
     c, m = target // MEMBERS, target % MEMBERS
     out = _log_softmax(h @ w["classes"] + w["class_bias"])[np.arange(len(c)), c]
-    order = np.argsort(c, kind="stable")
-    cut = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        at = order[cut[k] : cut[k + 1]]
-        if len(at):
-            out[at] += _log_softmax(h[at] @ w["members"][k] + w["member_bias"][k])[np.arange(len(at)), m[at]]
+    order, _, _, z = by_class(w, h, c)
+    out[order] += z[np.arange(len(c)), m[order]]
     return out
 
 
@@ -78,34 +89,72 @@ def train_step(w: dict, memory: dict, context: np.ndarray, target: np.ndarray, r
     p[np.arange(n), c] -= 1
     g = {"classes": h.T @ p / n, "class_bias": p.sum(axis=0) / n, "members": np.zeros_like(w["members"]), "member_bias": np.zeros_like(w["member_bias"])}
     back = p @ w["classes"].T
-    order = np.argsort(c, kind="stable")
-    cut = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        at = order[cut[k] : cut[k + 1]]
-        if len(at):
-            q = np.exp(_log_softmax(h[at] @ w["members"][k] + w["member_bias"][k]))
-            q[np.arange(len(at)), m[at]] -= 1
-            g["members"][k], g["member_bias"][k] = h[at].T @ q / n, q.sum(axis=0) / n
-            back[at] += q @ w["members"][k].T
+    order, ranges, hs, z = by_class(w, h, c)
+    q = np.exp(z)
+    q[np.arange(n), m[order]] -= 1
+    more = np.empty_like(hs)
+    for k, a, b in ranges:
+        g["members"][k] = hs[a:b].T @ q[a:b] / n
+        more[a:b] = q[a:b] @ w["members"][k].T
+    g["member_bias"][[k for k, _, _ in ranges]] = np.add.reduceat(q, [a for _, a, _ in ranges], axis=0) / n
+    back[order] += more
     back *= (1 - h * h) / n
     g["bias"] = back.sum(axis=0)
-    g["context"] = np.zeros_like(w["context"])
     for j in range(len(WINDOW)):
         order = np.argsort(context[:, j], kind="stable")
         ids, first = np.unique(context[order, j], return_index=True)
-        g["context"][j][ids] = np.add.reduceat(back[order], first, axis=0)
+        x = np.add.reduceat(back[order], first, axis=0)
+        memory["context"][j][ids] += x * x
+        w["context"][j][ids] -= (rate * x / np.sqrt(memory["context"][j][ids] + 1e-8)).astype(np.float32)
     for k, x in g.items():
         memory[k] += x * x
         w[k] -= (rate * x / np.sqrt(memory[k] + 1e-8)).astype(np.float32)
 
 
-def token_ids(w: bw.Words, names: np.ndarray, number: np.ndarray) -> np.ndarray:
-    ids = 1 + np.minimum(w.end - w.start, NAMED - 1) - 1
-    if len(names):
-        h = w.hashes()
-        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-        ids = np.where(names[at] == h, number[at], ids)
-    return ids.astype(np.int64)
+@dataclass
+class Names:
+    """Hashes of named words and keys of named chunks, both sorted, with their ids."""
+
+    word: np.ndarray
+    word_id: np.ndarray
+    chunk: np.ndarray
+    chunk_id: np.ndarray
+
+
+def _look_up(names: np.ndarray, number: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The number of each key, -1 where it isn't named."""
+    if not len(names):
+        return np.full(len(key), -1, np.int64)
+    at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+    return np.where(names[at] == key, number[at], -1)
+
+
+def chunks(w: bw.Words, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per chunk its word, first byte, size and key. Words that aren't spelled are one chunk of size 0."""
+    n = np.where(spelled, -(-(w.end - w.start) // SPELL), 1)
+    word = np.repeat(np.arange(len(n)), n)
+    at = w.start[word] + SPELL * (np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n))
+    size = np.where(spelled[word], np.minimum(w.end[word] - at, SPELL), 0)
+    key = size + 4 * (at == w.start[word])
+    for k in range(SPELL):
+        key = key << 8 | np.where(k < size, w.data[at + k], 0)  # the data end in zero bytes
+    return word, at, size, key
+
+
+def byte_ids(w: bw.Words, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return 1 + w.data[at].astype(np.int64) + 256 * (at > w.start[word])
+
+
+def token_ids(w: bw.Words, names: Names) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words, and the text each lies in."""
+    named = _look_up(names.word, names.word_id, w.hashes())
+    word, at, size, key = chunks(w, named < 0)
+    ids = np.where(size > 0, _look_up(names.chunk, names.chunk_id, key), named[word])
+    n = np.where(ids < 0, size, 1)
+    each = np.repeat(np.arange(len(n)), n)
+    ids, word = ids[each], word[each]
+    byte = at[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    return np.where(ids < 0, byte_ids(w, word, byte), ids), w.doc[word]
 
 
 def contexts(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -119,51 +168,84 @@ def contexts(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def vocabulary(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words (sorted) with their ids, and the corpus counts of all ids."""
+def _bytes_of(w: bw.Words, at: np.ndarray) -> pa.Array:
+    """The words `at` as binary values."""
+    n = w.end[at] - w.start[at]
+    off = np.concatenate(([0], np.cumsum(n)))
+    data = w.data[np.repeat(w.start[at] - off[:-1], n) + np.arange(off[-1])]
+    return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def vocabulary(documents: DataFrame) -> tuple[Names, np.ndarray]:
+    """The most frequent words, the most frequent chunks of all others, and the corpus counts of all ids."""
+    spark = documents.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, w in bw.word_slices(batch.column("text"), bw.ALNUM):
                 key, at, n = np.unique(w.hashes(), return_index=True, return_counts=True)
-                size = np.minimum(w.end[at] - w.start[at], NAMED - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(n)], ["key", "size", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), _bytes_of(w, at), pa.array(n)], ["key", "word", "n"])
 
-    words = materialize(documents.select("text").mapInArrow(count, "key long, size int, n long").groupBy("key", "size").agg(F.sum("n").alias("n")), "words")
-    top = words.orderBy(F.desc("n"), "key").limit(VOCABULARY - NAMED).toPandas()
-    counts = np.zeros(VOCABULARY)
-    for r in words.groupBy("size").agg(F.sum("n").alias("n")).collect():
-        counts[r["size"]] = r["n"]
-    number = NAMED + np.arange(len(top))
-    counts[number] = top["n"]
-    np.subtract.at(counts, top["size"].to_numpy(), top["n"].to_numpy())
+    words = materialize(documents.select("text").mapInArrow(count, "key long, word binary, n long").groupBy("key", "word").agg(F.sum("n").alias("n")), "words")
+    top = words.select("key", "n").orderBy(F.desc("n"), "key").limit(VOCABULARY - NAMED - CHUNKS).toPandas()
     key = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
-    return key[order], number[order], counts
-
+    names = Names(key[order], NAMED + CHUNKS + order, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    shared = spark.sparkContext.broadcast(names)
 
-def train(documents: DataFrame, rounds: int = 2, stride: int = 2, batch: int = 1024) -> tuple[dict, np.ndarray, np.ndarray]:
-    """Weights, names and ids, by averaging the weights that each partition trains."""
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks of the words without a name, with their counts."""
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            for lo, _, data, off in bw.slices(batch.column("word")):
+                w = bw.words(data, off, np.ones(256, bool))
+                word, _, size, key = chunks(w, _look_up(shared.value.word, shared.value.word_id, w.hashes()) < 0)
+                key, at = np.unique(np.where(size > 0, key, -1), return_inverse=True)
+                total = np.bincount(at, weights=n[lo + w.doc[word]], minlength=len(key)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total)], ["chunk", "n"])
+
+    pieces = words.select("word", "n").mapInArrow(spell, "chunk long, n long").filter("chunk >= 0").groupBy("chunk").agg(F.sum("n").alias("n"))
+    pieces = materialize(pieces, "chunks")
+    often = pieces.orderBy(F.desc("n"), "chunk").limit(CHUNKS).toPandas()
+    order = np.argsort(often["chunk"].to_numpy(np.int64))
+    names.chunk, names.chunk_id = often["chunk"].to_numpy(np.int64)[order], NAMED + order
+    counts = np.zeros(VOCABULARY)
+    counts[NAMED : NAMED + len(often)] = often["n"]
+    counts[NAMED + CHUNKS : NAMED + CHUNKS + len(top)] = top["n"]
+    # bytes of the other chunks: 512 rows at most
+    taken = F.broadcast(spark.createDataFrame([(int(c),) for c in names.chunk], "chunk long"))
+    shift = [(8 * (SPELL - 1 - k), k) for k in range(SPELL)]
+    each = F.array(*[F.when(F.lit(k) < F.col("size"), F.expr(f"shiftright(chunk, {by}) & 255") + F.when(F.col("begins") & F.lit(k == 0), 1).otherwise(257)) for by, k in shift])
+    rest = pieces.join(taken, "chunk", "left_anti").withColumn("size", F.expr(f"shiftright(chunk, {8 * SPELL}) & 3")).withColumn("begins", F.expr(f"shiftright(chunk, {8 * SPELL}) & 4") > 0)
+    for r in rest.select(F.explode(each).alias("id"), "n").filter("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        counts[r["id"]] = r["n"]
+    shared.unpersist()
+    release(words, pieces)
+    return names, counts
+
+
+def train(documents: DataFrame, rounds: int = 2, stride: int = 2, batch: int = 1024) -> tuple[dict, Names]:
+    """Weights and names, by averaging the weights that each partition trains."""
     spark = documents.sparkSession
-    names, number, counts = vocabulary(documents)
+    names, counts = vocabulary(documents)
     weights = start_weights(counts)
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((weights, names, number))  # a fixed size
+        shared = spark.sparkContext.broadcast((weights, names))  # a fixed size
 
         def local(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
-            start, names, number = shared.value
+            start, names = shared.value
             w = {k: v.copy() for k, v in start.items()}
             memory = {k: np.full_like(v, 0.01) for k, v in w.items()}
             seen = 0
             for b in batches:
                 for _, _, words in bw.word_slices(b.column("text"), bw.ALNUM):
-                    ids = token_ids(words, names, number)
-                    place = np.arange(len(ids)) - words.first[words.doc]
+                    ids, doc = token_ids(words, names)
+                    place = np.arange(len(ids)) - np.searchsorted(doc, np.arange(words.texts))[doc]
                     at = np.flatnonzero((place - turn) % stride == 0)
                     at = np.random.default_rng(turn).permutation(at)
                     for k in range(0, len(at), batch):
                         some = at[k : k + batch]
-                        train_step(w, memory, contexts(ids, words.doc, some), ids[some])
+                        train_step(w, memory, contexts(ids, doc, some), ids[some])
                         seen += len(some)
             if seen:
                 flat = np.concatenate([w[k].ravel() for k in SHAPES]).astype(np.float64) * seen
@@ -195,27 +277,27 @@ def train(documents: DataFrame, rounds: int = 2, stride: int = 2, batch: int = 1
         for k, shape in SHAPES.items():
             size = int(np.prod(shape))
             weights[k], at = flat[at : at + size].reshape(shape).astype(np.float32), at + size
-    return weights, names, number
+    return weights, names
 
 
-def score(documents: DataFrame, model: tuple[dict, np.ndarray, np.ndarray], id_column: str = "doc_id") -> DataFrame:
+def score(documents: DataFrame, model: tuple[dict, Names], id_column: str = "doc_id") -> DataFrame:
     """id, n_tokens, pll (sum of conditional log-probabilities), mean_pll."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     frame = documents.select(id_column, "text")
     kind = frame.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, names, number = shared.value
+        weights, names = shared.value
         for batch in batches:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for lo, _, w in bw.word_slices(batch.column("text"), bw.ALNUM):
-                ids = token_ids(w, names, number)
+                ids, doc = token_ids(w, names)
                 each = np.zeros(len(ids))
                 for k in range(0, len(ids), CHUNK):
                     at = np.arange(k, min(k + CHUNK, len(ids)))
-                    each[at] = log_likelihood(weights, contexts(ids, w.doc, at), ids[at])
+                    each[at] = log_likelihood(weights, contexts(ids, doc, at), ids[at])
                 n[lo : lo + w.texts] = np.diff(w.first)
-                total[lo : lo + w.texts] = np.bincount(w.doc, weights=each, minlength=w.texts)
+                total[lo : lo + w.texts] = np.bincount(doc, weights=each, minlength=w.texts)
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], [id_column, "n_tokens", "pll", "mean_pll"])
 

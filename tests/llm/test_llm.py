@@ -302,6 +302,31 @@ def test_every_place_is_trained_on_with_the_parameters_of_the_query(spark):
     assert good > bad + 0.5
 
 
+def test_rare_words_are_scored_by_their_spelling(spark):
+    rng = random.Random(14)
+    known = [f"w{i}" for i in range(2600)]
+    texts = [" ".join(rng.choice(known) if rng.random() < 0.8 else "".join(rng.choice(["tha", "ing", "ere", "ous"]) for _ in range(6)) for _ in range(100)) for _ in range(600)]
+    model = lm.train(frame(spark, texts).coalesce(1))
+    assert len(model[1].word) + lm.NAMED + lm.CHUNKS == lm.VOCABULARY
+    good, bad = (" ".join(x for _ in range(50)) for x in ("ereingthatha", "qzxjkvqxzjwq"))
+    score = {r["doc_id"]: r for r in lm.score(frame(spark, [good, bad, "ünï " * 3]), model).collect()}
+    assert score[0]["n_tokens"] == score[1]["n_tokens"] == 50 and score[0]["pll"] > score[1]["pll"] + 50 and score[2]["n_tokens"] == 3
+
+
+def test_ids_spell_every_word_and_their_counts_agree(spark):
+    texts = ["alpha beta gamma", "beta naïve 12345678", None, "", "a"]
+    names, counts = lm.vocabulary(frame(spark, texts))
+    import pyarrow as pa
+
+    (_, _, w), = lm.bw.word_slices(pa.array(texts), lm.bw.ALNUM)
+    ids, doc = lm.token_ids(w, names)
+    assert (np.bincount(ids, minlength=lm.VOCABULARY) == counts).all() and len(ids) == 7 and doc.tolist() == sorted(doc)
+    none = np.zeros(0, np.int64)
+    ids, doc = lm.token_ids(w, lm.Names(none.astype(np.uint64), none, none, none))
+    assert bytes(((ids - 1) % 256).tolist()) == "".join(t or "" for t in texts).replace(" ", "").encode()
+    assert np.flatnonzero(ids <= 256).tolist() == [0, 5, 9, 14, 18, 24, 32]
+
+
 def test_gradient_of_the_window_network():
     rng = np.random.default_rng(2)
     w = {k: v.astype(np.float64) for k, v in lm.start_weights(np.ones(lm.VOCABULARY)).items()}
