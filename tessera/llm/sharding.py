@@ -61,6 +61,13 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, capacity: float,
     return nodes
 
 
+def water_level(loads: list[int], rest: int) -> float:
+    """The common level that `rest` fills the lowest loads up to."""
+    low = sorted(loads)
+    levels = ((rest + sum(low[:n])) / n for n in range(1, len(low) + 1))
+    return next(x for n, x in enumerate(levels, 1) if n == len(low) or x <= low[n])
+
+
 def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 6, salts: int = 64, buckets: int = 1024, id_column: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -105,8 +112,8 @@ def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 6, salt
     # the other unlinked fill what is free, in the order of buckets and ids
     per = {r["bucket"]: r["n"] for r in joined.filter("shard is null").groupBy("bucket").agg(F.sum("size").alias("n")).collect()}
     rest = sum(per.values())
-    room = [max(total / shards - loads.get(s, 0), 0.0) for s in range(shards)]
-    room = [r * rest / sum(room) if sum(room) else rest / shards for r in room]
+    level = water_level([loads.get(s, 0) for s in range(shards)], rest)
+    room = [max(level - loads.get(s, 0), 0.0) for s in range(shards)]
     before, at = {}, 0
     for b in sorted(per):
         before[b], at = at, at + per[b]

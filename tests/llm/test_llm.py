@@ -228,6 +228,13 @@ def test_shards_are_even_and_keep_equal_texts_together(spark):
     assert sharding.shard_documents(frame(spark, []), 8).count() == 0
 
 
+def test_shards_beside_an_outweighing_text_are_filled_to_one_level(spark):
+    rng = random.Random(9)
+    texts = ["x " * 30_000] + [words_text(rng, 40) for _ in range(400)] + ["hot " * 40] * 200
+    load = sharding.shard_documents(frame(spark, texts), 8).groupBy("shard").agg(F.sum("size").alias("n")).toPandas().n.sort_values()
+    assert len(load) == 8 and load.iloc[-1] > 60_000 and load.iloc[-2] / load.iloc[0] < 1.1
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(10)
     rows = [(i, rng.normal(0, 0.3, 8).round(1).tolist()) for i in range(300)]
