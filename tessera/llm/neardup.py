@@ -3,20 +3,27 @@
 1. Each text becomes its set of hashed word shingles and a minwise signature. Texts with equal sets are one class.
 2. Chosen path: in each of `trees` independent trees a class goes below those of its minwise tokens that a random
    choice selects, 1 / threshold of them on average, so two similar classes share a node with a constant
-   chance in each tree. Nodes of up to `leaf` classes are compared exhaustively; larger ones
-   branch again by tokens chosen anew. What is still large after `depth` levels is compared block by block.
-3. Signatures only discard pairs far below the threshold; links are confirmed on the full sets.
-   First every class is held against the least member of its nodes, then, `rounds` times, against the one of
-   another component that looks most alike. Afterwards all pairs of different components are confirmed; in a group
-   of thousands of copies few are left, for its members are of one component by then.
-4. Connected components of the links.
-
-Expected recall of a pair just at 0.8: it misses all nodes of the first level with chance exp(-trees), and falls to
-the signature filter with chance about 2e-5.
+   chance in each tree.
+3. Leaders: every class is held against the least member of its nodes (of each block of them, if they are large) that looks
+   most alike. In a group of thousands of copies nearly all members are of one component afterwards.
+4. Members are only compared across components, so a node's work is its members times those outside its largest component.
+   Small nodes, with `leaf` * `leaf` such pairs or `few` members outside, are compared exhaustively. The others branch
+   again by tokens chosen anew, `retries` times; what is still not small after `depth` levels is compared as it is.
+5. Large nodes are compared in blocks: the members outside the largest component go, in groups, to each block of members.
+6. Signatures only discard pairs far below the threshold. Links are confirmed on the full sets where the
+   members of a node meet: a task keeps the components known so far, so it gives at most one link for each member, and pairs that are
+   refuted never become rows.
+7. Connected components of the links.
+
+Expected recall of a pair just at 0.8, with the defaults: in a first-level node it is found for certain if that node is small; else
+with chance 1 - exp(-2 x) where x is that chance one level below, so at least 0.82 at three levels. Trees are
+independent, so it is missed with chance exp(-12) to exp(-12 * 0.82) = 5e-5, and falls to the signature filter with
+chance about 2e-5.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; shorter texts than a shingle
-are one shingle of all their words; equal texts link; ties go to the smallest id; repeated ids are rows of
-one document each (each row gets the same component); a row with a null id stays and gets the component of its equals, if any. Other columns are passed over.
+are one shingle of all their words; equal texts link; ties go to the smallest id, of any type that has an order; repeated ids are rows of
+one document each; a row with a null id gets the component of its equals, if any, and is not kept then, else it is kept with a null component. Other columns
+are passed over. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +42,8 @@ from tessera.plans.storage import materialize, release
 
 K = 256  # minwise values of a signature, of which one byte each is kept
 FEW = 32  # of them, for a first look
-BROADCAST_PAIRS = 250_000  # up to so many pairs their ids (8 bytes each) are broadcast
+BROADCAST_IDS = 250_000  # up to so many ids (some 40 bytes each) are broadcast
+ITEMS = 2_000_000  # shingles of one side of a block
 _U = np.uint64
 _A = bw.mix(np.arange(1, K + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 _B = bw.mix(np.arange(101, K + 101, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -154,11 +162,9 @@ def _starts(table: pa.Table, key: list[str]) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1))))
 
 
-_PAIR = "a long, b long, same int"
-
-
-def _pairs(a, b, same):
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(same, pa.int32())], ["a", "b", "same"])
+_MEMBER = "node long, i int, j int, copy boolean, id long, comp long, n long, sig binary, mine array<long>"
+_KEY = ["node", "i", "j"]
+_FIELDS = ["node", "i", "j", "copy", "id", "comp", "n", "sig", "mine"]
 
 
 def leader_pairs(rows: DataFrame, key: list[str], least_same: int) -> DataFrame:
@@ -181,192 +187,265 @@ def leader_pairs(rows: DataFrame, key: list[str], least_same: int) -> DataFrame:
             last, lead, lead_sig = k[-1], leader[-1], leader_sig[-1]
             same = (leader_sig == sig).sum(axis=1)
             good = (same >= least_same) & (leader != ids)
-            yield _pairs(leader[good], ids[good], same[good])
+            yield pa.RecordBatch.from_arrays([pa.array(leader[good]), pa.array(ids[good]), pa.array(same[good].astype(np.int32))], ["a", "b", "same"])
 
-    return rows.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(run, _PAIR)
+    return rows.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(run, "a long, b long, same int")
 
 
-def node_pairs(rows: DataFrame, key: list[str], least_same: int, threshold: float, cross: str | None = None, best: bool = False) -> DataFrame:
-    """All pairs of different components within each group that sizes and signatures don't rule out.
+def most_alike(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of each b the one with most equal signature values."""
+    return pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
 
-    With `cross`: of different values there. With `best`: for each member b only its most alike a.
-    Where rows carry `mine`, the nodes of the member in which it is compared, a pair comes from the least node of both.
-    """
-    shared = "mine" in rows.columns
-    first_look = int(FEW * threshold - 5 * np.sqrt(FEW * threshold * (1 - threshold)))
+
+def sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """id, items (the sorted shingle hashes) of the classes `wanted` (id, set_key, doc), by one text of each."""
+    wanted = wanted.select("id", "set_key", "doc")
+    if wanted.count() <= BROADCAST_IDS:  # spares a shuffle of all texts
+        wanted = F.broadcast(wanted)
+    texts = documents.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc").select("id", "set_key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, key):
-            ids, comp, size = (table.column(c).to_numpy() for c in ("id", "comp", "n"))
-            sig = _sig(table.column("sig"))
-            side = table.column(cross).to_numpy() if cross else None
-            if shared:
-                node, lists = table.column(key[0]).to_numpy(), table.column("mine").combine_chunks()
-                at, many = lists.offsets.to_numpy(), np.diff(lists.offsets.to_numpy())
-                mine = np.full((len(ids), many.max()), np.iinfo(np.int64).max)
-                mine[np.repeat(np.arange(len(ids)), many), np.arange(at[0], at[-1]) - np.repeat(at[:-1], many)] = lists.flatten().to_numpy()
-            start = _starts(table, key)
-            length = np.diff(np.append(start, len(ids)))
-            mixed = np.maximum.reduceat(comp, start) != np.minimum.reduceat(comp, start)
-            end = np.repeat(start + np.where(mixed, length, 0), length)
-            left, d = np.arange(len(ids)), 1
-            top, mate = np.full(len(ids), -1), np.zeros(len(ids), np.int64)
-            while len(left := left[left + d < end[left]]):
-                low, high = np.minimum(size[left], size[left + d]), np.maximum(size[left], size[left + d])
-                good = (comp[left] != comp[left + d]) & (low >= threshold * high - 1e-9)
-                if side is not None:
-                    good &= side[left] != side[left + d]
-                i = left[good]
-                i = i[(sig[i, :FEW] == sig[i + d, :FEW]).sum(axis=1) >= first_look]
-                for at in range(0, len(i), 50_000):
-                    j = i[at : at + 50_000]
-                    same = (sig[j] == sig[j + d]).sum(axis=1)
-                    j, same = j[same >= least_same], same[same >= least_same]
-                    if best:
-                        for own, other in ((j, j + d), (j + d, j)):  # neither holds a row twice
-                            more = same > top[own]
-                            top[own[more]], mate[own[more]] = same[more], ids[other[more]]
-                        continue
-                    if shared and len(j):
-                        first = np.ones(len(j), bool)
-                        for k in range(mine.shape[1]):  # no lesser node of the one is a node of the other
-                            lesser = mine[j, k] < node[j]
-                            first[lesser] &= (mine[j[lesser] + d] != mine[j[lesser], k][:, None]).all(axis=1)
-                        j, same = j[first], same[first]
-                    if len(j):
-                        yield _pairs(np.minimum(ids[j], ids[j + d]), np.maximum(ids[j], ids[j + d]), same)
-                d += 1
-            if best and (top >= 0).any():
-                yield _pairs(mate[top >= 0], ids[top >= 0], top[top >= 0])
-
-    return rows.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(run, _PAIR)
-
-
-def confirm(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct()
-    if pairs.count() <= BROADCAST_PAIRS:  # spares a shuffle of all texts
-        ids = F.broadcast(ids)
-    texts = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            key = batch.column("set_key").to_pylist()
             for lo, value, first in shingle_sets(batch.column("text"), n):
                 own = [value[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(own)), pa.array(own, pa.binary())], ["id", "items"])
+                keep = pa.array([hashlib.md5(x).digest() == key[lo + k] for k, x in enumerate(own)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, len(own)).filter(keep), pa.array(own, pa.binary()).filter(keep)], ["id", "items"])
+
+    return texts.mapInArrow(run, "id long, items binary").groupBy("id").agg(F.first("items").alias("items"))
+
+
+def _alike(items: np.ndarray, other: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sets have 100 * intersection >= percent * union with `items`."""
+    size = np.array([len(x) for x in other])
+    flat = np.concatenate(other)
+    at = np.minimum(np.searchsorted(items, flat), len(items) - 1)
+    both = np.add.reduceat((items[at] == flat).astype(np.int64), np.cumsum(size) - size)
+    return 100 * both >= percent * (len(items) + size - both)
 
-    whole = materialize(texts.mapInArrow(sets, "id long, items binary"), "sets")
-    joined = pairs.join(whole.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def star_links(pairs: DataFrame, documents: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that the full sets confirm; the members b of each a stream past its set."""
+    pairs = materialize(pairs, "pairs")
+    rows = pairs.select("a", F.col("b").alias("id"), F.lit(1).alias("member")).unionByName(pairs.select("a", F.col("a").alias("id"), F.lit(0).alias("member")).distinct())
+    whole = sets_of(documents, classes.join(rows.select("id").distinct(), "id", "left_semi"), n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, items = None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((p, q))
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * inter >= percent * (len(p) + len(q) - inter))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
-
-    links = materialize(joined.mapInArrow(check, "a long, b long"), "links")
-    release(whole, pairs)
+            a, b, member = (batch.column(c).to_numpy() for c in ("a", "id", "member"))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("items")]
+            keep = np.zeros(len(a), bool)
+            cut = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else []
+            for lo, hi in zip(cut, [*cut[1:], len(a)], strict=True):
+                if not member[lo]:
+                    lead, items, lo = a[lo], sets[lo].copy(), lo + 1
+                if lo < hi and a[lo] == lead:
+                    keep[lo:hi] = _alike(items, sets[lo:hi], percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    links = rows.join(whole, "id").repartition("a").sortWithinPartitions("a", "member", "id").mapInArrow(run, "a long, b long")
+    links = materialize(links, "links")
+    release(pairs)
     return links
 
 
-def candidates(rows: DataFrame, least_same: int, threshold: float, leaf: int, depth: int, retries: int) -> DataFrame:
-    """Pairs of different components from a level's rows (node, cnt, id, comp, n, sig) and all levels below."""
-    found = None
-    for level in range(1, depth + 1):
-        small = rows.filter(F.col("cnt") <= leaf)
-        if level == 1:
-            small = small.join(small.groupBy("id").agg(F.collect_list("node").alias("mine")), "id")  # as many as tokens chosen in all trees
-        pairs = node_pairs(small, ["node"], least_same, threshold)
-        found = pairs if found is None else found.unionByName(pairs)
-        big = rows.filter(F.col("cnt") > leaf)
-        if big.isEmpty():
-            return found
-        mixed = materialize(big.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("node"), "mixed")
-        big = big.join(mixed, "node")
-        if mixed.isEmpty():
-            return found
-        if level == depth:
-            break
+def outside(at: DataFrame, block: int) -> DataFrame:
+    """Of the nodes of (node, id, n, comp) with more than one component: members, those outside the largest component, and into how many blocks both sides go."""
+    each = at.groupBy("node", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("items"))
+    node = each.groupBy("node").agg(F.sum("k").alias("cnt"), F.sum("items").alias("items"), F.count("*").alias("comps"), F.max(F.struct("k", "comp", "items")).alias("top")).filter("comps > 1")
+    parts = lambda k, items: F.ceil(F.greatest(k / block, items / ITEMS)).cast("int")
+    out = node.select("node", "cnt", F.col("top.comp").alias("top"), (F.col("cnt") - F.col("top.k")).alias("out"), parts(F.col("cnt"), F.col("items")).alias("parts"), parts(F.col("cnt") - F.col("top.k"), F.col("items") - F.col("top.items")).alias("groups"))
+    return materialize(out, "mixed")
 
-        def branch(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                tokens = _sig(batch.column("sig")).astype(np.uint64)
-                path = batch.column("node").to_numpy().view(np.uint64)
-                for t in range(retries if level == 1 else 1):
-                    row, child = choose(tokens, path, 100 * level + t, 1 / (threshold * K))
-                    rest = batch.select(["id", "comp", "n", "sig"]).take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *rest.columns], ["node", "id", "comp", "n", "sig"])
-
-        below = materialize(big.mapInArrow(branch, "node long, id long, comp long, n long, sig binary"), "below")
-        counts = materialize(below.groupBy("node").agg(F.count("*").alias("cnt")).filter("cnt > 1"), "counts")
-        rows = materialize(below.join(counts, "node"), "level")
-    # what did not fall apart: blocks of each node against each other
-    parts = F.ceil(F.col("cnt") / leaf).cast("int")
-    big = big.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("parts", parts)
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    crossed = big.withColumn("other", other).select("node", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "comp", "n", "sig", "block")
-    within = node_pairs(crossed.filter("p = q"), ["node", "p", "q"], least_same, threshold)
-    across = node_pairs(crossed.filter("p <> q"), ["node", "p", "q"], least_same, threshold, cross="block")
-    return found.unionByName(within).unionByName(across)
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of small nodes in their blocks: a node of one block is one group; of others each group (i, j) has block i of all members, and copies of group j of those outside."""
+    whole = rows.filter("parts = 1").select(*_FIELDS)
+    large = rows.filter("parts > 1")
+    own = large.withColumn("i", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    copies = large.filter("comp <> top").withColumn("copy", F.lit(True)).withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return whole.unionByName(own.select(*_FIELDS)).unionByName(copies.select(*_FIELDS))
 
-def most_alike(pairs: DataFrame) -> DataFrame:
-    """Of the pairs of each b the one with most equal signature values."""
-    return pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
 
+def _near(table: pa.Table, least_same: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers (i, j), and equal signature values, of the pairs within groups that differ in component and that sizes and signatures don't rule out.
+
+    Where a group has copies, a pair is a copy and a member that is none. Of pairs that meet in several small nodes (`mine`,
+    those of a member) the least node has them.
+    """
+    first_look = int(FEW * threshold - 5 * np.sqrt(FEW * threshold * (1 - threshold)))
+    comp, size, ids = (table.column(c).to_numpy() for c in ("comp", "n", "id"))
+    copy = table.column("copy").to_numpy(zero_copy_only=False)
+    sig = _sig(table.column("sig"))
+    node, lists = table.column("node").to_numpy(), table.column("mine").combine_chunks()
+    at = lists.offsets.to_numpy()
+    many = np.diff(at)
+    mine = np.full((len(ids), max(1, many.max(initial=0))), np.iinfo(np.int64).max)
+    mine[np.repeat(np.arange(len(ids)), many), np.arange(at[0], at[-1]) - np.repeat(at[:-1], many)] = lists.flatten().to_numpy(zero_copy_only=False)
+    start = _starts(table, _KEY)
+    length = np.diff(np.append(start, len(ids)))
+    mixed = np.maximum.reduceat(comp, start) != np.minimum.reduceat(comp, start)
+    crossed = np.repeat(np.logical_or.reduceat(copy, start), length)
+    end = np.repeat(start + np.where(mixed, length, 0), length)
+    left, d = np.arange(len(ids)), 1
+    while len(left := left[left + d < end[left]]):
+        good = (comp[left] != comp[left + d]) & (~crossed[left] | (copy[left] != copy[left + d]))
+        i = left[good]
+        if len(i):
+            i = i[np.minimum(size[i], size[i + d]) >= threshold * np.maximum(size[i], size[i + d]) - 1e-9]
+            i = i[(sig[i, :FEW] == sig[i + d, :FEW]).sum(axis=1) >= first_look]
+        for at in range(0, len(i), 50_000):
+            j = i[at : at + 50_000]
+            same = (sig[j] == sig[j + d]).sum(axis=1)
+            good = same >= least_same
+            j, same = j[good], same[good]
+            first = np.ones(len(j), bool)
+            for k in range(mine.shape[1]):  # no lesser node of the one is a node of the other
+                lesser = mine[j, k] < node[j]
+                first[lesser] &= (mine[j[lesser] + d] != mine[j[lesser], k][:, None]).all(axis=1)
+            if first.any():
+                yield j[first], j[first] + d, same[first]
+        d += 1
+
+
+def contested(rows: DataFrame, least_same: int, threshold: float) -> DataFrame:
+    """The rows of groups that are in a pair which may be a link."""
 
-def joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, _KEY):
+            found = np.zeros(table.num_rows, bool)
+            for i, j, _ in _near(table, least_same, threshold):
+                found[i] = found[j] = True
+            if found.any():
+                yield from table.select(_FIELDS).filter(pa.array(found)).to_batches()
+
+    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "id").mapInArrow(run, _MEMBER)
+
+
+def node_links(rows: DataFrame, documents: DataFrame, classes: DataFrame, n: int, threshold: float, least_same: int) -> DataFrame:
+    """Links (a, b) between components within groups, confirmed on the full sets; at most one for each member."""
+    percent = round(100 * threshold)
+    rows = materialize(rows, "contested")
+    whole = sets_of(documents, classes.join(rows.select("id").distinct(), "id", "left_semi"), n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, _KEY, 4_000):
+            ids, items = table.column("id").to_numpy(), table.column("items").combine_chunks()
+            start = _starts(table, _KEY)
+            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ids))))
+            # components by number, apart for each group
+            label = np.unique(np.stack([group, table.column("comp").to_numpy()], axis=1), axis=0, return_inverse=True)[1].ravel()
+            found = list(_near(table, least_same, threshold))
+            if not found:
+                continue
+            i, j, same = (np.concatenate(x) for x in zip(*found, strict=True))
+            i, j = np.concatenate((i, j)), np.concatenate((j, i))
+            same = np.concatenate((same, same))
+            # each pair once, from the member that has fewer
+            few = np.bincount(i, minlength=len(ids))
+            once = (few[i] < few[j]) | ((few[i] == few[j]) & (i < j))
+            i, j, same = i[once], j[once], same[once]
+            order = np.lexsort((-same, i))
+            i, j = i[order], j[order]
+            get = lambda k: np.frombuffer(items[int(k)].as_buffer(), np.uint64)
+            a, b = [], []
+            cut = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+            for lo, hi in zip(cut, [*cut[1:], len(i)], strict=True):
+                own, left, take = get(i[lo]), j[lo:hi], 2
+                while len(left := left[label[left] != label[i[lo]]]):
+                    some, left, take = left[:take], left[take:], min(4 * take, 256)
+                    for k in some[_alike(own, [get(k) for k in some], percent)]:
+                        if label[k] != label[i[lo]]:
+                            label[label == label[k]] = label[i[lo]]
+                            a.append(ids[i[lo]])
+                            b.append(ids[k])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    links = rows.join(whole, "id").repartition(*_KEY).sortWithinPartitions(*_KEY, "id").mapInArrow(run, "a long, b long")
+    links = materialize(links, "links")
+    release(rows)
+    return links
+
+
+def branch(rows: DataFrame, level: int, threshold: float, retries: int) -> DataFrame:
+    """(node, id, n) of the children that the members of nodes choose."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens = _sig(batch.column("sig")).astype(np.uint64)
+            path = batch.column("node").to_numpy().view(np.uint64)
+            for t in range(retries):
+                row, child = choose(tokens, path, 100 * level + t, 1 / (threshold * K))
+                rest = batch.select(["id", "n"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *rest.columns], ["node", "id", "n"])
+
+    return rows.select("node", "id", "n", "sig").mapInArrow(run, "node long, id long, n long")
+
+
+def shared_nodes(places: DataFrame) -> DataFrame:
+    """The rows of nodes with more than one member."""
+    places = materialize(places, "all-places")
+    many = places.groupBy("node").agg(F.count("*").alias("cnt")).filter("cnt > 1")
+    out = materialize(places.join(many, "node"), "places")
+    release(places)
+    return out
+
+
+def joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components (id, component) after `links`; those between two components count once, however many members they join."""
+    if known is None:
+        return components(links)
     of = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
     ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")).distinct()
-    above = materialize(components(ends).select(F.col("id").alias("first"), F.col("component").alias("last")), "above")
+    above = components(ends).select(F.col("id").alias("first"), F.col("component").alias("last"))
     moved = known.withColumnRenamed("component", "first").join(above, "first", "left").select("id", F.coalesce("last", "first").alias("component"))
     fresh = above.select(F.col("first").alias("id"), F.col("last").alias("component")).join(known, "id", "left_anti")
     return materialize(moved.unionByName(fresh), "components")
 
 
-def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 12, leaf: int = 4000, depth: int = 5, retries: int = 2, block: int = 1000, rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id linked), kept. doc_id must be an integer."""
+def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 12, leaf: int = 2000, few: int = 500, depth: int = 3, retries: int = 2, block: int = 1000) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id linked), kept."""
     percent = round(100 * threshold)
     least_same = int(K * threshold - 4.2 * np.sqrt(K * threshold * (1 - threshold)))
     sketches = materialize(sketch(documents, n, threshold, trees), "sketches")
-    classes = materialize(sketches.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "nodes")).alias("x"), F.count("*").alias("copies")).select("set_key", "copies", "x.*").withColumnRenamed("doc_id", "id"), "classes")
-    below = classes.select(F.explode("nodes").alias("node"), "id")
-    counts = materialize(below.groupBy("node").agg(F.count("*").alias("cnt")).filter("cnt > 1"), "counts")
-    places = materialize(below.join(counts, "node"), "places")
-    marks = classes.select("id", F.col("n_shingles").alias("n"), "sig")
+    classes = sketches.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "nodes")).alias("x"), F.count("*").alias("copies"))
+    classes = classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "copies", F.col("x.doc_id").alias("doc"), F.col("x.n_shingles").alias("n"), "x.sig", "x.nodes")
+    classes = materialize(classes, "classes")  # which fixes the ids
+    marks = classes.select("id", "sig")
+    places = shared_nodes(classes.select(F.explode("nodes").alias("node"), "id", "n"))
     # one link for each class, to the least member of the node that looks most alike
-    split = places.join(marks, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / block)).cast("int"))
+    split = places.select("node", "id", "cnt", F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / block)).cast("int").alias("block")).join(marks, "id")
     heads = split.filter(F.col("cnt") > block).groupBy("node", "block").agg(F.min(F.struct("id", "sig")).alias("x")).select("node", "x.*")
     pairs = leader_pairs(split, ["node", "block"], least_same).unionByName(leader_pairs(heads, ["node"], least_same))
-    known = components(confirm(most_alike(pairs), documents, n, percent))
-
-    def mixed_nodes() -> DataFrame:
-        """Rows of the nodes with more than one component; the others need no second look."""
-        at = places.join(known, "id", "left").select("node", "cnt", "id", F.coalesce("component", "id").alias("comp"))
-        mixed = at.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("node")
-        return at.join(mixed, "node").join(marks, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / block)).cast("int"))
-
-    for _ in range(rounds):
-        links = confirm(most_alike(node_pairs(mixed_nodes(), ["node", "block"], least_same, threshold, best=True)), documents, n, percent)
-        if links.isEmpty():
+    known = joined(None, star_links(most_alike(pairs), documents, classes, n, percent))
+    for level in range(1, depth + 1):
+        at = places.select("node", "id", "n").join(known, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("comp"))
+        mixed = outside(at, block)
+        if mixed.isEmpty():
+            break
+        small = F.lit(level == depth) | (F.col("out") <= few) | (F.col("out") * F.col("cnt") <= leaf * leaf)
+        # the places of an id meet once, so that its signature moves once
+        spot = F.struct("node", "top", "parts", "groups", small.alias("small"))
+        by_id = at.join(mixed, "node").groupBy("id", "n", "comp").agg(F.collect_list(spot).alias("spots")).join(marks, "id")
+        mine = F.transform(F.filter("spots", lambda s: s["small"]), lambda s: s["node"])
+        rows = by_id.select("id", "n", "comp", "sig", mine.alias("mine"), F.explode("spots").alias("s")).select("s.*", "id", "n", "comp", "sig", "mine")
+        rows = materialize(rows.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("copy")), "level")
+        links = node_links(contested(dealt(rows.filter("small")), least_same, threshold), documents, classes, n, threshold, least_same)
+        if not links.isEmpty():
+            known = joined(known, links)
+        large = rows.filter("not small")
+        if level == depth or large.isEmpty():
             break
-        known = joined(known, links)
-    late = confirm(candidates(materialize(mixed_nodes().drop("block"), "level"), least_same, threshold, leaf, depth, retries), documents, n, percent)
-    known = joined(known, late)
+        places = shared_nodes(branch(large, level, threshold, retries).dropDuplicates(["node", "id"]))
+        release(rows)
     # only classes that are linked, or have copies, differ from their document's own id
-    told = classes.join(known, "id", "left").filter("copies > 1 or component is not null").select("set_key", F.coalesce("component", "id").alias("component"))
+    least = classes.join(known, "id").groupBy("component").agg(F.min("doc").alias("first"))
+    linked = known.join(least, "component").select("id", "first")
+    told = classes.select("id", "set_key", "doc", "copies").join(linked, "id", "left").filter("copies > 1 or first is not null").select("set_key", F.coalesce("first", "doc").alias("first"))
     told = materialize(told, "told")
     out = sketches.select("doc_id", "n_shingles", "set_key").join(told, "set_key", "left")
-    component = F.coalesce("component", "doc_id").cast(documents.schema["doc_id"].dataType)
-    out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    return out
+    out = out.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -205,12 +205,33 @@ def test_near_duplicates_equal_brute_force(spark):
             if a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
-    for leaf in (4000, 3):  # the second makes nodes branch, and end in blocks
-        for r in neardup.near_duplicates(frame(spark, texts), n=4, leaf=leaf, depth=3, block=5).collect():
+    for leaf, few in ((2000, 500), (2, 1)):  # the second makes nodes branch, and end in blocks
+        for r in neardup.near_duplicates(frame(spark, texts), n=4, leaf=leaf, few=few, depth=3, block=5).collect():
             assert r["component_id"] == find(r["doc_id"]) and r["n_shingles"] == len(sets[r["doc_id"]]) and r["kept"] == (r["component_id"] == r["doc_id"])
+    names = frame(spark, texts).withColumn("doc_id", F.format_string("%03d", "doc_id"))
+    for r in neardup.near_duplicates(names, n=4).collect():
+        assert int(r["component_id"]) == find(int(r["doc_id"]))
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_without_or_with_repeated_ids(spark):
+    base = words_text(random.Random(3), 60, 5000)
+    rows = [(None, base), (None, "alone in the world today"), (4, base), (4, "another text of the same id"), (4, base), (9, base + " more"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, n=4).collect()), key=str)
+    assert got == sorted([(0, 57, 4, False), (0, 2, None, True), (4, 57, 4, True), (4, 3, 4, True), (4, 57, 4, True), (9, 58, 4, False), (0, 0, None, True)], key=str)
+
+
+def test_links_of_a_node_span_its_components(spark):
+    """A group whose members are alike only along a chain needs every link that is there."""
+    rng = random.Random(5)
+    words = [f"c{i}" for i in range(130)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 30, 3)]
+    texts += [" ".join(rng.sample(words, 100)) for _ in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, texts), n=4, trees=20, block=3).collect()}
+    assert all(got[i] == 0 for i in range(10)) and all(got[i] == i for i in range(10, 30))
+
+
 def test_shards_are_even_and_keep_equal_texts_together(spark):
     rng = random.Random(9)
     texts = list(EDGE) + [words_text(rng, 40) for _ in range(400)]
