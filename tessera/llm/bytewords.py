@@ -6,13 +6,18 @@ of rows in a batch. One text is never divided: a slice holds at least one whole
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _U = np.uint64
 _M1, _M2, _SEED = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -30,6 +35,31 @@ NONSPACE[32] = NONSPACE[9:14] = False
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
+def trimmed(run: Callable) -> Callable:
+    """A step of mapInArrow that gives freed memory back to the system when its task ends, as workers outlive tasks."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+        if trim:
+            trim(0)
+
+    return whole
+
+
+def arrow(df: DataFrame, run: Callable, kind: str) -> DataFrame:
+    """mapInArrow with batches bounded in bytes, so that rows of long texts don't pile up in one.
+
+    The bound is a setting of the session, and is only set where the session has none of its own.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_LIMIT, None) is None:
+        conf.set(_LIMIT, str(BATCH_BYTES))
+    return df.mapInArrow(trimmed(run), kind)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit (the splitmix64 finaliser)."""
     x = (x ^ (x >> _U(30))) * _M1

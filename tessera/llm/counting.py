@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import bytewords as bw
 from tessera.llm import wordbpe
 
 
@@ -31,4 +32,4 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, id_col
             size = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)], [id_column, "n_bytes", "n_tokens", "over_limit"])
 
-    return frame.mapInArrow(run, f"`{id_column}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return bw.arrow(frame, run, f"`{id_column}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

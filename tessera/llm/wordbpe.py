@@ -69,7 +69,7 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         if pattern != "|".join([*CONTRACTIONS, r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]):
             raise ValueError("the pre-token pattern is of another kind")
-        self._library = Tokenizer.from_file(path)
+        self._path, self._loaded = path, None
         symbols = byte_symbols()
         self._inner = np.array([vocab[s] for s in symbols], np.int64)
         self._last = np.array([vocab[s + suffix] for s in symbols], np.int64)
@@ -87,6 +87,12 @@ class WordBpe:
         self._keys, self._rank, self._product = np.array(keys)[order], order.astype(np.int64), np.array(product, np.int64)
         self._forget()
 
+    @property
+    def _library(self) -> Tokenizer:
+        if self._loaded is None:
+            self._loaded = Tokenizer.from_file(self._path)
+        return self._loaded
+
     def _forget(self) -> None:
         self._hash, self._at, self._count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._flat = np.zeros(0, np.uint32)
@@ -246,7 +252,7 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def token_groups(texts: list[str | None], most_chars: int = 4_000_000):
+def token_groups(texts: list[str | None], most_chars: int = 1_000_000):
     """Ranges of texts of at most so many characters (one text at least), to bound memory."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
