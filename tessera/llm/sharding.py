@@ -31,10 +31,9 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, capacity: float,
     """nodes (id, size, shard) with new shards; links are (id, hub). No shard grows beyond `capacity` by moves."""
     for _ in range(rounds):
         placed = links.join(nodes, "id")
-        weight = placed.groupBy("hub", "shard").agg(F.sum("size").alias("w"))
-        own = links.join(weight, "hub").groupBy("id", F.col("shard").alias("to")).agg(F.sum("w").alias("w")).join(nodes, "id")
-        best = own.groupBy("id").agg(
-            F.first("size").alias("size"), F.first("shard").alias("shard"),
+        weight = placed.groupBy("hub", F.col("shard").alias("to")).agg(F.sum("size").alias("w"))
+        own = placed.join(weight, "hub").groupBy("id", "size", "shard", "to").agg(F.sum("w").alias("w"))
+        best = own.groupBy("id", "size", "shard").agg(
             F.max(F.struct("w", (-F.col("to")).alias("t"))).alias("x"),
             F.max(F.when(F.col("to") == F.col("shard"), F.col("w")).otherwise(0)).alias("here"),
         ).select("id", "size", "shard", (-F.col("x.t")).alias("to"), (F.col("x.w") - F.col("here")).alias("gain"))
@@ -49,18 +48,24 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, capacity: float,
         for r in asked:
             if r["n"] <= free[r["to"]]:
                 free[r["to"]] -= r["n"]
-                granted.append((r["to"], r["step"]))
+                granted.append(str(r["to"] * 1024 + r["step"]))
         if not granted:
             release(moves)
             break
-        spark = nodes.sparkSession
-        allowed = spark.createDataFrame(granted, "to int, step int")  # shards * 63 * _STEPS rows at most
-        moved = moves.join(F.broadcast(allowed), ["to", "step"]).select("id", F.col("to").alias("new"))
-        nodes = materialize(nodes.join(moved, "id", "left").select("id", "size", F.coalesce("new", "shard").alias("shard")), "nodes")
+        # shards * 63 * _STEPS values at most
+        moved = moves.filter(f"to * 1024 + step in ({', '.join(granted)})").select("id", F.col("to").alias("new"))
+        before, nodes = nodes, materialize(nodes.join(moved, "id", "left").select("id", "size", F.coalesce("new", "shard").alias("shard")), "nodes")
         release(moves)
+        if hasattr(before, "scratch"):
+            release(before)
     return nodes
 
 
+def listed(values: list, index: str, kind: str) -> F.Column:
+    """The value at the column `index` of a list that is part of the plan."""
+    return F.expr(f"element_at(cast(array({', '.join(map(str, values)) or '0'}) as array<{kind}>), {index} + 1)")
+
+
 def water_level(loads: list[int], rest: int) -> float:
     """The common level that `rest` fills the lowest loads up to."""
     low = sorted(loads)
@@ -117,11 +122,9 @@ def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 6, salt
     before, at = {}, 0
     for b in sorted(per):
         before[b], at = at, at + per[b]
-    bases = spark.createDataFrame([(b, float(n)) for b, n in before.items()] or [(0, 0.0)], "bucket int, before double")  # `buckets` rows at most
     loose = F.when(F.col("shard").isNull(), F.col("size")).otherwise(0)
     run = joined.withColumn("mass", loose).selectExpr("*", "sum(mass) over (partition by bucket order by doc_id, text_crc32 rows between unbounded preceding and current row) as upto")
-    run = run.join(F.broadcast(bases), "bucket", "left")
-    middle = F.coalesce("before", F.lit(0.0)) + F.col("upto") - F.col("mass") / 2
+    middle = listed([before.get(b, 0) for b in range(buckets)], "bucket", "double") + F.col("upto") - F.col("mass") / 2
     fill = F.lit(shards - 1)
     edge = [sum(room[: s + 1]) for s in range(shards)]
     for s in range(shards - 2, -1, -1):
@@ -129,13 +132,13 @@ def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 6, salt
     dealt = materialize(run.select("doc_id", "size", "text_crc32", "bucket", F.coalesce("shard", fill).cast("int").alias("shard")), "dealt")
     counts = dealt.groupBy("shard", "bucket").count().orderBy("shard", "bucket").collect()
     first: dict[int, int] = {}
-    offsets = []
+    offsets = [0] * (shards * buckets)
     for r in counts:
-        offsets.append((r["shard"], r["bucket"], first.get(r["shard"], 0)))
+        offsets[r["shard"] * buckets + r["bucket"]] = first.get(r["shard"], 0)
         first[r["shard"]] = first.get(r["shard"], 0) + r["count"]
-    small = spark.createDataFrame(offsets, T.StructType.fromDDL("shard int, bucket int, base long"))  # `shards` * `buckets` rows at most
-    out = dealt.selectExpr("*", "row_number() over (partition by bucket, shard order by doc_id, text_crc32) - 1 as place").join(F.broadcast(small), ["shard", "bucket"])
-    release(base, cells)
+    out = dealt.selectExpr("*", "row_number() over (partition by bucket, shard order by doc_id, text_crc32) - 1 as place")
+    out = out.withColumn("base", listed(offsets, f"shard * {buckets} + bucket", "long"))
+    release(base, cells, nodes, settled)
     return out.select(
         F.col("doc_id").alias(id_column), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("base") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
