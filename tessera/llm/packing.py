@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import wordbpe
+from tessera.llm import bytewords as bw
 from tessera.plans.storage import materialize
 
 END_ID = 0
@@ -236,37 +237,42 @@ def tokenized_pieces(documents: DataFrame, tokenizer: str, capacity: int, with_i
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names + ["ids"] * with_ids)
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return bw.arrow(documents.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def best_fit_pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, buckets: int = 64, with_ids: bool = False) -> DataFrame:
+def best_fit_pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, per_bucket: int = 20_000, with_ids: bool = False) -> DataFrame:
     """Every piece with its sequence_id and offset.
 
-    What the driver holds: a count per (length, bucket), `capacity` * `buckets` at most, and the plan.
+    Pieces of one length are numbered in buckets of about `per_bucket`. What the driver holds: a count per length and bucket, at
+    most `capacity` and one for each `per_bucket` pieces, and the plan.
     A plan has at most two runs for each length, as it splits one only when a length is used up, so it is bounded by `capacity` too.
     """
     spark = documents.sparkSession
     pieces = tokenized_pieces(documents, tokenizer, capacity, with_ids)
-    pieces = materialize(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(buckets)).cast("int")), "pieces")
-    found = pieces.groupBy("length", "bucket").count().toPandas()
-    counts: dict[int, int] = found.groupby("length")["count"].sum().to_dict()
-    plan = bin_completion({int(k): int(v) for k, v in counts.items()}, capacity)
+    spread = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(1 << 30)).cast("int")
+    pieces = materialize(pieces.withColumn("spread", spread), "pieces")
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    plan = bin_completion(counts, capacity)
+    buckets = [max(1, -(-counts.get(k, 0) // per_bucket)) for k in range(1, capacity + 1)]
+    pieces = pieces.withColumn("bucket", F.expr(f"spread % element_at(array({', '.join(map(str, buckets))}), cast(length as int))")).drop("spread")
+    first = np.concatenate(([0], np.cumsum(buckets)))
+    base = np.zeros(first[-1] + 1, np.int64)
+    for r in pieces.groupBy("length", "bucket").count().collect():
+        base[first[r["length"] - 1] + r["bucket"] + 1] = r["count"]
+    base = np.cumsum(base)
+    base -= np.repeat(base[first], [*buckets, 1])  # ranks begin at 0 in each length
     places = Places(plan)
-    found = found.sort_values(["length", "bucket"])
-    found["base"] = found.groupby("length")["count"].cumsum() - found["count"]
-    base = np.zeros((capacity + 1, buckets), np.int64)
-    base[found["length"], found["bucket"]] = found["base"]
-    shared = spark.sparkContext.broadcast((places, base))
+    shared = spark.sparkContext.broadcast((places, base, first))
     order = "row_number() over (partition by length, bucket order by doc_id, piece)"
     ranked = pieces.withColumn("rank", F.expr(order) - 1)
     names = [c for c in pieces.columns if c != "bucket"]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != "bucket")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, base = shared.value
+        places, base, first = shared.value
         for batch in batches:
             length, bucket = batch.column("length").to_numpy(), batch.column("bucket").to_numpy()
-            sequence, offset = places.find(length, batch.column("rank").to_numpy() + base[length, bucket])
+            sequence, offset = places.find(length, batch.column("rank").to_numpy() + base[first[length - 1] + bucket])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return bw.arrow(ranked, place, f"{fields}, sequence_id long, offset long")
