@@ -1,7 +1,7 @@
 """Toxic passages: every maximum-scoring segment of token log-odds, with extreme-value calibration.
 
 Learning: counts of words and of their first 3 to 6 bytes in labelled documents (once for each
-family of texts that share their least hashed run of four words, so that copies don't count again) give log-odds
+family of texts that share their least hashed run of four words, by one of them, so that copies don't count again) give log-odds
 with an informative Dirichlet prior (the counts of both classes together, scaled). Features whose
 log-odds are `min_delta` and `min_z` standard deviations from 0 keep them, so that words of a language
 or topic that is merely commoner among toxic texts do not add up over long texts; a word scores as its most
@@ -23,12 +23,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bytewords as bw
+from tessera.plans.storage import materialize, release
 
 #: Byte lengths of the word beginnings that are features, besides whole words (0).
 PREFIXES = (0, 3, 4, 5, 6)
@@ -147,25 +147,31 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_f
     )
     train = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
+    def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, w in bw.word_slices(batch.column("text"), bw.ALNUM):
+                yield pa.RecordBatch.from_arrays([pa.array(_family(w).view(np.int64)), batch.column("text").slice(lo, w.texts), batch.column("toxic").cast(pa.int32()).slice(lo, w.texts)], ["family", "text", "toxic"])
+
+    # a toxic text of each family, if it has one
+    one = bw.arrow(train, families, "family long, text string, toxic int").groupBy("family").agg(F.max(F.struct("toxic", "text")).alias("x")).select("x.*")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column("toxic").to_numpy(zero_copy_only=False)
             for lo, hi, w in bw.word_slices(batch.column("text"), bw.ALNUM):
-                like = _family(w)[w.doc]
-                y = label[lo:hi][w.doc].astype(np.int32)
-                mark = bw.mix(like + y.astype(np.uint64))
+                y = label[lo:hi].astype(np.int64)
                 for p, h in zip(PREFIXES, features(w), strict=True):
-                    at = np.unique(h ^ mark, return_index=True)[1]
-                    key, family, toxic = h[at].view(np.int64), like[at].view(np.int64), y[at]
-                    yield pa.RecordBatch.from_pydict({"p": pa.array(np.full(len(key), p, np.int32)), "key": pa.array(key), "family": pa.array(family), "toxic": pa.array(toxic)})
+                    at = np.unique(bw.mix(h + w.doc.astype(np.uint64)), return_index=True)[1]  # each feature of a text once
+                    key, group = np.unique(h[at], return_inverse=True)
+                    toxic = np.bincount(group, weights=y[w.doc[at]], minlength=len(key)).astype(np.int64)
+                    yield pa.RecordBatch.from_pydict({"p": pa.array(np.full(len(key), p, np.int32)), "key": pa.array(key.view(np.int64)), "toxic": pa.array(toxic), "clean": pa.array(np.bincount(group, minlength=len(key)) - toxic)})
 
-    once = train.mapInArrow(count, "p int, key long, family long, toxic int").groupBy("p", "key", "family").agg(F.max("toxic").alias("toxic"))
-    counts = once.groupBy("p", "key").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
-    whole = counts.persist()
+    counts = bw.arrow(one, count, "p int, key long, toxic long, clean long").groupBy("p", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    whole = materialize(counts, "features")
     sums = {r["p"]: r for r in whole.groupBy("p").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).collect()}
     model = ToxicityModel()
     if not sums or min(sum(r["t"] for r in sums.values()), sum(r["c"] for r in sums.values())) == 0:
-        whole.unpersist()
+        release(whole)
         return model
     totals = F.create_map(*[F.lit(x) for p, r in sums.items() for x in (p, float(r["t"]))]), F.create_map(*[F.lit(x) for p, r in sums.items() for x in (p, float(r["c"]))])
     nt, nc = totals[0][F.col("p")], totals[1][F.col("p")]
@@ -174,21 +180,19 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_f
     delta = F.log(t / (nt + whole_prior - t)) - F.log(c / (nc + whole_prior - c))
     best = (
         whole.select("key", delta.alias("delta"), (F.abs(delta) / F.sqrt(1 / t + 1 / c)).alias("z"))
-        .filter((F.col("z") >= min_z) & (F.abs("delta") >= min_delta)).orderBy(F.desc("z"), "key").limit(max_features).toPandas()
+        .filter((F.col("z") >= min_z) & (F.abs("delta") >= min_delta)).orderBy(F.desc("z"), "key").limit(max_features).toArrow()
     )
-    whole.unpersist()
-    best["key"] = best["key"].to_numpy(np.int64).view(np.uint64)
-    best = best.sort_values("key")
-    model.keys, model.delta, model.weight = best["key"].to_numpy(np.uint64), best["delta"].to_numpy(float), best["z"].to_numpy(float)
+    release(whole)
+    keys = best.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    model.keys, model.delta, model.weight = keys[order], best.column("delta").to_numpy()[order], best.column("z").to_numpy()[order]
     model.k = 1.0
-    seen = train.mapInArrow(lambda b: _scan(b, model, ["toxic"], False), "toxic int, best double, total double, n_words long").toPandas()
-    return calibrate(model, seen)
+    seen = bw.arrow(train, lambda b: _scan(b, model, ["toxic"], False), "toxic int, best double, total double, n_words long").toArrow()
+    return calibrate(model, *(seen.column(c).to_numpy().astype(float) for c in ("toxic", "best", "n_words")))
 
 
-def calibrate(model: ToxicityModel, seen: pd.DataFrame) -> ToxicityModel:
+def calibrate(model: ToxicityModel, y: np.ndarray, best: np.ndarray, m: np.ndarray) -> ToxicityModel:
     """K by the Gumbel mean over non-toxic texts, then the logistic fit (Newton steps with a small ridge)."""
-    y = seen["toxic"].to_numpy(float)
-    best, m = seen["best"].to_numpy(), seen["n_words"].to_numpy()
     model.k = float(np.clip(np.exp(np.mean((best - np.log(np.maximum(m, 1)))[y == 0]) - EULER), 1e-6, 1.0))
     excess = np.maximum(best - np.maximum(np.log(model.k * np.maximum(m, 1) / model.significance), 0), 0)
     x = design(best, excess, m, model.k)
@@ -213,4 +217,4 @@ def score(documents: DataFrame, model: ToxicityModel, columns: list[str] | None
             cols = {c: out.column(c) for c in keep} | {"score": pa.array(p), "predicted": pa.array((p >= 0.3).astype(np.int32)), "n_words": out.column("n_words"), "passages": out.column("passages")}
             yield pa.RecordBatch.from_pydict(cols)
 
-    return frame.mapInArrow(run, f"{fields}, score double, predicted int, n_words long, passages array<struct<start:long,end:long,score:double>>")
+    return bw.arrow(frame, run, f"{fields}, score double, predicted int, n_words long, passages array<struct<start:long,end:long,score:double>>")
