@@ -1,12 +1,12 @@
 """Masked pseudo-likelihood: a window network, trained in numpy, predicts every token from both sides.
 
-Tokens are words: the corpus's most frequent ones are one id, all others are spelled: cut into chunks of three bytes, of which
-the most frequent are one id each and the rest single bytes, so no word is left out and the ids have a fixed number. The
-network sums a vector for each of the two ids before and after the masked place, and predicts the id by its class and its
-place within the class. Counts of words are taken over all documents. Every partition trains on its documents, starting from
-the same weights; weights are averaged by places seen and the next round starts there. Each round takes every `stride`th
-place of a document, the next round those behind them, so `stride` rounds train on every place once. A document's score is the sum of its ids' conditional log-probabilities,
-and its mean is that by word.
+Tokens are words. The corpus's most frequent ones are one id each; the id of any other word is its first byte, and a
+spelling model (byte trigrams over bigrams) gives the rest of it, so no word is left out and the ids have a fixed number.
+The network sums a vector for each of the two ids before and after the masked place, and predicts the id by its class and its
+place within the class. Counts of words and of byte trigrams are taken over all documents. Documents are dealt to `rounds` turns by
+a hash of their ids; in each turn every partition trains on all places of its documents of that turn, from the same weights, which are then
+averaged by places seen. So every place is trained on once. The weights depend a little on how rows lie in partitions.
+A document's score is the sum of its words' conditional log-probabilities, and its mean is that by word.
 
 Defined cases: null texts and texts without words have 0 tokens, a sum of 0 and a null mean; repeated rows get a row each; on an
 empty corpus the weights stay at their start. Columns other than the id and the text are passed over.
@@ -25,15 +25,13 @@ from pyspark.sql import functions as F
 from tessera.llm import bytewords as bw
 from tessera.plans.storage import materialize, release
 
-CLASSES, MEMBERS, WIDTH = 64, 64, 32
+CLASSES, MEMBERS, WIDTH = 64, 64, 32  # the last of the hidden units is constant, for the biases
 VOCABULARY = CLASSES * MEMBERS
-NAMED = 1 + 2 * 256  # ids below are the edge of a text (0) and bytes, at the beginning of a word or within one
-SPELL, CHUNKS = 3, 1024  # bytes of a chunk, and chunks with an id
+NAMED = 257  # ids below are the edge of a text (0) and first bytes
+TRIGRAMS = 65_536  # of the spelling model, the most frequent ones
+SYMBOLS = 165.0  # bytes that words are made of, and the end of a word (0)
 WINDOW = (-2, -1, 1, 2)
-SHAPES = {
-    "context": (len(WINDOW), VOCABULARY, WIDTH), "bias": (WIDTH,), "classes": (WIDTH, CLASSES), "class_bias": (CLASSES,),
-    "members": (CLASSES, WIDTH, MEMBERS), "member_bias": (CLASSES, MEMBERS),
-}
+SHAPES = {"context": (len(WINDOW), VOCABULARY, WIDTH), "classes": (WIDTH, CLASSES), "members": (CLASSES, WIDTH, MEMBERS)}
 CHUNK = 8192
 
 
@@ -42,215 +40,247 @@ def start_weights(counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     w = {k: (r.standard_normal(s) * 0.05).astype(np.float32) for k, s in SHAPES.items()}
     share = (counts + 1.0).reshape(CLASSES, MEMBERS)
-    w["class_bias"] = np.log(share.sum(axis=1) / share.sum()).astype(np.float32)
-    w["member_bias"] = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
-    w["bias"][:] = 0
+    w["classes"][-1] = np.log(share.sum(axis=1) / share.sum())
+    w["members"][:, -1] = np.log(share / share.sum(axis=1, keepdims=True))
     return w
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
 def hidden(w: dict, context: np.ndarray) -> np.ndarray:
-    h = w["bias"] + w["context"][0][context[:, 0]]
+    """Of the places whose neighbours are the columns of `context`."""
+    h = w["context"][0].take(context[0], axis=0)
     for p in range(1, len(WINDOW)):
-        h += w["context"][p][context[:, p]]
-    return np.tanh(h)
+        h += w["context"][p].take(context[p], axis=0)
+    np.tanh(h, out=h)
+    h[:, -1] = 1
+    return h
+
+
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of z in place, and its sums by row."""
+    np.exp(np.clip(z, -60, 60, out=z), out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
 
 
 def by_class(w: dict, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
-    """The order of the rows by class, each class's range in it, the hidden rows in that order and their members' log-probabilities."""
+    """The order of the rows by class, each class's range in it, the hidden rows in that order and their members' logits."""
     order = np.argsort(c, kind="stable")
-    cut = np.searchsorted(c[order], np.arange(CLASSES + 1)).tolist()
+    cut = np.searchsorted(c.take(order), np.arange(CLASSES + 1)).tolist()
     ranges = [(k, a, b) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
-    hs, z = h[order], w["member_bias"][c[order]]
+    hs = h.take(order, axis=0)
+    z = np.empty((len(c), MEMBERS), h.dtype)
     for k, a, b in ranges:
-        z[a:b] += hs[a:b] @ w["members"][k]
-    return order, ranges, hs, _log_softmax(z)
+        np.matmul(hs[a:b], w["members"][k], out=z[a:b])
+    return order, ranges, hs, z
 
 
 def log_likelihood(w: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     h = hidden(w, context)
-    c, m = target // MEMBERS, target % MEMBERS
-    out = _log_softmax(h @ w["classes"] + w["class_bias"])[np.arange(len(c)), c]
+    c, m, row = target // MEMBERS, target % MEMBERS, np.arange(len(target))
+    e, total = exponentials(h @ w["classes"])
+    out = np.log(e[row, c] / total)
     order, _, _, z = by_class(w, h, c)
-    out[order] += z[np.arange(len(c)), m[order]]
+    e, total = exponentials(z)
+    out[order] += np.log(e[row, m.take(order)] / total)
     return out
 
 
-def train_step(w: dict, memory: dict, context: np.ndarray, target: np.ndarray, rate: float = 0.1) -> None:
-    """One Adagrad step on the mean negative log-likelihood of a batch."""
-    n = len(target)
+def gradients(w: dict, context: np.ndarray, target: np.ndarray) -> tuple[dict, np.ndarray]:
+    """Of the mean negative log-likelihood: by the output weights, and by each place's sum of context vectors."""
+    n, row = len(target), np.arange(len(target))
     h = hidden(w, context)
     c, m = target // MEMBERS, target % MEMBERS
-    p = np.exp(_log_softmax(h @ w["classes"] + w["class_bias"]))
-    p[np.arange(n), c] -= 1
-    g = {"classes": h.T @ p / n, "class_bias": p.sum(axis=0) / n, "members": np.zeros_like(w["members"]), "member_bias": np.zeros_like(w["member_bias"])}
+    p, total = exponentials(h @ w["classes"])
+    p /= total[:, None]
+    p[row, c] -= 1
+    p /= n
+    g = {"classes": h.T @ p, "members": np.zeros_like(w["members"])}
     back = p @ w["classes"].T
     order, ranges, hs, z = by_class(w, h, c)
-    q = np.exp(z)
-    q[np.arange(n), m[order]] -= 1
+    q, total = exponentials(z)
+    q /= total[:, None]
+    q[row, m.take(order)] -= 1
+    q /= n
     more = np.empty_like(hs)
     for k, a, b in ranges:
-        g["members"][k] = hs[a:b].T @ q[a:b] / n
-        more[a:b] = q[a:b] @ w["members"][k].T
-    g["member_bias"][[k for k, _, _ in ranges]] = np.add.reduceat(q, [a for _, a, _ in ranges], axis=0) / n
+        np.matmul(hs[a:b].T, q[a:b], out=g["members"][k])
+        np.matmul(q[a:b], w["members"][k].T, out=more[a:b])
     back[order] += more
-    back *= (1 - h * h) / n
-    g["bias"] = back.sum(axis=0)
-    for j in range(len(WINDOW)):
-        order = np.argsort(context[:, j], kind="stable")
-        ids, first = np.unique(context[order, j], return_index=True)
-        x = np.add.reduceat(back[order], first, axis=0)
-        memory["context"][j][ids] += x * x
-        w["context"][j][ids] -= (rate * x / np.sqrt(memory["context"][j][ids] + 1e-8)).astype(np.float32)
+    h *= h
+    back *= 1 - h
+    back[:, -1] = 0
+    return g, back
+
+
+def train_step(w: dict, memory: dict, context: np.ndarray, target: np.ndarray, rate: float = 0.1) -> None:
+    """One Adagrad step on the mean negative log-likelihood of a batch."""
+    g, back = gradients(w, context, target)
+    for j, ids in enumerate(context):
+        order = np.argsort(ids, kind="stable")
+        ids = ids.take(order)
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        x, ids = np.add.reduceat(back.take(order, axis=0), first, axis=0), ids[first]
+        seen = memory["context"][j].take(ids, axis=0) + x * x
+        memory["context"][j][ids] = seen
+        w["context"][j][ids] -= rate * x / np.sqrt(seen)
     for k, x in g.items():
         memory[k] += x * x
-        w[k] -= (rate * x / np.sqrt(memory[k] + 1e-8)).astype(np.float32)
+        w[k] -= rate * x / np.sqrt(memory[k])
+
+
+@dataclass
+class Spelling:
+    """Probabilities of a byte (0 ends a word) behind the two before it (0 stands before the first)."""
+
+    keys: np.ndarray  # sorted trigrams
+    count: np.ndarray
+    context: np.ndarray  # counts of the two bytes before, over `keys`
+    bigram: np.ndarray  # probability of a byte behind one
+
+    def log_probability(self, w: bw.Words, word: np.ndarray) -> np.ndarray:
+        """Of the words `word`, given their first bytes."""
+        n = w.end[word] - w.start[word]
+        key = trigrams(w, word)
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        known = np.where(self.keys[at] == key, self.count[at], 0) if len(self.keys) else np.zeros(len(key))
+        # as many observations from the bigrams as there are symbols
+        p = (known + SYMBOLS * self.bigram[key & 0xFFFF]) / (self.context[key >> 8] + SYMBOLS)
+        return np.add.reduceat(np.log(p), np.cumsum(n) - n) if len(n) else np.zeros(0)
+
+
+def trigrams(w: bw.Words, word: np.ndarray) -> np.ndarray:
+    """Per word as many as it has bytes: those that end on its second byte to its last, and on its end."""
+    n = w.end[word] - w.start[word]
+    each = np.repeat(np.arange(len(word)), n)
+    place = 1 + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    at = w.start[word][each] + place
+    last = np.where(place < n[each], w.data[at], 0).astype(np.int64)  # the data end in zero bytes
+    before = w.data[at - 1].astype(np.int64)
+    return last | before << 8 | np.where(place > 1, w.data[at - 2], 0).astype(np.int64) << 16
 
 
 @dataclass
 class Names:
-    """Hashes of named words and keys of named chunks, both sorted, with their ids."""
+    """Hashes of named words, sorted, with their ids."""
 
     word: np.ndarray
     word_id: np.ndarray
-    chunk: np.ndarray
-    chunk_id: np.ndarray
-
-
-def _look_up(names: np.ndarray, number: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The number of each key, -1 where it isn't named."""
-    if not len(names):
-        return np.full(len(key), -1, np.int64)
-    at = np.minimum(np.searchsorted(names, key), len(names) - 1)
-    return np.where(names[at] == key, number[at], -1)
-
-
-def chunks(w: bw.Words, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per chunk its word, first byte, size and key. Words that aren't spelled are one chunk of size 0."""
-    n = np.where(spelled, -(-(w.end - w.start) // SPELL), 1)
-    word = np.repeat(np.arange(len(n)), n)
-    at = w.start[word] + SPELL * (np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n))
-    size = np.where(spelled[word], np.minimum(w.end[word] - at, SPELL), 0)
-    key = size + 4 * (at == w.start[word])
-    for k in range(SPELL):
-        key = key << 8 | np.where(k < size, w.data[at + k], 0)  # the data end in zero bytes
-    return word, at, size, key
 
 
-def byte_ids(w: bw.Words, word: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return 1 + w.data[at].astype(np.int64) + 256 * (at > w.start[word])
+def token_ids(w: bw.Words, names: Names) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words, and the hashes of those without a name."""
+    h = w.hashes()
+    ids = 1 + w.data[w.start].astype(np.int16)
+    if not len(names.word):
+        return ids, h
+    at = np.minimum(np.searchsorted(names.word, h), len(names.word) - 1)
+    named = names.word[at] == h
+    return np.where(named, names.word_id[at].astype(np.int16), ids), h[~named]
 
 
-def token_ids(w: bw.Words, names: Names) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words, and the text each lies in."""
-    named = _look_up(names.word, names.word_id, w.hashes())
-    word, at, size, key = chunks(w, named < 0)
-    ids = np.where(size > 0, _look_up(names.chunk, names.chunk_id, key), named[word])
-    n = np.where(ids < 0, size, 1)
-    each = np.repeat(np.arange(len(n)), n)
-    ids, word = ids[each], word[each]
-    byte = at[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-    return np.where(ids < 0, byte_ids(w, word, byte), ids), w.doc[word]
-
-
-def contexts(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The neighbours of the places `at`; 0 beyond a text's ends."""
-    out = np.zeros((len(at), len(WINDOW)), np.int64)
-    for j, d in enumerate(WINDOW):
-        k = at + d
-        inside = (k >= 0) & (k < len(ids))
-        inside[inside] = doc[k[inside]] == doc[at[inside]]
-        out[inside, j] = ids[k[inside]]
-    return out
+def padded(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids with edges between them, and the places of the ids in that."""
+    edge = max(abs(d) for d in WINDOW)
+    place = np.arange(len(ids)) + edge * (1 + np.repeat(np.arange(len(first) - 1), np.diff(first)))
+    flat = np.zeros(len(ids) + edge * (len(first) + 1), np.int16)
+    flat[place] = ids
+    return flat, place
 
 
-def _bytes_of(w: bw.Words, at: np.ndarray) -> pa.Array:
-    """The words `at` as binary values."""
-    n = w.end[at] - w.start[at]
-    off = np.concatenate(([0], np.cumsum(n)))
-    data = w.data[np.repeat(w.start[at] - off[:-1], n) + np.arange(off[-1])]
-    return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+def contexts(flat: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return np.stack([flat.take(place + d) for d in WINDOW])
 
 
-def vocabulary(documents: DataFrame) -> tuple[Names, np.ndarray]:
-    """The most frequent words, the most frequent chunks of all others, and the corpus counts of all ids."""
-    spark = documents.sparkSession
+def vocabulary(documents: DataFrame) -> tuple[Names, np.ndarray, Spelling]:
+    """The most frequent words, the corpus counts of all ids to start from, and the spelling model."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, w in bw.word_slices(batch.column("text"), bw.ALNUM):
                 key, at, n = np.unique(w.hashes(), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), _bytes_of(w, at), pa.array(n)], ["key", "word", "n"])
-
-    words = materialize(documents.select("text").mapInArrow(count, "key long, word binary, n long").groupBy("key", "word").agg(F.sum("n").alias("n")), "words")
-    top = words.select("key", "n").orderBy(F.desc("n"), "key").limit(VOCABULARY - NAMED - CHUNKS).toPandas()
-    key = top["key"].to_numpy(np.int64).view(np.uint64)
+                tri, inverse = np.unique(trigrams(w, at), return_inverse=True)
+                total = np.bincount(inverse, weights=np.repeat(n, w.end[at] - w.start[at]), minlength=len(tri)).astype(np.int64)
+                kind = np.repeat(np.array([0, 1], np.int8), [len(key), len(tri)])
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate((key.view(np.int64), tri))), pa.array(np.concatenate((n, total)))], ["kind", "key", "n"])
+
+    found = materialize(bw.arrow(documents.select("text"), count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "words")
+    pick = lambda kind, most: found.filter(F.col("kind") == kind).select("key", "n").orderBy(F.desc("n"), "key").limit(most).toArrow()
+    top, tri = pick(0, VOCABULARY - NAMED), pick(1, TRIGRAMS)
+    words = found.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    pairs = found.filter("kind = 1").groupBy(F.expr("key & 65535").alias("pair")).agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    release(found)
+    bigram = np.zeros(65_536)
+    bigram[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
+    bigram = bigram.reshape(256, 256)
+    bigram = ((bigram + 1) / (bigram.sum(axis=1, keepdims=True) + SYMBOLS)).ravel()
+    key, n = tri.column("key").to_numpy(), tri.column("n").to_numpy()
     order = np.argsort(key)
-    names = Names(key[order], NAMED + CHUNKS + order, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    shared = spark.sparkContext.broadcast(names)
+    spelling = Spelling(key[order], n[order].astype(np.float64), np.bincount(key >> 8, weights=n, minlength=65_536), bigram)
+    counts = np.zeros(VOCABULARY)
+    begins = key >> 16 == 0
+    counts[1:NAMED] = np.bincount(key[begins] >> 8 & 255, weights=n[begins], minlength=256)
+    named = top.column("n").to_numpy()
+    counts[1:NAMED] *= (words - named.sum()) / max(counts.sum(), 1)
+    counts[NAMED : NAMED + len(named)] = named
+    word = top.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(word)
+    return Names(word[order], NAMED + order), counts, spelling
+
+
+def encode(documents: DataFrame, names: Names, spelling: Spelling, id_column: str = "doc_id") -> DataFrame:
+    """id, spelled (the log-probability of the spelling of words without a name), ids (16-bit integers)."""
+    shared = documents.sparkSession.sparkContext.broadcast((names, spelling))  # a fixed size
+    frame = documents.select(id_column, "text")
+    kind = frame.schema[0].dataType.simpleString()
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks of the words without a name, with their counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, spelling = shared.value
         for batch in batches:
-            n = batch.column("n").to_numpy()
-            for lo, _, data, off in bw.slices(batch.column("word")):
-                w = bw.words(data, off, np.ones(256, bool))
-                word, _, size, key = chunks(w, _look_up(shared.value.word, shared.value.word_id, w.hashes()) < 0)
-                key, at = np.unique(np.where(size > 0, key, -1), return_inverse=True)
-                total = np.bincount(at, weights=n[lo + w.doc[word]], minlength=len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total)], ["chunk", "n"])
-
-    pieces = words.select("word", "n").mapInArrow(spell, "chunk long, n long").filter("chunk >= 0").groupBy("chunk").agg(F.sum("n").alias("n"))
-    pieces = materialize(pieces, "chunks")
-    often = pieces.orderBy(F.desc("n"), "chunk").limit(CHUNKS).toPandas()
-    order = np.argsort(often["chunk"].to_numpy(np.int64))
-    names.chunk, names.chunk_id = often["chunk"].to_numpy(np.int64)[order], NAMED + order
-    counts = np.zeros(VOCABULARY)
-    counts[NAMED : NAMED + len(often)] = often["n"]
-    counts[NAMED + CHUNKS : NAMED + CHUNKS + len(top)] = top["n"]
-    # bytes of the other chunks: 512 rows at most
-    taken = F.broadcast(spark.createDataFrame([(int(c),) for c in names.chunk], "chunk long"))
-    shift = [(8 * (SPELL - 1 - k), k) for k in range(SPELL)]
-    each = F.array(*[F.when(F.lit(k) < F.col("size"), F.expr(f"shiftright(chunk, {by}) & 255") + F.when(F.col("begins") & F.lit(k == 0), 1).otherwise(257)) for by, k in shift])
-    rest = pieces.join(taken, "chunk", "left_anti").withColumn("size", F.expr(f"shiftright(chunk, {8 * SPELL}) & 3")).withColumn("begins", F.expr(f"shiftright(chunk, {8 * SPELL}) & 4") > 0)
-    for r in rest.select(F.explode(each).alias("id"), "n").filter("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r["id"]] = r["n"]
-    shared.unpersist()
-    release(words, pieces)
-    return names, counts
-
-
-def train(documents: DataFrame, rounds: int = 2, stride: int = 2, batch: int = 1024) -> tuple[dict, Names]:
-    """Weights and names, by averaging the weights that each partition trains."""
-    spark = documents.sparkSession
-    names, counts = vocabulary(documents)
+            for lo, _, w in bw.word_slices(batch.column("text"), bw.ALNUM):
+                ids, h = token_ids(w, names)
+                rare = np.flatnonzero(ids < NAMED)
+                _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+                spelled = np.bincount(w.doc[rare], weights=spelling.log_probability(w, rare[at])[inverse], minlength=w.texts).astype(float)
+                raw = ids.astype("<i2").tobytes()
+                each = pa.Array.from_buffers(pa.large_binary(), w.texts, [None, pa.py_buffer(2 * w.first.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, w.texts), pa.array(spelled), each], [id_column, "spelled", "ids"])
+
+    return bw.arrow(frame, run, f"`{id_column}` {kind}, spelled double, ids binary")
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids, where each text's begin) of consecutive rows."""
+    for lo, _, data, off in bw.slices(column):
+        yield lo, np.frombuffer(data.tobytes(), "<i2"), off // 2
+
+
+def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = 2, batch: int = 4096) -> dict:
+    """Weights, by averaging those that each partition trains.
+
+    Batches begin at 256 places and grow with the places seen, to `batch`.
+    """
+    spark = encoded.sparkSession
     weights = start_weights(counts)
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((weights, names))  # a fixed size
+        shared = spark.sparkContext.broadcast(weights)  # a fixed size
 
         def local(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
-            start, names = shared.value
-            w = {k: v.copy() for k, v in start.items()}
+            w = {k: v.copy() for k, v in shared.value.items()}
             memory = {k: np.full_like(v, 0.01) for k, v in w.items()}
             seen = 0
             for b in batches:
-                for _, _, words in bw.word_slices(b.column("text"), bw.ALNUM):
-                    ids, doc = token_ids(words, names)
-                    place = np.arange(len(ids)) - np.searchsorted(doc, np.arange(words.texts))[doc]
-                    at = np.flatnonzero((place - turn) % stride == 0)
-                    at = np.random.default_rng(turn).permutation(at)
-                    for k in range(0, len(at), batch):
-                        some = at[k : k + batch]
-                        train_step(w, memory, contexts(ids, doc, some), ids[some])
-                        seen += len(some)
+                for _, ids, first in _texts(b.column("ids")):
+                    flat, place = padded(ids, first)
+                    place = np.random.default_rng(turn).permutation(place)
+                    at = 0
+                    while at < len(place):
+                        some = place[at : at + min(batch, max(256, seen // 8))]
+                        train_step(w, memory, contexts(flat, some), flat.take(some))
+                        seen, at = seen + len(some), at + len(some)
             if seen:
-                flat = np.concatenate([w[k].ravel() for k in SHAPES]).astype(np.float64) * seen
-                chunks = [flat[k : k + CHUNK] for k in range(0, len(flat), CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.list_(pa.float64())), pa.array([seen] * len(chunks), pa.int64()), pa.array([int(np.random.default_rng(seen).integers(64))] * len(chunks), pa.int32())], ["chunk", "sums", "seen", "part"])
+                sums = np.concatenate([w[k].ravel() for k in SHAPES]).astype(np.float64) * seen
+                chunks = [sums[k : k + CHUNK] for k in range(0, len(sums), CHUNK)]
+                part = int(np.random.default_rng(seen).integers(64))
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.list_(pa.float64())), pa.array([seen] * len(chunks), pa.int64()), pa.array([part] * len(chunks), pa.int32())], ["chunk", "sums", "seen", "part"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, list] = {}
@@ -266,39 +296,60 @@ def train(documents: DataFrame, rounds: int = 2, stride: int = 2, batch: int = 1
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v[0] for v in total.values()], pa.list_(pa.float64())), pa.array([v[1] for v in total.values()], pa.int64()), pa.array([0] * len(total), pa.int32())], ["chunk", "sums", "seen", "part"])
 
         kind = "chunk int, sums array<double>, seen long, part int"
+        of_turn = encoded.select("ids").filter(F.pmod(F.xxhash64("ids"), F.lit(rounds)) == turn)
         # two levels of sums, so no task reads more than a share of the partitions' weights
-        summed = documents.select("text").mapInArrow(local, kind).repartition("chunk", "part").mapInArrow(add, kind).repartition("chunk").mapInArrow(add, kind)
+        summed = bw.arrow(bw.arrow(bw.arrow(of_turn, local, kind).repartition("chunk", "part"), add, kind).repartition("chunk"), add, kind)
         got = sorted(((r["chunk"], r["sums"], r["seen"]) for r in summed.collect()), key=lambda r: r[0])  # one model's size
         shared.unpersist()
         if not got:
-            break
+            continue
         flat, at = np.concatenate([np.array(s) / n for _, s, n in got]), 0
         weights = {}
         for k, shape in SHAPES.items():
             size = int(np.prod(shape))
             weights[k], at = flat[at : at + size].reshape(shape).astype(np.float32), at + size
-    return weights, names
+    return weights
 
 
-def score(documents: DataFrame, model: tuple[dict, Names], id_column: str = "doc_id") -> DataFrame:
-    """id, n_tokens, pll (sum of conditional log-probabilities), mean_pll."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    frame = documents.select(id_column, "text")
-    kind = frame.schema[0].dataType.simpleString()
+def score_encoded(encoded: DataFrame, weights: dict, id_column: str = "doc_id") -> DataFrame:
+    shared = encoded.sparkSession.sparkContext.broadcast(weights)
+    kind = encoded.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, names = shared.value
+        w = shared.value
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for lo, _, w in bw.word_slices(batch.column("text"), bw.ALNUM):
-                ids, doc = token_ids(w, names)
+            for lo, ids, first in _texts(batch.column("ids")):
+                flat, place = padded(ids, first)
                 each = np.zeros(len(ids))
                 for k in range(0, len(ids), CHUNK):
-                    at = np.arange(k, min(k + CHUNK, len(ids)))
-                    each[at] = log_likelihood(weights, contexts(ids, doc, at), ids[at])
-                n[lo : lo + w.texts] = np.diff(w.first)
-                total[lo : lo + w.texts] = np.bincount(doc, weights=each, minlength=w.texts)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], [id_column, "n_tokens", "pll", "mean_pll"])
-
-    return frame.mapInArrow(run, f"`{id_column}` {kind}, n_tokens long, pll double, mean_pll double")
+                    some = place[k : k + CHUNK]
+                    each[k : k + CHUNK] = log_likelihood(w, contexts(flat, some), flat.take(some))
+                n = np.diff(first)
+                total = np.bincount(np.repeat(np.arange(len(n)), n), weights=each, minlength=len(n)).astype(float)
+                total += batch.column("spelled").slice(lo, len(n)).to_numpy()
+                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([batch.column(id_column).slice(lo, len(n)), pa.array(n), pa.array(total), mean], [id_column, "n_tokens", "pll", "mean_pll"])
+
+    return bw.arrow(encoded, run, f"`{id_column}` {kind}, n_tokens long, pll double, mean_pll double")
+
+
+def train(documents: DataFrame, rounds: int = 2, batch: int = 4096) -> tuple[dict, Names, Spelling]:
+    """Weights, names and spelling of a corpus."""
+    names, counts, spelling = vocabulary(documents)
+    encoded = materialize(encode(documents.select(F.lit(0).alias("doc_id"), "text"), names, spelling), "ids")
+    weights = fit(encoded, counts, rounds, batch)
+    release(encoded)
+    return weights, names, spelling
+
+
+def score(documents: DataFrame, model: tuple[dict, Names, Spelling], id_column: str = "doc_id") -> DataFrame:
+    """id, n_tokens, pll (sum of conditional log-probabilities), mean_pll."""
+    weights, names, spelling = model
+    return score_encoded(encode(documents, names, spelling, id_column), weights, id_column)
+
+
+def train_and_score(documents: DataFrame, rounds: int = 2) -> DataFrame:
+    """The scores of a corpus by a model of itself; texts are cut to ids once."""
+    names, counts, spelling = vocabulary(documents)
+    encoded = materialize(encode(documents, names, spelling), "ids")
+    return score_encoded(encoded, fit(encoded, counts, rounds))
