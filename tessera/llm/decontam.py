@@ -6,8 +6,9 @@ phrase are left out (no occurrence can lie in them). The shard's suffix array gi
 transform, kept as a wavelet matrix. All phrases are searched backwards at once by wavelet ranks; occurrences
 are located by stepping to sampled suffix positions; their word spans are merged per document.
 
-The benchmark is handled in blocks of bounded size, each broadcast for itself; documents stream through
-all of them in one pass. Cost grows with the documents and the occurrences found.
+The benchmark is handled in blocks of bounded size. `together` of them are broadcast at once, and documents stream through
+these in one pass; a larger benchmark takes several passes, with what was found written between them. Cost grows with the documents, the occurrences
+found, and the passes.
 
 Defined cases: null and empty texts have no words; items without words are passed over; documents with repeated
 ids are judged row by row; items with one id count once; an empty benchmark hits nothing. Columns other than those named are passed over.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,46 +28,57 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bytewords as bw
 from tessera.llm.wordbpe import ragged
+from tessera.plans.storage import materialize, release
 
 WINDOW = 13
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 @dataclass
 class Phrases:
-    """Distinct phrases of a block of items over the symbols 1.. of `alphabet` (0 separates)."""
+    """Distinct phrases of a block of items, as ranges of the items' words; symbols 1.. number the `alphabet` (0 separates)."""
 
     alphabet: np.ndarray  # sorted word hashes
-    symbols: np.ndarray  # all phrases' symbols, one behind the other
-    first: np.ndarray
+    symbols: np.ndarray  # all items' words, one item behind the other
+    start: np.ndarray
+    length: np.ndarray
     owners: np.ndarray  # item numbers, by phrase
     owner_first: np.ndarray
     items: list[str]
 
     @property
     def shortest(self) -> int:
-        return int(np.diff(self.first).min()) if len(self.first) > 1 else 1 << 30
+        return int(self.length.min()) if len(self.length) else 1 << 30
 
 
 def phrases(rows: list[tuple[object, str | None]], window: int = WINDOW) -> Phrases:
     ids = [str(i) if i is not None else "" for i, _ in rows]
     names = sorted(set(ids))
     number = {n: k for k, n in enumerate(names)}
-    found: dict[bytes, set[int]] = {}
-    column = pa.array([t for _, t in rows], pa.large_string())
-    for lo, _, w in bw.word_slices(column, bw.ALNUM):
-        h = w.hashes()
-        for d in range(w.texts):
-            own = h[w.first[d] : w.first[d + 1]]
-            for k in range(max(1, len(own) - window + 1) if len(own) else 0):
-                found.setdefault(own[k : k + window].tobytes(), set()).add(number[ids[lo + d]])
-    keys = list(found)
-    flat = np.frombuffer(b"".join(keys), np.uint64)
-    alphabet, symbols = np.unique(flat, return_inverse=True)
-    owners = [sorted(found[k]) for k in keys]
+    of_row = np.array([number[i] for i in ids], np.int32)
+    words, start, length, owner, at = [], [], [], [], 0
+    for lo, _, w in bw.word_slices(pa.array([t for _, t in rows], pa.large_string()), bw.ALNUM):
+        n = np.diff(w.first)
+        many = np.where(n > 0, np.maximum(n - window, 0) + 1, 0)
+        each = np.repeat(np.arange(w.texts), many)
+        words.append(w.hashes())
+        start.append(at + w.first[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many))
+        length.append(np.minimum(n, window)[each])
+        owner.append(of_row[lo + each])
+        at += len(w.start)
+    h, start, length, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (words, start, length, owner))
+    # a phrase is told by its length and two hashes of its words
+    key = np.zeros((len(start), 3), np.uint64)
+    key[:, 0] = length
+    for k in np.unique(length):
+        own = length == k
+        key[own, 1], key[own, 2] = bw.ngrams(h, k)[start[own]], bw.ngrams(bw.mix(~h), k)[start[own]]
+    _, some, which = np.unique(key, axis=0, return_index=True, return_inverse=True)
+    pairs = np.unique(np.stack([which.ravel(), owner], axis=1), axis=0) if len(start) else np.zeros((0, 2), np.int64)
+    alphabet, symbols = np.unique(h, return_inverse=True)
     return Phrases(
-        alphabet, symbols.astype(np.int64) + 1, np.concatenate(([0], np.cumsum([len(k) // 8 for k in keys]))).astype(np.int64),
-        np.array([x for o in owners for x in o], np.int64), np.concatenate(([0], np.cumsum([len(o) for o in owners]))).astype(np.int64), names,
+        alphabet, symbols.astype(np.int32) + 1, start[some].astype(np.int32), length[some].astype(np.int32),
+        pairs[:, 1].astype(np.int32), np.searchsorted(pairs[:, 0], np.arange(len(some) + 1)).astype(np.int32), names,
     )
 
 
@@ -128,15 +141,15 @@ class FmIndex:
         self.sampled_rank = np.concatenate(([0], np.cumsum(self.sampled)))
         self.position = order[self.sampled]
 
-    def search(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [lo, hi) of each phrase, all searched backwards together."""
-        n = len(first) - 1
+    def search(self, symbols: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [lo, hi) of each phrase symbols[first[i]:first[i] + length[i]], all searched backwards together."""
+        n = len(first)
         lo, hi = np.zeros(n, np.int64), np.full(n, self.less[-1])
-        left = np.diff(first)
+        left = length.copy()
         live = np.flatnonzero(left > 0)
         while len(live):
             left[live] -= 1
-            c = symbols[first[live] + left[live]] + 1
+            c = symbols[first[live] + left[live]].astype(np.int64) + 1
             known = c < len(self.less) - 1
             lo[live[~known]] = hi[live[~known]] = 0
             live, c = live[known], c[known]
@@ -181,7 +194,7 @@ def occurrences(w: bw.Words, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
     text[np.arange(len(place)) + gap] = symbol[place]
     origin[np.arange(len(place)) + gap] = place
     index = FmIndex(text)
-    lo, hi = index.search(p.symbols, p.first)
+    lo, hi = index.search(p.symbols, p.start, p.length)
     count = hi - lo
     phrase = np.repeat(np.arange(len(count)), count)
     rows, _ = ragged(np.arange(len(text) + 1), lo, count)
@@ -198,23 +211,23 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[list[tuple]]:
-    """The items in blocks of about `block_bytes` of text, each small enough for the driver and a broadcast."""
-    spark = benchmark.sparkSession
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[Phrases]:
+    """The phrases of the items in blocks of about `block_bytes` of text, each small enough for the driver and a broadcast."""
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = -(-size // block_bytes) or 1
     items = benchmark.select("item_id", "text")
-    return [spark.sparkContext.broadcast(phrases([tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()])) for k in range(n)]
+    for k in range(n):
+        yield phrases([tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()])
 
 
 _SPANS = "array<struct<start:int,end:int,start_byte:int,end_byte:int>>"
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, block_bytes: int = 8 << 20) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, block_bytes: int = 4 << 20, together: int = 4) -> DataFrame:
     """The columns asked for (doc_id if none are named), n_words, n_hit, n_items, items_sha256, contaminated and the merged spans (in words and bytes)."""
     keep = columns or ["doc_id"]
     frame = documents.select(*dict.fromkeys([*keep, "text"]))
-    blocks = blocks_of(benchmark, block_bytes)
+    spark = documents.sparkSession
     names = list(frame.columns)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
     out_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(*keep).schema)
@@ -222,48 +235,40 @@ def contamination(documents: DataFrame, benchmark: DataFrame, columns: list[str]
 
     def step(shared, last: bool, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p = shared.value
+            blocks = shared.value
             for batch in batches:
                 n = batch.num_rows
                 spans = [[] for _ in range(n)] if first else batch.column("_spans").to_pylist()
                 items = [[] for _ in range(n)] if first else batch.column("_items").to_pylist()
                 words = np.zeros(n, np.int64)
-                for lo, _, w in bw.word_slices(batch.column("text"), bw.ALNUM, SHARD_BYTES):
+                for (lo, _, w), p in ((x, p) for x in bw.word_slices(batch.column("text"), bw.ALNUM, SHARD_BYTES) for p in blocks):
                     words[lo : lo + w.texts] = np.diff(w.first)
                     at, phrase = occurrences(w, p)
                     if not len(at):
                         continue
                     hit = np.zeros(len(w.start) + 1, np.int64)
                     np.add.at(hit, at, 1)
-                    np.add.at(hit, at + np.diff(p.first)[phrase], -1)
+                    np.add.at(hit, at + p.length[phrase], -1)
                     # a text's first word always begins a span of its own
                     on = np.cumsum(hit[:-1]) > 0
                     turn = np.concatenate(([True], (on[1:] != on[:-1]) | (w.doc[1:] != w.doc[:-1])))
                     begin = np.flatnonzero(turn)
                     end = np.append(begin[1:], len(on))
+                    starts = text_starts(w, batch.column("text"), lo)
                     for a, b in zip(begin[on[begin]].tolist(), end[on[begin]].tolist(), strict=True):
                         d = w.doc[a]
                         base = w.first[d]
-                        spans[lo + d].append({"start": int(a - base), "end": int(b - base), "start_byte": int(w.start[a]), "end_byte": int(w.end[b - 1])})
+                        spans[lo + d].append({"start": int(a - base), "end": int(b - base), "start_byte": int(w.start[a] - starts[d]), "end_byte": int(w.end[b - 1] - starts[d])})
                     owner, _ = ragged(p.owners, p.owner_first[phrase], np.diff(p.owner_first)[phrase])
                     who = np.repeat(w.doc[at], np.diff(p.owner_first)[phrase])
                     for d, k in np.unique(np.stack([who, owner], axis=1), axis=0):
                         items[lo + d].append(p.items[k])
-                    starts = text_starts(w, batch.column("text"), lo)
-                    for d in np.unique(w.doc[at]):
-                        for s in spans[lo + d]:
-                            if "_" not in s:
-                                s["_"] = s["start_byte"] = s["start_byte"] - int(starts[d])
-                                s["end_byte"] -= int(starts[d])
-                for some in spans:
-                    for s in some:
-                        s.pop("_", None)
                 if not last:
                     yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(spans, struct), pa.array(items, pa.list_(pa.string()))], [*names, "_spans", "_items"])
                     continue
                 n_hit, n_items, digest = [], [], []
                 for k in range(n):
-                    if len(blocks) > 1:
+                    if len(blocks) > 1 or not first:
                         at_byte = {}
                         for s in spans[k]:
                             at_byte[s["start"]] = s["start_byte"]
@@ -281,10 +286,20 @@ def contamination(documents: DataFrame, benchmark: DataFrame, columns: list[str]
 
         return run
 
-    for k, shared in enumerate(blocks):
-        last = k == len(blocks) - 1
-        kind = f"{out_fields}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans {_SPANS}" if last else f"{fields}, _spans {_SPANS}, _items array<string>"
-        frame = frame.mapInArrow(step(shared, last, k == 0), kind)
+    blocks = blocks_of(benchmark, block_bytes)
+    group, before = list(islice(blocks, together)), None
+    while group:
+        after = list(islice(blocks, together))
+        shared = spark.sparkContext.broadcast(group)
+        kind = f"{fields}, _spans {_SPANS}, _items array<string>" if after else f"{out_fields}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans {_SPANS}"
+        frame = bw.arrow(frame, step(shared, not after, before is None), kind)
+        if after:
+            written = materialize(frame, "found")
+            shared.unpersist()
+            if before is not None and hasattr(before, "scratch"):
+                release(before)
+            frame = before = written
+        group = after
     return frame
 
 
@@ -295,21 +310,8 @@ def text_starts(w: bw.Words, column: pa.Array, lo: int) -> np.ndarray:
     return off[:-1] - off[0]
 
 
-def remove_spans(documents: DataFrame, spans: DataFrame | None = None, column: str = "spans") -> DataFrame:
-    """The texts without the bytes of their spans (a column of `documents`)."""
-    names = documents.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t, some in zip(batch.column("text").to_pylist(), batch.column(column).to_pylist(), strict=True):
-                if t and some:
-                    raw, at, parts = t.encode("utf-8"), 0, []
-                    for s in sorted(some, key=lambda s: s["start_byte"]):
-                        parts.append(raw[at : s["start_byte"]])
-                        at = max(at, s["end_byte"])
-                    t = b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names)
-
-    return documents.mapInArrow(run, documents.schema)
+def remove_spans(documents: DataFrame, column: str = "spans") -> DataFrame:
+    """The texts without the bytes of their spans (a column of `documents`, ordered and apart)."""
+    begin, end = f"if(i = 0, 0, `{column}`[i - 1].end_byte)", f"if(i = size(`{column}`), octet_length(text), `{column}`[i].start_byte)"
+    left = F.expr(f"array_join(transform(sequence(0, size(`{column}`)), i -> cast(substring(cast(text as binary), {begin} + 1, {end} - {begin}) as string)), '')")
+    return documents.withColumn("text", F.when(F.col("text").isNotNull() & (F.size(column) > 0), left).otherwise(F.col("text")))
