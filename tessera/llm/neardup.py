@@ -128,7 +128,7 @@ def sketch(documents: DataFrame, n: int, threshold: float, trees: int) -> DataFr
                 ids = batch.column("doc_id").slice(lo, len(size))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(size.astype(np.int64)), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "sig", "nodes"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, sig binary, nodes array<long>")
+    return bw.arrow(documents.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, set_key binary, sig binary, nodes array<long>")
 
 
 def _sig(column: pa.Array) -> np.ndarray:
@@ -189,7 +189,7 @@ def leader_pairs(rows: DataFrame, key: list[str], least_same: int) -> DataFrame:
             good = (same >= least_same) & (leader != ids)
             yield pa.RecordBatch.from_arrays([pa.array(leader[good]), pa.array(ids[good]), pa.array(same[good].astype(np.int32))], ["a", "b", "same"])
 
-    return rows.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(run, "a long, b long, same int")
+    return bw.arrow(rows.repartition(*key).sortWithinPartitions(*key, "id"), run, "a long, b long, same int")
 
 
 def most_alike(pairs: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 keep = pa.array([hashlib.md5(x).digest() == key[lo + k] for k, x in enumerate(own)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, len(own)).filter(keep), pa.array(own, pa.binary()).filter(keep)], ["id", "items"])
 
-    return texts.mapInArrow(run, "id long, items binary").groupBy("id").agg(F.first("items").alias("items"))
+    return bw.arrow(texts, run, "id long, items binary").groupBy("id").agg(F.first("items").alias("items"))
 
 
 def _alike(items: np.ndarray, other: list[np.ndarray], percent: int) -> np.ndarray:
@@ -244,7 +244,7 @@ def star_links(pairs: DataFrame, documents: DataFrame, classes: DataFrame, n: in
                     keep[lo:hi] = _alike(items, sets[lo:hi], percent)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    links = rows.join(whole, "id").repartition("a").sortWithinPartitions("a", "member", "id").mapInArrow(run, "a long, b long")
+    links = bw.arrow(rows.join(whole, "id").repartition("a").sortWithinPartitions("a", "member", "id"), run, "a long, b long")
     links = materialize(links, "links")
     release(pairs)
     return links
@@ -320,7 +320,7 @@ def contested(rows: DataFrame, least_same: int, threshold: float) -> DataFrame:
             if found.any():
                 yield from table.select(_FIELDS).filter(pa.array(found)).to_batches()
 
-    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "id").mapInArrow(run, _MEMBER)
+    return bw.arrow(rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "id"), run, _MEMBER)
 
 
 def node_links(rows: DataFrame, documents: DataFrame, classes: DataFrame, n: int, threshold: float, least_same: int) -> DataFrame:
@@ -362,7 +362,7 @@ def node_links(rows: DataFrame, documents: DataFrame, classes: DataFrame, n: int
                             b.append(ids[k])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    links = rows.join(whole, "id").repartition(*_KEY).sortWithinPartitions(*_KEY, "id").mapInArrow(run, "a long, b long")
+    links = bw.arrow(rows.join(whole, "id").repartition(*_KEY).sortWithinPartitions(*_KEY, "id"), run, "a long, b long")
     links = materialize(links, "links")
     release(rows)
     return links
@@ -382,7 +382,7 @@ def branch(rows: DataFrame, level: int, threshold: float, retries: int) -> DataF
                 rest = batch.select(["id", "n"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *rest.columns], ["node", "id", "n"])
 
-    return rows.select("node", "id", "n", "sig").mapInArrow(run, "node long, id long, n long")
+    return bw.arrow(rows.select("node", "id", "n", "sig"), run, "node long, id long, n long")
 
 
 def shared_nodes(places: DataFrame) -> DataFrame:
@@ -439,13 +439,15 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, tr
         large = rows.filter("not small")
         if level == depth or large.isEmpty():
             break
-        places = shared_nodes(branch(large, level, threshold, retries).dropDuplicates(["node", "id"]))
-        release(rows)
+        below = shared_nodes(branch(large, level, threshold, retries).dropDuplicates(["node", "id"]))
+        release(rows, places, mixed)
+        places = below
     # only classes that are linked, or have copies, differ from their document's own id
     least = classes.join(known, "id").groupBy("component").agg(F.min("doc").alias("first"))
     linked = known.join(least, "component").select("id", "first")
     told = classes.select("id", "set_key", "doc", "copies").join(linked, "id", "left").filter("copies > 1 or first is not null").select("set_key", F.coalesce("first", "doc").alias("first"))
     told = materialize(told, "told")
+    release(classes, places)
     out = sketches.select("doc_id", "n_shingles", "set_key").join(told, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
