@@ -46,8 +46,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import lm
 
-    documents = table(spark, sf_dir, "documents")
-    return lm.score(documents, lm.train(documents))
+    return lm.train_and_score(table(spark, sf_dir, "documents"))
 
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +86,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.warc import archive
 
     out = archive(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,32 +1,38 @@
 """WARC archives of pages, and the external merge of their index runs.
 
 Spark's text writer lays down one record per row, ended by the two line ends that close a WARC record, so
-archives go through the usual task commit and survive lost executors. Archives are read back file by file and parsed; each
-file's captures, sorted by URL key and time, are a run. Ranges of keys gather their part of
-every run, and a loser tree merges the runs of a range; ranges in order are the global order.
+archives go through the usual task commit and survive lost executors. Records are written by size class, so many to a
+file that no file of several records passes 64 MB. Archives are read back file by file and parsed; each
+file's captures, sorted by URL key, time and page_id, are a run. Ranges of keys gather their part of
+every run, and a loser tree merges the runs of a range; ranges in order are the global order, and each capture gets its position in it.
 
 Of records with equal payloads of `least` bytes or more the one with the largest page_id is the response, others revisit it.
 Rows that share that page_id are all responses. Null html is an empty payload; a null url an empty URL; rows with a null page_id are
 responses. An empty table gives no rows. Columns other than page_id, url and html are passed over.
-Pages carry no time of capture: WARC-Date counts seconds from 2020-01-01 by page_id.
+Record ids are made of page_id and a digest of URL and payload, so rows that are alike in all of them share one.
+Pages carry no time of capture: WARC-Date, in UTC whatever the session's zone, counts seconds from 2020-01-01 by page_id, and begins anew after 2^31 of them.
+Captures that tie in URL key, time and page_id are ordered by their digests.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import bytewords as bw
 from tessera.plans.storage import materialize, scratch_path
 
 END = "\r\n\r\n"
-_EPOCH = 1_577_836_800
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of payload up to which so many records go to a file.
+SIZE_CLASSES = ((16 << 10, 4096), (1 << 20, 64), (None, 1))
+BROADCAST_DIGESTS = 250_000  # up to so many repeated payloads (some 60 bytes each) are broadcast
 
 
 class LoserTree:
@@ -61,38 +67,66 @@ class LoserTree:
             self.best = w
 
 
+_URL = re.compile(rb"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^?#]*)(?:\?([^#]*))?", re.S)
+
+
 def url_key(url: str) -> str:
-    """Host reversed by labels, then path and query, in lower case."""
-    try:
-        p = urlsplit(url.strip().lower())
-        host = ",".join(reversed([x for x in (p.hostname or "").split(".") if x and x != "www"]))
-        return f"{host}){p.path or '/'}" + (f"?{p.query}" if p.query else "")
-    except ValueError:
-        return url.strip().lower()
+    """Host reversed by labels without www, then path and query, with A-Z in lower case. What has no scheme and host stays as it is."""
+    raw = url.encode().strip(b" ").lower()
+    m = _URL.match(raw)
+    if m is None:
+        return raw.decode()
+    host, path, query = m[1], m[2] or b"/", m[3]
+    key = b",".join(x for x in reversed(host.split(b".")) if x not in (b"", b"www")) + b")" + path
+    return (key + b"?" + query if query else key).decode()
+
+
+def capture_time(page_id):
+    """A column of the time of capture, as a string in UTC."""
+    t = F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(1 << 31))
+    clock = [F.lpad(x.cast("string"), 2, "0") for x in (F.floor(t % 86400 / 3600), F.floor(t % 3600 / 60), t % 60)]
+    return F.concat(F.date_add(F.lit("2020-01-01").cast("date"), F.floor(t / 86400).cast("int")).cast("string"), F.lit("T"), clock[0], F.lit(":"), clock[1], F.lit(":"), clock[2], F.lit("Z"))
+
 
+def originals(rows: DataFrame, least: int) -> DataFrame:
+    """digest, original (the largest page_id) and its tag, of the payloads of `least` bytes or more that several rows have."""
+    groups = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "tag")).alias("x"), F.count("*").alias("k"))
+    return groups.filter("k > 1 and x.page_id is not null").select("digest", F.col("x.page_id").alias("original"), F.col("x.tag").alias("original_tag"))
 
-def write_archives(pages: DataFrame, path: str, least: int = 1000, records_per_file: int = 4000) -> None:
+
+def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
     """One WARC record per row below `path`."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A").alias("url"), html.alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A").alias("url"), html.alias("html"))
     rows = rows.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    groups = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("k")).filter("k > 1").select("digest", "original")
-    groups = materialize(groups, "payloads")
-    rows = rows.join(groups, "digest", "left")
+    rows = rows.withColumn("tag", F.lower(F.hex(F.xxhash64("url", "digest"))))
+    groups = materialize(originals(rows.select("page_id", "n", "digest", "tag"), least), "payloads")
+    if groups.count() <= BROADCAST_DIGESTS:
+        rows = rows.join(F.broadcast(groups), "digest", "left")
+    else:  # a narrow join by payload, whose large groups are split at run time; payloads move by page, evenly
+        known = rows.filter(F.col("n") >= least).select("page_id", "digest").distinct().join(groups, "digest").select("page_id", "digest", "original", "original_tag")
+        rows = rows.join(materialize(known, "revisits"), ["page_id", "digest"], "left")
     again = F.coalesce(F.col("page_id") != F.col("original"), F.lit(False))
     block = F.concat(F.lit(_HTTP), F.when(again, F.lit("")).otherwise(F.col("html")))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
-    time = F.date_format(F.timestamp_seconds(F.lit(_EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    urn = lambda c, tag: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(":"), F.col(tag), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", urn("page_id")), line("WARC-Date", time), line("WARC-Target-URI", F.col("url")),
+        line("WARC-Record-ID", urn("page_id", "tag")), line("WARC-Date", capture_time(F.col("page_id"))), line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         line("X-Payload-Length", F.col("n").cast("string")),
-        F.when(again, F.concat(line("WARC-Refers-To", urn("original")), line("WARC-Profile", F.lit(_PROFILE)))).otherwise(F.lit("")),
+        F.when(again, F.concat(line("WARC-Refers-To", urn("original", "original_tag")), line("WARC-Profile", F.lit(_PROFILE)))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
-    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    records = rows.select(F.concat(head, block).alias("value"))
+    size = F.octet_length("value")
+    largest, above = records.agg(F.max(size).alias("n")).first()["n"] or 0, -1
+    for upto, most in SIZE_CLASSES:
+        own = (size > above) & (size <= upto if upto else F.lit(True))
+        records.filter(own).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", most).text(path)
+        if upto is None or largest <= upto:
+            break
+        above = upto
 
 
 def parse_archive(raw: bytes | memoryview) -> Iterator[dict]:
@@ -112,7 +146,7 @@ def parse_archive(raw: bytes | memoryview) -> Iterator[dict]:
             payload = raw[raw.index(b"\r\n\r\n", body) + 4 : end]
             if (len(payload), hashlib.sha1(payload).hexdigest()) != (n, digest):
                 raise ValueError(f"payload at byte {at} is damaged")
-        number = lambda x: None if x in (None, "<urn:page:none>") else int(x[10:-1])
+        number = lambda x: None if x is None or x.startswith("<urn:page:none:") else int(x[10:-1].split(":")[0])
         yield {
             "page_id": number(head["WARC-Record-ID"]), "payload_bytes": n, "payload_digest": digest, "record_type": head["WARC-Type"],
             "refers_to": number(head.get("WARC-Refers-To")), "url_key": url_key(head["WARC-Target-URI"]), "captured": head["WARC-Date"], "offset": at, "length": end + 4 - at,
@@ -125,7 +159,7 @@ _ARROW = pa.schema([(c, pa.string() if k == "string" else pa.int64()) for c, k i
 
 
 def _order(r: dict) -> tuple:
-    return r["url_key"], r["captured"], -1 if r["page_id"] is None else r["page_id"]
+    return r["url_key"], r["captured"], (r["page_id"] is not None, r["page_id"] or 0), r["payload_digest"], r["record_type"]
 
 
 def read_runs(spark, path: str) -> DataFrame:
@@ -139,33 +173,44 @@ def read_runs(spark, path: str) -> DataFrame:
                 for k in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_pylist(rows[k : k + 10_000], _ARROW)
 
-    return files.mapInArrow(run, _INDEX)
+    return bw.arrow(files, run, _INDEX)
+
+
+def natural_runs(rows: Iterator[dict]) -> list[list[dict]]:
+    """The ordered stretches of each file's rows; rows of a run may arrive in several blocks, in any order of these."""
+    runs: list[list[dict]] = []
+    last: dict[str, int] = {}
+    for r in rows:
+        at = last.get(r["file"])
+        if at is None or _order(runs[at][-1]) > _order(r):
+            last[r["file"]] = at = len(runs)
+            runs.append([])
+        runs[at].append(r)
+    return runs
 
 
 def merge_runs(runs: DataFrame, rows_per_range: int = 50_000) -> DataFrame:
-    """All captures with range_no and place: by these they are ordered by URL key, time and page_id."""
+    """All captures with range_no, place in it, and position: by it they are ordered by URL key, time and page_id."""
     ranges = max(runs.sparkSession.sparkContext.defaultParallelism, -(-runs.count() // rows_per_range))
     columns = [x.split()[0] for x in _INDEX.split(", ")]
-    dealt = runs.repartitionByRange(ranges, "url_key", "captured", "page_id").withColumn("range_no", F.spark_partition_id())
+    dealt = runs.repartitionByRange(ranges, "url_key", "captured", F.col("page_id").asc_nulls_first(), "payload_digest").withColumn("range_no", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[dict]] = {}
-        number = 0
-        for batch in batches:
-            for r in batch.to_pylist():
-                number = r["range_no"]
-                parts.setdefault(r["file"], []).append(r)
-        own = [sorted(p, key=_order) for _, p in sorted(parts.items())]  # rows of a run may arrive in several blocks
         out = []
-        for place, r in enumerate(LoserTree(own, _order)):
-            out.append(r | {"range_no": number, "place": place})
+        for place, r in enumerate(LoserTree(natural_runs(r for batch in batches for r in batch.to_pylist()), _order)):
+            out.append(r | {"place": place})
             if len(out) == 10_000:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
         yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = _ARROW.append(pa.field("range_no", pa.int32())).append(pa.field("place", pa.int64()))
-    return dealt.select(*columns, "range_no").mapInArrow(run, _INDEX + ", range_no int, place long")
+    merged = materialize(bw.arrow(dealt.select(*columns, "range_no"), run, _INDEX + ", range_no int, place long"), "captures")
+    sizes = merged.groupBy("range_no").count().orderBy("range_no").collect()  # a row for each range
+    first, at = ["0L"] * (max([r["range_no"] for r in sizes], default=0) + 1), 0
+    for r in sizes:
+        first[r["range_no"]], at = f"{at}L", at + r["count"]
+    return merged.withColumn("position", F.expr(f"element_at(array({', '.join(first)}), range_no + 1)") + F.col("place"))
 
 
 def archive(pages: DataFrame, least: int = 1000, path: str | None = None) -> DataFrame:
