@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontam, langid, neardup, packing, toxicity
 from tessera.llm.queries import CAPACITY, table, tokenizer_path
-from tessera.plans.storage import materialize
+from tessera.plans.storage import materialize, release
 
 #: A language is rejected below this score (0.5 is no margin at all).
 NARROW_MARGIN = 0.52
@@ -41,15 +41,18 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word shingle sets with a similarity of 0.8 or more: the one with the smallest id.
 
-    Rows without an id take part under ids above all others. Of rows with the same id and text one stays.
+    Rows are judged one by one: where ids are missing or repeated, rows are numbered in the order of ids (missing ones
+    last) and texts, so of rows with equal texts one stays. Texts without words are like no other, and all stay.
     """
-    keyed = wrapped(docs).withColumn("doc_id", F.col("row.doc_id").cast("long"))
-    if not docs.filter("doc_id is null").isEmpty():
-        top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("long").alias("top")).first()["top"]
-        keyed = materialize(keyed.withColumn("doc_id", F.coalesce("doc_id", F.monotonically_increasing_id() + top + 1)), "keyed")
-    kept = neardup.near_duplicates(keyed, n=5, threshold=0.8).filter("kept").select("doc_id")
-    rows = keyed.join(kept.distinct(), "doc_id", "left_semi").withColumn("digest", F.md5(F.col("text").cast("binary")))
-    return unwrapped(rows.dropDuplicates(["doc_id", "digest"]), docs)
+    keyed = wrapped(docs).withColumn("doc_id", F.col("row.doc_id"))
+    if not docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        order = [F.col("doc_id").asc_nulls_last(), F.md5(F.col("text").cast("binary")), F.xxhash64("spread")]
+        spread = keyed.withColumn("spread", F.monotonically_increasing_id())
+        keyed = spread.repartitionByRange(*order).sortWithinPartitions(*order).drop("spread")
+        keyed = materialize(keyed.withColumn("doc_id", F.monotonically_increasing_id()), "keyed")
+    removed = materialize(neardup.near_duplicates(keyed, n=5, threshold=0.8).filter("not kept").select("doc_id"), "removed")
+    gone = F.broadcast(removed) if removed.count() <= neardup.BROADCAST_IDS else removed
+    return unwrapped(keyed.join(gone, "doc_id", "left_anti"), docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,6 +81,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            release(before)
+        before = docs
     return docs
