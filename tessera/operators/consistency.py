@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera import schemas
@@ -38,16 +39,20 @@ def comparisons(bundled: DataFrame) -> DataFrame:
     return pairs.select(F.concat(F.col("bundle_id"), F.lit(":"), F.col("x.kind")).alias("comparison_id"), "bundle_id", F.col("x.a").alias("source_a"), F.col("x.b").alias("source_b")).union(within)
 
 
-def terminology(glossary: DataFrame, roles_of: DataFrame, per_glossary: int = 20, per_roles: int = 8, most: int | None = 40) -> DataFrame:
-    """term, sources (sorted): the first glossary terms and roles of each source, lower-cased, by the sources that use them.
+def terminology(glossary: DataFrame, roles_of: DataFrame, sources: DataFrame | None = None, per_glossary: int = 20, per_roles: int = 8, most: int = 40) -> DataFrame:
+    """position, term, sources (sorted): the first glossary terms and roles of each source, lower-cased, by the sources that use them.
 
+    The first `most` terms are kept, in the order of sources (their `ordinal` if `sources` tells it, then their ids), glossary before roles.
     Both inputs have source_id, ordinal and text.
     """
     from tessera.operators.ranking import first_k
 
-    terms = first_k(glossary, ["source_id"], ["ordinal"], per_glossary).select("source_id", "text", "ordinal").union(first_k(roles_of, ["source_id"], ["ordinal"], per_roles).select("source_id", "text", "ordinal"))
-    out = terms.groupBy(F.lower("text").alias("term")).agg(F.sort_array(F.collect_set("source_id")).alias("sources"))
-    return out.orderBy("term").limit(most) if most else out
+    cut = lambda df, k, kind: first_k(df, ["source_id"], ["ordinal"], k).select("source_id", F.lit(kind).alias("kind"), "ordinal", F.lower("text").alias("term"))
+    terms = cut(glossary, per_glossary, 0).unionByName(cut(roles_of, per_roles, 1))
+    terms = terms.withColumn("k", F.lit(0)) if sources is None else terms.join(sources.select("source_id", F.col("ordinal").alias("k")), "source_id")
+    place = F.min(F.struct("k", "source_id", "kind", "ordinal")).alias("place")
+    firsts = terms.groupBy("term").agg(F.sort_array(F.collect_set("source_id")).alias("sources"), place).orderBy("place", "term").limit(most)
+    return firsts.select((F.row_number().over(W.orderBy("place", "term")) - 1).alias("position"), "term", "sources")  # `most` rows
 
 
 def parse_issues(replies: DataFrame, most: int = 20, lenient: bool = False) -> DataFrame:
@@ -70,23 +75,29 @@ def report_totals(comparisons: DataFrame, issues: DataFrame) -> DataFrame:
     return comparisons.join(n, "comparison_id", "left").fillna(0, ["total_conflicts", "total_omissions", "total_ambiguities", "total_to_confirm"])
 
 
-def relevant_issues(issues: DataFrame, sources: DataFrame, bundled: DataFrame | None = None) -> DataFrame:
-    """Issues that concern each source: named by it, about all sources, or from the check within it. With `bundled`, those about all sources only within the bundle.
+def relevant_issues(issues: DataFrame, sources: DataFrame, bundled: DataFrame | None = None, most_shared: int = 1000) -> DataFrame:
+    """Issues that concern each source: named by it, about all sources, or where the comparison's id holds "intra_" and the source's id.
 
-    Three equality joins instead of one over a disjunction.
+    With `bundled`, those about all sources only within the bundle. Equality joins instead of one over a disjunction: an
+    id that follows "intra_" is one of the prefixes of what stands there. Issues about all sources are a few per corpus (`most_shared` at most, which is
+    checked): as one row they meet every source without a shuffle.
     """
     s = sources.select(F.col("source_id").alias("sid"))
+    columns = issues.columns
     named = issues.withColumn("sid", F.explode(F.array_distinct(F.array("source_a_id", "source_b_id"))))
-    inner = issues.filter(F.startswith("comparison_id", F.lit("intra_"))).withColumn("sid", F.substring("comparison_id", 7, 1 << 30))
+    rest = F.col("rest")
+    inner = issues.select("*", F.explode(F.slice(F.split("comparison_id", "intra_"), 2, 1 << 30)).alias("rest")).filter("rest <> ''")
+    inner = inner.withColumn("sid", F.explode(F.transform(F.sequence(F.lit(1), F.length(rest)), lambda k: F.substring(rest, F.lit(1), k)))).drop("rest")
     everyone = issues.filter("source_a_id = 'all_sources'")
     if bundled is not None:
-        b = bundled.select("source_id", "bundle_id")
-        everyone = everyone.withColumn("bundle_id", F.split("comparison_id", ":")[0]).join(b.withColumnRenamed("source_id", "sid"), "bundle_id").drop("bundle_id")
-        shared = everyone.select("sid", *issues.columns)
+        b = bundled.select(F.col("source_id").alias("sid"), "bundle_id")
+        shared = everyone.withColumn("bundle_id", F.split("comparison_id", ":")[0]).join(b, "bundle_id")
     else:
-        # each source gets these by definition; their number is a few per corpus
-        shared = s.withColumn("k", F.lit(1)).join(everyone.withColumn("k", F.lit(1)), "k").select("sid", *issues.columns)
-    return named.select("sid", *issues.columns).union(inner.select("sid", *issues.columns)).join(s, "sid", "left_semi").union(shared).dropDuplicates(["sid", "comparison_id", "ordinal"])
+        if (n := everyone.count()) > most_shared:
+            raise ValueError(f"{n} issues about all sources; at most {most_shared} are shared out")
+        row = everyone.agg(F.collect_list(F.struct(*columns)).alias("all")).withColumn("k", F.lit(1))
+        shared = s.withColumn("k", F.lit(1)).join(F.broadcast(row), "k").select("sid", F.explode("all").alias("x")).select("sid", "x.*")
+    return named.select("sid", *columns).unionByName(inner.select("sid", *columns)).join(s, "sid", "left_semi").unionByName(shared.select("sid", *columns)).dropDuplicates(["sid", "comparison_id", "ordinal"])
 
 
 def numeric_conflicts(statements: DataFrame, above: float = 0.3) -> DataFrame:

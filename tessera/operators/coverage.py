@@ -20,9 +20,13 @@ def item_coverage(items: DataFrame, texts: DataFrame) -> DataFrame:
     words, which stay small and combine before the shuffle, instead of one concatenated text per source.
     """
     found = texts.select("source_id", F.explode(T.token_set("text")).alias("word")).distinct()
+    # a keyword has three letters or more, so a word that holds it holds its first three
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda k: F.substring(F.col("word"), k, F.lit(3))))
+    found = found.filter(F.length("word") >= 3).select("source_id", "word", F.explode(parts).alias("part"))
     asked = items.select("source_id", "ordinal", F.explode(keywords("text")).alias("keyword"))
-    distinct = asked.select("source_id", "keyword").distinct()
-    hit = distinct.join(found, (distinct["source_id"] == found["source_id"]) & F.contains(found["word"], distinct["keyword"]), "left_semi")
+    distinct = asked.select("source_id", "keyword", F.substring("keyword", 1, 3).alias("part")).distinct()
+    same = (distinct["source_id"] == found["source_id"]) & (distinct["part"] == found["part"])
+    hit = distinct.join(found, same & F.contains(found["word"], distinct["keyword"]), "left_semi").select("source_id", "keyword")
     yes = asked.join(hit, ["source_id", "keyword"], "left_semi").select("source_id", "ordinal").distinct().withColumn("covered", F.lit(True))
     return items.join(yes, ["source_id", "ordinal"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 

@@ -39,14 +39,9 @@ def demand_items(entities: DataFrame, client: M.ModelClient, config: PipelineCon
     items = items.unionByName(plain(of("exception_condition"), "exception"))
     terms = ranking.glossary(entities).select("source_id", F.lit("glossary").alias("field"), F.col("position").cast("int").alias("ordinal"), F.col("term").alias("item_id"), F.col("definition").alias("text"))
 
-    def answers(kind: str, task: str, source: DataFrame, path: str | None = None) -> DataFrame:
+    def answers(kind: str, task: str, source: DataFrame) -> DataFrame:
         replies = M.ask(M.prompts(source, kind, task, ["source_id"]), client)
-        if path:  # an object of arrays
-            whole = F.try_parse_json(R.bracketed(R.without_fences("reply"), "{"))
-            found = F.coalesce(F.try_variant_get(whole, f"$.{path}", "array<variant>"), F.array().cast("array<variant>"))
-        else:
-            found = R.reply_items("reply")
-        return replies.select("source_id", F.posexplode(found).alias("ordinal", "item"))
+        return replies.select("source_id", F.posexplode(R.reply_items("reply")).alias("ordinal", "item"))
 
     item = F.col("item")
     text_of = lambda name: F.trim(R.field(item, name, ""))
@@ -62,8 +57,11 @@ def demand_items(entities: DataFrame, client: M.ModelClient, config: PipelineCon
     merged = ranking.first_k(greedy_merge(reqs, config.similar_above), ["source_id"], ["ordinal"], n)
     functional = merged.select("source_id", F.lit("functional").alias("field"), "ordinal", "item_id", F.col("description").alias("text"), "priority", "source_ids")
     out = items.unionByName(terms, True).unionByName(roles.select("source_id", F.lit("role").alias("field"), "ordinal", "text"), True).unionByName(cases, True).unionByName(functional, True)
-    for path, field, code in (("nfr", "nfr", "NFR"), ("runtime", "runtime", "RT")):
-        found = answers("constraints", "Sort these constraints into nfr and runtime, as a JSON object of two arrays.", of("constraint"), path).filter(f"ordinal < {n}")
+    sorted_out = M.ask(M.prompts(of("constraint"), "constraints", "Sort these constraints into nfr and runtime, as a JSON object of two arrays.", ["source_id"]), client)
+    whole = F.try_parse_json(R.bracketed(R.without_fences("reply"), "{"))
+    for field, code in (("nfr", "NFR"), ("runtime", "RT")):
+        listed = F.coalesce(F.try_variant_get(whole, f"$.{field}", "array<variant>"), F.array().cast("array<variant>"))
+        found = sorted_out.select("source_id", F.posexplode(listed).alias("ordinal", "item")).filter(f"ordinal < {n}")
         rows = found.select("source_id", F.lit(field).alias("field"), "ordinal", F.coalesce(R.field(item, "constraint_id"), F.format_string(f"{code}-%03d", F.col("ordinal") + 1)).alias("item_id"), text_of("description").alias("text"), R.field(item, "category").alias("category"), R.field(item, "threshold").alias("threshold"))
         out = out.unionByName(rows.filter("text <> ''"), True)
     return out.select([F.col(f.name) if f.name in out.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(schemas.DEMAND_ITEM)]).to(schema(schemas.DEMAND_ITEM))

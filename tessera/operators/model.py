@@ -33,7 +33,7 @@ class RuleClient:
     """Answers each kind of prompt from the lines of its lists."""
 
     def reply(self, kind: str, prompt: str) -> str:
-        items = [x[2:].strip() for x in prompt.splitlines() if x.startswith("- ") and x[2:].strip()]
+        items = [re.sub(r"^\[[^\]]*\] ", "", x[2:].strip()) for x in prompt.splitlines() if x.startswith("- ") and x[2:].strip()]
         if kind == "entities":
             text = prompt.split("\n\n", 1)[-1]
             kinds = [("constraint", r"\b(must|shall not|within|at most|at least|\d+ ?(?:ms|seconds|minutes))\b"), ("exception_condition", r"\b(error|fail\w*|invalid|denied|timeout)\b"), ("actor_role", r"\b(user|administrator|operator|client)\b"), ("interface_name", r"(?:GET|POST|PUT|DELETE) /\S+"), ("function_point", r"\b(shall|can|allows?|provides?)\b")]
@@ -55,7 +55,13 @@ class RuleClient:
             return json.dumps({"nfr": [{"description": x, "category": "performance"} for x, t in zip(items, timed, strict=True) if t], "runtime": [{"description": x} for x, t in zip(items, timed, strict=True) if not t]})
         if kind.startswith("check"):
             return json.dumps([{"issue_type": "ambiguity", "description": x} for x in items if re.search(r"\b(appropriate|fast|easy|etc|some)\b", x, re.I)])
-        if kind.startswith("tr_") or kind in ("repair", "gaps"):
+        if kind == "repair":
+            parts = [x.split(" | ", 2) for x in items]
+            return json.dumps([{"tr_id": p[0], "tr_h": f"When requested, the system shall satisfy: {p[-1]}", "preconditions": ["the system is running"], "stimuli": [p[-1]], "expected_outputs": ["observable result within 10 seconds"], "coverage_criterion": "each item once", "source_req": p[0]} for p in parts])
+        if kind == "baseline":
+            said = [s for s in re.split(r"(?<=[.!?])\s+|\n", prompt.split("\n\n", 1)[-1]) if "shall" in s.lower()]
+            return json.dumps([{"tr_id": f"B-{i:03d}", "tr_h": s.strip(), "tr_a": {"preconditions": [], "stimuli": [s.strip()], "expected_outputs": [s.strip()]}} for i, s in enumerate(said, 1)])
+        if kind.startswith("tr_") or kind == "gaps":
             return json.dumps([{"tr_h": f"When requested, the system shall satisfy: {x}", "tr_a": {"preconditions": ["the system is running"], "stimuli": [x], "expected_outputs": [f"observable result within 10 seconds for {x[:40]}"]}, "coverage_criterion": "each item once", "priority": "medium", "source_req_ids": [f"REQ-{i:03d}"]} for i, x in enumerate(items, 1)])
         if kind == "judge":
             return "PASS PASS PASS PASS PASS PASS"

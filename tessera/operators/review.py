@@ -64,6 +64,7 @@ def notes(reviewed: DataFrame, config: PipelineConfig = PipelineConfig()) -> Dat
     `reviewed` has the metrics, and the arrays uncovered, untraceable, invalid and top_issues and the count non_compliant.
     """
     listed = lambda c, sep, k: F.concat_ws(sep, F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, k))
+    # the texts are fixed values
     rows = [
         (F.col("coverage") < config.coverage, F.format_string(f"Coverage %.0f%%%% < {config.coverage * 100:.0f}%%%%. Missing: %s".replace("%%%%", "%%"), F.col("coverage") * 100, listed("uncovered", "; ", 3))),
         (F.col("traceability") < config.traceability, F.format_string(f"Traceability %.0f%% < {config.traceability * 100:.0f}%%. Fix: %s", F.col("traceability") * 100, listed("untraceable", ", ", 3))),
@@ -88,6 +89,7 @@ def review(requirements: DataFrame, items: DataFrame, constraint_items: DataFram
     for other in (lists, tops, ids, dup, cov.select("source_id", "uncovered")):
         out = out.join(other, "source_id", "left")
     out = notes(out.fillna(0, ["duplicate_count", "non_compliant"]), config)
+    out = out.withColumn("correction_notes", F.when(F.col("total_trs") == 0, F.array(F.lit("No TRs to review."))).otherwise(F.col("correction_notes")))
     if constraint_items is not None:
         nfr = requirements.filter("category = 'nfr_constraint'").select("source_id", F.col("tr_h").alias("text"))
         c = coverage_score(constraint_items, nfr, 5).select("source_id", F.struct("covered", "total", "uncovered").alias("constraints"))

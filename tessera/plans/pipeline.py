@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.config import PipelineConfig
 from tessera.operators import chunking, consistency, demand, feedback, requirements, review
 from tessera.operators import model as M
+from tessera.operators.ranking import first_k
 from tessera.plans.storage import materialize
 
 #: Fields and caps of the lists that each category of requirement is written from.
@@ -19,9 +21,16 @@ SELECTED = {
     "runtime_environment": (("exception", 10), ("runtime", 8)),
     "interface_exception": (("use_case", 8), ("exception", 8)),
 }
-#: Fields and caps of the lists that are compared, by role.
-CHECKED = {"srs": (("functional", 12), ("nfr", 6), ("runtime", 8)), "manual": (("objective", 12), ("use_case", 8)), "runtime": (("nfr", 10), ("runtime", 10), ("exception", 8)), "design": (("functional", 12), ("nfr", 10), ("runtime", 8), ("role", 10))}
+_WHOLE = (("functional", 12), ("nfr", 6), ("runtime", 8))
+#: For each check the lists of its two documents (fields and caps), and how many lines of the first are shown.
+CHECKS = {
+    "srs_vs_manual": ((("functional", 12),), (("objective", 12), ("use_case", 8)), None, "A holds requirements, B what users are told. Report features of one without the other (omission), contradictions (conflict) and vague points (ambiguity)"),
+    "runtime_vs_srs": ((("nfr", 10), ("runtime", 10), ("exception", 8)), _WHOLE, 20, "A holds conditions at run time, B requirements. Report conditions that rule requirements out, differing numbers too (conflict), undocumented assumptions (omission) and unstated conditions (to_confirm)"),
+    "design_vs_srs": ((("role", 10), ("functional", 12), ("nfr", 10), ("runtime", 8)), _WHOLE, None, "A holds a design, B requirements. Report requirements that it leaves out (omission) or contradicts, differing numbers too (conflict), and parts without a requirement (to_confirm)"),
+}
 WITHIN = (("functional", 12), ("nfr", 8), ("exception", 10), ("use_case", 8))
+_FIELDS = "as a JSON array (tr_h, preconditions, stimuli, expected_outputs, coverage_criterion, priority, source_req)."
+_ASKED = "as a JSON array (issue_type, description, severity, suggested_fix), [] if there are none."
 
 
 @dataclass
@@ -34,49 +43,63 @@ class Result:
     reviews: DataFrame
 
 
-def pick(items: DataFrame, wanted: tuple[tuple[str, int], ...]) -> DataFrame:
-    """The first rows of each field, in the order of the fields."""
+def pick(items: DataFrame, wanted: tuple[tuple[str, int], ...], most: int | None = None) -> DataFrame:
+    """The first rows of each field, in the order of the fields, of all of them the first `most`."""
     order = F.array_position(F.array(*[F.lit(f) for f, _ in wanted]), F.col("field")).cast("int")
     cap = F.element_at(F.array(*[F.lit(k) for _, k in wanted]), order)
     rows = items.filter(F.col("field").isin(*[f for f, _ in wanted])).withColumn("o", order).withColumn("cap", cap)
-    from pyspark.sql import Window as W
-
     rows = rows.withColumn("n", F.row_number().over(W.partitionBy("source_id", "field").orderBy("ordinal"))).filter("n <= cap")
-    return rows.select("source_id", (F.col("o") * 1000 + F.col("n")).alias("ordinal"), "text")
+    rows = rows.select("source_id", (F.col("o") * 1000 + F.col("n")).alias("ordinal"), "text", "field")
+    return rows if most is None else first_k(rows, ["source_id"], ["ordinal"], most).drop("rank")
 
 
 def check(items: DataFrame, bundle_map: DataFrame | None, client: M.ModelClient) -> DataFrame:
-    """Issues of every comparison; one within a document needs functional requirements."""
+    """Issues of every comparison, within documents that have functional requirements, and of the terms of all documents."""
     sources = items.groupBy("source_id").agg(F.lit(0).alias("ordinal"))
     pairs = consistency.comparisons(consistency.bundles(sources, bundle_map))
-    lists = None
-    for role, wanted in CHECKED.items():
-        own = pick(items, wanted)
-        for side in ("source_a", "source_b"):
-            chosen = pairs.filter(F.col("comparison_id").rlike(rf":({role}_vs_|.*_vs_{role}$)") & (F.col("source_a") != F.col("source_b")))
-            rows = chosen.join(own, chosen[side] == own["source_id"]).select("comparison_id", "source_a", "source_b", "ordinal", "text")
+    keys = ["comparison_id", "source_a", "source_b"]
+    asked = None
+    for kind, (first, second, most, task) in CHECKS.items():
+        chosen = pairs.filter(F.endswith("comparison_id", F.lit(f":{kind}")) & (F.col("source_a") != F.col("source_b")))
+        lists = None
+        for side, wanted, cap, at in (("source_a", first, most, 0), ("source_b", second, None, 1)):
+            own = pick(items, wanted, cap)
+            label = F.concat(F.lit(f"[{'AB'[at]} "), "field", F.lit("] "), "text")
+            rows = chosen.join(own, chosen[side] == own["source_id"]).select(*keys, (F.lit(at * 100_000) + F.col("ordinal")).alias("ordinal"), label.alias("text"))
             lists = rows if lists is None else lists.unionByName(rows)
+        p = M.prompts(lists, f"check_{kind}", f"{task}, {_ASKED}", keys)
+        asked = p if asked is None else asked.unionByName(p)
     with_reqs = items.filter("field = 'functional'").select("source_id").distinct()
     own = pick(items, WITHIN).join(with_reqs, "source_id", "left_semi")
     inner = pairs.filter("source_a = source_b")
-    lists = lists.unionByName(inner.join(own, inner["source_a"] == own["source_id"]).select("comparison_id", "source_a", "source_b", "ordinal", "text"))
-    asked = M.prompts(lists.distinct(), "check", "Report conflicts, omissions, ambiguities and points to confirm as a JSON array (issue_type, description, severity, suggested_fix).", ["comparison_id", "source_a", "source_b"])
+    lists = inner.join(own, inner["source_a"] == own["source_id"]).select(*keys, "ordinal", F.concat(F.lit("["), "field", F.lit("] "), "text").alias("text"))
+    asked = asked.unionByName(M.prompts(lists, "check_within", f"Report contradictions, gaps, vague statements and missing criteria within this document, {_ASKED}", keys))
+    of = lambda field, text: items.filter(F.col("field") == field).select("source_id", "ordinal", F.col(text).alias("text"))
+    terms = consistency.terminology(of("glossary", "item_id"), of("role", "text"))
+    lines = terms.select(F.lit("terminology").alias("comparison_id"), F.lit("all_sources").alias("source_a"), F.lit("all_sources").alias("source_b"), F.col("position").alias("ordinal"), F.concat("term", F.lit(" (in: "), F.concat_ws(", ", "sources"), F.lit(")")).alias("text"))
+    asked = asked.unionByName(M.prompts(lines, "check_terminology", f"Report one concept under several names (ambiguity), one term with several meanings (conflict) and undefined key terms (to_confirm), {_ASKED}", keys))
     return consistency.parse_issues(M.ask(asked, client))
 
 
 def generate(items: DataFrame, issues: DataFrame, client: M.ModelClient) -> DataFrame:
-    """Requirements of all five categories; use cases are needed for interface requirements."""
+    """Requirements of all five categories; use cases are needed for interface requirements. Functional ones are asked for again where nothing came."""
     asked = None
     for category, wanted in SELECTED.items():
         own = pick(items, wanted)
         if category == "interface_exception":
             own = own.join(items.filter("field = 'use_case'").select("source_id").distinct(), "source_id", "left_semi")
-        p = M.prompts(own, f"tr_{category}", f"Write test requirements ({category}) as a JSON array (tr_h, tr_a, coverage_criterion, priority, source_req_ids).", ["source_id"])
-        p = p.withColumn("category", F.lit(category))
+        p = M.prompts(own, f"tr_{category}", f"Write test requirements ({category}) {_FIELDS}", ["source_id"]).withColumn("category", F.lit(category))
         asked = p if asked is None else asked.unionByName(p)
-    near = consistency.relevant_issues(issues, items.select("source_id").distinct()).select(F.col("sid").alias("source_id"), F.col("ordinal"), F.col("description").alias("text"))
-    p = M.prompts(near, "tr_consistency_driven", "Write test requirements that settle these issues, as a JSON array.", ["source_id"]).withColumn("category", F.lit("consistency_driven"))
-    return requirements.build(M.ask(asked.unionByName(p), client))
+    near = consistency.relevant_issues(issues, items.select("source_id").distinct())
+    line = F.concat(F.lit("["), "issue_id", F.lit("] ("), "issue_type", F.lit(") "), "description")
+    near = near.select(F.col("sid").alias("source_id"), F.struct("comparison_id", "ordinal").alias("ordinal"), line.alias("text"))
+    near = first_k(near, ["source_id"], ["ordinal"], 50)
+    p = M.prompts(near, "tr_consistency_driven", f"Write a test requirement for each issue that fails until it is settled, {_FIELDS}", ["source_id"]).withColumn("category", F.lit("consistency_driven"))
+    replies = M.ask(asked.unionByName(p), client).withColumn("attempt", F.lit(0))
+    functional = F.col("category") == "functional"
+    got = requirements.build(replies.filter(functional)).select("source_id").distinct()
+    again = asked.filter(functional).join(got, "source_id", "left_anti").withColumn("prompt", F.concat("prompt", F.lit("\nAnswer with the array only.")))
+    return requirements.build(replies.unionByName(M.ask(again, client).withColumn("attempt", F.lit(1))))
 
 
 def covered_items(items: DataFrame) -> DataFrame:
@@ -85,18 +108,16 @@ def covered_items(items: DataFrame) -> DataFrame:
     return rows.select("source_id", F.concat_ws("-", "field", "ordinal").alias("ordinal"), F.substring("text", 1, 60).alias("text"))
 
 
-def repair_with(client: M.ModelClient, items: DataFrame, config: PipelineConfig):
-    def repair(rows: DataFrame, reviewed: DataFrame) -> DataFrame:
+def repair_with(client: M.ModelClient, config: PipelineConfig):
+    """Flagged requirements are written anew, then gaps are filled."""
+
+    def repair(rows: DataFrame, reviewed: DataFrame, turn: int) -> DataFrame:
         flagged = reviewed.select("source_id", F.explode("flagged_tr_ids").alias("tr_id"))
         chosen = feedback.to_send(feedback.split_flagged(rows, flagged)[1], config)
-        asked = M.prompts(chosen, "repair", "Rewrite these test requirements, in order, as a JSON array (tr_h, tr_a).", ["source_id"], "tr_h")
-        from tessera.functions import replies as R
-
-        got = M.ask(asked, client).select("source_id", F.posexplode(R.reply_items("reply")).alias("p", "item")).select("source_id", "p", R.field(F.col("item"), "tr_h", "").alias("tr_h"))
-        from pyspark.sql import Window as W
-
-        ids = chosen.select("source_id", "tr_id", (F.row_number().over(W.partitionBy("source_id").orderBy("ordinal")) - 1).alias("p"))
-        return feedback.merge(rows, flagged, got.join(ids, ["source_id", "p"]).select("source_id", "tr_id", "tr_h"), config)
+        got = feedback.replacements(M.ask(feedback.repair_prompts(chosen, reviewed), client), chosen)
+        fixed = feedback.merge(rows, flagged, got, config)
+        gaps = feedback.gap_requirements(M.ask(feedback.gap_prompts(reviewed, config), client), rows, turn, config)
+        return fixed.unionByName(gaps)
 
     return repair
 
@@ -115,5 +136,5 @@ def run(sections: DataFrame, client: M.ModelClient | None = None, bundle_map: Da
     sources = items.select("source_id").distinct()
     judge = lambda df: review.review(df, asked, limits, sources, config)
     if with_feedback:
-        rows = feedback.loop(rows, judge, repair_with(client, items, config), config)
+        rows = feedback.loop(rows, judge, repair_with(client, config), config)
     return Result(chunks, entities, items, issues, rows, materialize(judge(rows), "reviews"))

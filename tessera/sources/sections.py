@@ -6,6 +6,7 @@ processor files) are parsed row by row in Arrow batches, one file a row, so file
 
 from __future__ import annotations
 
+import heapq
 import io
 import json
 import re
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from tessera import schemas
 from tessera.functions import text as T
 
 SUPPORTED = ("pdf", "docx", "txt", "xml", "uml", "xmi", "json", "yaml", "yml", "puml")
+PLAIN = ("txt", "yaml", "yml")
 #: Block openers of a diagram file (fixed values).
 DIAGRAM_BLOCKS = (r"package\s+", r"class\s+", r"abstract\s+class\s+", r"interface\s+", r"enum\s+", r"component\s+", r"database\s+", r"actor\s+", r"note\s+as\s+", r"sequence\s+", r"@startuml", r"title\s+")
 RULE = r"^[=\-*]{4,}$"
@@ -46,50 +49,79 @@ def _decoded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.decode("content", "UTF-8"))
 
 
+_LINE_END = re.compile(r"\r\n|[\n\x0b\f\r\x85\u2028\u2029]")
+_NUMBERED = re.compile(r"^([0-9]+[.0-9]*|Chapter\s+[0-9]+|Appendix\s+[A-Z])\s+\S", re.ASCII)
+_TITLE = re.compile(r"^[A-Z][^\n]{3,59}$")
+_SPACE = " \t\n\x0b\f\r"
+
+
+def is_heading(line: str, after: str) -> bool:
+    """Whether a trimmed line is a heading; `after` is the next one, trimmed."""
+    if not line or len(line) > 100:
+        return False
+    if _NUMBERED.match(line) or re.match(RULE, after):
+        return True
+    if line == line.upper() and line != line.lower() and 4 <= len(line) <= 60:
+        return True
+    return len(line) < 60 and line[-1] not in ".," and bool(_TITLE.match(line)) and line.count(" ") < 8
+
+
+def cut_text(text: str, most: int = 150, least_words: int = 150) -> list[tuple[int, str, str]]:
+    """Heading lines open blocks, small blocks join the one before, and at most `most` sections remain."""
+    lines = _LINE_END.split(text)
+    trimmed = [x.strip(_SPACE) for x in lines]
+    blocks: list[tuple[str, list[str]]] = [("Introduction", [])]
+    for i, s in enumerate(trimmed):
+        if is_heading(s, trimmed[i + 1] if i + 1 < len(lines) else ""):
+            blocks.append((s, []))
+        elif not re.match(RULE, s):
+            blocks[-1][1].append(lines[i])
+    merged: list[list] = []
+    for ref, rows in blocks:
+        body = clean_text("\n".join(rows))
+        n = len(body.split())
+        if not body:
+            continue
+        if merged and merged[-1][2] + n < least_words:
+            merged[-1][1].append(body)
+            merged[-1][2] += n
+        else:
+            merged.append([ref, [body], n])
+    rows = shrink([[ref, "\n\n".join(parts)] for ref, parts, _ in merged], most)
+    return [(i, ref[:80], t) for i, (ref, t) in enumerate(rows, 1)]
+
+
 def text_sections(rows: DataFrame, most: int = 150, least_words: int = 150) -> DataFrame:
-    """Sections of plain texts (source_id, artifact_type, text): heading lines open blocks, small blocks join, at most `most` sections."""
-    lines = rows.select("source_id", "artifact_type", F.posexplode(F.split("text", r"\R")).alias("pos", "line"))
-    by_pos = W.partitionBy("source_id").orderBy("pos")
-    s = T.trim_all("line")
-    after = T.trim_all(F.coalesce(F.lead("line").over(by_pos), F.lit("")))
-    spaces = F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-    heading = (s != "") & (F.length(s) <= 100) & (
-        s.rlike(r"^(\d+[.\d]*|Chapter\s+\d+|Appendix\s+[A-Z])\s+\S") | after.rlike(RULE)
-        | ((s == F.upper(s)) & (s != F.lower(s)) & F.length(s).between(4, 60))
-        | ((F.length(s) < 60) & ~s.rlike(r"[.,]$") & s.rlike(r"^[A-Z][^\n]{3,59}$") & (spaces < 8))
-    )
-    marked = lines.withColumn("s", s).withColumn("heading", heading).withColumn("block", F.sum(F.col("heading").cast("int")).over(by_pos))
-    kept = marked.filter(F.col("heading") | ~F.col("s").rlike(RULE))
-    row = F.struct("pos", "line", "s", "heading")
-    blocks = kept.groupBy("source_id", "artifact_type", "block").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    body = F.filter("rows", lambda r: ~r["heading"])
-    blocks = blocks.select(
-        "source_id", "artifact_type", "block",
-        F.coalesce(F.get(F.filter("rows", lambda r: r["heading"]), 0)["s"], F.lit("Introduction")).alias("ref"),
-        T.clean(F.concat_ws("\n", F.transform(body, lambda r: r["line"]))).alias("text"),
-    ).filter("text <> ''")
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        merged: list[list[str]] = []
-        for ref, text in pdf.sort_values("block")[["ref", "text"]].itertuples(index=False):
-            if merged and len((merged[-1][1] + "\n\n" + text).split()) < least_words:
-                merged[-1][1] += "\n\n" + text
-            else:
-                merged.append([ref, text])
-        merged = shrink(merged, most)
-        return pd.DataFrame({"source_id": pdf["source_id"].iloc[0], "artifact_type": pdf["artifact_type"].iloc[0], "section_id": range(1, len(merged) + 1), "section_ref": [r[:80] for r, _ in merged], "text": [t for _, t in merged]})
-
-    return blocks.groupBy("source_id").applyInPandas(join, schemas.SECTION)
+    """Sections of plain texts (source_id, artifact_type, text), row by row without a shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(r.source_id, r.artifact_type, *s) for r in pdf.itertuples() if r.text for s in cut_text(r.text, most, least_words)]
+            yield pd.DataFrame(out, columns=["source_id", "artifact_type", "section_id", "section_ref", "text"])
+
+    return rows.select("source_id", "artifact_type", "text").mapInPandas(run, schemas.SECTION)
 
 
 def shrink(sections: list[list[str]], most: int) -> list[list[str]]:
-    """Joins the neighbours with the fewest words together until there are at most `most` sections."""
+    """Joins the neighbours with the fewest words together (the first such on ties) until there are at most `most` sections."""
     size = [len(t.split()) for _, t in sections]
-    while len(sections) > most:
-        i = min(range(len(sections) - 1), key=lambda k: size[k] + size[k + 1])
-        sections[i : i + 2] = [[sections[i][0], sections[i][1] + "\n\n" + sections[i + 1][1]]]
-        size[i : i + 2] = [size[i] + size[i + 1]]
-    return sections
+    after, before = list(range(1, len(sections) + 1)), list(range(-1, len(sections) - 1))
+    parts = [[t] for _, t in sections]
+    heap = [(size[i] + size[i + 1], i, i + 1) for i in range(len(sections) - 1)]
+    heapq.heapify(heap)
+    left, gone = len(sections), [False] * len(sections)
+    while left > most and heap:
+        n, i, j = heapq.heappop(heap)
+        if gone[i] or gone[j] or after[i] != j or n != size[i] + size[j]:
+            continue  # one of them has grown since
+        parts[i] += parts[j]
+        size[i], gone[j], after[i], left = n, True, after[j], left - 1
+        if after[j] < len(sections):
+            before[after[j]] = i
+            heapq.heappush(heap, (size[i] + size[after[j]], i, after[j]))
+        if before[i] >= 0:
+            heapq.heappush(heap, (size[before[i]] + size[i], before[i], i))
+    return [[sections[i][0], "\n\n".join(parts[i])] for i in range(len(sections)) if not gone[i]]
 
 
 def diagram_sections(rows: DataFrame) -> DataFrame:
@@ -268,12 +300,38 @@ class LoaderRegistry:
                         out.append((r.source_id, r.artifact_type, None, None, None, f"{type(e).__name__}: {e}"))
                 yield pd.DataFrame(out, columns=columns).astype({"section_id": "Int32"})
 
-        return rows.filter(F.col("ext").isin(*parsers)).mapInPandas(run, schemas.SECTION + ", error string")
+        out = rows.filter(F.col("ext").isin(*parsers)).mapInPandas(run, schemas.SECTION + ", error string")
+        none = rows.filter(~F.col("ext").isin(*parsers, *PLAIN, "puml"))
+        missing = F.concat(F.lit("ValueError: no parser for ."), "ext").alias("error")
+        nulls = [F.lit(None).cast(k).alias(c) for c, k in (("section_id", "int"), ("section_ref", "string"), ("text", "string"))]
+        return out.unionByName(none.select("source_id", "artifact_type", *nulls, missing))
 
     def load(self, spark: SparkSession, path: str, artifact_type: str) -> DataFrame:
         """Sections of all files below `path`."""
         rows = files(spark, path, artifact_type)
-        texts = _decoded(rows.filter(F.col("ext").isin("txt", "yaml", "yml")))
+        out = self._sections(rows)
+        return out
+
+    def load_file(self, spark: SparkSession, path: str, artifact_type: str, source_id: str | None = None) -> DataFrame:
+        """Sections of one file. A missing file, an extension that isn't supported or has no parser, and a file that fails are errors."""
+        ext = path.rsplit(".", 1)[-1].lower()
+        if ext not in SUPPORTED or ext not in (*self.parsers, *PLAIN, "puml"):
+            raise ValueError(f"no loader for .{ext}; there are {', '.join(sorted((*self.parsers, *PLAIN, 'puml')))}")
+        try:
+            rows = files(spark, path, artifact_type)
+            if source_id is not None:
+                rows = rows.withColumn("source_id", F.lit(source_id))
+            failed = self.parsed(rows).filter("error is not null").select("error").first()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                raise FileNotFoundError(path) from e
+            raise
+        if failed:
+            raise ValueError(f"{path}: {failed['error']}")
+        return self._sections(rows)
+
+    def _sections(self, rows: DataFrame) -> DataFrame:
+        texts = _decoded(rows.filter(F.col("ext").isin(*PLAIN)))
         out = text_sections(texts).unionByName(diagram_sections(_decoded(rows.filter("ext = 'puml'"))))
         return out.unionByName(self.parsed(rows).filter("error is null").drop("error"))
 
