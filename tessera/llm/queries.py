@@ -110,5 +110,46 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 """
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_CONTAMINATION = f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+b as (select cast(item_id as varchar) as item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+p as (select distinct item, least(len(w), 13) as n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') as phrase
+      from (select *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from b where len(w) > 0)),
+v as (select r, n, i, array_to_string(w[i : i + n - 1], ' ') as phrase from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from p) where len(w) >= n)),
+h as (select v.r, v.i, v.n, p.item from v join p using (n, phrase)),
+hits as (select r, count(distinct z) as n_hit from (select r, unnest(range(i, i + n)) as z from h) group by r),
+found as (select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from h group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hits using (r) left join found using (r)
+"""
+
+_NEAR = f"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select r, doc_id, case when len(w) >= 4 then list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as g from d),
+e as (select r, len(g) as n, unnest(g) as g from s),
+l as (select a.r as a, b.r as b from e a join e b on a.g = b.g and a.r < b.r group by a.r, b.r, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+t as (select a, b from l union all select b, a from l),
+c(r, x) as (select r, r from s union select c.r, t.b from c join t on c.x = t.a),
+m as (select c.r, min(s.doc_id) as component_id from c join s on s.r = c.x group by c.r)
+select doc_id, cast(len(g) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join m using (r)
+"""
+
+_URL = "^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^?#]*)(?:\\?([^#]*))?"
+_WARC = f"""
+with p as (select page_id, regexp_replace(coalesce(url, ''), '[\\r\\n]', '%0A', 'g') as url, coalesce(html, '') as html from pages),
+q as (select *, cast(octet_length(encode(html)) as bigint) as n, sha1(html) as digest, {_LOWER.format("trim(url, ' ')")} as u, ((coalesce(page_id, 0) % 2147483648) + 2147483648) % 2147483648 as t from p),
+g as (select digest, max(page_id) as original from q where n >= 1000 group by digest having count(*) > 1),
+r as (select q.*, coalesce(page_id <> original, false) as again, original, regexp_extract(u, '{_URL}', 1) as host, regexp_extract(u, '{_URL}', 2) as path, regexp_extract(u, '{_URL}', 3) as query from q left join g using (digest)),
+k as (select page_id, n as payload_bytes, digest as payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then original end as refers_to,
+      case when regexp_matches(u, '^[a-z][a-z0-9+.-]*://') then array_to_string(list_filter(list_reverse(string_split(host, '.')), lambda x: x <> '' and x <> 'www'), ',') || ')' || case when path = '' then '/' else path end
+           || case when query = '' then '' else '?' || query end else u end as url_key,
+      strftime(timestamp '2020-01-01 00:00:00' + to_seconds(t), '%Y-%m-%dT%H:%M:%SZ') as captured from r)
+select *, row_number() over (order by url_key, captured, page_id nulls first, payload_digest, record_type) - 1 as position from k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk_search": _TOP_K}
+    return {"op5_topk_search": _TOP_K, "op7_decontamination": _CONTAMINATION, "op8_near_dedup": _NEAR, "op10_warc": _WARC}
