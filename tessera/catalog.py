@@ -75,16 +75,6 @@ def single_chunk_filter(spark, d):
     return rows.filter("n <= most").select(F.col("section_id").cast("long").alias("doc_id"), F.col("n").cast("long").alias("n"))
 
 
-@query()
-def greedy_chunks(spark, d):
-    return chunking.chunk(A.sections(spark, d)).select("chunk_id", "source_id", F.length("content").alias("chars"), "metadata.section_id", "metadata.chunk_index", "metadata.token_count", "metadata.overlap")
-
-
-@query()
-def chunk_statistics(spark, d):
-    return chunking.chunk_stats(chunking.chunk(A.sections(spark, d)))
-
-
 _RANK = f"""with e as ({_ENT}), k as (select *, trim(regexp_replace(lower(content), '{WS}', ' ', 'g')) as key from e),
 g as (select source_id, entity_type, key, count(*) as freq, round(count(*) + avg(confidence_score), 6) as significance, min(ordinal) as f from k group by all),
 s as (select source_id, entity_type, key, content, row_number() over (partition by source_id, entity_type, key order by length(content) desc, ordinal) as n from k),
@@ -120,9 +110,15 @@ def jaccard_dup_pairs(spark, d):
     return similarity.window_pairs(rows, "text", ["source"], "doc_id")
 
 
-@query(_PAIRS.format(keys="conv_id, turn as o", table="conversations", out="a.conv_id", on="and a.conv_id = b.conv_id", final="conv_id"))
+_TURNS = "(select conv_id, turn * 3 as turn, text from conversations union all select conv_id, turn * 3 + 1 + conv_id % 25, concat(text, ' and so on') from conversations)"
+
+
+@query(_PAIRS.format(keys="conv_id, turn as o", table=_TURNS, out="a.conv_id", on="and a.conv_id = b.conv_id", final="conv_id"))
 def conversation_dup_pairs(spark, d):
-    return similarity.window_pairs(A.table(spark, d, "conversations"), "text", ["conv_id"], "turn")
+    """Turns and a second wording of each, some places behind."""
+    c = A.table(spark, d, "conversations")
+    rows = c.selectExpr("conv_id", "turn * 3 as turn", "text").unionByName(c.selectExpr("conv_id", "turn * 3 + 1 + conv_id % 25 as turn", "concat(text, ' and so on') as text"))
+    return similarity.window_pairs(rows, "text", ["conv_id"], "turn")
 
 
 @query(_FLAGS + "select tr_id, source_id, ears_score, compliant, traceable, complete, untestable from g")
@@ -190,11 +186,6 @@ def flagged_ids(spark, d):
     return review.flagged_ids(_flags(spark, d))
 
 
-@query()
-def full_review(spark, d):
-    return review.review(A.requirements(spark, d), A.items(spark, d)).drop("tr_a")
-
-
 @query(_FLAGS + """select source_id, concat('Q_H ', printf('%.2f', q), ' < 0.78. ', cast(bad as varchar), ' TRs fail EARS.') as note from
 (select source_id, count(*) filter (compliant) / count(*) as q, count(*) filter (not compliant) as bad from g group by source_id) where q < 0.78""")
 def correction_notes(spark, d):
@@ -250,12 +241,13 @@ def bundle_pairs(spark, d):
 
 
 @query(f"""with e as ({_ENT}), g as (select source_id, lower(content) as term, row_number() over (partition by source_id order by ordinal) as n from e where entity_type = 'glossary_term'),
-a as (select source_id, lower(content) as term, row_number() over (partition by source_id order by ordinal) as n from e where entity_type = 'actor_role')
-select term, array_to_string(list_sort(list(distinct source_id)), ',') as sources from (select source_id, term from g where n <= 20 union select source_id, term from a where n <= 8) group by term""")
+a as (select source_id, lower(content) as term, row_number() over (partition by source_id order by ordinal) as n from e where entity_type = 'actor_role'),
+t as (select source_id, term, 0 as kind, n from g where n <= 20 union all select source_id, term, 1, n from a where n <= 8), f as (select term, array_to_string(list_sort(list(distinct source_id)), ',') as sources, min(row(source_id, kind, n)) as place from t group by term)
+select cast(row_number() over (order by place) - 1 as int) as position, term, sources from f qualify row_number() over (order by place) <= 40""")
 def terminology_index(spark, d):
     e = A.entities(spark, d).withColumnRenamed("content", "text")
-    t = consistency.terminology(e.filter("entity_type = 'glossary_term'"), e.filter("entity_type = 'actor_role'"), most=None)
-    return t.select("term", F.concat_ws(",", "sources").alias("sources"))
+    t = consistency.terminology(e.filter("entity_type = 'glossary_term'"), e.filter("entity_type = 'actor_role'"))
+    return t.select("position", "term", F.concat_ws(",", "sources").alias("sources"))
 
 
 @query(_RANK + ", c as (select source_id, entity_type, count(*) as n from r group by all) select cap, source_id, entity_type, least(n, cap) as kept from c, (select unnest([10, 20, 30, 50]) as cap)")
@@ -319,15 +311,4 @@ def grand_totals(spark, d):
     return reports.totals(A.table(spark, d, "documents"), ["n_chars"])
 
 
-@query()
-def near_dup_greedy_merge(spark, d):
-    top = ranking.rank_by_significance(A.entities(spark, d), 15).filter("entity_type = 'function_point'")
-    rows = top.selectExpr("source_id", "rank as ordinal", "concat('FR-', rank) as item_id", "content as description", "'medium' as priority", "array(source_id) as source_ids")
-    return similarity.greedy_merge(rows)
-
-
-@query()
-def text_sections(spark, d):
-    from tessera.sources.sections import text_sections as cut
-
-    return cut(A.table(spark, d, "documents").selectExpr("concat('doc', doc_id) as source_id", "'srs' as artifact_type", "text"))
+from tessera import catalog_steps  # noqa: E402, F401  registers more queries here

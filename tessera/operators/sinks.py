@@ -14,8 +14,8 @@ def save(df: DataFrame, path: str, mode: str = "overwrite", json: bool = False)
     writer.json(path) if json else writer.parquet(path)
 
 
-def load(spark: SparkSession, path: str, ddl: str, json: bool = False, domains: dict[str, tuple[str, ...]] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
-    """A stage table. Rows with a value outside its column's domain, or without a required one, are left out."""
+def load(spark: SparkSession, path: str, ddl: str, json: bool = False, domains: dict[str, tuple[str, ...]] | None = None, required: tuple[str, ...] = (), multi_line: bool = False) -> DataFrame:
+    """A stage table, from Parquet or from JSON (objects or arrays by line, or one document a file with `multi_line`). Rows with a value outside its column's domain, or without a required one, are left out."""
     schema = StructType.fromDDL(ddl)
     keep = F.lit(True)
     for c, values in (domains or {}).items():
@@ -24,7 +24,7 @@ def load(spark: SparkSession, path: str, ddl: str, json: bool = False, domains:
         keep &= F.col(c).isNotNull()
     if not json:
         return spark.read.schema(schema).parquet(path).filter(keep)
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", True).json(path).filter(keep)
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", multi_line).json(path).filter(keep)
 
 
 def pending(inputs: DataFrame, done: DataFrame | None, force: bool = False) -> DataFrame:
