@@ -151,6 +151,47 @@ def test_maximal_segments_equal_the_recursive_definition():
         assert [(a, b) for a, b, _ in toxicity.maximal_segments(s)] == slow(s.tolist())
 
 
+def test_learned_log_odds_equal_a_slow_version(spark):
+    rng = random.Random(33)
+    vocabulary = [f"{a}{b}{c}" for a in ("bad", "Vile", "ko", "Ma", "tu", "re", "wen", "zi", "ol") for b in ("lin", "par", "so", "mu") for c in ("", "x", "tione", "a", "rk")]
+    texts, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        texts.append(" ".join(rng.choice(vocabulary[:40] if toxic and rng.random() < 0.3 else vocabulary[40:]) for _ in range(rng.randrange(4, 30))))
+        labels.append((i, int(toxic)))
+    texts += [texts[0] + " more", texts[0]]  # near and exact copies count once with it
+    labels += [(400, 0), (401, 1)]
+    model = toxicity.learn(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    import pyarrow as pa
+
+    families: dict = {}
+    (_, _, w), = toxicity.bw.word_slices(pa.array(texts), toxicity.bw.ALNUM)
+    for i, f in enumerate(toxicity._family(w).tolist()):
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            families[f] = max(families.get(f, (0, "")), (labels[i][1], texts[i]))
+    counts: dict = {}
+    for toxic, text in families.values():
+        found = set()
+        for word in text.lower().split():
+            for p in toxicity.PREFIXES:
+                n = min(len(word), p) if p else len(word)
+                found.add((p, n, word[:n]))
+        for f in found:
+            counts.setdefault(f, [0, 0])[1 - toxic] += 1
+    total = {p: [sum(c[k] for f, c in counts.items() if f[0] == p) for k in (0, 1)] for p in toxicity.PREFIXES}
+    want = []
+    for (p, _, _), (t, c) in counts.items():
+        a = 0.05 * (t + c)
+        t, c, prior = t + a, c + a, 0.05 * sum(total[p])
+        delta = math.log(t / (total[p][0] + prior - t)) - math.log(c / (total[p][1] + prior - c))
+        z = abs(delta) / math.sqrt(1 / t + 1 / c)
+        if z >= 2.8 and abs(delta) >= 2.0:
+            want.append((round(delta, 9), round(z, 9)))
+    got = [(round(d, 9), round(z, 9)) for d, z in zip(model.delta.tolist(), model.weight.tolist(), strict=True)]
+    assert len(want) > 5 and sorted(got) == sorted(want)
+
+
 def test_toxicity_finds_planted_passages(spark):
     rng = random.Random(2)
     bad = ["idiotish", "scumlike", "vilestuff"]
@@ -336,6 +377,55 @@ def test_shards_are_even_and_keep_equal_texts_together(spark):
     assert sharding.shard_documents(frame(spark, []), 8).count() == 0
 
 
+def test_propagation_equals_a_slow_version(spark):
+    import xxhash
+
+    def slow(size, shard, links, shards, capacity, rounds):
+        shard = dict(shard)
+        for _ in range(rounds):
+            weight: dict = {}
+            for i, h in links:
+                weight[h, shard[i]] = weight.get((h, shard[i]), 0) + size[i]
+            asked: dict = {}
+            for i in size:
+                pull: dict = {}
+                for j, h in links:
+                    if j == i:
+                        for (other, s), w in weight.items():
+                            if other == h:
+                                pull[s] = pull.get(s, 0) + w
+                if not pull:
+                    continue
+                to = min(pull, key=lambda s: (-pull[s], s))
+                gain = pull[to] - pull.get(shard[i], 0)
+                if to != shard[i] and (gain > 0 or (gain == 0 and to < shard[i])):
+                    part = xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)
+                    part -= (part >> 63) << 64
+                    asked.setdefault(to, {}).setdefault((62 - (max(gain, 1).bit_length() - 1)) * 16 + part % 16, []).append(i)
+            loads = {s: sum(size[i] for i in size if shard[i] == s) for s in range(shards)}
+            moved = False
+            for to in sorted(asked):
+                room = capacity - loads[to]
+                for step in sorted(asked[to]):
+                    need = sum(size[i] for i in asked[to][step])
+                    if need <= room:
+                        room, moved = room - need, True
+                        for i in asked[to][step]:
+                            shard[i] = to
+            if not moved:
+                break
+        return shard
+
+    rng = random.Random(31)
+    for shards, capacity in ((3, 40), (4, 1000)):
+        size = {i: rng.randint(1, 9) for i in range(40)}
+        shard = {i: rng.randrange(shards) for i in size}
+        links = sorted({(i, rng.randrange(12)) for i in size for _ in range(rng.randrange(3))})
+        nodes = spark.createDataFrame([(i, size[i], shard[i]) for i in size], "id long, size long, shard int")
+        got = sharding.propagate(nodes, spark.createDataFrame(links, "id long, hub int"), shards, float(capacity), 4)
+        assert {r["id"]: r["shard"] for r in got.collect()} == slow(size, shard, links, shards, capacity, 4)
+
+
 def test_shards_beside_an_outweighing_text_are_filled_to_one_level(spark):
     rng = random.Random(9)
     texts = ["x " * 30_000] + [words_text(rng, 40) for _ in range(400)] + ["hot " * 40] * 200
@@ -575,6 +665,33 @@ def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     assert not {160, 161, 162} & kept and 163 in kept
 
 
+SCHEMAS = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+
+
+def test_pipeline_on_empty_tables_and_odd_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for kind, rows in (("none", []), ("odd", [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "!!!", None, "s", 3), (3, "x " * 40_000, "en", "s", 80_000), (None, "x " * 40_000, "en", "s", 80_000)])):
+        for name, ddl in SCHEMAS.items():
+            spark.createDataFrame(rows if name == "documents" else [], ddl).write.parquet(str(tmp_path / kind / f"{name}.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / kind)).toPandas()
+        assert set(out.doc_id.dropna()) <= {3} and (kind == "odd") == (len(out) > 0)
+
+
+def test_language_and_packing_stages_alone(spark, tmp_path, library):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(35)
+    text = lambda s: " ".join("".join(rng.choice(s) for _ in range(3)) for _ in range(60))
+    kinds = {"aa": ["tha", "ing", "ere", "ou"], "bb": ["que", "ment", "eau", "ier"]}
+    rows = [(i, text(kinds[g]), g, "s", 0) for i in range(200) for g in [("aa", "bb")[i % 2]]] + [(200, "12 34 !", "aa", "s", 0), (201, None, None, "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMAS["documents"])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = corpus_pipeline.drop_unknown_language(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(200))
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).toPandas()
+    size = {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t, *_ in rows}
+    assert packed.groupby("doc_id").length.sum().to_dict() == size and packed.groupby("sequence_id").length.sum().max() <= 2048
+
+
 def test_near_duplicate_stage_keeps_rows_without_an_id(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(13)
