@@ -14,10 +14,10 @@ def window_pairs(rows: DataFrame, text: str, keys: list[str], ordinal: str, abov
     """Pairs at most `horizon` places apart within `keys` whose Jaccard similarity exceeds `above`.
 
     Ordinals fall into bucket rows of horizon + 1 places and the right side stands in two of them, so the range
-    becomes an equality join of bounded buckets even if one key holds most of the rows. Token sets are written once;
-    sizes rule out most pairs before sets are intersected.
+    becomes an equality join of bounded buckets even if one key holds most of the rows. Token sets are written once, as
+    64-bit hashes; sizes rule out most pairs before sets are intersected.
     """
-    base = materialize(rows.select(*keys, F.col(ordinal).cast("long").alias("o"), T.token_set(text).alias("t")).filter(F.size("t") > 0), "tokens")
+    base = materialize(rows.select(*keys, F.col(ordinal).cast("long").alias("o"), F.array_distinct(F.transform(T.words(F.lower(text)), lambda w: F.xxhash64(w))).alias("t")).filter(F.size("t") > 0), "tokens")
     step = F.lit(horizon + 1)
     left = base.select(*keys, F.floor(F.col("o") / step).alias("b"), F.col("o").alias("i"), F.col("t").alias("x"))
     right = base.select(*keys, F.explode(F.array(F.floor(F.col("o") / step), F.floor(F.col("o") / step) - 1)).alias("b"), F.col("o").alias("j"), F.col("t").alias("y"))
