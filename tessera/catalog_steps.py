@@ -315,12 +315,12 @@ _PATTERNS = [
 
 @query(f"""with r as ({_REQ}), s as (select *, cast(floor(ordinal / 10) as int) as b from r where ordinal < 60),
 k as (select source_id, b, ordinal, tr_h, case {' '.join(f"when regexp_matches(tr_h, '{p}', 'i') then '{n}'" for n, p in _PATTERNS)} end as entity_type from s)
-select source_id, cast(row_number() over (partition by source_id order by b, ordinal) - 1 as int) as ordinal, entity_type, array_to_string({words('tr_h')}[1:20], ' ') as content, 0.8 as confidence_score from k where entity_type is not null""")
+select source_id, cast(row_number() over (partition by source_id order by b, ordinal) - 1 as int) as ordinal, entity_type, array_to_string({words('tr_h')}[1:20], ' ') as content, cast(0.8 as double) as confidence_score from k where entity_type is not null""")
 def extracted_entities(spark, d):
     rows = A.requirements(spark, d).filter("ordinal < 60").withColumn("b", F.floor(F.col("ordinal") / 10).cast("int"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "tr_h"))), lambda x: x["tr_h"]), "\n")
     sections = rows.groupBy("source_id", "b").agg(text.alias("text")).selectExpr("source_id", "'srs' as artifact_type", "b as section_id", "'r' as section_ref", "text")
-    return demand.extract_entities(chunking.chunk(sections), M.RuleClient()).select("source_id", "ordinal", "entity_type", "content", F.col("confidence_score").cast("decimal(2,1)").alias("confidence_score"))
+    return demand.extract_entities(chunking.chunk(sections), M.RuleClient()).select("source_id", "ordinal", "entity_type", "content", "confidence_score")
 
 
 _TOP = f"""{_RANK}, e1 as ({_ENT}), o as (select *, row_number() over (partition by source_id order by confidence_score desc, ordinal) as n from e1 where entity_type = 'function_point'),
