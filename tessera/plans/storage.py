@@ -29,15 +29,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write df as Parquet (with the writer's options) into the shared folder and read it back.
 
     The plan of the result starts at the files, so a lost executor re-reads them
     instead of recomputing, and values of non-deterministic steps stay fixed.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
