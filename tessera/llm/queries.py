@@ -89,6 +89,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.centroids import centroid_clusters
+
+    return centroid_clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed="1")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.collocation import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).withColumn("n_notices", F.size("notices")).drop("notices")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -96,7 +114,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_sharding, op2_best_fit_packing, op3_toxicity, op4_lm_scoring, op5_topk_search, op6_language_id, op7_decontamination, op8_near_dedup, op9_token_counts, op10_warc, pipeline)
+        for f in (
+            op1_sharding, op2_best_fit_packing, op3_toxicity, op4_lm_scoring, op5_topk_search, op6_language_id, op7_decontamination, op8_near_dedup, op9_token_counts, op10_warc,
+            op11_centroid_clusters, op12_collocations, op13_license_scan, pipeline,
+        )
     }
 
 
@@ -151,5 +172,46 @@ select *, row_number() over (order by url_key, captured, page_id nulls first, pa
 """
 
 
+_START = """
+with v as (select row_number() over () as id, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as q
+           from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as (select cast(row_number() over (order by h, q) - 1 as integer) as c, q
+       from (select sha256('1:' || coalesce(cast(vec_id as varchar), '')) as h, q from v order by h, q limit 16))"""
+# nearest centroids, and their moves: s - (s mod n) is what a floored quotient leaves
+_NEAREST = """
+a{i} as (select id, c, d from (select id, c, d, row_number() over (partition by id order by d, c) as place from (
+    select v.id, k.c, cast(list_sum(list_transform(list_zip(v.q, k.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint) as d from v, c{i} k)) where place = 1)"""
+_MOVED = """
+m{i} as (select c, list((s - ((s % n) + n) % n) // n order by j) as q from (
+    select c, j, cast(sum(q[j]) as bigint) as s, count(*) as n from a{i} join v using (id), range(1, 65) t(j) group by c, j) group by c),
+c{next} as (select k.c, coalesce(m{i}.q, k.q) as q from c{i} k left join m{i} using (c))"""
+_CLUSTERS = ",".join([_START, *[x for i in range(3) for x in (_NEAREST.format(i=i), _MOVED.format(i=i, next=i + 1))], _NEAREST.format(i=3)]) + """
+select vec_id, c as cluster, d as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+       sha256(array_to_string(c3.q, ',')) as centroid_sha256
+from a3 join v using (id) join c3 using (c)
+"""
+
+_COLLOCATIONS = f"""
+with d as (select row_number() over () as r, coalesce(lang, 'und') as lang, {_LOWER.format("coalesce(text, '')")} as x from documents),
+s as (select lang, unnest(string_split_regex(x, '[.,;:!?\\x0A-\\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from s),
+g as (select lang, k as words, array_to_string(w[i : i + k - 1], ' ') as phrase
+      from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, range(1, 6) t(k) where len(w) >= k)),
+f as (select lang, words, phrase, count(*) as f from g group by all having count(*) >= 100),
+n as (select lang, sum(len(w)) as n from w group by lang),
+c as (select lang, words, phrase, f as a, string_split(phrase, ' ') as p from f where words > 1),
+u as (select c.*, n, k from c join n using (lang), range(1, 5) t(k) where k < words),
+e as (select u.*, l.f as l, r.f as r, (1000 * cast(a as hugeint) * cast(n as hugeint)) // (cast(l.f as hugeint) * cast(r.f as hugeint)) as score
+      from u join f l on l.lang = u.lang and l.phrase = array_to_string(p[:k], ' ') join f r on r.lang = u.lang and r.phrase = array_to_string(p[k + 1 :], ' ')),
+b as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as place from e) where place = 1),
+h as (select distinct s.lang, s.phrase from c s join c q on q.lang = s.lang and q.words > s.words and 100 * q.a >= 100 * s.a and strpos(' ' || q.phrase || ' ', ' ' || s.phrase || ' ') > 0),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b anti join h using (lang, phrase))
+select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score from o where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk_search": _TOP_K, "op7_decontamination": _CONTAMINATION, "op8_near_dedup": _NEAR, "op10_warc": _WARC}
+    return {
+        "op5_topk_search": _TOP_K, "op7_decontamination": _CONTAMINATION, "op8_near_dedup": _NEAR, "op10_warc": _WARC,
+        "op11_centroid_clusters": _CLUSTERS, "op12_collocations": _COLLOCATIONS,
+    }
