@@ -22,14 +22,16 @@ chance about 2e-5.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; shorter texts than a shingle
 are one shingle of all their words; equal texts link; ties go to the smallest id, of any type that has an order; repeated ids are rows of
-one document each; a row with a null id gets the component of its equals, if any, and is not kept then, else it is kept with a null component. Other columns
-are passed over. An empty table gives no rows.
+one document each. Rows with a null id carry links like any other: they get the smallest id they reach, and are not kept then; where only such rows
+are linked, their component is null and all are kept. Other columns are passed over. An empty table gives no rows.
+Words and shingles are compared by 64-bit hashes: two given texts of n shingles between them are misjudged with chance n^2 / 2^65 at most.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -197,9 +199,25 @@ def most_alike(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
 
 
-def sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """id, items (the sorted shingle hashes) of the classes `wanted` (id, set_key, doc), by one text of each."""
+def nameless_sets(documents: DataFrame, n: int) -> DataFrame:
+    """set_key and items of the sets that rows without an id have, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, value, first in shingle_sets(batch.column("text"), n):
+                own = [value[a:b].tobytes() for a, b in zip(first, first[1:], strict=False) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(x).digest() for x in own], pa.binary()), pa.array(own, pa.binary())], ["set_key", "items"])
+
+    texts = documents.filter("doc_id is null").select("text").distinct()
+    return bw.arrow(texts, run, "set_key binary, items binary").groupBy("set_key").agg(F.first("items").alias("items"))
+
+
+def sets_of(wanted: DataFrame, documents: DataFrame, n: int, nameless: DataFrame | None = None) -> DataFrame:
+    """id, items (the sorted shingle hashes) of the classes `wanted` (id, set_key, doc), by one text of each; of those without an id from `nameless`."""
     wanted = wanted.select("id", "set_key", "doc")
+    if nameless is not None:
+        loose = nameless.join(wanted.filter("doc is null"), "set_key").select("id", "items")
+        return sets_of(wanted.filter("doc is not null"), documents, n).unionByName(loose)
     if wanted.count() <= BROADCAST_IDS:  # spares a shuffle of all texts
         wanted = F.broadcast(wanted)
     texts = documents.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc").select("id", "set_key", "text")
@@ -224,11 +242,11 @@ def _alike(items: np.ndarray, other: list[np.ndarray], percent: int) -> np.ndarr
     return 100 * both >= percent * (len(items) + size - both)
 
 
-def star_links(pairs: DataFrame, documents: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+def star_links(pairs: DataFrame, sets: Callable, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the full sets confirm; the members b of each a stream past its set."""
     pairs = materialize(pairs, "pairs")
     rows = pairs.select("a", F.col("b").alias("id"), F.lit(1).alias("member")).unionByName(pairs.select("a", F.col("a").alias("id"), F.lit(0).alias("member")).distinct())
-    whole = sets_of(documents, classes.join(rows.select("id").distinct(), "id", "left_semi"), n)
+    whole = sets(classes.join(rows.select("id").distinct(), "id", "left_semi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, items = None, None
@@ -323,11 +341,11 @@ def contested(rows: DataFrame, least_same: int, threshold: float) -> DataFrame:
     return bw.arrow(rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "id"), run, _MEMBER)
 
 
-def node_links(rows: DataFrame, documents: DataFrame, classes: DataFrame, n: int, threshold: float, least_same: int) -> DataFrame:
+def node_links(rows: DataFrame, sets: Callable, classes: DataFrame, threshold: float, least_same: int) -> DataFrame:
     """Links (a, b) between components within groups, confirmed on the full sets; at most one for each member."""
     percent = round(100 * threshold)
     rows = materialize(rows, "contested")
-    whole = sets_of(documents, classes.join(rows.select("id").distinct(), "id", "left_semi"), n)
+    whole = sets(classes.join(rows.select("id").distinct(), "id", "left_semi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, _KEY, 4_000):
@@ -411,16 +429,19 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, tr
     percent = round(100 * threshold)
     least_same = int(K * threshold - 4.2 * np.sqrt(K * threshold * (1 - threshold)))
     sketches = materialize(sketch(documents, n, threshold, trees), "sketches")
-    classes = sketches.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "nodes")).alias("x"), F.count("*").alias("copies"))
+    named = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "n_shingles", "sig", "nodes")
+    classes = sketches.filter("set_key is not null").groupBy("set_key").agg(F.min(named).alias("x"), F.count("*").alias("copies"))
     classes = classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "copies", F.col("x.doc_id").alias("doc"), F.col("x.n_shingles").alias("n"), "x.sig", "x.nodes")
     classes = materialize(classes, "classes")  # which fixes the ids
+    nameless = None if classes.filter("doc is null").isEmpty() else materialize(nameless_sets(documents, n), "nameless")
+    sets = partial(sets_of, documents=documents, n=n, nameless=nameless)
     marks = classes.select("id", "sig")
     places = shared_nodes(classes.select(F.explode("nodes").alias("node"), "id", "n"))
     # one link for each class, to the least member of the node that looks most alike
     split = places.select("node", "id", "cnt", F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / block)).cast("int").alias("block")).join(marks, "id")
     heads = split.filter(F.col("cnt") > block).groupBy("node", "block").agg(F.min(F.struct("id", "sig")).alias("x")).select("node", "x.*")
     pairs = leader_pairs(split, ["node", "block"], least_same).unionByName(leader_pairs(heads, ["node"], least_same))
-    known = joined(None, star_links(most_alike(pairs), documents, classes, n, percent))
+    known = joined(None, star_links(most_alike(pairs), sets, classes, percent))
     for level in range(1, depth + 1):
         at = places.select("node", "id", "n").join(known, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("comp"))
         mixed = outside(at, block)
@@ -433,7 +454,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, tr
         mine = F.transform(F.filter("spots", lambda s: s["small"]), lambda s: s["node"])
         rows = by_id.select("id", "n", "comp", "sig", mine.alias("mine"), F.explode("spots").alias("s")).select("s.*", "id", "n", "comp", "sig", "mine")
         rows = materialize(rows.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("copy")), "level")
-        links = node_links(contested(dealt(rows.filter("small")), least_same, threshold), documents, classes, n, threshold, least_same)
+        links = node_links(contested(dealt(rows.filter("small")), least_same, threshold), sets, classes, threshold, least_same)
         if not links.isEmpty():
             known = joined(known, links)
         large = rows.filter("not small")
@@ -447,7 +468,9 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, tr
     linked = known.join(least, "component").select("id", "first")
     told = classes.select("id", "set_key", "doc", "copies").join(linked, "id", "left").filter("copies > 1 or first is not null").select("set_key", F.coalesce("first", "doc").alias("first"))
     told = materialize(told, "told")
-    release(classes, places)
+    release(classes, places, *([] if nameless is None else [nameless]))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(told, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = materialize(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-duplicates")
+    release(sketches, told)
+    return out

@@ -155,7 +155,7 @@ l as (select a.r as a, b.r as b from e a join e b on a.g = b.g and a.r < b.r gro
 t as (select a, b from l union all select b, a from l),
 c(r, x) as (select r, r from s union select c.r, t.b from c join t on c.x = t.a),
 m as (select c.r, min(s.doc_id) as component_id from c join s on s.r = c.x group by c.r)
-select doc_id, cast(len(g) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join m using (r)
+select doc_id, cast(len(g) as bigint) as n_shingles, component_id, doc_id is not distinct from component_id as kept from s join m using (r)
 """
 
 _URL = "^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^?#]*)(?:\\?([^#]*))?"

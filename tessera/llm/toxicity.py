@@ -1,7 +1,7 @@
 """Toxic passages: every maximum-scoring segment of token log-odds, with extreme-value calibration.
 
 Learning: counts of words and of their first 3 to 6 bytes in labelled documents (once for each
-family of texts that share their least hashed run of four words, by one of them, so that copies don't count again) give log-odds
+family of texts that share their least hashed run of four words, or all words if they are fewer, by one of them, so that copies don't count again) give log-odds
 with an informative Dirichlet prior (the counts of both classes together, scaled). Features whose
 log-odds are `min_delta` and `min_z` standard deviations from 0 keep them, so that words of a language
 or topic that is merely commoner among toxic texts do not add up over long texts; a word scores as its most
@@ -124,21 +124,27 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _family(w: bw.Words) -> np.ndarray:
-    """Per text its least hash of four consecutive words: near copies mostly share it."""
+    """Per text its least hash of four consecutive words: near copies mostly share it. Of shorter texts a hash of all words."""
     out = np.full(w.texts, np.uint64(2**64 - 1))
-    if len(w.start) >= 4:
-        grams = bw.ngrams(w.hashes(), 4)
+    h, many = w.hashes(), np.diff(w.first)
+    if len(h) >= 4:
+        grams = bw.ngrams(h, 4)
         whole = w.doc[: len(grams)] == w.doc[3:]
         np.minimum.at(out, w.doc[: len(grams)][whole], grams[whole])
-    short = np.flatnonzero(np.diff(w.first) < 4)
-    out[short] = bw.mix(short.astype(np.uint64))
+    for n in range(4):
+        short = np.flatnonzero(many == n)
+        key = np.full(len(short), np.uint64(n))
+        for k in range(n):
+            key = bw.mix(key ^ h[w.first[short] + k])
+        out[short] = key
     return out
 
 
 def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 50_000, min_z: float = 2.8, min_delta: float = 2.0, prior: float = 0.05) -> ToxicityModel:
     """Fit on at most `max_rows` labelled documents that are not held out (those with the smallest hashed ids).
 
-    `max_rows` bounds the broadcast sample of labels, `max_features` the model's size.
+    `max_rows` bounds the broadcast sample of labels and what the fit collects, `max_features` the model's size. The model is the same
+    however rows lie in partitions.
     """
     sample = (
         labels.filter(F.col("toxic").isNotNull() & ~held_out())
@@ -187,8 +193,12 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_f
     order = np.argsort(keys)
     model.keys, model.delta, model.weight = keys[order], best.column("delta").to_numpy()[order], best.column("z").to_numpy()[order]
     model.k = 1.0
-    seen = bw.arrow(train, lambda b: _scan(b, model, ["toxic"], False), "toxic int, best double, total double, n_words long").toArrow()
-    return calibrate(model, *(seen.column(c).to_numpy().astype(float) for c in ("toxic", "best", "n_words")))
+    each = bw.arrow(train, lambda b: _scan(b, model, ["doc_id", "toxic"], False), f"doc_id {train.schema['doc_id'].dataType.simpleString()}, toxic int, best double, total double, n_words long")
+    # a row for each labelled id, however many documents have it; in an order that doesn't hang on partitions
+    seen = each.groupBy("doc_id").agg(F.max(F.struct("toxic", "best", "n_words")).alias("x")).select("x.*").toArrow()
+    columns = [seen.column(c).to_numpy().astype(float) for c in ("toxic", "best", "n_words")]
+    order = np.lexsort(columns)
+    return calibrate(model, *(x[order] for x in columns))
 
 
 def calibrate(model: ToxicityModel, y: np.ndarray, best: np.ndarray, m: np.ndarray) -> ToxicityModel:

@@ -245,7 +245,9 @@ def test_dictionaries_come_from_whole_texts_and_distinct_pieces(spark):
     assert [len(x) for x in got] == [4000, 2000] and b"".join(got).count(b"copied text") <= 40
     everything = langid.learn(docs, piece=400, blocks=(400_000,))["en"][0]
     assert everything.count(b"first ") >= 78 and sum(w.encode() in everything for w in texts[0].split()[700:]) > 200
-    assert langid.learn(docs.filter("false")) == {} and len(langid.learn(docs.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 9)), most_languages=2)) == 2
+    assert langid.learn(docs.filter("false")) == {}
+    many = spark.range(4000).selectExpr("id as doc_id", "'some text in it' as text", "'l' || (id div 4) as lang")
+    assert len(langid.learn(many, blocks=(400,))) > 900  # every language that has a row which isn't held out
 
 
 def test_margins_do_not_shrink_with_length(spark):
@@ -350,6 +352,18 @@ def test_near_duplicates_without_or_with_repeated_ids(spark):
     assert got == sorted([(0, 57, 4, False), (0, 2, None, True), (4, 57, 4, True), (4, 3, 4, True), (4, 57, 4, True), (9, 58, 4, False), (0, 0, None, True)], key=str)
 
 
+def test_rows_without_an_id_carry_links(spark):
+    words = [f"c{i}" for i in range(115)]
+    chain = [" ".join(words[k : k + 100]) for k in (0, 5, 10, 15)]  # 92 of 102 shingles shared by neighbours, 82 of 112 by the next but one
+    rows = [(1, chain[0]), (None, chain[1]), (None, chain[1]), (2, chain[2]), (None, "x y z w v"), (None, "x y z w v"), (3, "a b c d e"), (None, "a b c d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for n in (1, 2000):
+        got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in neardup.near_duplicates(docs, n=4, leaf=n, few=n, block=2 if n == 1 else 1000).collect())
+        assert got == sorted([("1", "1", True), ("2", "1", False), ("3", "3", True), *[("None", "1", False)] * 2, *[("None", "None", True)] * 2, ("None", "3", False)])
+    alone = spark.createDataFrame([(None, t) for t in chain], "doc_id string, text string")
+    assert [(r["component_id"], r["kept"]) for r in neardup.near_duplicates(alone, n=4).collect()] == [(None, True)] * 4
+
+
 def test_links_of_a_node_span_its_components(spark):
     """A group whose members are alike only along a chain needs every link that is there."""
     rng = random.Random(5)
@@ -692,6 +706,56 @@ def test_language_and_packing_stages_alone(spark, tmp_path, library):
     assert packed.groupby("doc_id").length.sum().to_dict() == size and packed.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def test_toxicity_of_short_texts_is_learned_from_any_layout(spark, tmp_path):
+    """Short texts are families by their words: equal ones count once, others each, however rows lie in partitions."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(41)
+    vile, mild = [f"vile{i}" for i in range(6)], [f"mild{i}" for i in range(60)]
+    rows = [(i, f"{rng.choice(vile if i % 5 == 0 else mild)} {rng.choice(mild)}", "en", "s", 9) for i in range(400)]
+    rows += [(400 + i, ["", "one", "vile0 mild0", None][i % 4], "en", "s", 9) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMAS["documents"])
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)] + [(i, 0) for i in range(400, 440)], "doc_id long, toxic int")
+    models = [toxicity.learn(docs.repartition(parts), labels.repartition(parts)) for parts in (1, 16, 97)]
+    first = models[0]
+    assert len(first.keys) >= 6
+    for m in models[1:]:
+        assert (m.keys == first.keys).all() and (m.delta == first.delta).all() and (m.k, m.coef.tolist()) == (first.k, first.coef.tolist())
+    once = {" ".join(t.split()) for i, t, *_ in rows[:400] if zlib.crc32(str(i).encode()) % 4 != 2}
+    import pyarrow as pa
+
+    (_, _, w), = toxicity.bw.word_slices(pa.array([t for _, t, *_ in rows]), toxicity.bw.ALNUM)
+    family = toxicity._family(w).tolist()
+    assert len({family[i] for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2}) == len(once)
+    docs.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    kept_ids = {r["doc_id"] for r in kept.collect()}
+    assert kept.columns == docs.columns and not any(i % 5 == 0 for i in kept_ids if i < 400) and all(i in kept_ids for i in range(400) if i % 5)
+    assert corpus_pipeline.drop_toxic(spark, docs.filter("false"), str(tmp_path)).count() == 0
+
+
+def test_toxicity_fit_holds_a_row_for_each_labelled_id(spark):
+    docs = spark.createDataFrame([(i % 4 * 4, f"vile word {i}" if i % 2 else f"mild word {i}", "en", "s", 1) for i in range(300)], SCHEMAS["documents"])
+    labels = spark.createDataFrame([(i * 4, i % 2) for i in range(4)], "doc_id long, toxic int")
+    a, b = (toxicity.learn(docs.repartition(n), labels, min_z=0.1, min_delta=0.1) for n in (1, 9))
+    assert a.coef.tolist() == b.coef.tolist() and (a.keys == b.keys).all()
+
+
+def test_decontamination_stage_alone(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(14)
+    item = words_text(rng, 20, 3000)
+    long = words_text(rng, 900, 3000)
+    spark.createDataFrame([(1, item), (2, None), (3, "")], SCHEMAS["benchmark"]).write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, long, "en", "s", len(long)), (2, item, "en", "s", 1), (3, long + " " + item.upper(), "en", "s", 1), (4, None, None, None, None), (5, "", "en", "s", 0), (None, item, "en", "s", 1), (1, long, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMAS["documents"])
+    out = corpus_pipeline.remove_benchmark(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"], (r["text"] or "").strip(), r["n_chars"]) for r in out.collect())
+    assert [x[0] for x in got] == [1, 1, 3, 4, 5] and got[0][1] == got[1][1] == got[2][1] == long
+    assert corpus_pipeline.remove_benchmark(spark, docs.filter("false"), str(tmp_path)).count() == 0
+
+
 def test_near_duplicate_stage_keeps_rows_without_an_id(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(13)
