@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -47,6 +48,17 @@ _WORDS = "block long, lang array<string>, word array<string>, n array<int>, at b
 _PHRASES = "block long, p array<long>, w array<long>, n array<int>, at binary"
 
 
+def packed(at: np.ndarray) -> bytes:
+    """Positions as compressed differences, low bytes first."""
+    steps = np.diff(at.astype("<i4"), prepend=np.int32(0)).astype("<i4")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel(), dtype=np.int32)
+
+
 def places(w: bw.Words) -> np.ndarray:
     """Positions of a block's words: neighbours within a piece differ by one, others by more."""
     if not len(w.start):
@@ -86,7 +98,7 @@ def word_lists(documents: DataFrame, text_col: str = "text", lang_col: str = "la
             word, names = dictionary(w)
             key, n, at = grouped(code[lo:hi][w.doc] * len(names) + word, places(w))
             lists = pa.array([langs.dictionary.take(pa.array(key // len(names))).to_pylist()]), pa.array([names.take(pa.array(key % len(names))).to_pylist()])
-            yield number, pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([n.astype(np.int32)]), pa.array([at.astype(np.int32).tobytes()])], ["block", "lang", "word", "n", "at"])
+            yield number, pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([n.astype(np.int32)]), pa.array([packed(at)])], ["block", "lang", "word", "n", "at"])
             number += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +157,10 @@ def extend(lists: DataFrame, frequent: DataFrame, level: int, most: int) -> Data
                 else:
                     number = np.full(len(n), -1)
                     number[get("ids").field("slot").to_numpy()] = get("ids").field("id").to_numpy()
-                row = {"n": n, "at": np.frombuffer(batch.column("at")[i].as_buffer(), np.int32), "w": None if level == 1 else get("w").to_numpy()}
+                row = {"n": n, "at": unpacked(batch.column("at")[i].as_py()), "w": None if level == 1 else get("w").to_numpy()}
                 new = longer_lists(row, number)
                 if len(new["n"]):
-                    yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.array([new["p"]]), pa.array([new["w"]]), pa.array([new["n"].astype(np.int32)]), pa.array([new["at"].astype(np.int32).tobytes()])], ["block", "p", "w", "n", "at"])
+                    yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.array([new["p"]]), pa.array([new["w"]]), pa.array([new["n"].astype(np.int32)]), pa.array([packed(new["at"])])], ["block", "p", "w", "n", "at"])
 
     return bw.arrow(lists, run, _PHRASES)
 

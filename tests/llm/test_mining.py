@@ -143,6 +143,12 @@ def test_collocations_of_nothing(spark):
         mined(spark, [], least=0)
 
 
+def test_positions_are_packed_without_loss():
+    rng = np.random.default_rng(1)
+    for at in (np.zeros(0, np.int64), np.array([0]), np.sort(rng.integers(0, 2**31 - 1, 500)), rng.integers(0, 2**31 - 1, 500), np.array([2**31 - 1, 0, 2**31 - 1])):
+        assert (collocation.unpacked(collocation.packed(at)) == at).all()
+
+
 def test_scores_past_64_bits(spark):
     row = spark.range(1).selectExpr("4000000000000000 as f", "9000000000000000000 as n", "array(5000000000000000L, 1L) as pre", "array(7000000000000000L, 1L) as suf")
     got = row.select(collocation.score_of(2).alias("x")).first()["x"]
