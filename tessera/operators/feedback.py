@@ -106,7 +106,3 @@ def loop(rows: DataFrame, review: Callable[[DataFrame], DataFrame], repair: Call
         now = after
     return now
 
-
-def renumbered(rows: DataFrame) -> DataFrame:
-    """Ordinals 1.. of each source in the present order."""
-    return rows.withColumn("ordinal", F.row_number().over(W.partitionBy("source_id").orderBy("ordinal", "tr_id")))

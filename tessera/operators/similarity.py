@@ -7,21 +7,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.plans.storage import materialize
+from tessera.operators.positions import ordered
 
 
 def window_pairs(rows: DataFrame, text: str, keys: list[str], ordinal: str, above: float = 0.75, horizon: int = 19) -> DataFrame:
-    """Pairs at most `horizon` places apart within `keys` whose Jaccard similarity exceeds `above`.
+    """Pairs (i, j are ordinals) at most `horizon` rows apart in the order of a key's rows whose Jaccard similarity exceeds `above`.
 
-    Ordinals fall into bucket rows of horizon + 1 places and the right side stands in two of them, so the range
-    becomes an equality join of bounded buckets even if one key holds most of the rows. Token sets are written once, as
-    64-bit hashes; sizes rule out most pairs before sets are intersected.
+    Rows are counted by gapless positions, whatever gaps their ordinals have; rows without words count too. Positions fall into buckets
+    of horizon + 1 places and the right side stands in two of them, so the range becomes an equality join of bounded
+    buckets even if one key holds most of the rows. Token sets are written once, as 64-bit hashes; sizes rule out most pairs before
+    sets are intersected. The table of token sets is read by the result and stays in the shared folder with it.
     """
-    base = materialize(rows.select(*keys, F.col(ordinal).cast("long").alias("o"), F.array_distinct(F.transform(T.words(F.lower(text)), lambda w: F.xxhash64(w))).alias("t")).filter(F.size("t") > 0), "tokens")
+    tokens = F.array_distinct(F.transform(T.words(F.lower(text)), lambda w: F.xxhash64(w)))
+    base = ordered(rows.select(*keys, F.col(ordinal).cast("long").alias("o"), tokens.alias("t")), [*keys, "o", "t"], "tokens").filter(F.size("t") > 0)
     step = F.lit(horizon + 1)
-    left = base.select(*keys, F.floor(F.col("o") / step).alias("b"), F.col("o").alias("i"), F.col("t").alias("x"))
-    right = base.select(*keys, F.explode(F.array(F.floor(F.col("o") / step), F.floor(F.col("o") / step) - 1)).alias("b"), F.col("o").alias("j"), F.col("t").alias("y"))
-    near = left.join(right, [*keys, "b"]).filter((F.col("j") > F.col("i")) & (F.col("j") <= F.col("i") + horizon))
+    bucket = F.floor(F.col("place") / step)
+    left = base.select(*keys, bucket.alias("b"), F.col("place").alias("at"), F.col("o").alias("i"), F.col("t").alias("x"))
+    right = base.select(*keys, F.explode(F.array(bucket, bucket - 1)).alias("b"), F.col("place").alias("to"), F.col("o").alias("j"), F.col("t").alias("y"))
+    near = left.join(right, [*keys, "b"]).filter((F.col("to") > F.col("at")) & (F.col("to") <= F.col("at") + horizon))
     near = near.filter(F.least(F.size("x"), F.size("y")) > above * F.greatest(F.size("x"), F.size("y")))
     both = F.size(F.array_intersect("x", "y"))
     pairs = near.withColumn("similarity", both / (F.size("x") + F.size("y") - both))

@@ -43,6 +43,12 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     return out
 
 
+def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Bounds Arrow batches in bytes, where the session has no bound of its own, so that large values don't pile up in one."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files behind materialized tables that nothing will read again."""
     for df in tables:

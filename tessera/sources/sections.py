@@ -1,15 +1,18 @@
 """Loaders: files to sections (source_id, artifact_type, section_id, section_ref, text).
 
-Plain text is cut with DataFrame operations only; formats with a grammar of their own (JSON, XML, word
-processor files) are parsed row by row in Arrow batches, one file a row, so files are spread over the cluster.
+A folder is scanned once: each file is parsed row by row in Arrow batches, one file a row, so files are spread over the cluster, and gives
+sections, spans of laid-out pages, the text of a diagram, or an error. These are written once; diagrams and spans become sections by
+DataFrame operations on that table.
 """
 
 from __future__ import annotations
 
 import heapq
+import html
 import io
 import json
 import re
+import warnings
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions import text as T
+from tessera.plans.storage import bound_batches, materialize
+from tessera.sources import pdf
 
 SUPPORTED = ("pdf", "docx", "txt", "xml", "uml", "xmi", "json", "yaml", "yml", "puml")
 PLAIN = ("txt", "yaml", "yml")
@@ -34,7 +39,8 @@ def files(spark: SparkSession, path: str, artifact_type: str) -> DataFrame:
     """source_id, ext, artifact_type, content of every supported file (a folder is not searched below)."""
     if artifact_type not in schemas.ARTIFACT_TYPES:
         raise ValueError(f"artifact_type must be one of {schemas.ARTIFACT_TYPES}")
-    raw = spark.read.format("binaryFile").load(path)
+    any_case = ",".join("".join(f"[{c}{c.upper()}]" for c in ext) for ext in SUPPORTED)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{any_case}}}").load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     rows = raw.select(
         F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("source_id"),
@@ -45,11 +51,8 @@ def files(spark: SparkSession, path: str, artifact_type: str) -> DataFrame:
     return rows.filter(F.col("ext").isin(*SUPPORTED))
 
 
-def _decoded(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("text", F.decode("content", "UTF-8"))
-
-
 _LINE_END = re.compile(r"\r\n|[\n\x0b\f\r\x85\u2028\u2029]")
+# patterns of headings (fixed values)
 _NUMBERED = re.compile(r"^([0-9]+[.0-9]*|Chapter\s+[0-9]+|Appendix\s+[A-Z])\s+\S", re.ASCII)
 _TITLE = re.compile(r"^[A-Z][^\n]{3,59}$")
 _SPACE = " \t\n\x0b\f\r"
@@ -178,23 +181,55 @@ def _api_parts(data: dict) -> Iterator[tuple[str, str]]:
         yield f"openapi:schema:{name}", "\n".join([f"Schema: {name}", f"Description: {get(schema, 'description')}", *rows])
 
 
-def xml_sections(raw: bytes) -> list[tuple[int, str, str]]:
-    """One section per child of the root: texts of leaves and named elements. Broken files yield what was read before the break."""
-    parser = ElementTree.XMLPullParser(["start"])
-    root = None
+_MARKUP = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<\?.*?(?:\?>|$)|<!DOCTYPE(?:[^\[<>]*\[.*?\]\s*>|[^<>]*>)"
+    r"|</\s*(?P<end>[^\s<>/]+)[^<>]*>?"
+    r"|<(?P<start>[A-Za-z_:][^\s<>/=\"']*)(?P<attributes>(?:\s+[^\s<>=/\"']+(?:\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'|[^\s<>\"']+))?|[\s\"'=]|/(?!>))*)(?P<empty>/?)>?"
+    r"|(?P<text>[^<]+|<)", re.S,
+)
+_ATTRIBUTE = re.compile(r"([^\s<>=/\"']+)\s*=\s*(?:\"([^\"<]*)\"|'([^'<]*)'|([^\s<>\"']+))")
+
+
+def mended_tree(raw: bytes) -> ElementTree.Element | None:
+    """The elements of a broken file: an end tag closes what is open up to the element of its name, and is passed over where there is none."""
+    named = re.match(rb"[^<]*<\?xml[^>]*encoding=[\"']([\w.-]+)", raw)
     try:
-        parser.feed(raw)
-        parser.close()
-    except ElementTree.ParseError:
-        pass
+        text = raw.decode(named[1].decode() if named else "utf-8-sig", "replace")
+    except LookupError:
+        text = raw.decode("utf-8", "replace")
+    root, last, stack = None, None, []
+    for m in _MARKUP.finditer(text):
+        if m["start"]:
+            e = ElementTree.Element(m["start"], {k: html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m["attributes"])})
+            if root is None:
+                root = e
+            else:  # what stands behind the root's end is taken as its child
+                (stack[-1] if stack else root).append(e)
+            last = e if m["empty"] else None
+            if not m["empty"]:
+                stack.append(e)
+        elif m["end"]:
+            at = max((k for k, e in enumerate(stack) if e.tag == m["end"]), default=None)
+            if at is not None:
+                last = stack[at]
+                del stack[at:]
+        elif (body := m["cdata"] if m["cdata"] is not None else m["text"] and html.unescape(m["text"])) and stack:
+            if last is None:
+                stack[-1].text = (stack[-1].text or "") + body
+            else:
+                last.tail = (last.tail or "") + body
+    return root
+
+
+def xml_sections(raw: bytes) -> list[tuple[int, str, str]]:
+    """One section per child of the root: texts of leaves and named elements. Broken files are read with what their tags allow."""
     try:
-        for _, e in parser.read_events():
-            root = e if root is None else root
-    except ElementTree.ParseError:
-        pass
+        root = ElementTree.fromstring(raw)
+    except (ElementTree.ParseError, ValueError, LookupError):
+        root = mended_tree(raw)
     if root is None:
         return []
-    local = lambda name: name.rsplit("}", 1)[-1]
+    local = lambda name: name.rsplit("}", 1)[-1].rsplit(":", 1)[-1]
     has_text = lambda e: bool(e.text and e.text.strip())
     leaf = lambda e: has_text(e) and not any(has_text(c) for c in e)
 
@@ -274,66 +309,82 @@ def span_sections(spans: DataFrame, ratio: float = 1.2) -> DataFrame:
 
 
 Parser = Callable[[bytes], list[tuple[int, str, str]]]
+_LOADED = schemas.SECTION + ", kind string, page int, pos int, size double, flags int, error string"
+_COLUMNS = [x.split()[0] for x in _LOADED.split(", ")]
 
 
 class LoaderRegistry:
-    """Parsers by extension; others can be added. A file that fails yields a row in `errors` and no sections."""
+    """Parsers by extension; others can be added. A file that fails yields a row with its error and no sections."""
 
     def __init__(self) -> None:
         self.parsers: dict[str, Parser] = {"json": json_sections, "xml": xml_sections, "uml": xml_sections, "xmi": xml_sections, "docx": docx_sections}
+        self.parsers |= {ext: lambda raw: cut_text(raw.decode("utf-8", "replace")) for ext in PLAIN}
 
     def register(self, ext: str, parser: Parser) -> None:
         self.parsers[ext.lower()] = parser
 
     def parsed(self, rows: DataFrame) -> DataFrame:
-        """Sections and, where a parser failed, its error."""
+        """What each file (source_id, artifact_type, ext, content) gives: sections, a diagram's text, spans, or the error that its parser met, told by `kind`."""
         parsers = dict(self.parsers)
 
+        def parts(ext: str, raw: bytes) -> list[tuple]:
+            if ext in parsers:
+                return [(*x, "section", None, None, None, None, None) for x in parsers[ext](raw)]
+            if ext == "puml":
+                return [(None, None, raw.decode("utf-8", "replace"), "diagram", None, None, None, None, None)]
+            if ext == "pdf":
+                return [(None, None, text, "span", page, pos, size, flags, None) for page, pos, size, flags, text in pdf.spans(raw)]
+            raise ValueError(f"no parser for .{ext}")
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            columns = ["source_id", "artifact_type", "section_id", "section_ref", "text", "error"]
-            for pdf in batches:
-                out = []
-                for r in pdf.itertuples():
+            for rows in batches:
+                for r in rows.itertuples():
                     try:
-                        out += [(r.source_id, r.artifact_type, *s, None) for s in parsers[r.ext](bytes(r.content))]
+                        out = parts(r.ext, bytes(r.content))
                     except Exception as e:  # one bad file must not end the load
-                        out.append((r.source_id, r.artifact_type, None, None, None, f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame(out, columns=columns).astype({"section_id": "Int32"})
+                        out = [(None, None, None, "error", None, None, None, None, f"{type(e).__name__}: {e}")]
+                    frame = pd.DataFrame([(r.source_id, r.artifact_type, *x) for x in out], columns=_COLUMNS)
+                    yield frame.astype({"section_id": "Int32", "page": "Int32", "pos": "Int32", "size": "float64", "flags": "Int32"})
+
+        bound_batches(rows.sparkSession)
+        return rows.select("source_id", "artifact_type", "ext", "content").mapInPandas(run, _LOADED)
+
+    def sections(self, rows: DataFrame) -> DataFrame:
+        """Sections of files, and a row for each that failed, with `error`. The files are read once; what they give is written into the shared folder."""
+        table = materialize(self.parsed(rows), "loaded")
+        cols = [x.split()[0] for x in schemas.SECTION.split(", ")]
+        out = table.filter("kind in ('section', 'error')").select(*cols, "error")
+        drawn = diagram_sections(table.filter("kind = 'diagram'"))
+        laid = span_sections(table.filter("kind = 'span'").select("source_id", "artifact_type", "page", "pos", "size", "flags", "text"))
+        for more in (drawn, laid):
+            out = out.unionByName(more.select(*cols, F.lit(None).cast("string").alias("error")))
+        return out
 
-        out = rows.filter(F.col("ext").isin(*parsers)).mapInPandas(run, schemas.SECTION + ", error string")
-        none = rows.filter(~F.col("ext").isin(*parsers, *PLAIN, "puml"))
-        missing = F.concat(F.lit("ValueError: no parser for ."), "ext").alias("error")
-        nulls = [F.lit(None).cast(k).alias(c) for c, k in (("section_id", "int"), ("section_ref", "string"), ("text", "string"))]
-        return out.unionByName(none.select("source_id", "artifact_type", *nulls, missing))
+    def read(self, spark: SparkSession, path: str, artifact_type: str) -> DataFrame:
+        """Sections of all files below `path`, and a row with its error for each file that failed, from one scan."""
+        return self.sections(files(spark, path, artifact_type))
 
     def load(self, spark: SparkSession, path: str, artifact_type: str) -> DataFrame:
-        """Sections of all files below `path`."""
-        rows = files(spark, path, artifact_type)
-        out = self._sections(rows)
-        return out
+        """Sections of all files below `path`; how many files failed is a warning."""
+        whole = self.read(spark, path, artifact_type)
+        if failed := whole.filter("error is not null").count():
+            warnings.warn(f"{failed} files below {path} couldn't be loaded; `read` names them", stacklevel=2)
+        return whole.filter("error is null").drop("error")
 
     def load_file(self, spark: SparkSession, path: str, artifact_type: str, source_id: str | None = None) -> DataFrame:
-        """Sections of one file. A missing file, an extension that isn't supported or has no parser, and a file that fails are errors."""
+        """Sections of one file. A missing file, an extension that isn't supported and a file that fails are errors."""
         ext = path.rsplit(".", 1)[-1].lower()
-        if ext not in SUPPORTED or ext not in (*self.parsers, *PLAIN, "puml"):
-            raise ValueError(f"no loader for .{ext}; there are {', '.join(sorted((*self.parsers, *PLAIN, 'puml')))}")
+        if ext not in SUPPORTED:
+            raise ValueError(f"no loader for .{ext}; there are {', '.join(sorted(SUPPORTED))}")
         try:
             rows = files(spark, path, artifact_type)
             if source_id is not None:
                 rows = rows.withColumn("source_id", F.lit(source_id))
-            failed = self.parsed(rows).filter("error is not null").select("error").first()
+            whole = self.sections(rows)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
                 raise FileNotFoundError(path) from e
             raise
-        if failed:
+        if failed := whole.filter("error is not null").select("error").first():
             raise ValueError(f"{path}: {failed['error']}")
-        return self._sections(rows)
-
-    def _sections(self, rows: DataFrame) -> DataFrame:
-        texts = _decoded(rows.filter(F.col("ext").isin(*PLAIN)))
-        out = text_sections(texts).unionByName(diagram_sections(_decoded(rows.filter("ext = 'puml'"))))
-        return out.unionByName(self.parsed(rows).filter("error is null").drop("error"))
-
-    def errors(self, spark: SparkSession, path: str, artifact_type: str) -> DataFrame:
-        return self.parsed(files(spark, path, artifact_type)).filter("error is not null").select("source_id", "error")
+        return whole.drop("error")

@@ -330,11 +330,13 @@ def test_sections_of_every_format(spark, tmp_path):
     assert [ref for ref, _ in by["c"]] == ["openapi:info", "openapi:path:/x", "openapi:schema:P"] and "    - 200: ok" in by["c"][1][1]
     assert [ref for ref, _ in by["d"]] == ["json:item:1", "json:item:2"] and by["e"] == [("json:raw", "{broken")]
     assert by["f"] == [("xml:p", "[p] name=N, kind=T\n[q:i] leaf")]
-    assert [r["source_id"] for r in registry.errors(spark, str(tmp_path), "srs").collect()] == ["g"]
-    (tmp_path / "i.pdf").write_bytes(b"%PDF")
-    assert sorted(tuple(r) for r in registry.errors(spark, str(tmp_path), "srs").filter("source_id = 'i'").collect()) == [("i", "ValueError: no parser for .pdf")]
+    (tmp_path / "i.PDF").write_bytes(b"%PDF")
+    failed = registry.read(spark, str(tmp_path), "srs").filter("error is not null")
+    assert sorted((r["source_id"], r["error"].split(":")[0]) for r in failed.collect()) == [("g", "BadZipFile"), ("i", "ValueError")]
+    with pytest.warns(UserWarning, match="2 files"):
+        registry.load(spark, str(tmp_path), "srs")
     assert registry.load_file(spark, str(tmp_path / "d.json"), "srs", "mine").select("source_id").distinct().collect()[0][0] == "mine"
-    for name, error in (("h.bin", ValueError), ("i.pdf", ValueError), ("g.docx", ValueError), ("absent.txt", FileNotFoundError)):
+    for name, error in (("h.bin", ValueError), ("i.PDF", ValueError), ("g.docx", ValueError), ("absent.txt", FileNotFoundError)):
         with pytest.raises(error):
             registry.load_file(spark, str(tmp_path / name), "srs")
     with pytest.raises(ValueError):
