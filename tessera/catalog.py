@@ -99,12 +99,12 @@ def glossary_map(spark, d):
     return ranking.glossary(A.entities(spark, d))
 
 
-_PAIRS = f"""with t as (select {{keys}}, list_distinct({words("lower(text)")}) as t from {{table}}),
-p as (select {{out}}, a.o as i, b.o as j, len(list_intersect(a.t, b.t)) as common, len(a.t) + len(b.t) as total from t a join t b on b.o > a.o and b.o <= a.o + 19 {{on}} where len(a.t) > 0 and len(b.t) > 0)
+_PAIRS = f"""with t as (select {{keys}}, row_number() over (partition by {{part}} order by {{o}}, md5(text)) as place, list_distinct({words("lower(text)")}) as t from {{table}}),
+p as (select {{out}}, a.o as i, b.o as j, len(list_intersect(a.t, b.t)) as common, len(a.t) + len(b.t) as total from t a join t b on b.place > a.place and b.place <= a.place + 19 {{on}} where len(a.t) > 0 and len(b.t) > 0)
 select {{final}}, i, j, round(common / (total - common), 6) as similarity from p where common / (total - common) > 0.75"""
 
 
-@query(_PAIRS.format(keys="'all' as source, doc_id as o", table="documents", out="a.source", on="", final="source"))
+@query(_PAIRS.format(keys="'all' as source, doc_id as o", part="1", o="doc_id", table="documents", out="a.source", on="", final="source"))
 def jaccard_dup_pairs(spark, d):
     rows = A.table(spark, d, "documents").select(F.lit("all").alias("source"), "doc_id", "text")
     return similarity.window_pairs(rows, "text", ["source"], "doc_id")
@@ -113,7 +113,7 @@ def jaccard_dup_pairs(spark, d):
 _TURNS = "(select conv_id, turn * 3 as turn, text from conversations union all select conv_id, turn * 3 + 1 + conv_id % 25, concat(text, ' and so on') from conversations)"
 
 
-@query(_PAIRS.format(keys="conv_id, turn as o", table=_TURNS, out="a.conv_id", on="and a.conv_id = b.conv_id", final="conv_id"))
+@query(_PAIRS.format(keys="conv_id, turn as o", part="conv_id", o="turn", table=_TURNS, out="a.conv_id", on="and a.conv_id = b.conv_id", final="conv_id"))
 def conversation_dup_pairs(spark, d):
     """Turns and a second wording of each, some places behind."""
     c = A.table(spark, d, "conversations")
@@ -186,13 +186,32 @@ def flagged_ids(spark, d):
     return review.flagged_ids(_flags(spark, d))
 
 
-@query(_FLAGS + """select source_id, concat('Q_H ', printf('%.2f', q), ' < 0.78. ', cast(bad as varchar), ' TRs fail EARS.') as note from
-(select source_id, count(*) filter (compliant) / count(*) as q, count(*) filter (not compliant) as bad from g group by source_id) where q < 0.78""")
+_TOP_ISSUES = f"""te as (select source_id, ordinal, unnest({_ISSUES}) as x from g where not compliant), tn as (select source_id, x.issue as issue, count(*) as n, min(ordinal * 10 + x.p) as f from te group by all),
+tk as (select source_id, array_to_string(list(issue order by rank), '; ') as top from (select *, row_number() over (partition by source_id order by n desc, f) as rank from tn) where rank <= 2 group by source_id) """
+_NOTES = """list_filter([case when coverage < 0.95 then concat('Coverage ', cast(round(cast(coverage as decimal(10, 6)) * 100, 0) as int), '% < 95%. Missing: ', array_to_string(un[1:3], '; ')) end,
+ case when traceability < 0.9 then concat('Traceability ', cast(round(cast(traceability as decimal(10, 6)) * 100, 0) as int), '% < 90%. Fix: ', array_to_string(list_filter(string_split(untraceable, ','), lambda y: y <> '')[1:3], ', ')) end,
+ case when q_a < 0.85 then concat('Q_A ', cast(round(cast(q_a as decimal(10, 6)), 2) as decimal(10, 2)), ' < 0.85. Fix schema for: ', array_to_string(list_filter(string_split(invalid, ','), lambda y: y <> '')[1:3], ', ')) end,
+ case when q_h < 0.78 then concat('Q_H ', cast(round(cast(q_h as decimal(10, 6)), 2) as decimal(10, 2)), ' < 0.78. ', non_compliant, ' TRs fail EARS. Issues: ', coalesce(top, '')) end], lambda y: y is not null)"""
+
+
+@query(_FLAGS + f""", {_COVER}, {_METRICS}, {_TOP_ISSUES}, un as (select source_id, list(text order by ordinal) filter (not cov)[1:10] as un from ic group by source_id),
+ls as (select source_id, array_to_string(list(tr_id order by ordinal) filter (not traceable)[1:10], ',') as untraceable, array_to_string(list(tr_id order by ordinal) filter (not complete)[1:10], ',') as invalid, count(*) filter (not compliant) as non_compliant from g group by source_id),
+al as (select m.source_id, q_h, q_a, traceability, coalesce(score, 1.0) as coverage, coalesce(un, []) as un, coalesce(untraceable, '') as untraceable, coalesce(invalid, '') as invalid, non_compliant, top
+ from m left join cs using (source_id) left join un using (source_id) left join ls using (source_id) left join tk using (source_id))
+select source_id, unnest({_NOTES}) as note from al""")
 def correction_notes(spark, d):
-    m = _flags(spark, d).groupBy("source_id").agg((F.count_if("compliant") / F.count("*")).alias("q_h"), F.count_if(~F.col("compliant")).alias("non_compliant"))
-    none = F.array().cast("array<string>")
-    m = m.withColumns({"coverage": F.lit(1.0), "traceability": F.lit(1.0), "q_a": F.lit(1.0), "uncovered": none, "untraceable": none, "invalid": none, "top_issues": none})
-    return review.notes(m).select("source_id", F.explode("correction_notes").alias("note")).withColumn("note", F.regexp_replace("note", r" Issues: $", ""))
+    """Every note of the whole review, one a row."""
+    return review.review(A.requirements(spark, d), A.items(spark, d)).select("source_id", F.explode("correction_notes").alias("note"))
+
+
+_THIRD = f"(select source_id, ordinal * 30 as ordinal, tr_h as text from ({_REQ}) where cast(substring(tr_id, 4) as bigint) % 3 <> 1)"
+
+
+@query(_PAIRS.format(keys="source_id, ordinal as o", part="source_id", o="ordinal", table=_THIRD, out="a.source_id", on="and a.source_id = b.source_id", final="source_id"))
+def gapped_dup_pairs(spark, d):
+    """Requirements whose ordinals are further apart than the horizon, as where replies held rejects."""
+    rows = A.requirements(spark, d).filter("cast(substring(tr_id, 4) as bigint) % 3 <> 1").withColumn("ordinal", F.col("ordinal") * 30)
+    return review.duplicates(rows)
 
 
 @query(f"with r as ({_REQ}) select source_id, " + ", ".join(f"count(*) filter (category = '{c}') as {c}" for c in ("functional", "nfr_constraint", "runtime_environment", "interface_exception", "consistency_driven")) + " from r group by source_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import adapters as A
 from tessera import schemas
-from tessera.catalog import _COVER, _ENT, _FLAGGED, _FLAGS, _METRICS, _NAMES, _RANK, _REQ, _ROLE_SQL, ORACLES, QUERIES, words
+from tessera.catalog import _COVER, _ENT, _FLAGGED, _FLAGS, _METRICS, _NAMES, _NOTES, _RANK, _REQ, _ROLE_SQL, _TOP_ISSUES, ORACLES, QUERIES, words
 from tessera.functions import quality as Q
 from tessera.functions import text as T
 from tessera.operators import chunking, consistency, demand, feedback, judging, ranking, reports, requirements, review, similarity, sinks
@@ -106,16 +106,40 @@ b as (select doc_id, block, coalesce(max(s) filter (head), 'Introduction') as re
 e as (select doc_id, list({{'m': [{{'ref': ref, 't': t, 'n': len({words('t')})}}]}} order by block) as es from b where t <> '' group by doc_id),
 f as (select doc_id, list_reduce(es, lambda q, x: case when q.m[len(q.m)].n + x.m[1].n < 150
   then {{'m': list_append(q.m[1 : len(q.m) - 1], {{'ref': q.m[len(q.m)].ref, 't': q.m[len(q.m)].t || chr(10) || chr(10) || x.m[1].t, 'n': q.m[len(q.m)].n + x.m[1].n}})}} else {{'m': list_concat(q.m, x.m)}} end).m as m from e) """
-_LINED = "(select doc_id, case doc_id % 3 when 0 then regexp_replace(text, '[.] ', '.' || chr(10) || chr(10) || chr(10) || '1.' || cast(doc_id as varchar) || ' Scope' || chr(10), 'g') else text end as text from documents where doc_id % 7 < 5 and text is not null)"
+_LINED = "(select doc_id, case doc_id % 3 when 0 then regexp_replace(text, '[.] ', '.' || chr(10) || chr(10) || chr(10) || '1.' || cast(doc_id as varchar) || ' Scope' || chr(10), 'g') else text end as text from documents where text is not null)"
 
 
-@query(_SECTIONS.replace("{table}", _LINED) + "select concat('doc', cast(doc_id as varchar)) as source_id, 'srs' as artifact_type, cast(i as int) as section_id, substring(m[i].ref, 1, 80) as section_ref, md5(m[i].t) as text from (select *, unnest(range(1, len(m) + 1)) as i from f) where len(m) <= 150")
+_SMALLEST = "list_position(list_transform(range(1, len(m)), lambda q: m[q].n + m[q + 1].n), list_min(list_transform(range(1, len(m)), lambda q: m[q].n + m[q + 1].n)))"
+_SHRUNK = _SECTIONS.replace("with l as", "with recursive l as", 1).replace("{table}", _LINED) + f""", j(doc_id, m) as (select doc_id, m from f union all
+ select doc_id, list_concat(m[1 : k - 1], [{{'ref': m[k].ref, 't': m[k].t || chr(10) || chr(10) || m[k + 1].t, 'n': m[k].n + m[k + 1].n}}], m[k + 2 :]) from (select *, {_SMALLEST} as k from j where len(m) > 150)),
+x as (select concat('doc', cast(doc_id as varchar)) as source_id, 'srs' as artifact_type, cast(i as int) as section_id, substring(m[i].ref, 1, 80) as section_ref, md5(m[i].t) as text from (select *, unnest(range(1, len(m) + 1)) as i from j where len(m) <= 150)) """
+
+
+@query(_SHRUNK + "select * from x")
 def text_sections(spark, d):
+    """Sections of all documents; of those with more than 150 the smallest neighbours are joined."""
     lined = "case doc_id % 3 when 0 then regexp_replace(text, '[.] ', concat('.\\n\\n\\n1.', cast(doc_id as string), ' Scope\\n')) else text end as text"
-    docs = A.table(spark, d, "documents").filter("doc_id % 7 < 5").selectExpr("concat('doc', doc_id) as source_id", "'srs' as artifact_type", lined)
-    out = S.text_sections(docs)
-    several = out.groupBy("source_id").count().filter("count < 150").select("source_id")  # the SQL has no joining beyond 150
-    return out.join(several, "source_id", "left_semi").withColumn("text", F.md5(F.col("text").cast("binary")))
+    docs = A.table(spark, d, "documents").selectExpr("concat('doc', doc_id) as source_id", "'srs' as artifact_type", lined)
+    return S.text_sections(docs).withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+_PLAIN_LINES = "string_split(regexp_replace(text, '[^\\x20-\\x7E\\xA1-\\x{17F}\\n]', '', 'g'), chr(10))"
+
+
+@query(f"""with l as (select doc_id, i, trim(ls[i], ' ') as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, {_PLAIN_LINES} as ls from documents where text is not null)))
+select concat('doc', cast(doc_id as varchar)) as source_id, 1 as page, cast(row_number() over (partition by doc_id order by i) as int) as pos, 11.0::double as size, 16 as flags, md5(line) as text from l where line <> ''""")
+def pdf_spans(spark, d):
+    """Documents as PDF files of one page, a line each, in a font with codes of two bytes; their spans."""
+    lines = F.transform(F.split(F.regexp_replace("text", r"[^\x20-\x7E\xA1-\x{17F}\n]", ""), "\n"), lambda x: F.concat(F.lit("<"), F.hex(F.encode(x, "UTF-16BE")), F.lit("> Tj T*")))
+    head = (
+        "%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [3 0 R] /Count 1>> endobj\n3 0 obj <</Type /Page /Parent 2 0 R /Contents 6 0 R /Resources <</Font <</F1 4 0 R>>>>>> endobj\n"
+        "4 0 obj <</Type /Font /Subtype /Type0 /BaseFont /Some-Bold /Encoding /Identity-H /ToUnicode 5 0 R>> endobj\n5 0 obj <</Length 46>> stream\n1 beginbfrange <0020> <017F> <0020> endbfrange\nendstream endobj\n"
+    )
+    content = F.concat(F.lit("BT /F1 11 Tf 13 TL 40 800 Td\n"), F.array_join(lines, "\n"), F.lit("\nET"))
+    raw = F.concat(F.lit(head + "6 0 obj <</Length "), F.length(content).cast("string"), F.lit(">> stream\n"), content, F.lit("\nendstream endobj\ntrailer <</Root 1 0 R>>"))
+    docs = A.table(spark, d, "documents").filter("text is not null").select(F.concat(F.lit("doc"), "doc_id").alias("source_id"), F.lit("srs").alias("artifact_type"), F.lit("pdf").alias("ext"), raw.cast("binary").alias("content"))
+    found = S.LoaderRegistry().parsed(docs).filter("kind = 'span'")
+    return found.select("source_id", "page", "pos", "size", "flags", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 def _files(spark, d, ext: str, content: str) -> DataFrame:
@@ -158,7 +182,7 @@ def diagram_sections(spark, d):
 
 _SPANS = """select concat('pdf', cast(event_id % 5 as {s})) as source_id, 'srs' as artifact_type, cast(floor(event_id / 100) as int) as page, cast(event_id % 100 as int) as pos,
  case when event_id % 5 = 4 then case when event_id % 2 = 0 then 20.0 else 10.0 end when floor(event_id / 5) % 9 = 2 then 14.0 else 10.0 end as size, case when floor(event_id / 5) % 11 = 3 then 16 else 0 end as flags,
- case when floor(event_id / 5) % 18 = 2 then concat('* bulleted ', event_type, ' text') else concat('Line ', cast(event_id as {s}), ' about ', event_type) end as text from events where event_id < 2000"""
+ case when floor(event_id / 5) % 18 = 2 then concat('* bulleted ', event_type, ' text') else concat('Line ', cast(event_id as {s}), ' about ', event_type) end as text from events"""
 
 
 @query(f"""with s as ({_SPANS.format(s='varchar')}), b as (select source_id, median(size) as body from s group by source_id), j as (select s.*, size >= 1.2 * body as big from s join b using (source_id)),
@@ -289,11 +313,11 @@ def salvaged_objects(spark, d):
     return judging.salvaged(replies, ["event_id"]).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
-@query("select r_regionkey, coalesce(string_agg('- ' || n_name, chr(10) order by n_nationkey), '(none)') as prompt from region left join nation on n_regionkey = r_regionkey and n_nationkey % 5 < 4 group by r_regionkey")
+@query("select r_regionkey, coalesce(string_agg('- ' || n_name, chr(10) order by n_nationkey), '(none)') as prompt from region left join nation on n_regionkey + 1 = r_regionkey group by r_regionkey")
 def bullet_lists(spark, d):
-    n = A.table(spark, d, "nation").filter("n_nationkey % 5 < 4").groupBy("n_regionkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("names"))
+    n = A.table(spark, d, "nation").groupBy("n_regionkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("names"))
     r = A.table(spark, d, "region")
-    return r.join(n, r["r_regionkey"] == n["n_regionkey"], "left").select("r_regionkey", T.bullets("names").alias("prompt"))
+    return r.join(n, r["r_regionkey"] == n["n_regionkey"] + 1, "left").select("r_regionkey", T.bullets("names").alias("prompt"))
 
 
 _REPLY = "case event_id % 4 when 0 then '' when 1 then props when 2 then concat(event_type, chr(65533)) else concat('I found ', event_type) end"
@@ -313,11 +337,11 @@ _PATTERNS = [
 ]
 
 
-@query(f"""with r as ({_REQ}), s as (select *, cast(floor(ordinal / 10) as int) as b from r where ordinal < 60),
+@query(f"""with r as ({_REQ}), s as (select *, cast(floor(ordinal / 10) as int) as b from r),
 k as (select source_id, b, ordinal, tr_h, case {' '.join(f"when regexp_matches(tr_h, '{p}', 'i') then '{n}'" for n, p in _PATTERNS)} end as entity_type from s)
 select source_id, cast(row_number() over (partition by source_id order by b, ordinal) - 1 as int) as ordinal, entity_type, array_to_string({words('tr_h')}[1:20], ' ') as content, cast(0.8 as double) as confidence_score from k where entity_type is not null""")
 def extracted_entities(spark, d):
-    rows = A.requirements(spark, d).filter("ordinal < 60").withColumn("b", F.floor(F.col("ordinal") / 10).cast("int"))
+    rows = A.requirements(spark, d).withColumn("b", F.floor(F.col("ordinal") / 10).cast("int"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "tr_h"))), lambda x: x["tr_h"]), "\n")
     sections = rows.groupBy("source_id", "b").agg(text.alias("text")).selectExpr("source_id", "'srs' as artifact_type", "b as section_id", "'r' as section_ref", "text")
     return demand.extract_entities(chunking.chunk(sections), M.RuleClient()).select("source_id", "ordinal", "entity_type", "content", "confidence_score")
@@ -363,12 +387,12 @@ _FIELD = "case event_id % 8 " + " ".join(f"when {i} then '{f}'" for i, f in enum
 
 
 def _items(spark, d) -> DataFrame:
-    rows = A.table(spark, d, "events").filter("event_id < 4000").selectExpr("concat('src', cast(floor(event_id / 8) % 20 as string)) as source_id", f"{_FIELD} as field", "cast(floor(event_id / 160) as int) as ordinal", "concat('I', event_id) as item_id", "concat(case when event_id % 9 = 0 then 'some ' else '' end, event_type, ' ', props) as text")
+    rows = A.table(spark, d, "events").selectExpr("concat('src', cast(floor(event_id / 8) % 20 as string)) as source_id", f"{_FIELD} as field", "cast(floor(event_id / 160) as int) as ordinal", "concat('I', event_id) as item_id", "concat(case when event_id % 9 = 0 then 'some ' else '' end, event_type, ' ', props) as text")
     return rows.filter("not (field = 'use_case' and source_id = 'src3')")
 
 
 _ITEMS = f"""with recursive i as (select * from (select concat('src', cast(cast(floor(event_id / 8) as int) % 20 as varchar)) as source_id, {_FIELD} as field, cast(floor(event_id / 160) as int) as ordinal, concat('I', event_id) as item_id,
- concat(case when event_id % 9 = 0 then 'some ' else '' end, event_type, ' ', props) as text from events where event_id < 4000) where not (field = 'use_case' and source_id = 'src3')),
+ concat(case when event_id % 9 = 0 then 'some ' else '' end, event_type, ' ', props) as text from events) where not (field = 'use_case' and source_id = 'src3')),
 n as (select *, row_number() over (partition by source_id, field order by ordinal) as n from i) """
 
 
@@ -378,7 +402,7 @@ def demand_sizes(spark, d):
 
 
 _LISTS = [("functional", "FUNC", (("functional", 12),)), ("nfr_constraint", "NFR_", (("nfr", 10), ("runtime", 6))), ("runtime_environment", "RUNT", (("exception", 10), ("runtime", 8))), ("interface_exception", "INTE", (("use_case", 8), ("exception", 8)))]
-_ISSUES = "select concat('intra_src', cast(event_id % 7 as {s})) as comparison_id, cast(event_id as int) as ordinal, case event_id % 3 when 0 then 'conflict' else 'omission' end as issue_type, case when event_id % 19 = 0 then 'all_sources' else concat('src', cast(event_id % 25 as {s})) end as source_a_id, concat('src', cast(event_id % 7 as {s})) as source_b_id, event_type as description from events where event_id < 300"
+_ISSUES = "select concat('intra_src', cast(event_id % 7 as {s})) as comparison_id, cast(event_id as int) as ordinal, case event_id % 3 when 0 then 'conflict' else 'omission' end as issue_type, case when event_id % 19 = 0 then 'all_sources' else concat('src', cast(event_id % 25 as {s})) end as source_a_id, concat('src', cast(event_id % 7 as {s})) as source_b_id, event_type as description from events"
 
 
 @query(f"with i as ({_ISSUES.format(s='varchar')}), s as (select concat('src', unnest(range(30))) as sid) select sid, comparison_id, ordinal from i join s on sid in (source_a_id, source_b_id) or source_a_id = 'all_sources' or contains(comparison_id, concat('intra_', sid))")
@@ -456,16 +480,23 @@ def faithful_verdicts(spark, d):
     return judging.faithfulness(rows, M.RuleClient()).select("source_id", "tr_id", "verdict")
 
 
-@query(_FLAGS + f", {_METRICS} select source_id, total_trs, q_a, traceability, total_trs as answered, 1.0::double as q_h_judge from m")
+_SOME = "regexp_replace(array_to_string({}, ', '), '^\\s+|\\s+$', '', 'g') <> ''"
+_JUDGED = f"""j as (select source_id, cast(contains(lower(tr_h), 'shall') as int) + cast(split_part(lower(tr_h), ' ', 1) in ('when', 'if', 'upon', 'the') as int) + cast(len({words("array_to_string(expected_outputs, ', ')")}) > 3 as int)
+ + cast({_SOME.format('preconditions')} as int) + cast({_SOME.format('stimuli')} as int) + cast(regexp_matches(tr_h || array_to_string(expected_outputs, ', '), '[0-9]') as int) as passes from r),
+jm as (select source_id, count(*) as answered, round(count(*) filter (passes >= 5) / count(*), 6) as q_h_judge from j group by source_id) """
+
+
+@query(_FLAGS + f", {_METRICS}, {_JUDGED} select source_id, total_trs, q_a, traceability, answered, q_h_judge from m join jm using (source_id)")
 def judged_quality(spark, d):
+    """The offline client judges by rules of its own, which rows fail."""
     rows = A.requirements(spark, d)
     return judging.judged_metrics(judging.judged(rows, M.RuleClient()), rows)
 
 
-@query(f"""with r as ({_REQ}), k as (select source_id, tr_h, row_number() over (partition by source_id order by ordinal) as n from r where ordinal < 60 and contains(lower(tr_h), 'shall'))
+@query(f"""with r as ({_REQ}), k as (select source_id, tr_h, row_number() over (partition by source_id order by ordinal) as n from r where contains(lower(tr_h), 'shall'))
 select source_id, cast(n as int) as ordinal, printf('B-%03d', n) as tr_id, 'functional' as category, tr_h from k""")
 def single_prompt_requirements(spark, d):
-    rows = A.requirements(spark, d).filter("ordinal < 60").withColumn("b", F.floor(F.col("ordinal") / 10).cast("int"))
+    rows = A.requirements(spark, d).withColumn("b", F.floor(F.col("ordinal") / 10).cast("int"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "tr_h"))), lambda x: x["tr_h"]), "\n")
     sections = rows.groupBy("source_id", "b").agg(text.alias("text")).selectExpr("source_id", "'srs' as artifact_type", "b as section_id", "'r' as section_ref", "text")
     return judging.baseline(sections, M.RuleClient()).select("source_id", "ordinal", "tr_id", "category", "tr_h")
@@ -473,9 +504,9 @@ def single_prompt_requirements(spark, d):
 
 # ---- the whole review and the report
 
-_PAIR = f"""tk as (select source_id, ordinal as o, {_TOKENS.format('tr_h')} as t from r), pr as (select a.source_id, a.o as i, b.o as j, len(list_intersect(a.t, b.t)) as common, len(a.t) + len(b.t) as total
- from tk a join tk b on a.source_id = b.source_id and b.o > a.o and b.o <= a.o + 19), dp as (select * from pr where common / (total - common) > 0.75) """
-_WHOLE = _FLAGS + f""", {_COVER}, {_METRICS}, {_PAIR},
+_PAIR = f"""tw as (select source_id, ordinal as o, {_TOKENS.format('tr_h')} as t from r), pr as (select a.source_id, a.o as i, b.o as j, len(list_intersect(a.t, b.t)) as common, len(a.t) + len(b.t) as total
+ from tw a join tw b on a.source_id = b.source_id and b.o > a.o and b.o <= a.o + 19), dp as (select * from pr where common / (total - common) > 0.75) """
+_WHOLE = _FLAGS + f""", {_COVER}, {_METRICS}, {_TOP_ISSUES}, {_PAIR},
 bd as (select g.*, untestable or exists (select 1 from dp where dp.source_id = g.source_id and dp.j = g.ordinal) as bad from g),
 fl as (select source_id, tr_id from (select *, row_number() over (partition by source_id order by tr_id, ordinal) as n from bd where bad) where n <= 10
  union select source_id, tr_id from (select *, row_number() over (partition by source_id order by ordinal) as n from g where not traceable) where n <= 10
@@ -486,17 +517,15 @@ ls as (select source_id, array_to_string(list(tr_id order by ordinal) filter (no
 un as (select source_id, list(text order by ordinal) filter (not cov)[1:10] as uncovered from ic group by source_id), fi as (select source_id, array_to_string(list_sort(list(tr_id)), ',') as flagged_tr_ids from fl group by source_id),
 dc as (select source_id, count(*) as duplicate_count from dp group by source_id),
 al as (select m.*, coalesce(score, 1.0) as coverage, coalesce(duplicate_count, 0) as duplicate_count, non_compliant, coalesce(untraceable, '') as untraceable, coalesce(invalid, '') as invalid, coalesce(non_compliant_ids, '') as non_compliant_ids, coalesce(flagged_tr_ids, '') as flagged_tr_ids, coalesce(uncovered, []) as un
- from m left join cs using (source_id) left join ls using (source_id) left join un using (source_id) left join fi using (source_id) left join dc using (source_id)) """
+, top
+ from m left join cs using (source_id) left join ls using (source_id) left join un using (source_id) left join fi using (source_id) left join dc using (source_id) left join tk using (source_id)) """
 
 
-@query(_WHOLE + """select source_id, total_trs, q_h, q_a, traceability, coverage, q_h >= 0.78 and q_a >= 0.85 and traceability >= 0.9 and coverage >= 0.95 as passed, duplicate_count, non_compliant, untraceable, invalid, non_compliant_ids, flagged_tr_ids, array_to_string(un, '|') as uncovered,
-array_to_string(list_filter([case when coverage < 0.95 then concat('Coverage ', cast(round(cast(coverage as decimal(10, 6)) * 100, 0) as int), '% < 95%. Missing: ', array_to_string(un[1:3], '; ')) end,
- case when traceability < 0.9 then concat('Traceability ', cast(round(cast(traceability as decimal(10, 6)) * 100, 0) as int), '% < 90%. Fix: ', array_to_string(list_filter(string_split(untraceable, ','), lambda y: y <> '')[1:3], ', ')) end,
- case when q_a < 0.85 then concat('Q_A ', cast(round(cast(q_a as decimal(10, 6)), 2) as decimal(10, 2)), ' < 0.85. Fix schema for: ', array_to_string(list_filter(string_split(invalid, ','), lambda y: y <> '')[1:3], ', ')) end,
- case when q_h < 0.78 then concat('Q_H ', cast(round(cast(q_h as decimal(10, 6)), 2) as decimal(10, 2)), ' < 0.78. ', non_compliant, ' TRs fail EARS.') end], lambda y: y is not null), '|') as notes from al""")
+@query(_WHOLE + f"""select source_id, total_trs, q_h, q_a, traceability, coverage, q_h >= 0.78 and q_a >= 0.85 and traceability >= 0.9 and coverage >= 0.95 as passed, duplicate_count, non_compliant, untraceable, invalid, non_compliant_ids, flagged_tr_ids, array_to_string(un, '|') as uncovered,
+array_to_string({_NOTES}, '|') as notes from al""")
 def full_review(spark, d):
     out = review.review(A.requirements(spark, d), A.items(spark, d))
-    notes = F.array_join(F.transform("correction_notes", lambda x: F.regexp_replace(x, r" Issues: .*$", "")), "|").alias("notes")
+    notes = F.array_join("correction_notes", "|").alias("notes")
     plain = ["source_id", "total_trs", "q_h", "q_a", "traceability", "coverage", "passed", "duplicate_count", "non_compliant"]
     listed = [F.array_join(F.coalesce(c, F.array().cast("array<string>")), s).alias(c) for c, s in (("untraceable", ","), ("invalid", ","), ("non_compliant_ids", ","), ("flagged_tr_ids", ","), ("uncovered", "|"))]
     return out.select(*plain, *listed, notes)
@@ -516,7 +545,7 @@ def report_summary(spark, d):
 @query(f"""with e as ({_ENT}), n as (select source_id, entity_type, count(*) as n, min(ordinal) as f from e group by all), r as (select *, row_number() over (partition by source_id order by n desc, f) as rank from n)
 select source_id, 'srs' as artifact_type, cast(sum(n) as bigint) as entities, string_agg(concat(entity_type, ': ', n), ', ' order by rank) filter (rank <= 3) as top_entity_types from r group by source_id""")
 def report_entities(spark, d):
-    rows = A.requirements(spark, d).filter("false")
+    rows = A.requirements(spark, d)
     none = spark.createDataFrame([], schemas.ISSUE)
     tables = reports.stage_tables(A.entities(spark, d), _items(spark, d), none, none, rows, rows, review.review(rows, A.items(spark, d), None, A.items(spark, d).select("source_id").distinct()))
     return tables["Stage 1: parsing and entities"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions import replies as R
+from tessera.operators.positions import ordered
 
 #: Parts of a source id that tell its role, by priority (fixed values).
 ROLES = {"srs": ("srs", "nasa"), "manual": ("manual", "bash", "user"), "runtime": ("swagger", "petstore", "runtime"), "design": ("design",)}
@@ -75,12 +76,12 @@ def report_totals(comparisons: DataFrame, issues: DataFrame) -> DataFrame:
     return comparisons.join(n, "comparison_id", "left").fillna(0, ["total_conflicts", "total_omissions", "total_ambiguities", "total_to_confirm"])
 
 
-def relevant_issues(issues: DataFrame, sources: DataFrame, bundled: DataFrame | None = None, most_shared: int = 1000) -> DataFrame:
+def relevant_issues(issues: DataFrame, sources: DataFrame, bundled: DataFrame | None = None, first: int | None = None, block: int = 1000) -> DataFrame:
     """Issues that concern each source: named by it, about all sources, or where the comparison's id holds "intra_" and the source's id.
 
     With `bundled`, those about all sources only within the bundle. Equality joins instead of one over a disjunction: an
-    id that follows "intra_" is one of the prefixes of what stands there. Issues about all sources are a few per corpus (`most_shared` at most, which is
-    checked): as one row they meet every source without a shuffle.
+    id that follows "intra_" is one of the prefixes of what stands there. Issues about all sources meet the sources in blocks of `block` issues,
+    by the block's number. Where only the `first` issues of each source (by comparison_id and ordinal) are wanted, only so many of these are given to each.
     """
     s = sources.select(F.col("source_id").alias("sid"))
     columns = issues.columns
@@ -93,10 +94,14 @@ def relevant_issues(issues: DataFrame, sources: DataFrame, bundled: DataFrame |
         b = bundled.select(F.col("source_id").alias("sid"), "bundle_id")
         shared = everyone.withColumn("bundle_id", F.split("comparison_id", ":")[0]).join(b, "bundle_id")
     else:
-        if (n := everyone.count()) > most_shared:
-            raise ValueError(f"{n} issues about all sources; at most {most_shared} are shared out")
-        row = everyone.agg(F.collect_list(F.struct(*columns)).alias("all")).withColumn("k", F.lit(1))
-        shared = s.withColumn("k", F.lit(1)).join(F.broadcast(row), "k").select("sid", F.explode("all").alias("x")).select("sid", "x.*")
+        order = ["comparison_id", "ordinal"]
+        if first is not None:
+            everyone = everyone.orderBy(*order).limit(first)
+        placed = ordered(everyone, order, "shared-issues")
+        last = placed.agg(F.max("place").alias("n")).first()["n"]
+        blocks = placed.groupBy(F.floor(F.col("place") / block).alias("k")).agg(F.collect_list(F.struct(*columns)).alias("all"))
+        wanted = s.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((last or 0) // block).cast("long"))))
+        shared = wanted.join(blocks, "k").select("sid", F.explode("all").alias("x")).select("sid", "x.*")
     return named.select("sid", *columns).unionByName(inner.select("sid", *columns)).join(s, "sid", "left_semi").unionByName(shared.select("sid", *columns)).dropDuplicates(["sid", "comparison_id", "ordinal"])
 
 

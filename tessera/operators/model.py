@@ -64,7 +64,11 @@ class RuleClient:
         if kind.startswith("tr_") or kind == "gaps":
             return json.dumps([{"tr_h": f"When requested, the system shall satisfy: {x}", "tr_a": {"preconditions": ["the system is running"], "stimuli": [x], "expected_outputs": [f"observable result within 10 seconds for {x[:40]}"]}, "coverage_criterion": "each item once", "priority": "medium", "source_req_ids": [f"REQ-{i:03d}"]} for i, x in enumerate(items, 1)])
         if kind == "judge":
-            return "PASS PASS PASS PASS PASS PASS"
+            part = {k: v.strip() for k, v in (x.split(":", 1) for x in prompt.splitlines() if ":" in x)}
+            h, out = part.get("TR-H", "").lower(), part.get("expected_outputs", "")
+            some = lambda k: part.get(k, "") not in ("", "(none)")
+            found = ("shall" in h, h.split(" ")[0] in ("when", "if", "upon", "the"), len(out.split()) > 3, some("preconditions"), some("stimuli"), bool(re.search(r"\d", h + out)))
+            return " ".join("PASS" if x else "FAIL" for x in found)
         if kind == "faithful":
             a, b = (set(x.lower().split()) for x in (prompt.split("\n")[:2] + ["", ""])[:2])
             share = len(a & b) / max(1, len(b))

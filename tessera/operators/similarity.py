@@ -13,13 +13,13 @@ from tessera.operators.positions import ordered
 def window_pairs(rows: DataFrame, text: str, keys: list[str], ordinal: str, above: float = 0.75, horizon: int = 19) -> DataFrame:
     """Pairs (i, j are ordinals) at most `horizon` rows apart in the order of a key's rows whose Jaccard similarity exceeds `above`.
 
-    Rows are counted by gapless positions, whatever gaps their ordinals have; rows without words count too. Positions fall into buckets
+    Rows are counted by gapless positions, whatever gaps their ordinals have (of equal ones the row whose text has the lesser md5 comes first); rows without words count too. Positions fall into buckets
     of horizon + 1 places and the right side stands in two of them, so the range becomes an equality join of bounded
     buckets even if one key holds most of the rows. Token sets are written once, as 64-bit hashes; sizes rule out most pairs before
     sets are intersected. The table of token sets is read by the result and stays in the shared folder with it.
     """
     tokens = F.array_distinct(F.transform(T.words(F.lower(text)), lambda w: F.xxhash64(w)))
-    base = ordered(rows.select(*keys, F.col(ordinal).cast("long").alias("o"), tokens.alias("t")), [*keys, "o", "t"], "tokens").filter(F.size("t") > 0)
+    base = ordered(rows.select(*keys, F.col(ordinal).cast("long").alias("o"), F.md5(F.col(text).cast("binary")).alias("tie"), tokens.alias("t")), [*keys, "o", "tie"], "tokens").filter(F.size("t") > 0)
     step = F.lit(horizon + 1)
     bucket = F.floor(F.col("place") / step)
     left = base.select(*keys, bucket.alias("b"), F.col("place").alias("at"), F.col("o").alias("i"), F.col("t").alias("x"))

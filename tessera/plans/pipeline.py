@@ -90,7 +90,7 @@ def generate(items: DataFrame, issues: DataFrame, client: M.ModelClient) -> Data
             own = own.join(items.filter("field = 'use_case'").select("source_id").distinct(), "source_id", "left_semi")
         p = M.prompts(own, f"tr_{category}", f"Write test requirements ({category}) {_FIELDS}", ["source_id"]).withColumn("category", F.lit(category))
         asked = p if asked is None else asked.unionByName(p)
-    near = consistency.relevant_issues(issues, items.select("source_id").distinct())
+    near = consistency.relevant_issues(issues, items.select("source_id").distinct(), first=50)
     line = F.concat(F.lit("["), "issue_id", F.lit("] ("), "issue_type", F.lit(") "), "description")
     near = near.select(F.col("sid").alias("source_id"), F.struct("comparison_id", "ordinal").alias("ordinal"), line.alias("text"))
     near = first_k(near, ["source_id"], ["ordinal"], 50)
