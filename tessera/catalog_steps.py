@@ -123,6 +123,15 @@ def text_sections(spark, d):
     return S.text_sections(docs).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
+@query(_SHRUNK + "select source_id, section_id, section_ref, text from x")
+def lateral_sections(spark, d):
+    """The same by the table function, in SQL."""
+    S.register_functions(spark)
+    A.table(spark, d, "documents").createOrReplaceTempView("documents")
+    return spark.sql(r"""select concat('doc', doc_id) as source_id, s.section_id, s.section_ref, md5(cast(s.text as binary)) as text from documents,
+      lateral document_sections(encode(case doc_id % 3 when 0 then regexp_replace(text, '[.] ', concat('.\\n\\n\\n1.', cast(doc_id as string), ' Scope\\n')) else text end, 'UTF-8'), 'txt') s""")
+
+
 _PLAIN_LINES = "string_split(regexp_replace(text, '[^\\x20-\\x7E\\xA1-\\x{17F}\\n]', '', 'g'), chr(10))"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +14,10 @@ from tessera.config import CHUNK_BUDGETS, DEFAULT_BUDGET
 from tessera.functions import text as T
 
 
+_META = "struct(section_id as section_id, {i} as chunk_index, cast({n} as int) as token_count, {o} as overlap) as metadata"
+FOLDED = "source_id string, artifact_type string, section_id int, section_ref string, i int, content string, words int, seeded boolean"
+
+
 def with_budget(sections: DataFrame) -> DataFrame:
     """most, overlap and unit of each section, by the kind of document."""
     kind = F.col("artifact_type")
@@ -27,37 +32,57 @@ def pack_units(units: list[str], most: int, overlap: int) -> list[tuple[str, int
 
     If the tail alone leaves no room for the next unit the tail is dropped, so every chunk takes a unit at least.
     """
-    out, i = [], 0
-    size = [len(u.split()) for u in units]
-    tail: list[tuple[str, int]] = []
-    while i < len(units):
-        rows = list(tail)
-        if rows and sum(n for _, n in rows) + size[i] > most:
-            rows = []
-        seeded, total = bool(rows), sum(n for _, n in rows)
-        while i < len(units) and (not rows or total + size[i] <= most):
-            rows.append((units[i], size[i]))
-            total += size[i]
-            i += 1
-        out.append((" ".join(u for u, _ in rows), total, seeded))
+    packer, out = Packer(most, overlap), []
+    for u in units:
+        out += packer.add(u)
+    return out + packer.close()
+
+
+@dataclass
+class Packer:
+    """The chunk that is open: its units, beginning with the last chunk's tail if it is seeded, and how many units it has taken itself."""
+
+    most: int
+    overlap: int
+    rows: list = field(default_factory=list)  # (text, words)
+    taken: int = 0
+    seeded: bool = False
+
+    def add(self, unit: str) -> list[tuple[str, int, bool]]:
+        """Takes a unit; the chunk that has no room for it is returned, and its tail opens the next."""
+        n, out = len(unit.split()), []
+        total = sum(k for _, k in self.rows)
+        if self.taken and total + n > self.most:
+            out = self.close()
+            self.rows, self.taken = self._tail(), 0
+            total = sum(k for _, k in self.rows)
+        if not self.taken:
+            if self.rows and total + n > self.most:
+                self.rows = []
+            self.seeded = bool(self.rows)
+        self.rows.append((unit, n))
+        self.taken += 1
+        return out
+
+    def close(self) -> list[tuple[str, int, bool]]:
+        return [(" ".join(u for u, _ in self.rows), sum(n for _, n in self.rows), self.seeded)] if self.taken else []
+
+    def _tail(self) -> list[tuple[str, int]]:
         tail, words = [], 0
-        for u, n in reversed(rows):
-            if words + n > overlap:
+        for u, n in reversed(self.rows):
+            if words + n > self.overlap:
                 break
-            tail.insert(0, (u, n))
+            tail.insert(0, u)
             words += n
-        if tail:
-            tail = [(" ".join(u for u, _ in tail), words)]
-    return out
+        return [(" ".join(tail), words)] if tail else []
 
 
 def chunk(sections: DataFrame) -> DataFrame:
     """Chunks of all sections. Sections within the budget never leave the JVM; the others are folded row by row, without a shuffle."""
     rows = with_budget(sections.filter(F.coalesce("text", F.lit("")) != "")).withColumn("n", T.word_count("text"))
-    meta = "struct(section_id as section_id, {i} as chunk_index, cast({n} as int) as token_count, {o} as overlap) as metadata"
     whole = rows.filter("n <= most").select(
         T.chunk_id("source_id", "section_id", F.lit(1)).alias("chunk_id"), "source_id", "artifact_type", F.col("text").alias("content"), F.col("section_ref").alias("page_ref"),
-        F.expr(meta.format(i=1, n="n", o="false")),
+        F.expr(_META.format(i=1, n="n", o="false")),
     )
     units = rows.filter("n > most").select("source_id", "artifact_type", "section_id", "section_ref", "most", "overlap_words", T.split_units("text", "unit").alias("units"))
 
@@ -66,9 +91,13 @@ def chunk(sections: DataFrame) -> DataFrame:
             out = [(r.source_id, r.artifact_type, r.section_id, r.section_ref, i, *c) for r in pdf.itertuples() for i, c in enumerate(pack_units(list(r.units), r.most, r.overlap_words), 1)]
             yield pd.DataFrame(out, columns=["source_id", "artifact_type", "section_id", "section_ref", "i", "content", "words", "seeded"])
 
-    folded = units.mapInPandas(fold, "source_id string, artifact_type string, section_id int, section_ref string, i int, content string, words int, seeded boolean")
-    cut = folded.select(T.chunk_id("source_id", "section_id", "i").alias("chunk_id"), "source_id", "artifact_type", "content", F.col("section_ref").alias("page_ref"), F.expr(meta.format(i="i", n="words", o="seeded")))
-    return whole.unionByName(cut).to(schema(schemas.CHUNK))
+    folded = units.mapInPandas(fold, FOLDED)
+    return whole.unionByName(numbered(folded)).to(schema(schemas.CHUNK))
+
+
+def numbered(folded: DataFrame) -> DataFrame:
+    """Chunks with their ids, from source_id, artifact_type, section_id, section_ref, i, content, words, seeded."""
+    return folded.select(T.chunk_id("source_id", "section_id", "i").alias("chunk_id"), "source_id", "artifact_type", "content", F.col("section_ref").alias("page_ref"), F.expr(_META.format(i="i", n="words", o="seeded")))
 
 
 def schema(ddl: str):

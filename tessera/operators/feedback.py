@@ -15,7 +15,7 @@ from tessera.operators import model as M
 from tessera.operators import requirements
 from tessera.operators.ranking import first_k
 from tessera.operators.requirements import tr_id
-from tessera.plans.storage import materialize
+from tessera.plans.storage import materialize, release
 
 
 def split_flagged(rows: DataFrame, flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,29 +80,36 @@ def gap_requirements(replies: DataFrame, rows: DataFrame, iteration: int, config
     return requirements.shaped(requirements.parsed(each, ["source_id", "ordinal", "tr_id", "category"]))
 
 
-def gap_rows(gaps: DataFrame, iteration: int, per_iteration: int = 10) -> DataFrame:
-    """Ids of rows that fill gaps (source_id, ordinal, tr_h): numbered over source and iteration, so none repeats."""
-    rows = first_k(gaps.filter("trim(tr_h) <> ''"), ["source_id"], ["ordinal"], per_iteration, "n")
-    rows = rows.withColumn("number", F.col("n") + 1000 + iteration * per_iteration)
-    return rows.select("source_id", tr_id("source_id", F.lit("FIXD"), "number").alias("tr_id"), F.lit("functional").alias("category"), "tr_h", "number")
+def loop(rows: DataFrame, review: Callable[[DataFrame, DataFrame | None], DataFrame], repair: Callable[[DataFrame, DataFrame, int], DataFrame], config: PipelineConfig = PipelineConfig()) -> tuple[DataFrame, DataFrame]:
+    """At most `max_iterations` repairs of sources that don't pass, and the reviews of what they end as; no change ends it.
 
-
-def loop(rows: DataFrame, review: Callable[[DataFrame], DataFrame], repair: Callable[[DataFrame, DataFrame, int], DataFrame], config: PipelineConfig = PipelineConfig()) -> DataFrame:
-    """At most `max_iterations` repairs of sources that don't pass; each is reviewed anew and written, and no change ends it.
-
-    `review` gives source_id, passed; `repair` takes (rows of failing sources, their review, number of the iteration).
+    `review` takes rows and the sources to review (None: all) and gives source_id, passed; `repair` takes (rows of failing sources, their
+    review, number of the iteration). Only sources that a repair has changed are reviewed again; the reviews of the others stay.
     """
     now = materialize(rows, "requirements")
+    reviewed = materialize(review(now, None), "reviews")
     for turn in range(config.max_iterations):
-        reviewed = materialize(review(now), "review")
-        failing = reviewed.filter("not passed").select("source_id")
+        failing = reviewed.filter("not passed")
         if failing.isEmpty():
             break
-        fixed = repair(now.join(failing, "source_id", "left_semi"), reviewed.filter("not passed"), turn)
-        after = materialize(now.join(failing, "source_id", "left_anti").unionByName(fixed), "requirements")
-        mark = lambda df: df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("source_id", "tr_id", "tr_h"), F.lit(1 << 30)))).first()
-        if mark(after) == mark(now):
+        before = now.join(failing.select("source_id"), "source_id", "left_semi")
+        fixed = materialize(repair(before, failing, turn), "repaired")
+        changed = materialize(changed_sources(before, fixed), "changed")
+        if changed.isEmpty():
+            release(fixed, changed)
             break
-        now = after
-    return now
-
+        theirs = fixed.join(changed, "source_id", "left_semi")
+        after = materialize(now.join(changed, "source_id", "left_anti").unionByName(theirs), "requirements")
+        again = review(theirs, changed)
+        merged = materialize(reviewed.join(changed, "source_id", "left_anti").unionByName(again), "reviews")
+        release(now, reviewed, fixed, changed)
+        now, reviewed = after, merged
+    return now, reviewed
+
+
+def changed_sources(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The sources whose rows differ, by number and hashes."""
+    whole = F.sum(F.pmod(F.xxhash64(*[F.to_json(F.struct(c)) for c in before.columns]), F.lit(1 << 30)))
+    mark = lambda df, side: df.groupBy("source_id").agg(F.struct(F.count("*"), whole).alias(side))
+    both = mark(before, "before").join(mark(after, "after"), "source_id", "full")
+    return both.filter(~F.col("before").eqNullSafe(F.col("after"))).select("source_id")

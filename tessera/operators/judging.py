@@ -22,11 +22,11 @@ def _line(c) -> F.Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")
 
 
-def faithfulness(rows: DataFrame, client: M.ModelClient, done: DataFrame | None = None, first: int = 30) -> DataFrame:
+def faithfulness(rows: DataFrame, client: M.ModelClient, done: DataFrame | None = None, first: int = 30, saved_at: str | None = None) -> DataFrame:
     """source_id, ordinal, tr_id, tr_h, source, verdict of the first rows of each source.
 
     The window is fixed before anything else. Good verdicts in `done` (source_id, tr_id, verdict) stay; others are asked for again. Rows that
-    name no source are skipped.
+    name no source are skipped. With `saved_at` verdicts are saved while running and resumed from there (see `model.ask`).
     """
     window = rows.withColumn("n", F.row_number().over(W.partitionBy("source_id").orderBy("ordinal"))).filter(F.col("n") <= first)
     window = window.select("source_id", "ordinal", "tr_id", "tr_h", T.joined_source("source_req_ids", "tr_a.source_req_ids").alias("source"))
@@ -38,19 +38,19 @@ def faithfulness(rows: DataFrame, client: M.ModelClient, done: DataFrame | None
     task = "Does the second text only say what the first one says or implies? Answer SUPPORTED, PARTIALLY_SUPPORTED (it adds a detail) or UNSUPPORTED."
     asked = window.filter("source is not null").withColumns({"kind": F.lit("faithful"), "prompt": F.concat_ws("\n", _line("source"), _line("tr_h"), F.lit(task))})
     columns = ["source_id", "ordinal", "tr_id", "tr_h", "source", "verdict"]
-    out = M.ask(asked, client).withColumn("verdict", Q.verdict("reply")).select(columns)
+    out = M.ask(asked, client, saved_at=saved_at).withColumn("verdict", Q.verdict("reply")).select(columns)
     out = out.unionByName(window.filter("source is null").withColumn("verdict", F.lit("SKIPPED_NO_SOURCE")).select(columns))
     return out if kept is None else out.unionByName(kept.select(columns))
 
 
-def judged(rows: DataFrame, client: M.ModelClient) -> DataFrame:
+def judged(rows: DataFrame, client: M.ModelClient, saved_at: str | None = None) -> DataFrame:
     """source_id, ordinal, tr_id, passes: of the six criteria, by the model; null where it failed to answer."""
     part = lambda c: F.coalesce(F.nullif(F.concat_ws(", ", f"tr_a.{c}"), F.lit("")), F.lit("(none)"))
     task = "Answer PASS or FAIL for each: has shall; trigger or subject; expected output of four words; a precondition; a stimulus; something measurable. Six words, nothing else."
     prompt = F.concat_ws("\n", F.lit(task), F.concat(F.lit("TR-H: "), "tr_h"), *[F.concat(F.lit(f"{c}: "), part(c)) for c in ("preconditions", "stimuli", "expected_outputs")])
     asked = rows.select("source_id", "ordinal", "tr_id", F.lit("judge").alias("kind"), prompt.alias("prompt"))
     passes = F.when(~F.startswith("reply", F.lit("ERROR:")), Q.passes_in("reply"))
-    return M.ask(asked, client).select("source_id", "ordinal", "tr_id", passes.alias("passes"))
+    return M.ask(asked, client, saved_at=saved_at).select("source_id", "ordinal", "tr_id", passes.alias("passes"))
 
 
 def judged_metrics(scores: DataFrame, rows: DataFrame) -> DataFrame:

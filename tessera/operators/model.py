@@ -16,11 +16,12 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.plans.storage import materialize
+from tessera.operators.positions import ordered
+from tessera.plans.storage import delete, exists, materialize, release, scratch_path
 from tessera.schemas import ASKED_TYPES
 
 
@@ -118,23 +119,59 @@ class HttpClient:
         return "ERROR: no reply"
 
 
-def ask(prompts: DataFrame, client: ModelClient, known: DataFrame | None = None) -> DataFrame:
-    """prompts (…, kind, prompt) with reply. Prompts in `known` (prompt_id, reply) aren't sent; equal prompts are sent once."""
-    keyed = prompts.withColumn("prompt_id", F.sha2(F.concat_ws("\x00", "kind", "prompt"), 256))
-    new = keyed.select("prompt_id", "kind", "prompt").dropDuplicates(["prompt_id"])
-    if known is not None:
-        new = new.join(known, "prompt_id", "left_anti")
-
+def _replied(prompts: DataFrame, client: ModelClient) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"prompt_id": pdf["prompt_id"], "reply": [client.reply(k, p) for k, p in zip(pdf["kind"], pdf["prompt"], strict=True)]})
 
-    replies = materialize(new.mapInPandas(run, "prompt_id string, reply string"), "replies")
+    return prompts.select("prompt_id", "kind", "prompt").mapInPandas(run, "prompt_id string, reply string")
+
+
+def ask(prompts: DataFrame, client: ModelClient, known: DataFrame | None = None, saved_at: str | None = None, per_batch: int = 1000, most_batches: int = 1000) -> DataFrame:
+    """prompts (…, kind, prompt) with reply. Prompts in `known` (prompt_id, reply) aren't sent; equal prompts are sent once.
+
+    With `saved_at`, replies are committed below that path batch by batch, `per_batch` prompts or a thousandth of all at a time: whatever ends the run
+    loses the batch it was in at most, and the next run with the same path asks for the rest, and again where the reply was an error.
+    """
+    keyed = prompts.withColumn("prompt_id", F.sha2(F.concat_ws("\x00", "kind", "prompt"), 256))
+    new = keyed.select("prompt_id", "kind", "prompt").dropDuplicates(["prompt_id"])
+    if known is not None:
+        new = new.join(known, "prompt_id", "left_anti")
+    if saved_at is None:
+        replies = materialize(_replied(new, client), "replies")
+    else:
+        _ask_in_batches(new, client, saved_at, per_batch, most_batches)
+        replies = saved_replies(prompts.sparkSession, saved_at)
     if known is not None:
         replies = replies.unionByName(known.select("prompt_id", "reply"))
     return keyed.join(replies, "prompt_id")
 
 
+def saved_replies(spark: SparkSession, path: str, with_errors: bool = True) -> DataFrame:
+    """prompt_id, reply of what `ask` has saved: of several replies to a prompt the latest that is no error."""
+    rows = spark.read.schema("prompt_id string, reply string, at timestamp").parquet(path) if exists(spark, path) else spark.createDataFrame([], "prompt_id string, reply string, at timestamp")
+    fine = ~F.startswith("reply", F.lit("ERROR:"))
+    return (rows if with_errors else rows.filter(fine)).groupBy("prompt_id").agg(F.max_by("reply", F.struct(fine, "at", "reply")).alias("reply"))
+
+
+def _ask_in_batches(prompts: DataFrame, client: ModelClient, path: str, per_batch: int, most_batches: int) -> None:
+    spark = prompts.sparkSession
+    left = prompts.join(saved_replies(spark, path, False).select("prompt_id"), "prompt_id", "left_anti")
+    placed = ordered(left, ["prompt_id"], "to-ask")
+    last = placed.agg(F.max("place").alias("n")).first()["n"]
+    if last is None:
+        return release(placed)
+    size = max(per_batch, -(-(last + 1) // most_batches))
+    cut = scratch_path(spark, "batches")
+    placed.withColumn("batch", F.floor(F.col("place") / size)).write.partitionBy("batch").parquet(cut)
+    release(placed)
+    for k in range(last // size + 1):  # each batch is a job of its own
+        part = spark.read.schema("prompt_id string, kind string, prompt string").parquet(f"{cut}/batch={k}")
+        spread = part.repartition(min(size, spark.sparkContext.defaultParallelism))
+        _replied(spread, client).withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+    delete(spark, cut)
+
+
 def prompts(lists: DataFrame, kind: str, task: str, keys: list[str], text: str = "text", order: str = "ordinal") -> DataFrame:
     """One prompt per group from its list; groups without items get none, so the model isn't called for them."""
     items = F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,28 +34,67 @@ def window_pairs(rows: DataFrame, text: str, keys: list[str], ordinal: str, abov
     return pairs.filter(F.col("similarity") > above).select(*keys, "i", "j", F.round("similarity", 6).alias("similarity"))
 
 
+MERGED = "source_id string, ordinal int, item_id string, description string, priority string, source_ids array<string>"
+
+
+class Heads:
+    """The rows that stay, each with what it has grown to, found by the first tokens of their sets."""
+
+    def __init__(self, above: float):
+        self.above, self.rows, self.sets = above, [], []
+        self.by_token: dict[str, set[int]] = {}
+
+    def prefix(self, tokens: set[str]) -> list[str]:
+        """Sets that are alike enough share one of their first tokens; long ones, which are rarer, come first."""
+        return sorted(tokens, key=lambda t: (-len(t), t))[: len(tokens) - math.ceil(self.above * len(tokens) - 1e-9) + 1]
+
+    def add(self, ordinal: int, item_id: str, text: str, priority: str, ids: list[str]) -> None:
+        """A row goes to the first that it is like, or stays."""
+        own = set(text.lower().split())
+        near = set().union(*[self.by_token.get(t, ()) for t in self.prefix(own)]) if own else ()
+        for k in sorted(near):
+            a = self.sets[k]
+            if min(len(a), len(own)) > self.above * max(len(a), len(own)) and len(a & own) / len(a | own) > self.above:
+                head = self.rows[k]
+                head[4] |= set(ids)
+                if len(text) > len(head[2]):
+                    self._place(k, own)
+                    head[2] = text
+                return
+        self.rows.append([ordinal, item_id, text, priority, set(ids)])
+        self.sets.append(set())
+        self._place(len(self.rows) - 1, own)
+
+    def _place(self, k: int, tokens: set[str]) -> None:
+        for t in self.prefix(self.sets[k]) if self.sets[k] else ():
+            self.by_token[t].discard(k)
+        self.sets[k] = tokens
+        for t in self.prefix(tokens) if tokens else ():
+            self.by_token.setdefault(t, set()).add(k)
+
+
 def greedy_merge(rows: DataFrame, above: float = 0.75) -> DataFrame:
     """source_id, ordinal, item_id, description, priority, source_ids: each row absorbs later ones that are like what it has grown to.
 
-    The longer description wins, id and priority stay the first row's, source ids are united and sorted. The order
-    matters, so a source's rows (a capped list) are folded together.
+    The longer description wins, id and priority stay the first row's, source ids are united and sorted. A row goes to the first of those
+    before it that takes it, so rows stream past in their order and a task keeps those that stay; they are found by prefixes of
+    their token sets. What a row becomes depends on all before it, so a source is one stream.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = [(r.ordinal, r.item_id, r.description, r.priority, set(r.source_ids)) for r in pdf.sort_values("ordinal").itertuples()]
-        out = []
-        while left:
-            o, i, text, p, ids = left.pop(0)
-            rest = []
-            for other in left:
-                a, b = set(text.lower().split()), set(other[2].lower().split())
-                if a and b and len(a & b) / len(a | b) > above:
-                    text = other[2] if len(other[2]) > len(text) else text
-                    ids |= other[4]
-                else:
-                    rest.append(other)
-            left = rest
-            out.append((pdf["source_id"].iloc[0], o, i, text, p, sorted(ids)))
-        return pd.DataFrame(out, columns=["source_id", "ordinal", "item_id", "description", "priority", "source_ids"])
-
-    return rows.groupBy("source_id").applyInPandas(fold, "source_id string, ordinal int, item_id string, description string, priority string, source_ids array<string>")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told(source: str, heads: Heads) -> Iterator[pd.DataFrame]:
+            for lo in range(0, len(heads.rows), 10_000):
+                out = [(source, *head[:4], sorted(head[4])) for head in heads.rows[lo : lo + 10_000]]
+                yield pd.DataFrame(out, columns=["source_id", "ordinal", "item_id", "description", "priority", "source_ids"])
+
+        source, heads = None, Heads(above)
+        for pdf in batches:
+            for r in pdf.itertuples():
+                if r.source_id != source:
+                    yield from told(source, heads)
+                    source, heads = r.source_id, Heads(above)
+                heads.add(r.ordinal, r.item_id, r.description or "", r.priority, list(r.source_ids) if r.source_ids is not None else [])
+        yield from told(source, heads)
+
+    ordered_rows = rows.select("source_id", "ordinal", "item_id", "description", "priority", "source_ids").repartition("source_id").sortWithinPartitions("source_id", "ordinal")
+    return ordered_rows.mapInPandas(fold, MERGED)

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera import schemas
 from tessera.config import PipelineConfig
-from tessera.operators import chunking, consistency, demand, feedback, requirements, review
+from tessera.operators import chunking, consistency, demand, feedback, requirements, review, sinks
 from tessera.operators import model as M
 from tessera.operators.ranking import first_k
-from tessera.plans.storage import materialize
+from tessera.plans.storage import materialize, release
 
 #: Fields and caps of the lists that each category of requirement is written from.
 SELECTED = {
@@ -108,6 +109,16 @@ def covered_items(items: DataFrame) -> DataFrame:
     return rows.select("source_id", F.concat_ws("-", "field", "ordinal").alias("ordinal"), F.substring("text", 1, 60).alias("text"))
 
 
+def judge_with(asked: DataFrame, limits: DataFrame, sources: DataFrame, config: PipelineConfig):
+    """Reviews of rows, of all sources or of those named."""
+
+    def judge(rows: DataFrame, only: DataFrame | None) -> DataFrame:
+        own = lambda df: df if only is None else df.join(only, "source_id", "left_semi")
+        return review.review(own(rows), own(asked), own(limits), own(sources), config)
+
+    return judge
+
+
 def repair_with(client: M.ModelClient, config: PipelineConfig):
     """Flagged requirements are written anew, then gaps are filled."""
 
@@ -134,7 +145,39 @@ def run(sections: DataFrame, client: M.ModelClient | None = None, bundle_map: Da
     rows = materialize(generate(items, issues, client), "requirements")
     asked, limits = covered_items(items), items.filter("field in ('nfr', 'runtime')").select("source_id", F.concat_ws("-", "field", "ordinal").alias("ordinal"), "text")
     sources = items.select("source_id").distinct()
-    judge = lambda df: review.review(df, asked, limits, sources, config)
     if with_feedback:
-        rows = feedback.loop(rows, judge, repair_with(client, config), config)
-    return Result(chunks, entities, items, issues, rows, materialize(judge(rows), "reviews"))
+        rows, reviews = feedback.loop(rows, judge_with(asked, limits, sources, config), repair_with(client, config), config)
+    else:
+        reviews = materialize(judge_with(asked, limits, sources, config)(rows, None), "reviews")
+    return Result(chunks, entities, items, issues, rows, reviews)
+
+
+def run_into(path: str, sections: DataFrame, client: M.ModelClient | None = None, bundle_map: DataFrame | None = None, config: PipelineConfig = PipelineConfig(), force: bool = False) -> Result:
+    """All stages, with their tables saved below `path`; documents that have a review there are skipped unless `force`.
+
+    Of new documents chunks, entities, items, requirements and reviews are added. Issues concern pairs of documents, so they are found anew over
+    the items of all. What is returned reads the tables as they are now; a later save that replaces their files needs a new read.
+    """
+    spark, client = sections.sparkSession, client or M.RuleClient()
+    at = lambda name: f"{path}/{name}"
+    todo = materialize(sinks.pending(sections, sinks.saved_sources(spark, at("reviews")), force), "pending")
+    if not todo.isEmpty():
+        sinks.save(materialize(chunking.chunk(todo), "chunks"), at("chunks"))
+        mine = sinks.load(spark, at("chunks"), schemas.CHUNK).join(todo.select("source_id").distinct(), "source_id", "left_semi")
+        entities = materialize(demand.extract_entities(mine, client), "entities")
+        sinks.save(entities, at("entities"))
+        own = materialize(demand.demand_items(entities, client, config), "items")
+        sinks.save(own, at("items"))
+        items = sinks.load(spark, at("items"), schemas.DEMAND_ITEM)
+        issues = materialize(check(items, bundle_map, client), "issues")
+        issues.write.mode("overwrite").parquet(at("issues"))
+        rows = materialize(generate(own, issues, client), "requirements")
+        limits = own.filter("field in ('nfr', 'runtime')").select("source_id", F.concat_ws("-", "field", "ordinal").alias("ordinal"), "text")
+        judge = judge_with(covered_items(own), limits, own.select("source_id").distinct(), config)
+        rows, reviews = feedback.loop(rows, judge, repair_with(client, config), config)
+        sinks.save(rows, at("requirements"))
+        sinks.save(reviews, at("reviews"))
+    release(todo)
+    read = lambda name, ddl: sinks.load(spark, at(name), ddl)
+    reviews = spark.read.parquet(at("reviews")).drop("bucket")
+    return Result(read("chunks", schemas.CHUNK), read("entities", schemas.ENTITY), read("items", schemas.DEMAND_ITEM), spark.read.schema(schemas.ISSUE).parquet(at("issues")), read("requirements", schemas.REQUIREMENT), reviews)

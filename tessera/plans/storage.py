@@ -49,9 +49,17 @@ def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files behind materialized tables that nothing will read again."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.scratch)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -313,6 +313,22 @@ _LOADED = schemas.SECTION + ", kind string, page int, pos int, size double, flag
 _COLUMNS = [x.split()[0] for x in _LOADED.split(", ")]
 
 
+class DocumentSections:
+    """The table function `document_sections(content, ext)` of SQL."""
+
+    def eval(self, content: bytes, ext: str):
+        registry = LoaderRegistry()
+        parser = registry.parsers.get((ext or "").lower())
+        if parser is not None and content is not None:
+            for number, ref, text in parser(bytes(content)):
+                yield number, ref, text
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Registers document_sections (section_id, section_ref, text) for LATERAL joins. A null content or an extension without a parser gives no rows."""
+    spark.udtf.register("document_sections", F.udtf(DocumentSections, returnType="section_id int, section_ref string, text string"))
+
+
 class LoaderRegistry:
     """Parsers by extension; others can be added. A file that fails yields a row with its error and no sections."""
 

@@ -130,9 +130,6 @@ def test_feedback_modes(spark):
     assert feedback.merge(rows, flagged, none).count() == 15 and feedback.merge(rows, flagged, none, reference).count() == 6
     assert feedback.merge(rows, flagged, answers, reference).count() == 14
     assert feedback.merge(rows, flagged, answers).filter("tr_h = 'new'").count() == 8
-    gaps = spark.createDataFrame([("s", i, "x") for i in range(12)], "source_id string, ordinal int, tr_h string")
-    ids = [r["tr_id"] for k in range(2) for r in feedback.gap_rows(gaps, k).collect()]
-    assert len(ids) == len(set(ids)) == 20 and "S-FIXD-1001" in ids
 
 
 def test_lenient_replies(spark):
