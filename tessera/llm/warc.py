@@ -2,9 +2,10 @@
 
 Spark's text writer lays down one record per row, ended by the two line ends that close a WARC record, so
 archives go through the usual task commit and survive lost executors. Records are written by size class, so many to a
-file that no file of several records passes 64 MB. Archives are read back file by file and parsed; each
-file's captures, sorted by URL key, time and page_id, are a run. Ranges of keys gather their part of
-every run, and a loser tree merges the runs of a range; ranges in order are the global order, and each capture gets its position in it.
+file that no file of several records passes 64 MB; classes without records cost no pass. Archives are read back file by file and parsed; the captures
+of a task's files, sorted by URL key, time and page_id, are runs of up to `RUN` captures. Ranges of keys gather their part of
+every run, and a loser tree merges the runs of a range; ranges in order are the global order, and each capture gets its position in it
+from its place in its range and a table of where ranges begin.
 
 Of records with equal payloads of `least` bytes or more the one with the largest page_id is the response, others revisit it.
 Rows that share that page_id are all responses. Null html is an empty payload; a null url an empty URL; rows with a null page_id are
@@ -21,17 +22,20 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import bytewords as bw
-from tessera.plans.storage import materialize, scratch_path
+from tessera.plans.storage import delete, materialize, release, scratch_path
 
 END = "\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of payload up to which so many records go to a file.
-SIZE_CLASSES = ((16 << 10, 4096), (1 << 20, 64), (None, 1))
+SIZE_CLASSES = ((16 << 10, 4096), (256 << 10, 256), (4 << 20, 16), (16 << 20, 4), (None, 1))
+RUN = 100_000  # captures of a run (some 300 bytes each) at most
 BROADCAST_DIGESTS = 250_000  # up to so many repeated payloads (some 60 bytes each) are broadcast
 
 
@@ -118,15 +122,15 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
         F.when(again, F.concat(line("WARC-Refers-To", urn("original", "original_tag")), line("WARC-Profile", F.lit(_PROFILE)))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
-    records = rows.select(F.concat(head, block).alias("value"))
-    size = F.octet_length("value")
-    largest, above = records.agg(F.max(size).alias("n")).first()["n"] or 0, -1
-    for upto, most in SIZE_CLASSES:
-        own = (size > above) & (size <= upto if upto else F.lit(True))
-        records.filter(own).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", most).text(path)
-        if upto is None or largest <= upto:
-            break
-        above = upto
+    records = rows.select("n", "url", F.concat(head, block).alias("value"))
+    # sizes go by the payload, so that choosing a class builds no record; heads are of some 1 KB and their URL
+    size = F.col("n") + F.octet_length("url") + 1024
+    bounds = [upto if upto else 1 << 62 for upto, _ in SIZE_CLASSES]
+    of = [(size > low) & (size <= high) for low, high in zip([-1, *bounds], bounds, strict=False)]
+    some = rows.select("n", "url").agg(*[F.count_if(c).alias(str(i)) for i, c in enumerate(of)]).first()
+    for i, (own, (_, most)) in enumerate(zip(of, SIZE_CLASSES, strict=True)):
+        if some[i] or not i:  # the first is written even if it is empty
+            records.filter(own).select("value").write.mode("append").option("lineSep", END).option("maxRecordsPerFile", most).text(path)
 
 
 def parse_archive(raw: bytes | memoryview) -> Iterator[dict]:
@@ -154,7 +158,7 @@ def parse_archive(raw: bytes | memoryview) -> Iterator[dict]:
         at = end + 4
 
 
-_INDEX = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured string, offset long, length long, file string"
+_INDEX = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured string, offset long, length long, file string, run string"
 _ARROW = pa.schema([(c, pa.string() if k == "string" else pa.int64()) for c, k in (x.split() for x in _INDEX.split(", "))])
 
 
@@ -162,28 +166,39 @@ def _order(r: dict) -> tuple:
     return r["url_key"], r["captured"], (r["page_id"] is not None, r["page_id"] or 0), r["payload_digest"], r["record_type"]
 
 
-def read_runs(spark, path: str) -> DataFrame:
-    """The captures of every archive below `path`, each file's sorted by URL key and time."""
+def read_runs(spark, path: str, most: int = RUN) -> DataFrame:
+    """The captures of every archive below `path`, in runs sorted by URL key and time."""
     files = spark.read.format("binaryFile").load(f"{path}/part-*").select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        name = f"{TaskContext.get().partitionId()}-"
+        runs = 0
+
+        def sorted_run() -> Iterator[pa.RecordBatch]:
+            rows = sorted(held, key=_order)
+            for k in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_pylist([r | {"run": f"{name}{runs}"} for r in rows[k : k + 10_000]], _ARROW)
+
         for batch in batches:
-            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = sorted((r | {"file": name.rsplit("/", 1)[-1]} for r in parse_archive(raw.as_buffer())), key=_order)
-                for k in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_pylist(rows[k : k + 10_000], _ARROW)
+            for file, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                held += [r | {"file": file.rsplit("/", 1)[-1]} for r in parse_archive(raw.as_buffer())]
+                if len(held) >= most:
+                    yield from sorted_run()
+                    held, runs = [], runs + 1
+        yield from sorted_run()
 
     return bw.arrow(files, run, _INDEX)
 
 
 def natural_runs(rows: Iterator[dict]) -> list[list[dict]]:
-    """The ordered stretches of each file's rows; rows of a run may arrive in several blocks, in any order of these."""
+    """The ordered stretches of each run's rows, which may arrive in several blocks, in any order of these."""
     runs: list[list[dict]] = []
     last: dict[str, int] = {}
     for r in rows:
-        at = last.get(r["file"])
+        at = last.get(r["run"])
         if at is None or _order(runs[at][-1]) > _order(r):
-            last[r["file"]] = at = len(runs)
+            last[r["run"]] = at = len(runs)
             runs.append([])
         runs[at].append(r)
     return runs
@@ -206,16 +221,21 @@ def merge_runs(runs: DataFrame, rows_per_range: int = 50_000) -> DataFrame:
 
     schema = _ARROW.append(pa.field("range_no", pa.int32())).append(pa.field("place", pa.int64()))
     merged = materialize(bw.arrow(dealt.select(*columns, "range_no"), run, _INDEX + ", range_no int, place long"), "captures")
-    sizes = merged.groupBy("range_no").count().orderBy("range_no").collect()  # a row for each range
-    first, at = ["0L"] * (max([r["range_no"] for r in sizes], default=0) + 1), 0
-    for r in sizes:
-        first[r["range_no"]], at = f"{at}L", at + r["count"]
-    return merged.withColumn("position", F.expr(f"element_at(array({', '.join(first)}), range_no + 1)") + F.col("place"))
+    before = W.orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)  # over a row for each range
+    first = merged.groupBy("range_no").count().select("range_no", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    placed = merged.join(F.broadcast(first) if ranges <= BROADCAST_DIGESTS else first, "range_no")
+    return placed.withColumn("position", F.col("first") + F.col("place")).drop("first", "run")
 
 
-def archive(pages: DataFrame, least: int = 1000, path: str | None = None) -> DataFrame:
-    """Write archives (into the shared folder unless a path is named), read them back and merge their index."""
+def archive(pages: DataFrame, least: int = 1000, path: str | None = None, run_length: int = RUN) -> DataFrame:
+    """Write archives below `path`, read them back and merge their index. Without a path they are written into the shared folder, and go when they are read."""
     spark = pages.sparkSession
+    own = path is None
     path = path or scratch_path(spark, "warc")
     write_archives(pages, path, least)
-    return merge_runs(materialize(read_runs(spark, path), "runs"))
+    runs = materialize(read_runs(spark, path, run_length), "runs")
+    merged = merge_runs(runs)
+    release(runs)
+    if own:  # archives that nobody asked to keep
+        delete(spark, path)
+    return merged

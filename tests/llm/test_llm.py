@@ -546,8 +546,24 @@ def test_archives_are_cut_by_bytes(spark, tmp_path, monkeypatch):
     assert max((tmp_path / "w" / f).stat().st_size for f, x in files.items() if len(x) > 1) < 40_000
 
 
+def test_archives_of_large_payloads_and_many_runs(spark, tmp_path):
+    big = [(i, f"http://h{i % 7}.org/{i}", chr(97 + i) * 3_000_000, 1) for i in range(9)]
+    small = [(100 + i, f"http://h{i % 50}.org/{i * 7919 % 2000}", f"page {i}", 1) for i in range(2000)]
+    df = spark.createDataFrame(big, PAGES).coalesce(1).unionByName(spark.createDataFrame(small, PAGES).coalesce(3))
+    got = sorted(warc.archive(df, path=str(tmp_path / "w"), run_length=1).collect(), key=lambda r: r["position"])  # a file, and more, is a run
+    assert [r["position"] for r in got] == list(range(2009)) and sum(r["payload_bytes"] for r in got) == 27_000_000 + sum(len(p[2]) for p in small)
+    assert [r["page_id"] for r in got] == [r["page_id"] for r in sorted(got, key=lambda r: (r["url_key"], r["captured"], r["page_id"]))]
+    files = {r["file"] for r in got if r["payload_bytes"] > 10**6}
+    assert len(files) == 1  # 16 records of up to 4 MB share a file
+    plan = lambda n: len(warc.merge_runs(warc.read_runs(spark, str(tmp_path / "w")), n)._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(plan(20) - plan(2000)) < 200  # whatever the number of ranges
+    runs = [[{"url_key": f"{k % 40:03d}", "captured": f"{k}", "page_id": k, "payload_digest": "", "record_type": "", "run": str(k)}] for k in range(2000)]
+    merged = list(warc.LoserTree(warc.natural_runs(r for x in runs for r in x), warc._order))
+    assert [r["page_id"] for r in merged] == [r["page_id"] for r in sorted((x[0] for x in runs), key=warc._order)]
+
+
 def test_natural_runs_are_never_sorted_again():
-    rows = [{"url_key": k, "captured": "", "page_id": 1, "payload_digest": "", "record_type": "", "file": f} for f, k in zip("aabaabb", "bdcaeab", strict=True)]
+    rows = [{"url_key": k, "captured": "", "page_id": 1, "payload_digest": "", "record_type": "", "run": f} for f, k in zip("aabaabb", "bdcaeab", strict=True)]
     assert [[r["url_key"] for r in x] for x in warc.natural_runs(iter(rows))] == [["b", "d"], ["c"], ["a", "e"], ["a", "b"]]
 
 
