@@ -103,15 +103,3 @@ def relevant_issues(issues: DataFrame, sources: DataFrame, bundled: DataFrame |
         wanted = s.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((last or 0) // block).cast("long"))))
         shared = wanted.join(blocks, "k").select("sid", F.explode("all").alias("x")).select("sid", "x.*")
     return named.select("sid", *columns).unionByName(inner.select("sid", *columns)).join(s, "sid", "left_semi").unionByName(shared.select("sid", *columns)).dropDuplicates(["sid", "comparison_id", "ordinal"])
-
-
-def numeric_conflicts(statements: DataFrame, above: float = 0.3) -> DataFrame:
-    """An addition of ours: statements (bundle_id, source_id, ordinal, text) of one bundle alike but for a number of the same unit."""
-    from tessera.functions import text as T
-
-    unit = r"(\d+)[\s-]*(second|minute|hour|day|percent|attempt|request)"
-    found = statements.select("bundle_id", "source_id", "ordinal", "text", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(unit), F.lit(0))).alias("m"), T.token_set(F.regexp_replace("text", r"\d+", "")).alias("t"))
-    found = found.select("*", F.regexp_extract("m", r"(\d+)", 1).cast("long").alias("value"), F.regexp_extract("m", r"([a-z]+)$", 1).alias("unit"))
-    a, b = found.alias("a"), found.alias("b")
-    on = (F.col("a.bundle_id") == F.col("b.bundle_id")) & (F.col("a.unit") == F.col("b.unit")) & (F.col("a.source_id") < F.col("b.source_id")) & (F.col("a.value") != F.col("b.value"))
-    return a.join(b, on).filter(T.jaccard_sets("a.t", "b.t") >= above).selectExpr("a.bundle_id", "a.source_id as source_a", "b.source_id as source_b", "a.unit as unit", "a.value as value_a", "b.value as value_b")

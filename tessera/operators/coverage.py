@@ -36,12 +36,3 @@ def coverage_score(items: DataFrame, texts: DataFrame, listed: int = 10) -> Data
     c = item_coverage(items, texts)
     missing = F.transform(F.slice(F.sort_array(F.collect_list(F.when(~F.col("covered"), F.struct("ordinal", "text")))), 1, listed), lambda x: x["text"])
     return c.groupBy("source_id").agg(F.count("*").alias("total"), F.count_if("covered").alias("covered"), F.round(F.count_if("covered") / F.count("*"), 6).alias("score"), missing.alias("uncovered"))
-
-
-def strict_coverage(items: DataFrame, texts: DataFrame, stop: tuple[str, ...] = ("the", "system", "shall")) -> DataFrame:
-    """As item_coverage, but boilerplate words are no keywords and matches are whole words."""
-    words = F.array(*map(F.lit, stop))
-    asked = items.select("source_id", "ordinal", F.explode(F.array_except(F.filter(T.words(F.lower("text")), lambda w: F.length(w) >= 3), words)).alias("word"))
-    found = texts.select("source_id", F.explode(T.token_set("text")).alias("word")).distinct()
-    yes = asked.join(found, ["source_id", "word"], "left_semi").select("source_id", "ordinal").distinct().withColumn("covered", F.lit(True))
-    return items.join(yes, ["source_id", "ordinal"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))

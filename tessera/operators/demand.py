@@ -67,14 +67,6 @@ def demand_items(entities: DataFrame, client: M.ModelClient, config: PipelineCon
     return out.select([F.col(f.name) if f.name in out.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(schemas.DEMAND_ITEM)]).to(schema(schemas.DEMAND_ITEM))
 
 
-def nested(items: DataFrame) -> DataFrame:
-    """One row per source: arrays by field and the glossary as a map."""
-    listed = lambda f: F.transform(F.sort_array(F.collect_list(F.when(F.col("field") == f, F.struct("ordinal", "text")))), lambda x: x["text"])
-    names = {"objective": "system_objectives", "role": "user_roles", "use_case": "use_cases", "functional": "functional_reqs", "nfr": "nfr_constraints", "runtime": "runtime_constraints", "exception": "exception_handlers"}
-    terms = F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.when(F.col("field") == "glossary", F.struct("ordinal", "item_id", "text")))), lambda x: F.struct(x["item_id"], x["text"])))
-    return items.groupBy("source_id").agg(*[listed(f).alias(c) for f, c in names.items()], terms.alias("glossary"))
-
-
 def sizes(items: DataFrame) -> DataFrame:
     """Number of items of each field by source."""
     return items.groupBy("source_id").pivot("field", ["objective", "role", "use_case", "functional", "nfr", "runtime", "exception", "glossary"]).count().na.fill(0)

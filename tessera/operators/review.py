@@ -10,6 +10,7 @@ from tessera.functions import quality as Q
 from tessera.operators.coverage import coverage_score
 from tessera.operators.ranking import first_k
 from tessera.operators.similarity import window_pairs
+from tessera.plans.storage import materialize, release
 
 
 def flags(requirements: DataFrame) -> DataFrame:
@@ -75,9 +76,14 @@ def notes(reviewed: DataFrame, config: PipelineConfig = PipelineConfig()) -> Dat
 
 
 def review(requirements: DataFrame, items: DataFrame, constraint_items: DataFrame | None = None, sources: DataFrame | None = None, config: PipelineConfig = PipelineConfig()) -> DataFrame:
-    """The whole review, one row per source: metrics, lists, flagged ids, notes, passed."""
-    f = flags(requirements)
-    pairs = duplicates(requirements, config)
+    """The whole review, one row per source: metrics, lists, flagged ids, notes, passed.
+
+    Flags and pairs are evaluated once and written; only the result's table is left.
+    """
+    f = materialize(flags(requirements), "flags")
+    near = duplicates(requirements, config)
+    pairs = materialize(near, "pairs")
+    release(near)
     cov = coverage_score(items, requirements.select("source_id", F.col("tr_h").alias("text")))
     m = metrics(f, sources if sources is not None else requirements, cov, config)
     bad = lambda c, k: F.transform(F.slice(F.sort_array(F.collect_list(F.when(~F.col(c), F.struct("ordinal", "tr_id")))), 1, k), lambda x: x["tr_id"])
@@ -94,4 +100,6 @@ def review(requirements: DataFrame, items: DataFrame, constraint_items: DataFram
         nfr = requirements.filter("category = 'nfr_constraint'").select("source_id", F.col("tr_h").alias("text"))
         c = coverage_score(constraint_items, nfr, 5).select("source_id", F.struct("covered", "total", "uncovered").alias("constraints"))
         out = out.join(c, "source_id", "left")
-    return out
+    whole = materialize(out, "review")
+    release(f, pairs)
+    return whole

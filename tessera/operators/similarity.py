@@ -19,10 +19,11 @@ def window_pairs(rows: DataFrame, text: str, keys: list[str], ordinal: str, abov
     Rows are counted by gapless positions, whatever gaps their ordinals have (of equal ones the row whose text has the lesser md5 comes first); rows without words count too. Positions fall into buckets
     of horizon + 1 places and the right side stands in two of them, so the range becomes an equality join of bounded
     buckets even if one key holds most of the rows. Token sets are written once, as 64-bit hashes; sizes rule out most pairs before
-    sets are intersected. The table of token sets is read by the result and stays in the shared folder with it.
+    sets are intersected. The result reads the table of token sets; `release` deletes it once that isn't read any more.
     """
     tokens = F.array_distinct(F.transform(T.words(F.lower(text)), lambda w: F.xxhash64(w)))
-    base = ordered(rows.select(*keys, F.col(ordinal).cast("long").alias("o"), F.md5(F.col(text).cast("binary")).alias("tie"), tokens.alias("t")), [*keys, "o", "tie"], "tokens").filter(F.size("t") > 0)
+    placed = ordered(rows.select(*keys, F.col(ordinal).cast("long").alias("o"), F.md5(F.col(text).cast("binary")).alias("tie"), tokens.alias("t")), [*keys, "o", "tie"], "tokens")
+    base = placed.filter(F.size("t") > 0)
     step = F.lit(horizon + 1)
     bucket = F.floor(F.col("place") / step)
     left = base.select(*keys, bucket.alias("b"), F.col("place").alias("at"), F.col("o").alias("i"), F.col("t").alias("x"))
@@ -31,7 +32,9 @@ def window_pairs(rows: DataFrame, text: str, keys: list[str], ordinal: str, abov
     near = near.filter(F.least(F.size("x"), F.size("y")) > above * F.greatest(F.size("x"), F.size("y")))
     both = F.size(F.array_intersect("x", "y"))
     pairs = near.withColumn("similarity", both / (F.size("x") + F.size("y") - both))
-    return pairs.filter(F.col("similarity") > above).select(*keys, "i", "j", F.round("similarity", 6).alias("similarity"))
+    out = pairs.filter(F.col("similarity") > above).select(*keys, "i", "j", F.round("similarity", 6).alias("similarity"))
+    out.scratch = placed.scratch
+    return out
 
 
 MERGED = "source_id string, ordinal int, item_id string, description string, priority string, source_ids array<string>"

@@ -118,7 +118,6 @@ def test_coverage_is_by_parts_of_words(spark):
     texts = spark.createDataFrame([("s", "the Blogger page")], "source_id string, text string")
     got = {r["ordinal"]: r["covered"] for r in coverage.item_coverage(items, texts).collect()}
     assert got == {0: False, 1: True, 2: False}
-    assert not any(r["covered"] for r in coverage.strict_coverage(items, texts).collect())
 
 
 def test_feedback_modes(spark):
@@ -302,12 +301,6 @@ def test_a_single_prompt_for_a_whole_document(spark, tmp_path):
     assert (m["total_trs"], m["q_a"], m["traceability"], m["coverage"], m["duplicate_count"]) == (2, 1.0, 0.0, None, 1)
 
 
-def test_numeric_conflicts(spark):
-    rows = [("b", "srs", 0, "account lock lasts 15 minutes after failures"), ("b", "design", 0, "account lock lasts 30 minutes after failures"), ("b", "other", 0, "reports run 9 minutes")]
-    got = consistency.numeric_conflicts(spark.createDataFrame(rows, "bundle_id string, source_id string, ordinal int, text string")).collect()
-    assert [(r["source_a"], r["value_a"], r["value_b"]) for r in got] == [("design", 30, 15)]
-
-
 def test_sections_of_every_format(spark, tmp_path):
     (tmp_path / "a.txt").write_text("INTRO\n" + "word " * 160 + "\n1.2 Scope here\n" + "text " * 10 + "\nLonely Heading\nNext Heading\nbody.\n")
     (tmp_path / "b.puml").write_text("@startuml\n' ---\nclass Account {\n name\n}\npackage Things {\n}\n")
