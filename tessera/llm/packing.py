@@ -128,7 +128,8 @@ def completions(room: int, counts: dict[int, int], lengths: list[int], most: int
 
 
 def bin_completion(counts: dict[int, int], capacity: int, branch: int = 3, nodes: int | None = None) -> Plan:
-    """The best plan found; it is optimal whenever it meets the sum bound or the search ends within `nodes`.
+    """The best plan found; it is known to be optimal where it meets the sum bound. Beyond that it is a search: `branch` fillings a node, dominance
+    among those of short lengths, and `nodes` bound what is tried.
 
     A whole plan has at most two runs for each length, so four nodes a length (3000 at least) leave room for whole dives
     and backtracking. The search changes one histogram in place and undoes it on the way back, so its memory is that of one
