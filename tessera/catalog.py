@@ -100,7 +100,8 @@ def glossary_map(spark, d):
 
 
 _PAIRS = f"""with t as (select {{keys}}, row_number() over (partition by {{part}} order by {{o}}, md5(text)) as place, list_distinct({words("lower(text)")}) as t from {{table}}),
-p as (select {{out}}, a.o as i, b.o as j, len(list_intersect(a.t, b.t)) as common, len(a.t) + len(b.t) as total from t a join t b on b.place > a.place and b.place <= a.place + 19 {{on}} where len(a.t) > 0 and len(b.t) > 0)
+p as (select {{out}}, a.o as i, b.o as j, len(list_intersect(a.t, b.t)) as common, len(a.t) + len(b.t) as total from t a join t b on b.place > a.place and b.place <= a.place + 19 {{on}}
+ where len(a.t) > 0 and len(b.t) > 0)
 select {{final}}, i, j, round(common / (total - common), 6) as similarity from p where common / (total - common) > 0.75"""
 
 
@@ -186,17 +187,24 @@ def flagged_ids(spark, d):
     return review.flagged_ids(_flags(spark, d))
 
 
-_TOP_ISSUES = f"""te as (select source_id, ordinal, unnest({_ISSUES}) as x from g where not compliant), tn as (select source_id, x.issue as issue, count(*) as n, min(ordinal * 10 + x.p) as f from te group by all),
-tk as (select source_id, array_to_string(list(issue order by rank), '; ') as top from (select *, row_number() over (partition by source_id order by n desc, f) as rank from tn) where rank <= 2 group by source_id) """
+_TOP_ISSUES = f"""te as (select source_id, ordinal, unnest({_ISSUES}) as x from g where not compliant), tn as (select source_id, x.issue as issue, count(*) as n, min(ordinal * 10 + x.p) as f from te
+ group by all),
+tk as (select source_id, array_to_string(list(issue order by rank), '; ') as top from (select *, row_number() over (partition by source_id order by n desc, f) as rank from tn) where rank <= 2
+ group by source_id) """
 _NOTES = """list_filter([case when coverage < 0.95 then concat('Coverage ', cast(round(cast(coverage as decimal(10, 6)) * 100, 0) as int), '% < 95%. Missing: ', array_to_string(un[1:3], '; ')) end,
- case when traceability < 0.9 then concat('Traceability ', cast(round(cast(traceability as decimal(10, 6)) * 100, 0) as int), '% < 90%. Fix: ', array_to_string(list_filter(string_split(untraceable, ','), lambda y: y <> '')[1:3], ', ')) end,
- case when q_a < 0.85 then concat('Q_A ', cast(round(cast(q_a as decimal(10, 6)), 2) as decimal(10, 2)), ' < 0.85. Fix schema for: ', array_to_string(list_filter(string_split(invalid, ','), lambda y: y <> '')[1:3], ', ')) end,
- case when q_h < 0.78 then concat('Q_H ', cast(round(cast(q_h as decimal(10, 6)), 2) as decimal(10, 2)), ' < 0.78. ', non_compliant, ' TRs fail EARS. Issues: ', coalesce(top, '')) end], lambda y: y is not null)"""
+ case when traceability < 0.9 then concat('Traceability ', cast(round(cast(traceability as decimal(10, 6)) * 100, 0) as int), '% < 90%. Fix: ', array_to_string(list_filter(string_split(untraceable,
+ ','), lambda y: y <> '')[1:3], ', ')) end,
+ case when q_a < 0.85 then concat('Q_A ', cast(round(cast(q_a as decimal(10, 6)), 2) as decimal(10, 2)), ' < 0.85. Fix schema for: ', array_to_string(list_filter(string_split(invalid, ','),
+ lambda y: y <> '')[1:3], ', ')) end,
+ case when q_h < 0.78 then concat('Q_H ', cast(round(cast(q_h as decimal(10, 6)), 2) as decimal(10, 2)), ' < 0.78. ', non_compliant, ' TRs fail EARS. Issues: ', coalesce(top, '')) end],
+ lambda y: y is not null)"""
 
 
 @query(_FLAGS + f""", {_COVER}, {_METRICS}, {_TOP_ISSUES}, un as (select source_id, list(text order by ordinal) filter (not cov)[1:10] as un from ic group by source_id),
-ls as (select source_id, array_to_string(list(tr_id order by ordinal) filter (not traceable)[1:10], ',') as untraceable, array_to_string(list(tr_id order by ordinal) filter (not complete)[1:10], ',') as invalid, count(*) filter (not compliant) as non_compliant from g group by source_id),
-al as (select m.source_id, q_h, q_a, traceability, coalesce(score, 1.0) as coverage, coalesce(un, []) as un, coalesce(untraceable, '') as untraceable, coalesce(invalid, '') as invalid, non_compliant, top
+ls as (select source_id, array_to_string(list(tr_id order by ordinal) filter (not traceable)[1:10], ',') as untraceable, array_to_string(list(tr_id order by ordinal) filter (not complete)[1:10],
+ ',') as invalid, count(*) filter (not compliant) as non_compliant from g group by source_id),
+al as (select m.source_id, q_h, q_a, traceability, coalesce(score, 1.0) as coverage, coalesce(un, []) as un, coalesce(untraceable, '') as untraceable, coalesce(invalid, '') as invalid, non_compliant,
+ top
  from m left join cs using (source_id) left join un using (source_id) left join ls using (source_id) left join tk using (source_id))
 select source_id, unnest({_NOTES}) as note from al""")
 def correction_notes(spark, d):
@@ -219,7 +227,8 @@ def category_pivot(spark, d):
     return reports.category_counts(A.requirements(spark, d))
 
 
-_ISSUE = """select concat('intra_', user_id % 30) as comparison_id, case event_id % 4 when 0 then 'conflict' when 1 then 'omission' when 2 then 'ambiguity' else 'to_confirm' end as issue_type from events"""
+_ISSUE = """select concat('intra_', user_id % 30) as comparison_id, case event_id % 4 when 0 then 'conflict' when 1 then 'omission' when 2 then 'ambiguity' else 'to_confirm' end as issue_type
+ from events"""
 
 
 @query(f"with i as ({_ISSUE}) select comparison_id, " + ", ".join(f"count(*) filter (issue_type = '{k}') as {c}" for k, c in (("conflict", "total_conflicts"), ("omission", "total_omissions"), ("ambiguity", "total_ambiguities"), ("to_confirm", "total_to_confirm"))) + " from i group by comparison_id")
@@ -228,7 +237,8 @@ def issue_pivot(spark, d):
     return consistency.report_totals(issues.select("comparison_id").distinct(), issues)
 
 
-@query(f"""with e as ({_ENT}), n as (select source_id, entity_type, count(*) as n, min(ordinal) as f from e group by all), r as (select *, row_number() over (partition by source_id order by n desc, f) as rank from n)
+@query(f"""with e as ({_ENT}), n as (select source_id, entity_type, count(*) as n, min(ordinal) as f from e group by all), r as (select *, row_number() over (partition by source_id order by n desc,
+ f) as rank from n)
 select source_id, cast(rank as int) as rank, entity_type, n from r where rank <= 3""")
 def entity_top3(spark, d):
     return reports.top_types(A.entities(spark, d))
@@ -244,7 +254,8 @@ def _bundled(spark, d):
 
 _ROLE_SQL = f"""with b as (select {_NAMES} as source_id, n_nationkey as ordinal, concat('region', n_regionkey) as bundle_id from nation),
 k as (select * from (values {', '.join(f"('{r}', '{w}', {i})" for r, ws in consistency.ROLES.items() for i, w in enumerate(ws))}) v(role, word, p)),
-r as (select bundle_id, role, source_id, row_number() over (partition by bundle_id, role order by p, ordinal) as n from b join k on contains(source_id, word)), x as (select bundle_id, role, source_id from r where n = 1) """
+r as (select bundle_id, role, source_id, row_number() over (partition by bundle_id, role order by p, ordinal) as n from b join k on contains(source_id, word)), x as (select bundle_id, role, source_id
+ from r where n = 1) """
 
 
 @query(_ROLE_SQL + "select * from x")
@@ -253,7 +264,8 @@ def role_lookup(spark, d):
 
 
 @query(_ROLE_SQL + """, c as (select * from (values ('srs', 'manual'), ('runtime', 'srs'), ('design', 'srs')) v(p, q))
-select concat(a.bundle_id, ':', p, '_vs_', q) as comparison_id, a.bundle_id, a.source_id as source_a, z.source_id as source_b from c join x a on a.role = p join x z on z.role = q and z.bundle_id = a.bundle_id and a.source_id <> z.source_id
+select concat(a.bundle_id, ':', p, '_vs_', q) as comparison_id, a.bundle_id, a.source_id as source_a, z.source_id as source_b from c join x a on a.role = p join x z on z.role = q
+ and z.bundle_id = a.bundle_id and a.source_id <> z.source_id
 union all select concat('intra_', source_id), bundle_id, source_id, source_id from b""")
 def bundle_pairs(spark, d):
     return consistency.comparisons(_bundled(spark, d))
@@ -261,7 +273,8 @@ def bundle_pairs(spark, d):
 
 @query(f"""with e as ({_ENT}), g as (select source_id, lower(content) as term, row_number() over (partition by source_id order by ordinal) as n from e where entity_type = 'glossary_term'),
 a as (select source_id, lower(content) as term, row_number() over (partition by source_id order by ordinal) as n from e where entity_type = 'actor_role'),
-t as (select source_id, term, 0 as kind, n from g where n <= 20 union all select source_id, term, 1, n from a where n <= 8), f as (select term, array_to_string(list_sort(list(distinct source_id)), ',') as sources, min(row(source_id, kind, n)) as place from t group by term)
+t as (select source_id, term, 0 as kind, n from g where n <= 20 union all select source_id, term, 1, n from a where n <= 8), f as (select term, array_to_string(list_sort(list(distinct source_id)),
+ ',') as sources, min(row(source_id, kind, n)) as place from t group by term)
 select cast(row_number() over (order by place) - 1 as int) as position, term, sources from f qualify row_number() over (order by place) <= 40""")
 def terminology_index(spark, d):
     e = A.entities(spark, d).withColumnRenamed("content", "text")
@@ -305,9 +318,11 @@ def lenient_json(spark, d):
 _VERDICT = "case turn % 6 when 0 then 'Supported.' when 1 then 'I say UNSUPPORTED' when 2 then 'PARTIALLY_SUPPORTED, as' when 3 then 'ERROR: 500' when 4 then 'no idea' else 'SUPPORTED' end"
 
 
-@query(f"""with v as (select upper({_VERDICT}) as u, {_VERDICT} as raw from conversations), k as (select case when starts_with(raw, 'ERROR:') then 'ERROR' when contains(u, 'PARTIALLY_SUPPORTED') then 'PARTIALLY_SUPPORTED' when contains(u, 'UNSUPPORTED') then 'UNSUPPORTED'
+@query(f"""with v as (select upper({_VERDICT}) as u, {_VERDICT} as raw from conversations), k as (select case when starts_with(raw, 'ERROR:') then 'ERROR' when contains(u,
+ 'PARTIALLY_SUPPORTED') then 'PARTIALLY_SUPPORTED' when contains(u, 'UNSUPPORTED') then 'UNSUPPORTED'
 when contains(u, 'SUPPORTED') then 'SUPPORTED' else 'UNPARSEABLE' end as kind from v), n as (select kind, count(*) as n from k group by kind)
-select e.kind, coalesce(n, 0) as n, round(coalesce(n, 0) / (select count(*) from k), 6) as share from (select unnest(['SUPPORTED', 'PARTIALLY_SUPPORTED', 'UNSUPPORTED', 'UNPARSEABLE', 'ERROR']) as kind) e left join n using (kind)""")
+select e.kind, coalesce(n, 0) as n, round(coalesce(n, 0) / (select count(*) from k), 6) as share from (select unnest(['SUPPORTED', 'PARTIALLY_SUPPORTED', 'UNSUPPORTED', 'UNPARSEABLE',
+ 'ERROR']) as kind) e left join n using (kind)""")
 def verdict_hist(spark, d):
     v = A.table(spark, d, "conversations").select(Q.verdict(F.expr(_VERDICT)).alias("verdict"))
     return reports.verdict_summary(v)

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 
+FEW_KEYWORDS, FEW_OF_SOURCE = 200_000, 2_000  # some 20 bytes each are broadcast
+
+
 def keywords(c: str, k: int = 3) -> F.Column:
     """The first k words of three or more characters."""
     return F.slice(F.filter(T.words(F.lower(c)), lambda w: F.length(w) >= 3), 1, k)
@@ -16,19 +19,31 @@ def keywords(c: str, k: int = 3) -> F.Column:
 def item_coverage(items: DataFrame, texts: DataFrame) -> DataFrame:
     """items (source_id, ordinal, text) with `covered`: some keyword is part of some text of the source.
 
-    Keywords hold no white space, so a match never spans two texts; they are matched against the source's distinct
-    words, which stay small and combine before the shuffle, instead of one concatenated text per source.
+    Keywords hold no white space, so a match never spans two texts. Where they are few (`FEW_KEYWORDS` in all and `FEW_OF_SOURCE` of a source, which is
+    counted) they are broadcast and texts are searched where they lie; else the source's distinct words, which
+    combine before the shuffle, meet the keywords by their first three letters.
     """
+    asked = items.select("source_id", "ordinal", F.explode(keywords("text")).alias("keyword"))
+    own = asked.select("source_id", "keyword").distinct().groupBy("source_id").agg(F.collect_set("keyword").alias("keywords"))
+    n = own.agg(F.sum(F.size("keywords")).alias("all"), F.max(F.size("keywords")).alias("most")).first()
+    if (n["all"] or 0) <= FEW_KEYWORDS and (n["most"] or 0) <= FEW_OF_SOURCE:
+        each = texts.select("source_id", F.lower("text").alias("low")).join(F.broadcast(own), "source_id")
+        hit = each.select("source_id", F.explode(F.filter("keywords", lambda k: F.contains(F.col("low"), k))).alias("keyword")).distinct()
+    else:
+        hit = _by_parts(asked, texts)
+    yes = asked.join(hit, ["source_id", "keyword"], "left_semi").select("source_id", "ordinal").distinct().withColumn("covered", F.lit(True))
+    return items.join(yes, ["source_id", "ordinal"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+
+
+def _by_parts(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """source_id, keyword of those that are part of a word of the source's texts."""
     found = texts.select("source_id", F.explode(T.token_set("text")).alias("word")).distinct()
     # a keyword has three letters or more, so a word that holds it holds its first three
     parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda k: F.substring(F.col("word"), k, F.lit(3))))
     found = found.filter(F.length("word") >= 3).select("source_id", "word", F.explode(parts).alias("part"))
-    asked = items.select("source_id", "ordinal", F.explode(keywords("text")).alias("keyword"))
     distinct = asked.select("source_id", "keyword", F.substring("keyword", 1, 3).alias("part")).distinct()
     same = (distinct["source_id"] == found["source_id"]) & (distinct["part"] == found["part"])
-    hit = distinct.join(found, same & F.contains(found["word"], distinct["keyword"]), "left_semi").select("source_id", "keyword")
-    yes = asked.join(hit, ["source_id", "keyword"], "left_semi").select("source_id", "ordinal").distinct().withColumn("covered", F.lit(True))
-    return items.join(yes, ["source_id", "ordinal"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    return distinct.join(found, same & F.contains(found["word"], distinct["keyword"]), "left_semi").select("source_id", "keyword")
 
 
 def coverage_score(items: DataFrame, texts: DataFrame, listed: int = 10) -> DataFrame:

@@ -10,6 +10,7 @@ from tessera.config import PipelineConfig
 from tessera.functions import replies as R
 from tessera.operators import model as M
 from tessera.operators import ranking
+from tessera.operators.positions import renumbered
 from tessera.operators.chunking import schema
 from tessera.operators.similarity import greedy_merge
 
@@ -20,9 +21,7 @@ def extract_entities(chunks: DataFrame, client: M.ModelClient, known: DataFrame
     item = F.col("item")
     each = replies.select("source_id", "artifact_type", "chunk_id", "page_ref", F.posexplode(R.reply_items("reply")).alias("p", "item")).filter(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
     rows = each.select("source_id", "artifact_type", R.field(item, "entity_type", "").alias("entity_type"), F.trim(R.field(item, "content", "")).alias("content"), "page_ref", F.try_variant_get(item, "$.confidence_score", "double").alias("confidence_score"), "chunk_id", "p")
-    from pyspark.sql import Window as W
-
-    numbered = ranking.clean_entities(rows).withColumn("ordinal", F.row_number().over(W.partitionBy("source_id").orderBy("chunk_id", "p")) - 1)
+    numbered = renumbered(ranking.clean_entities(rows), ["source_id"], ["chunk_id", "p"], "ordinal").withColumn("ordinal", F.col("ordinal") - 1)
     return numbered.select([f.name for f in schema(schemas.ENTITY)]).to(schema(schemas.ENTITY))
 
 

@@ -25,6 +25,16 @@ from tessera.plans.storage import delete, exists, materialize, release, scratch_
 from tessera.schemas import ASKED_TYPES
 
 
+#: Kinds of entity that the offline client tells, by the first pattern that a sentence matches.
+ENTITY_RULES = (
+    ("constraint", r"\b(must|shall not|within|at most|at least|\d+ ?(?:ms|seconds|minutes))\b"),
+    ("exception_condition", r"\b(error|fail\w*|invalid|denied|timeout)\b"),
+    ("actor_role", r"\b(user|administrator|operator|client)\b"),
+    ("interface_name", r"(?:GET|POST|PUT|DELETE) /\S+"),
+    ("function_point", r"\b(shall|can|allows?|provides?)\b"),
+)
+
+
 class ModelClient(Protocol):
     def reply(self, kind: str, prompt: str) -> str: ...
 
@@ -37,10 +47,9 @@ class RuleClient:
         items = [re.sub(r"^\[[^\]]*\] ", "", x[2:].strip()) for x in prompt.splitlines() if x.startswith("- ") and x[2:].strip()]
         if kind == "entities":
             text = prompt.split("\n\n", 1)[-1]
-            kinds = [("constraint", r"\b(must|shall not|within|at most|at least|\d+ ?(?:ms|seconds|minutes))\b"), ("exception_condition", r"\b(error|fail\w*|invalid|denied|timeout)\b"), ("actor_role", r"\b(user|administrator|operator|client)\b"), ("interface_name", r"(?:GET|POST|PUT|DELETE) /\S+"), ("function_point", r"\b(shall|can|allows?|provides?)\b")]
             out = []
             for s in re.split(r"(?<=[.!?])\s+|\n", text):
-                for name, pattern in kinds:
+                for name, pattern in ENTITY_RULES:
                     if re.search(pattern, s, re.I):
                         out.append({"entity_type": name, "content": " ".join(s.split()[:20]), "confidence_score": 0.8})
                         break

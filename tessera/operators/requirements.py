@@ -59,8 +59,11 @@ def build(replies: DataFrame, most: int = 50, lenient: bool = False) -> DataFram
     order = F.array_position(F.array(*map(F.lit, schemas.TR_CATEGORIES)), F.col("category"))
     code = F.element_at(F.array(*map(F.lit, CODES)), order.cast("int"))
     attempt = F.col("attempt") if "attempt" in replies.columns else F.lit(0)
-    each = replies.select("source_id", "category", order.alias("k"), attempt.alias("attempt"), code.alias("code"), F.posexplode(F.slice(R.reply_items("reply"), 1, most)).alias("p", "item"))
-    each = each.withColumn("ordinal", F.row_number().over(W.partitionBy("source_id").orderBy("k", "attempt", "p")))
+    whole = replies.select("source_id", "category", order.alias("k"), attempt.alias("attempt"), code.alias("code"), F.slice(R.reply_items("reply"), 1, most).alias("items"))
+    # a window over the few replies of a source, not over their items
+    before = W.partitionBy("source_id").orderBy("k", "attempt").rowsBetween(W.unboundedPreceding, -1)
+    each = whole.withColumn("first", F.coalesce(F.sum(F.size("items")).over(before), F.lit(0))).select("*", F.posexplode("items").alias("p", "item"))
+    each = each.withColumn("ordinal", (F.col("first") + F.col("p") + 1).cast("int")).drop("items")
     each = each.withColumn("tr_id", tr_id("source_id", "code", "ordinal"))
     return shaped(parsed(each, ["source_id", "ordinal", "tr_id", "category"], lenient))
 

@@ -113,11 +113,13 @@ def test_review_of_a_source_without_rows_and_of_a_good_one(spark):
     assert got["s"]["flagged_tr_ids"] == ["T1", "T2"]
 
 
-def test_coverage_is_by_parts_of_words(spark):
+def test_coverage_is_by_parts_of_words(spark, monkeypatch):
     items = spark.createDataFrame([("s", 0, "go to it"), ("s", 1, "log"), ("s", 2, "absent")], "source_id string, ordinal int, text string")
     texts = spark.createDataFrame([("s", "the Blogger page")], "source_id string, text string")
-    got = {r["ordinal"]: r["covered"] for r in coverage.item_coverage(items, texts).collect()}
-    assert got == {0: False, 1: True, 2: False}
+    for few in (200_000, 0):  # both ways
+        monkeypatch.setattr(coverage, "FEW_KEYWORDS", few)
+        got = {r["ordinal"]: r["covered"] for r in coverage.item_coverage(items, texts).collect()}
+        assert got == {0: False, 1: True, 2: False}
 
 
 def test_feedback_modes(spark):
