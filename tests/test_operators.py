@@ -218,8 +218,7 @@ def test_issues_concern_sources_by_the_substring_of_the_comparison(spark):
     rows = issues.collect()
     want = sorted((s["source_id"], r["comparison_id"]) for s in sources.collect() for r in rows if s["source_id"] in (r["source_a_id"], r["source_b_id"]) or r["source_a_id"] == "all_sources" or "intra_" + s["source_id"] in r["comparison_id"])
     assert got == want
-    with pytest.raises(ValueError):
-        consistency.relevant_issues(issues, sources, most_shared=0)
+    assert sorted((r["sid"], r["comparison_id"]) for r in consistency.relevant_issues(issues, sources, block=1).collect()) == want
 
 
 def test_functional_requirements_are_asked_for_again_and_items_may_be_flat(spark, tmp_path):
