@@ -5,8 +5,9 @@ spelling model (byte trigrams over bigrams) gives the rest of it, so no word is
 The network sums a vector for each of the two ids before and after the masked place, and predicts the id by its class and its
 place within the class. Counts of words and of byte trigrams are taken over all documents. Documents are dealt to `rounds` turns by
 a hash of their ids; in each turn every partition trains on all places of its documents of that turn, from the same weights, which are then
-averaged by places seen. So every place is trained on once. The weights depend a little on how rows lie in partitions.
-A document's score is the sum of its words' conditional log-probabilities, and its mean is that by word.
+averaged by places seen. So every place is trained on once. The weights depend on how rows lie in partitions: the less a partition holds,
+the less its network learns in a turn. A document's score is the sum of its words' conditional log-probabilities, and its mean is that
+by word. `train_and_score` scores the rows it was trained on; `train` and `score` take any two tables.
 
 Defined cases: null texts and texts without words have 0 tokens, a sum of 0 and a null mean; repeated rows get a row each; on an
 empty corpus the weights stay at their start. Columns other than the id and the text are passed over.
@@ -33,6 +34,7 @@ SYMBOLS = 165.0  # bytes that words are made of, and the end of a word (0)
 WINDOW = (-2, -1, 1, 2)
 SHAPES = {"context": (len(WINDOW), VOCABULARY, WIDTH), "classes": (WIDTH, CLASSES), "members": (CLASSES, WIDTH, MEMBERS)}
 CHUNK = 8192
+ROUNDS, BATCH, RATE = 4, 512, 0.8
 
 
 def start_weights(counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
@@ -76,11 +78,12 @@ def by_class(w: dict, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[tu
 def log_likelihood(w: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     h = hidden(w, context)
     c, m, row = target // MEMBERS, target % MEMBERS, np.arange(len(target))
-    e, total = exponentials(h @ w["classes"])
-    out = np.log(e[row, c] / total)
+    z = h @ w["classes"]
+    out = np.clip(z[row, c], -60, 60)
+    out -= np.log(exponentials(z)[1])
     order, _, _, z = by_class(w, h, c)
-    e, total = exponentials(z)
-    out[order] += np.log(e[row, m.take(order)] / total)
+    more = np.clip(z[row, m.take(order)], -60, 60)
+    out[order] += more - np.log(exponentials(z)[1])
     return out
 
 
@@ -111,7 +114,7 @@ def gradients(w: dict, context: np.ndarray, target: np.ndarray) -> tuple[dict, n
     return g, back
 
 
-def train_step(w: dict, memory: dict, context: np.ndarray, target: np.ndarray, rate: float = 0.1) -> None:
+def train_step(w: dict, memory: dict, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
     """One Adagrad step on the mean negative log-likelihood of a batch."""
     g, back = gradients(w, context, target)
     for j, ids in enumerate(context):
@@ -253,7 +256,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield lo, np.frombuffer(data.tobytes(), "<i2"), off // 2
 
 
-def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = 2, batch: int = 4096) -> dict:
+def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, batch: int = BATCH) -> dict:
     """Weights, by averaging those that each partition trains.
 
     Batches begin at 256 places and grow with the places seen, to `batch`.
@@ -277,25 +280,25 @@ def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = 2, batch: int = 40
                         train_step(w, memory, contexts(flat, some), flat.take(some))
                         seen, at = seen + len(some), at + len(some)
             if seen:
-                sums = np.concatenate([w[k].ravel() for k in SHAPES]).astype(np.float64) * seen
+                sums = np.concatenate([w[k].ravel() for k in SHAPES]) * np.float32(seen)
                 chunks = [sums[k : k + CHUNK] for k in range(0, len(sums), CHUNK)]
                 part = int(np.random.default_rng(seen).integers(64))
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.list_(pa.float64())), pa.array([seen] * len(chunks), pa.int64()), pa.array([part] * len(chunks), pa.int32())], ["chunk", "sums", "seen", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.list_(pa.float32())), pa.array([seen] * len(chunks), pa.int64()), pa.array([part] * len(chunks), pa.int32())], ["chunk", "sums", "seen", "part"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, list] = {}
             for b in batches:
                 values = b.column("sums")
                 for i, (c, n) in enumerate(zip(b.column("chunk").to_pylist(), b.column("seen").to_pylist(), strict=True)):
-                    x = values[i].values.to_numpy()
+                    x = values[i].values.to_numpy().astype(np.float64)
                     if c in total:
                         total[c][0] = total[c][0] + x
                         total[c][1] += n
                     else:
-                        total[c] = [x.copy(), n]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v[0] for v in total.values()], pa.list_(pa.float64())), pa.array([v[1] for v in total.values()], pa.int64()), pa.array([0] * len(total), pa.int32())], ["chunk", "sums", "seen", "part"])
+                        total[c] = [x, n]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v[0].astype(np.float32) for v in total.values()], pa.list_(pa.float32())), pa.array([v[1] for v in total.values()], pa.int64()), pa.array([0] * len(total), pa.int32())], ["chunk", "sums", "seen", "part"])
 
-        kind = "chunk int, sums array<double>, seen long, part int"
+        kind = "chunk int, sums array<float>, seen long, part int"
         of_turn = encoded.select("ids").filter(F.pmod(F.xxhash64("ids"), F.lit(rounds)) == turn)
         # two levels of sums, so no task reads more than a share of the partitions' weights
         summed = bw.arrow(bw.arrow(bw.arrow(of_turn, local, kind).repartition("chunk", "part"), add, kind).repartition("chunk"), add, kind)
@@ -333,7 +336,7 @@ def score_encoded(encoded: DataFrame, weights: dict, id_column: str = "doc_id")
     return bw.arrow(encoded, run, f"`{id_column}` {kind}, n_tokens long, pll double, mean_pll double")
 
 
-def train(documents: DataFrame, rounds: int = 2, batch: int = 4096) -> tuple[dict, Names, Spelling]:
+def train(documents: DataFrame, rounds: int = ROUNDS, batch: int = BATCH) -> tuple[dict, Names, Spelling]:
     """Weights, names and spelling of a corpus."""
     names, counts, spelling = vocabulary(documents)
     encoded = materialize(encode(documents.select(F.lit(0).alias("doc_id"), "text"), names, spelling), "ids")
@@ -348,7 +351,7 @@ def score(documents: DataFrame, model: tuple[dict, Names, Spelling], id_column:
     return score_encoded(encode(documents, names, spelling, id_column), weights, id_column)
 
 
-def train_and_score(documents: DataFrame, rounds: int = 2) -> DataFrame:
+def train_and_score(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The scores of a corpus by a model of itself; texts are cut to ids once."""
     names, counts, spelling = vocabulary(documents)
     encoded = materialize(encode(documents, names, spelling), "ids")

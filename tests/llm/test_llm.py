@@ -609,6 +609,35 @@ def test_scores_hardly_depend_on_partitions(spark):
     assert np.corrcoef(x, y)[0, 1] > 0.95
 
 
+def nats(documents, held, partitions):
+    """Mean log-probability of an id of held-out texts by frequencies, by a bigram model of the ids and by the network; spelling left out."""
+    names, counts, spelling = lm.vocabulary(documents)
+    encoded = lm.encode(documents, names, spelling).repartition(partitions, "doc_id").cache()
+    unseen = lm.encode(held, names, spelling).withColumn("spelled", F.lit(0.0)).cache()
+    ids = lambda frame: [np.frombuffer(r["ids"], "<i2") for r in frame.filter("length(ids) > 0").collect()]
+    before, after = (np.concatenate([x[a:b] for x in ids(encoded)]).astype(int) for a, b in ((None, -1), (1, None)))
+    pairs = np.zeros((lm.VOCABULARY, lm.VOCABULARY), np.float32)
+    np.add.at(pairs, (before, after), 1)
+    share = (counts + 1) / (counts + 1).sum()
+    logs = []
+    for x in ids(unseen):
+        p = share[x].copy()
+        p[1:] = (pairs[x[:-1], x[1:]] + 50 * p[1:]) / (pairs[x[:-1]].sum(axis=1) + 50)
+        logs.append(np.log(p))
+    by = lambda w: lm.score_encoded(unseen, w).agg(F.sum("pll") / F.sum("n_tokens")).first()[0]
+    return by(lm.start_weights(counts)), float(np.concatenate(logs).mean()), by(lm.fit(encoded, counts))
+
+
+@pytest.mark.parametrize(("sf", "partitions"), [("sf0.01", 4), ("sf0.1", 4)])
+def test_network_predicts_unseen_texts(spark, sf, partitions):
+    """Better than frequencies from 2.5 MB on; than bigrams it needs more to learn from."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    unseen = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    frequencies, bigrams, network = nats(docs.filter(~unseen), docs.filter(unseen), partitions)
+    assert network > frequencies + (0.3 if sf == "sf0.01" else 0.6)
+    assert sf == "sf0.01" or network > bigrams + 0.1
+
+
 def test_rare_words_are_scored_by_their_spelling(spark):
     rng = random.Random(14)
     known = [f"w{i}" for i in range(3800)]
