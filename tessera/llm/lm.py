@@ -93,16 +93,14 @@ def gradients(w: dict, context: np.ndarray, target: np.ndarray) -> tuple[dict, n
     h = hidden(w, context)
     c, m = target // MEMBERS, target % MEMBERS
     p, total = exponentials(h @ w["classes"])
-    p /= total[:, None]
-    p[row, c] -= 1
-    p /= n
+    p *= 1 / (n * total)[:, None]
+    p[row, c] -= 1 / n
     g = {"classes": h.T @ p, "members": np.zeros_like(w["members"])}
     back = p @ w["classes"].T
     order, ranges, hs, z = by_class(w, h, c)
     q, total = exponentials(z)
-    q /= total[:, None]
-    q[row, m.take(order)] -= 1
-    q /= n
+    q *= 1 / (n * total)[:, None]
+    q[row, m.take(order)] -= 1 / n
     more = np.empty_like(hs)
     for k, a, b in ranges:
         np.matmul(hs[a:b].T, q[a:b], out=g["members"][k])
@@ -114,20 +112,29 @@ def gradients(w: dict, context: np.ndarray, target: np.ndarray) -> tuple[dict, n
     return g, back
 
 
+def adagrad(x: np.ndarray, squares: np.ndarray, rate: float) -> np.ndarray:
+    """The step against the gradient `x`, in its place."""
+    x *= rate
+    x /= np.sqrt(squares)
+    return x
+
+
 def train_step(w: dict, memory: dict, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
     """One Adagrad step on the mean negative log-likelihood of a batch."""
     g, back = gradients(w, context, target)
-    for j, ids in enumerate(context):
-        order = np.argsort(ids, kind="stable")
-        ids = ids.take(order)
-        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        x, ids = np.add.reduceat(back.take(order, axis=0), first, axis=0), ids[first]
-        seen = memory["context"][j].take(ids, axis=0) + x * x
-        memory["context"][j][ids] = seen
-        w["context"][j][ids] -= rate * x / np.sqrt(seen)
+    ids = (context + VOCABULARY * np.arange(len(WINDOW))[:, None]).astype(np.int16).ravel()  # rows of all windows' vectors
+    order = np.argsort(ids, kind="stable")
+    ids = ids.take(order)
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    x, ids = np.add.reduceat(back.take(order % len(target), axis=0), first, axis=0), ids[first]
+    vectors, squares = w["context"].reshape(-1, WIDTH), memory["context"].reshape(-1, WIDTH)
+    seen = squares.take(ids, axis=0)
+    seen += x * x
+    squares[ids] = seen
+    vectors[ids] -= adagrad(x, seen, rate)
     for k, x in g.items():
         memory[k] += x * x
-        w[k] -= rate * x / np.sqrt(memory[k])
+        w[k] -= adagrad(x, memory[k], rate)
 
 
 @dataclass
