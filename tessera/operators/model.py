@@ -192,7 +192,7 @@ def entity_prompts(chunks: DataFrame, most_chars: int = 1200) -> DataFrame:
     """One prompt per chunk: the types asked for by kind of document, and the first 1200 characters."""
     types = F.create_map(*[F.lit(x) for k, v in ASKED_TYPES.items() for x in (k, ", ".join(v))])
     task = F.concat(F.lit("List the entities of this text as a JSON array with entity_type, content, confidence_score. Types: "), types[F.col("artifact_type")])
-    return chunks.select("chunk_id", "source_id", "artifact_type", "page_ref", F.lit("entities").alias("kind"), F.concat(task, F.lit("\n\n"), F.substring("content", 1, most_chars)).alias("prompt"))
+    return chunks.select("metadata.section_id", "metadata.chunk_index", "chunk_id", "source_id", "artifact_type", "page_ref", F.lit("entities").alias("kind"), F.concat(task, F.lit("\n\n"), F.substring("content", 1, most_chars)).alias("prompt"))
 
 
 def health(reply: F.Column | str) -> F.Column:

@@ -13,7 +13,7 @@ from tessera.config import PipelineConfig
 from tessera.functions import quality as Q
 from tessera.functions import replies as R
 from tessera.functions import text as T
-from tessera.operators import chunking, consistency, coverage, feedback, ranking, reports, requirements, review, similarity, sinks
+from tessera.operators import chunking, consistency, coverage, demand, feedback, ranking, reports, requirements, review, similarity, sinks
 from tessera.operators import model as M
 from tessera.plans import pipeline
 from tessera.sources import sections as S
@@ -288,6 +288,12 @@ def test_judged_scores_leave_failures_out(spark, tmp_path):
     assert "preconditions: p" in client.asked("judge")[0]
 
 
+def test_entities_of_sections_beyond_9999_keep_their_order(spark):
+    sections = spark.createDataFrame([("d", "srs", k, "r", f"The system shall do {k}.") for k in (9999, 10000, 2)], schemas.SECTION)
+    rows = demand.extract_entities(chunking.chunk(sections), M.RuleClient())
+    assert [r["content"].split()[-1] for r in rows.orderBy("ordinal").collect()] == ["2.", "9999.", "10000."]
+
+
 def test_a_single_prompt_for_a_whole_document(spark, tmp_path):
     from tessera.operators import judging
 
