@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.plans.storage import bound_batches
 
 
-FEW_KEYWORDS, FEW_OF_SOURCE = 200_000, 2_000  # some 20 bytes each are broadcast
+FEW_KEYWORDS, FEW_OF_SOURCE = 200_000, 2_000  # some 20 bytes each go to every task
 
 
 def keywords(c: str, k: int = 3) -> F.Column:
@@ -20,21 +24,41 @@ def item_coverage(items: DataFrame, texts: DataFrame) -> DataFrame:
     """items (source_id, ordinal, text) with `covered`: some keyword is part of some text of the source.
 
     Keywords hold no white space, so a match never spans two texts. Where they are few (`FEW_KEYWORDS` in all and `FEW_OF_SOURCE` of a source, which is
-    counted) they are broadcast and texts are searched where they lie; else the source's distinct words, which
+    counted) they go to the tasks, which search texts where they lie for those that they haven't met yet; else the source's distinct words, which
     combine before the shuffle, meet the keywords by their first three letters.
     """
     asked = items.select("source_id", "ordinal", F.explode(keywords("text")).alias("keyword"))
     own = asked.select("source_id", "keyword").distinct().groupBy("source_id").agg(F.collect_set("keyword").alias("keywords"))
     n = own.agg(F.sum(F.size("keywords")).alias("all"), F.max(F.size("keywords")).alias("most")).first()
     if (n["all"] or 0) <= FEW_KEYWORDS and (n["most"] or 0) <= FEW_OF_SOURCE:
-        each = texts.select("source_id", F.lower("text").alias("low")).join(F.broadcast(own), "source_id")
-        hit = each.select("source_id", F.explode(F.filter("keywords", lambda k: F.contains(F.col("low"), k))).alias("keyword")).distinct()
+        hit = _search(own, texts)
     else:
         hit = _by_parts(asked, texts)
     yes = asked.join(hit, ["source_id", "keyword"], "left_semi").select("source_id", "ordinal").distinct().withColumn("covered", F.lit(True))
     return items.join(yes, ["source_id", "ordinal"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
 
+def _search(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """source_id, keyword of those that are part of some text of the source. A keyword that a task has met isn't looked for again."""
+    asked = {r["source_id"]: r["keywords"] for r in own.filter("source_id is not null").collect()}  # FEW_KEYWORDS at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = {source: set(words) for source, words in asked.items()}
+        for batch in batches:
+            sources, found = [], []
+            for source, low in zip(batch.column("source_id").to_pylist(), batch.column("low").to_pylist(), strict=True):
+                if (wanted := left.get(source)) and (met := [k for k in wanted if k in low]):
+                    wanted.difference_update(met)
+                    sources += [source] * len(met)
+                    found += met
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(sources, batch.column("source_id").type), pa.array(found, pa.string())], ["source_id", "keyword"])
+
+    bound_batches(texts.sparkSession)
+    each = texts.filter(F.col("text").isNotNull()).select("source_id", F.lower("text").alias("low"))
+    return each.mapInArrow(run, f"source_id {each.schema['source_id'].dataType.simpleString()}, keyword string").distinct()
+
+
 def _by_parts(asked: DataFrame, texts: DataFrame) -> DataFrame:
     """source_id, keyword of those that are part of a word of the source's texts."""
     found = texts.select("source_id", F.explode(T.token_set("text")).alias("word")).distinct()
