@@ -186,3 +186,27 @@ def test_a_long_string_is_measured_once_for_each_string(monkeypatch):
     raw = head + b"6 0 obj <</Length %d>> stream\n%b\nendstream endobj\ntrailer <</Root 1 0 R>>" % (len(body), body)
     found = pdf.spans(raw)
     assert [x[-1] for x in found] == [("a word " * 500).strip(), "up on"] and len(calls) < 60  # some 14,000 before
+
+
+def test_headings_of_a_source_are_counted_in_many_tasks(spark):
+    import re
+
+    def spans(source, n, sizes, every):
+        return [(source, "srs", i // 7, i % 7, sizes[i % len(sizes)], 16 if every and i % every == 3 else 0, f"{source} text of span {i}" if i % 5 else " ") for i in range(n)]
+
+    rows = spans("doc", 400, [10.0], 20) + spans("deck", 60, [10.0, 20.0], 0) + spans("plain", 60, [10.0], 0)
+    frame = spark.createDataFrame(rows, "source_id string, artifact_type string, page int, pos int, size double, flags int, text string").repartition(7)
+    out = S.span_sections(frame)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"windowspecdefinition\(source_id#\d+, (page|block)#", plan)
+    got = {(r["source_id"], r["section_id"]): (r["section_ref"], r["text"]) for r in out.collect()}
+    want, block, heads = {}, [], ("Preamble", 1)
+    for _, _, page, _, _, flags, text in [*spans("doc", 400, [10.0], 20), (None, None, 0, 0, 0, 16, "x" * 20)]:
+        if flags and 15 <= len(text) <= 150:
+            if body := "\n".join(x.rstrip() for x in re.sub(r"\n{3,}", "\n\n", " \n".join(block)).split("\n")).strip():
+                want["doc", len(want) + 1] = (f"{heads[0]} (p.{heads[1]})", body)
+            block, heads = [], (text, page)
+        else:
+            block.append(text)
+    assert {k: v for k, v in got.items() if k[0] == "doc"} == want and len(want) > 10
+    assert {k for k in got if k[0] != "doc"} == {(s, p) for s in ("deck", "plain") for p in range(9)} and got["deck", 0][0] == "page 0"
