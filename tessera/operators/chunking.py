@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera import schemas
 from tessera.config import CHUNK_BUDGETS, DEFAULT_BUDGET
 from tessera.functions import text as T
+from tessera.plans.storage import bound_batches
 
 
 _META = "struct(section_id as section_id, {i} as chunk_index, cast({n} as int) as token_count, {o} as overlap) as metadata"
@@ -87,10 +88,11 @@ def chunk(sections: DataFrame) -> DataFrame:
     units = rows.filter("n > most").select("source_id", "artifact_type", "section_id", "section_ref", "most", "overlap_words", T.split_units("text", "unit").alias("units"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in batches:  # bounded in bytes
             out = [(r.source_id, r.artifact_type, r.section_id, r.section_ref, i, *c) for r in pdf.itertuples() for i, c in enumerate(pack_units(list(r.units), r.most, r.overlap_words), 1)]
             yield pd.DataFrame(out, columns=["source_id", "artifact_type", "section_id", "section_ref", "i", "content", "words", "seeded"])
 
+    bound_batches(sections.sparkSession, 4 << 20)
     folded = units.mapInPandas(fold, FOLDED)
     return whole.unionByName(numbered(folded)).to(schema(schemas.CHUNK))
 
