@@ -16,6 +16,7 @@ from tessera.functions import replies as R
 from tessera.functions import text as T
 from tessera.operators import model as M
 from tessera.operators import reports, requirements, review
+from tessera.plans.storage import bound_batches, materialize
 
 
 def _line(c) -> F.Column:
@@ -73,17 +74,50 @@ def salvaged(replies: DataFrame, keys: list[str]) -> DataFrame:
 
     frame = replies.select(*keys, R.without_fences("reply").alias("reply"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.drop("reply").schema)
+    bound_batches(frame.sparkSession)
     return frame.mapInPandas(run, f"{fields}, p int, item string").withColumn("item", F.try_parse_json("item"))
 
 
-def baseline(sections: DataFrame, client: M.ModelClient, most_chars: int = 100_000) -> DataFrame:
-    """Requirements from one prompt per document, without the stages between. Items without an id or with an unknown category are dropped."""
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("section_id", "text"))), lambda x: x["text"])
-    docs = sections.groupBy("source_id").agg(F.substring(F.array_join(texts, "\n\n"), 1, most_chars).alias("text"))
+def _in_parts(sections: DataFrame, part_chars: int) -> DataFrame:
+    """source_id, part, text: a document's sections in order, in parts of at most `part_chars` characters; what fits into one isn't divided.
+
+    Parts end between sections, or at a line end within one that is longer than half of a part.
+    """
+    half = max(part_chars // 2, 1)
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{half}}}(?:\n|\\z)|.{{1,{half}}}"), F.lit(0))
+    cut = F.when(F.length("text") > half, pieces).otherwise(F.array("text"))
+    rows = sections.select("source_id", "section_id", F.posexplode(cut).alias("k", "text")).withColumn("n", F.length("text") + 2)
+    source, before = W.partitionBy("source_id"), W.partitionBy("source_id").orderBy("section_id", "k", "text").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({"start": F.coalesce(F.sum("n").over(before), F.lit(0)), "all": F.sum("n").over(source)})
+    rows = rows.withColumn("part", F.when(F.col("all") - 2 <= part_chars, F.lit(0)).otherwise(F.floor(F.col("start") / (half + 2))).cast("int"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("section_id", "k", "text"))), lambda x: x["text"])
+    return rows.groupBy("source_id", "part").agg(F.array_join(texts, "\n\n").alias("text"))
+
+
+def baseline(sections: DataFrame, client: M.ModelClient, most_chars: int | None = None, part_chars: int = 100_000) -> DataFrame:
+    """Requirements from one prompt per document, without the stages between. Items without an id or with an unknown category are dropped.
+
+    The whole document is asked about: one longer than `part_chars` in several prompts, whose items are numbered on, as are
+    the numbers at the end of their ids. With `most_chars` only so many characters of each document are.
+    """
+    if most_chars is not None:
+        texts = F.transform(F.sort_array(F.collect_list(F.struct("section_id", "text"))), lambda x: x["text"])
+        docs = sections.groupBy("source_id").agg(F.substring(F.array_join(texts, "\n\n"), 1, most_chars).alias("text")).withColumn("part", F.lit(0))
+    else:
+        docs = _in_parts(sections, part_chars)
     task = "Write test requirements for this document as a JSON array (tr_id, category, tr_h, tr_a)."
-    asked = docs.select("source_id", F.lit("baseline").alias("kind"), F.concat(F.lit(task + "\n\n"), "text").alias("prompt"))
+    asked = docs.select("source_id", "part", F.lit("baseline").alias("kind"), F.concat(F.lit(task + "\n\n"), "text").alias("prompt"))
+    found = materialize(salvaged(M.ask(asked, client), ["source_id", "part"]), "baseline")
+    # a window over the few parts of a source, not over their items
+    parts = found.groupBy("source_id", "part").agg(F.count("*").alias("n"))
+    first = parts.select("source_id", "part", F.coalesce(F.sum("n").over(W.partitionBy("source_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     item = F.col("item")
-    each = salvaged(M.ask(asked, client), ["source_id"]).withColumns({"tr_id": R.field(item, "tr_id"), "category": R.in_domain(R.field(item, "category", "functional"), schemas.TR_CATEGORIES), "ordinal": F.col("p") + 1})
+    each = found.join(first, ["source_id", "part"])
+    own = R.field(item, "tr_id")
+    number = F.regexp_extract(own, r"(\d{1,9})$", 1)
+    later = (F.col("first") + F.nullif(number, F.lit("")).cast("long")).cast("string")
+    own = F.when((F.col("first") > 0) & (number != ""), F.concat(F.substr(own, F.lit(1), F.length(own) - F.length(number)), F.lpad(later, F.greatest(F.length(number), F.length(later)), F.lit("0")))).otherwise(own)
+    each = each.withColumns({"tr_id": own, "category": R.in_domain(R.field(item, "category", "functional"), schemas.TR_CATEGORIES), "ordinal": (F.col("first") + F.col("p") + 1).cast("int")})
     each = each.filter("tr_id is not null and category is not null")
     return requirements.shaped(requirements.parsed(each, ["source_id", "ordinal", "tr_id", "category"]))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.positions import ordered
-from tessera.plans.storage import delete, exists, materialize, release, scratch_path
+from tessera.plans.storage import bound_batches, delete, exists, materialize, release, scratch_path
 from tessera.schemas import ASKED_TYPES
 
 
@@ -133,6 +133,7 @@ def _replied(prompts: DataFrame, client: ModelClient) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"prompt_id": pdf["prompt_id"], "reply": [client.reply(k, p) for k, p in zip(pdf["kind"], pdf["prompt"], strict=True)]})
 
+    bound_batches(prompts.sparkSession)
     return prompts.select("prompt_id", "kind", "prompt").mapInPandas(run, "prompt_id string, reply string")
 
 

@@ -288,6 +288,19 @@ def test_judged_scores_leave_failures_out(spark, tmp_path):
     assert "preconditions: p" in client.asked("judge")[0]
 
 
+def test_keywords_are_searched_until_met(spark):
+    own = spark.createDataFrame([("a", ["abc", "zzz", "bcd"]), ("b", ["abc"]), (None, ["abc"])], "source_id string, keywords array<string>")
+    texts = spark.createDataFrame([("a", "xABCDx"), ("a", None), (None, "abc"), ("c", "abc"), ("b", "ab c")] + [("a", "abcd")] * 500, "source_id string, text string").coalesce(1)
+    assert sorted(tuple(r) for r in coverage._search(own, texts).collect()) == [("a", "abc"), ("a", "bcd")]
+
+
+def test_sections_are_folded_in_bounded_batches(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    chunking.chunk(spark.createDataFrame([("d", "srs", 1, "r", "one two. " * 400)], schemas.SECTION))
+    assert int(spark.conf.get(limit)) <= 16 << 20
+
+
 def test_entities_of_sections_beyond_9999_keep_their_order(spark):
     sections = spark.createDataFrame([("d", "srs", k, "r", f"The system shall do {k}.") for k in (9999, 10000, 2)], schemas.SECTION)
     rows = demand.extract_entities(chunking.chunk(sections), M.RuleClient())
@@ -308,6 +321,18 @@ def test_a_single_prompt_for_a_whole_document(spark, tmp_path):
     assert (m["total_trs"], m["q_a"], m["traceability"], m["coverage"], m["duplicate_count"]) == (2, 1.0, 0.0, None, 1)
 
 
+def test_a_document_longer_than_a_prompt_is_asked_about_whole(spark):
+    from tessera.operators import judging
+
+    said = [f"The system shall do {i}" for i in range(2400)]  # section 5 alone is longer than a prompt
+    parts = [said[k : k + 100] for k in range(0, 400, 100)] + [said[400:]]
+    sections = spark.createDataFrame([("d", "srs", k, "r", "\n".join(x)) for k, x in enumerate(parts, 1)] + [("e", "srs", 1, "r", said[0])], schemas.SECTION)
+    sections = sections.unionByName(spark.createDataFrame([("f", "srs", 1, "r", "\n".join(said * 2))], schemas.SECTION))  # more than the whole limit
+    for size in (100_000, 1_500):
+        rows = judging.baseline(sections, M.RuleClient(), part_chars=size).orderBy("source_id", "ordinal").collect()
+        assert [(r["source_id"], r["ordinal"], r["tr_id"], r["tr_h"]) for r in rows] == [("d", i, f"B-{i:03d}", x) for i, x in enumerate(said, 1)] + [("e", 1, "B-001", said[0])] + [("f", i, f"B-{i:03d}", x) for i, x in enumerate(said * 2, 1)]
+
+
 def test_sections_of_every_format(spark, tmp_path):
     (tmp_path / "a.txt").write_text("INTRO\n" + "word " * 160 + "\n1.2 Scope here\n" + "text " * 10 + "\nLonely Heading\nNext Heading\nbody.\n")
     (tmp_path / "b.puml").write_text("@startuml\n' ---\nclass Account {\n name\n}\npackage Things {\n}\n")
