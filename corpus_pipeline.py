@@ -13,9 +13,6 @@ from tessera.llm import decontam, langid, neardup, packing, toxicity
 from tessera.llm.queries import CAPACITY, table, tokenizer_path
 from tessera.plans.storage import materialize, release
 
-#: A language is rejected below this score (0.5 is no margin at all).
-NARROW_MARGIN = 0.52
-
 
 def wrapped(docs: DataFrame) -> DataFrame:
     """The text, and all other columns within one, so that no name clashes with an operator's own."""
@@ -35,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the dictionaries tell by a margin."""
     blocks = langid.learn(table(spark, sf_dir, "documents"))
-    return unwrapped(langid.identify(wrapped(docs), blocks, ["row", "text"], NARROW_MARGIN).filter("not rejected"), docs)
+    return unwrapped(langid.identify(wrapped(docs), blocks, ["row", "text"]).filter("not rejected"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ BLOCKS = (65_536, 32_768, 32_768)
 NARROW = 2
 #: compressed bytes of the runner-up over which a margin is taken, at most
 ENOUGH = 2000
+#: A language is rejected below this score (0.5 is no margin at all, which no text is below).
+NARROW_MARGIN = 0.52
 
 
 def plain(text: str) -> bytes:
@@ -114,7 +116,7 @@ class Compressors:
         return self.langs[order[0]], float(1 / (1 + np.exp(-margin * np.sqrt(min(n, 400)) * 2.0)))
 
 
-def identify(documents: DataFrame, blocks: dict[str, list[bytes]], columns: list[str] | None = None, reject_below: float = 0.5) -> DataFrame:
+def identify(documents: DataFrame, blocks: dict[str, list[bytes]], columns: list[str] | None = None, reject_below: float = NARROW_MARGIN) -> DataFrame:
     """The columns asked for (doc_id if none are named), lang_pred, score, rejected (und, or a score below `reject_below`)."""
     keep = columns or ["doc_id"]
     frame = documents.select(*dict.fromkeys([*keep, "text"]))

@@ -810,3 +810,12 @@ def test_near_duplicate_stage_keeps_rows_without_an_id(spark):
     out = sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
     assert [x for x in out if x[1] == a] == [(5, a)] and (0, "") in out and (8, "") in out
     assert corpus_pipeline.drop_near_duplicates(spark, docs.filter("false"), "").count() == 0
+
+
+def test_narrow_languages_are_rejected_without_a_bound_of_the_callers(spark):
+    from tessera.llm import langid
+
+    blocks = {"a": [b" alpha beta gamma delta " * 40] * 3, "b": [b" one two three four " * 40] * 3}
+    frame = spark.createDataFrame([(1, "alpha beta gamma delta alpha beta gamma"), (2, "x"), (3, "12")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in langid.identify(frame, blocks).collect()}
+    assert got[1] == ("a", False) and got[2][0] != "und" and got[2][1] and got[3] == ("und", True)
