@@ -5,7 +5,7 @@ spelling model (byte trigrams over bigrams) gives the rest of it, so no word is
 The network sums a vector for each of the two ids before and after the masked place, and predicts the id by its class and its
 place within the class. Counts of words and of byte trigrams are taken over all documents. Documents are dealt to `rounds` turns by
 a hash of their ids; in each turn every partition trains on all places of its documents of that turn, from the same weights, which are then
-averaged by places seen. So every place is trained on once. The weights depend on how rows lie in partitions: the less a partition holds,
+averaged by places seen. So every place is trained on once. Batches are dealt so that each meets few of the rare classes, and grow in long turns. The weights depend on how rows lie in partitions: the less a partition holds,
 the less its network learns in a turn. A document's score is the sum of its words' conditional log-probabilities, and its mean is that
 by word. `train_and_score` scores the rows it was trained on; `train` and `score` take any two tables.
 
@@ -34,7 +34,10 @@ SYMBOLS = 165.0  # bytes that words are made of, and the end of a word (0)
 WINDOW = (-2, -1, 1, 2)
 SHAPES = {"context": (len(WINDOW), VOCABULARY, WIDTH), "classes": (WIDTH, CLASSES), "members": (CLASSES, WIDTH, MEMBERS)}
 CHUNK = 8192
+PLACES = 2048  # scored at once
 ROUNDS, BATCH, RATE = 4, 512, 0.8
+GROWTH = 512  # places seen for each of a larger batch
+TOGETHER = 16  # batches that the places of rare classes are gathered in
 
 
 def start_weights(counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
@@ -119,22 +122,67 @@ def adagrad(x: np.ndarray, squares: np.ndarray, rate: float) -> np.ndarray:
     return x
 
 
+def descend(x: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+    """An Adagrad step of some rows, each named once."""
+    seen = squares.take(rows, axis=0)
+    seen += gradient * gradient
+    squares[rows] = seen
+    now = x.take(rows, axis=0)
+    now -= adagrad(gradient, seen, rate)
+    x[rows] = now
+
+
+def summed(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, those that stand most often first, and the sums of their rows; `x` is repeated over the ids."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids.take(order)
+    order %= len(x)
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    n = np.diff(np.append(first, len(ids)))
+    by = np.argsort(-n, kind="stable")
+    first, n = first.take(by), n.take(by)
+    out = x.take(order.take(first), axis=0)
+    more = np.searchsorted(-n, -np.arange(n[0]), side="left").tolist()  # how many ids stand more than k times
+    k = 1
+    while k < n[0] and more[k] >= 8:  # the k-th of all ids at once
+        out[: more[k]] += x.take(order.take(first[: more[k]] + k), axis=0)
+        k += 1
+    for i in range(more[k] if k < n[0] else 0):
+        out[i] += x.take(order[first[i] + k : first[i] + n[i]], axis=0).sum(axis=0)
+    return ids.take(first), out
+
+
 def train_step(w: dict, memory: dict, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
     """One Adagrad step on the mean negative log-likelihood of a batch."""
     g, back = gradients(w, context, target)
     ids = (context + VOCABULARY * np.arange(len(WINDOW))[:, None]).astype(np.int16).ravel()  # rows of all windows' vectors
-    order = np.argsort(ids, kind="stable")
-    ids = ids.take(order)
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    x, ids = np.add.reduceat(back.take(order % len(target), axis=0), first, axis=0), ids[first]
-    vectors, squares = w["context"].reshape(-1, WIDTH), memory["context"].reshape(-1, WIDTH)
-    seen = squares.take(ids, axis=0)
-    seen += x * x
-    squares[ids] = seen
-    vectors[ids] -= adagrad(x, seen, rate)
-    for k, x in g.items():
-        memory[k] += x * x
-        w[k] -= adagrad(x, memory[k], rate)
+    descend(w["context"].reshape(-1, WIDTH), memory["context"].reshape(-1, WIDTH), *summed(ids, back), rate)
+    memory["classes"] += g["classes"] * g["classes"]
+    w["classes"] -= adagrad(g["classes"], memory["classes"], rate)
+    k = np.flatnonzero(np.bincount(target // MEMBERS, minlength=CLASSES))  # other classes' members have no gradient
+    descend(w["members"], memory["members"], k, g["members"].take(k, axis=0), rate)
+
+
+def dealt(target: np.ndarray, batch: int, r: np.random.Generator) -> np.ndarray:
+    """An order of the places with these targets, in batches of `batch`, whose batches each meet few of the rare classes.
+
+    Places of classes that fill an eighth of them or more are spread over all batches at random; those of the others lie together by class, equally many in
+    each batch, as few products by class are then due. The batches come in random order, a short one last.
+    """
+    c = target // MEMBERS
+    whole = len(c) // batch
+    if whole < 2:
+        return np.arange(len(c))
+    c = c[: whole * batch]
+    rare = (np.bincount(c, minlength=CLASSES) < whole * batch // 8).take(c)
+    often, seldom = np.flatnonzero(~rare), np.flatnonzero(rare)
+    seldom = seldom.take(np.argsort(c.take(seldom), kind="stable"))
+    turn = r.permutation(whole)
+    of = np.empty(len(c), np.int64)
+    of[seldom] = turn.take(np.arange(len(seldom)) * whole // max(len(seldom), 1))
+    room = batch - np.bincount(of[seldom], minlength=whole)
+    of[often] = r.permutation(np.repeat(np.arange(whole), room))
+    return np.concatenate((np.argsort(of, kind="stable"), np.arange(len(c), len(target))))
 
 
 @dataclass
@@ -266,7 +314,8 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, batch: int = BATCH) -> dict:
     """Weights, by averaging those that each partition trains.
 
-    Batches begin at 256 places and grow with the places seen, to `batch`.
+    Batches begin at 256 places and grow with the places seen, to `batch`, and to eight times that as those are many, for the noise of small steps
+    is what a long turn ends in. `TOGETHER` of them are dealt at once.
     """
     spark = encoded.sparkSession
     weights = start_weights(counts)
@@ -276,16 +325,20 @@ def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, batch: int
         def local(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
             w = {k: v.copy() for k, v in shared.value.items()}
             memory = {k: np.full_like(v, 0.01) for k, v in w.items()}
+            r = np.random.default_rng(turn)
             seen = 0
             for b in batches:
                 for _, ids, first in _texts(b.column("ids")):
                     flat, place = padded(ids, first)
                     place = np.random.default_rng(turn).permutation(place)
-                    at = 0
-                    while at < len(place):
-                        some = place[at : at + min(batch, max(256, seen // 8))]
-                        train_step(w, memory, contexts(flat, some), flat.take(some))
-                        seen, at = seen + len(some), at + len(some)
+                    while len(place):
+                        size = min(max(256, seen // 8), max(batch, min(seen // GROWTH, 8 * batch)))
+                        some, place = np.split(place, [size if size < batch else TOGETHER * size])
+                        some = some.take(dealt(flat.take(some), size, r))
+                        for at in range(0, len(some), size):
+                            now = some[at : at + size]
+                            train_step(w, memory, contexts(flat, now), flat.take(now))
+                        seen += len(some)
             if seen:
                 sums = np.concatenate([w[k].ravel() for k in SHAPES]) * np.float32(seen)
                 chunks = [sums[k : k + CHUNK] for k in range(0, len(sums), CHUNK)]
@@ -331,9 +384,11 @@ def score_encoded(encoded: DataFrame, weights: dict, id_column: str = "doc_id")
             for lo, ids, first in _texts(batch.column("ids")):
                 flat, place = padded(ids, first)
                 each = np.zeros(len(ids))
-                for k in range(0, len(ids), CHUNK):
-                    some = place[k : k + CHUNK]
-                    each[k : k + CHUNK] = log_likelihood(w, contexts(flat, some), flat.take(some))
+                order = np.argsort(ids, kind="stable")  # so that a step meets few classes
+                for k in range(0, len(ids), PLACES):
+                    at = order[k : k + PLACES]
+                    some = place.take(at)
+                    each[at] = log_likelihood(w, contexts(flat, some), flat.take(some))
                 n = np.diff(first)
                 total = np.bincount(np.repeat(np.arange(len(n)), n), weights=each, minlength=len(n)).astype(float)
                 total += batch.column("spelled").slice(lo, len(n)).to_numpy()

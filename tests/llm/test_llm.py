@@ -705,6 +705,30 @@ def test_likelihood_and_gradient_of_the_window_network():
     assert lm.log_likelihood(w, context, target).mean() > before + 0.5
 
 
+def test_batches_are_dealt_so_that_each_meets_few_classes():
+    rng = np.random.default_rng(4)
+    target = np.minimum(rng.zipf(1.3, 16 * 512 + 100), lm.VOCABULARY - 1).astype(np.int16)
+    order = lm.dealt(target, 512, rng)
+    assert (np.sort(order) == np.arange(len(target))).all() and (order[-100:] >= 16 * 512).all()
+    met = lambda t: [len(np.unique(t[k : k + 512] // lm.MEMBERS)) for k in range(0, 16 * 512, 512)]
+    assert np.mean(met(target[order])) < np.mean(met(target)) / 3
+    often = [(target[order][k : k + 512] < lm.MEMBERS).mean() for k in range(0, 16 * 512, 512)]
+    assert max(often) - min(often) < 0.2  # a class that is met often stays in every batch
+    for n in (0, 1, 512, 700, 1024):
+        assert (np.sort(lm.dealt(target[:n], 512, rng)) == np.arange(n)).all()
+
+
+def test_rows_of_equal_ids_are_summed():
+    rng = np.random.default_rng(6)
+    for most in (1, 3, 40, 4000):
+        ids, x = rng.integers(0, most, 4 * 300).astype(np.int16), rng.standard_normal((300, 5))
+        ids[:200] = 0
+        found, sums = lm.summed(ids, x)
+        right = np.zeros((most, 5))
+        np.add.at(right, ids, np.tile(x, (4, 1)))
+        assert (np.sort(found) == np.unique(ids)).all() and np.allclose(sums, right[found])
+
+
 def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(12)
