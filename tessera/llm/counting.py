@@ -1,6 +1,6 @@
 """Token counts of whole texts, by rank-synchronous array merging.
 
-Null texts count as empty: 0 bytes, 0 tokens. Repeated rows get a row each; columns other than the id
+Null texts count as empty: 0 bytes, 0 tokens. Bytes that aren't UTF-8 count as they are, their tokens as those of U+FFFD. Repeated rows get a row each; columns other than the id
 and the text are passed over, so names can't clash.
 """
 
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +26,11 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = wordbpe.load(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = bw.texts(batch.column(1))
             n = np.zeros(len(texts), np.int64)
             for lo, hi in wordbpe.token_groups(texts):
                 n[lo:hi] = bpe.count_batch(texts[lo:hi])
-            size = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)], [id_column, "n_bytes", "n_tokens", "over_limit"])
+            size = pc.binary_length(batch.column(1)).fill_null(0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n), pa.array(n > limit)], [id_column, "n_bytes", "n_tokens", "over_limit"])
 
     return bw.arrow(frame, run, f"`{id_column}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

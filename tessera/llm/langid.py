@@ -9,7 +9,7 @@ of it, and a text is rejected when it is too narrow.
 
 Defined cases: texts that are null or without a letter are `und` with score 0; repeated rows get a row each;
 with no labelled text every text is `und`; of languages that leave equally few bytes the first by name is taken. An empty table gives no rows.
-Columns other than those named are passed over. One text is compressed whole, which takes three times its bytes.
+Bytes that aren't UTF-8 are read as U+FFFD. Columns other than those named are passed over. One text is compressed whole, which takes three times its bytes.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def identify(documents: DataFrame, blocks: dict[str, list[bytes]], columns: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Compressors(blocks)
         for batch in batches:
-            found = [c.classify(t) for t in batch.column("text").to_pylist()]
+            found = [c.classify(t) for t in bw.texts(batch.column("text"))]
             lang, score = [f[0] for f in found], [f[1] for f in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([a == UNKNOWN or s < reject_below for a, s in found], pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
 

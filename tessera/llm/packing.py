@@ -9,7 +9,7 @@ first incumbent; a branch is cut when its waste exceeds what the incumbent
 allows. Pieces are then dealt to the sequences of the solution by their rank within their length, with
 no shuffle of texts and no global sort.
 
-Defined cases: null and empty texts are the end id alone; repeated rows are packed each; an empty table gives
+Defined cases: null and empty texts are the end id alone; bytes that aren't UTF-8 are read as U+FFFD; repeated rows are packed each; an empty table gives
 no rows; other columns are passed over, so names can't clash.
 """
 
@@ -220,7 +220,7 @@ def tokenized_pieces(documents: DataFrame, tokenizer: str, capacity: int, with_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = wordbpe.load(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = bw.texts(batch.column(1))
             for lo, hi in wordbpe.token_groups(texts):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, some in enumerate(bpe.encode_batch(texts[lo:hi]), lo):

@@ -775,6 +775,32 @@ def test_language_and_packing_stages_alone(spark, tmp_path, library):
     assert packed.groupby("doc_id").length.sum().to_dict() == size and packed.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def test_pipeline_on_bytes_that_are_not_utf8(spark, tmp_path, library):
+    """Spark reads such strings as they are; no stage ends on them, and Python reads them as U+FFFD."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(57)
+    raw = [words_text(rng, 60, 5000).encode() for _ in range(40)]
+    raw[3], raw[8], raw[9] = raw[3] + b" caf\xc3", b"\xff\xfe " + raw[8], raw[9].replace(b" ", b" \xed\xa0\x80", 1)
+    raw += [b"\xc3", b"", None]
+    texts = pa.Array.from_buffers(pa.string(), len(raw), pa.array(raw, pa.binary()).buffers())
+    n = len(raw)
+    pq.write_table(pa.table({"doc_id": range(n), "text": texts, "lang": ["en"] * n, "source": ["s"] * n, "n_chars": [0] * n}), tmp_path / "documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.createDataFrame([], SCHEMAS[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    read = [(b or b"").decode("utf-8", "replace") for b in raw]
+    size = [len(library.encode(t, add_special_tokens=False).ids) for t in read]
+    assert {r["doc_id"] for r in corpus_pipeline.drop_unknown_language(spark, docs, str(tmp_path)).select("doc_id").collect()} == set(range(40))
+    got = counting.token_counts(docs, tokenizer_path()).toPandas().set_index("doc_id")
+    assert got.n_bytes.to_dict() == {i: len(b or b"") for i, b in enumerate(raw)} and got.n_tokens.to_dict() == dict(enumerate(size))
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).toPandas()
+    assert packed.groupby("doc_id").length.sum().to_dict() == {i: k + 1 for i, k in enumerate(size)}
+    assert set(corpus_pipeline.run(spark, str(tmp_path)).toPandas().doc_id) == set(range(40))
+
+
 def test_toxicity_of_short_texts_is_learned_from_any_layout(spark, tmp_path):
     """Short texts are families by their words: equal ones count once, others each, however rows lie in partitions."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
