@@ -112,7 +112,8 @@ def baseline(sections: DataFrame, client: M.ModelClient, most_chars: int | None
     parts = found.groupBy("source_id", "part").agg(F.count("*").alias("n"))
     first = parts.select("source_id", "part", F.coalesce(F.sum("n").over(W.partitionBy("source_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     item = F.col("item")
-    each = found.join(first, ["source_id", "part"])
+    # sizes are estimated far too low behind a variant, so the items would be broadcast
+    each = found.join(first.hint("merge"), ["source_id", "part"])
     own = R.field(item, "tr_id")
     number = F.regexp_extract(own, r"(\d{1,9})$", 1)
     later = (F.col("first") + F.nullif(number, F.lit("")).cast("long")).cast("string")

@@ -154,7 +154,7 @@ def ask(prompts: DataFrame, client: ModelClient, known: DataFrame | None = None,
         replies = saved_replies(prompts.sparkSession, saved_at)
     if known is not None:
         replies = replies.unionByName(known.select("prompt_id", "reply"))
-    return keyed.join(replies, "prompt_id")
+    return keyed.join(replies.hint("merge"), "prompt_id")  # replies that look small as compressed files aren't broadcast
 
 
 def saved_replies(spark: SparkSession, path: str, with_errors: bool = True) -> DataFrame:

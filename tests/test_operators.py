@@ -333,6 +333,16 @@ def test_a_document_longer_than_a_prompt_is_asked_about_whole(spark):
         assert [(r["source_id"], r["ordinal"], r["tr_id"], r["tr_h"]) for r in rows] == [("d", i, f"B-{i:03d}", x) for i, x in enumerate(said, 1)] + [("e", 1, "B-001", said[0])] + [("f", i, f"B-{i:03d}", x) for i, x in enumerate(said * 2, 1)]
 
 
+def test_items_and_replies_of_a_corpus_are_never_broadcast(spark):
+    from tessera.operators import judging
+
+    sections = spark.createDataFrame([("d", "srs", 1, "r", "The system shall stop")], schemas.SECTION)
+    prompts = spark.createDataFrame([("a", "roles", "- x")], "source_id string, kind string, prompt string")
+    for rows in (judging.baseline(sections, M.RuleClient()), M.ask(prompts, M.RuleClient())):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_sections_of_every_format(spark, tmp_path):
     (tmp_path / "a.txt").write_text("INTRO\n" + "word " * 160 + "\n1.2 Scope here\n" + "text " * 10 + "\nLonely Heading\nNext Heading\nbody.\n")
     (tmp_path / "b.puml").write_text("@startuml\n' ---\nclass Account {\n name\n}\npackage Things {\n}\n")
