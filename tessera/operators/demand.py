@@ -16,15 +16,17 @@ from tessera.operators.similarity import greedy_merge
 
 #: Chunks of a source in their order: by numbers, as ids of sections beyond 9999 sort before others as text.
 CHUNK_ORDER = ("section_id", "chunk_index", "chunk_id")
+#: A chunk may be asked about in several parts.
+ASKED_ORDER = (*CHUNK_ORDER, "part")
 
 
 def extract_entities(chunks: DataFrame, client: M.ModelClient, known: DataFrame | None = None) -> DataFrame:
     """Entities of all chunks; an element that isn't an object is dropped alone."""
     replies = M.ask(M.entity_prompts(chunks), client, known)
     item = F.col("item")
-    each = replies.select("source_id", "artifact_type", *CHUNK_ORDER, "page_ref", F.posexplode(R.reply_items("reply")).alias("p", "item")).filter(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
-    rows = each.select("source_id", "artifact_type", R.field(item, "entity_type", "").alias("entity_type"), F.trim(R.field(item, "content", "")).alias("content"), "page_ref", F.try_variant_get(item, "$.confidence_score", "double").alias("confidence_score"), *CHUNK_ORDER, "p")
-    numbered = renumbered(ranking.clean_entities(rows), ["source_id"], [*CHUNK_ORDER, "p"], "ordinal").withColumn("ordinal", F.col("ordinal") - 1)
+    each = replies.select("source_id", "artifact_type", *ASKED_ORDER, "page_ref", F.posexplode(R.reply_items("reply")).alias("p", "item")).filter(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
+    rows = each.select("source_id", "artifact_type", R.field(item, "entity_type", "").alias("entity_type"), F.trim(R.field(item, "content", "")).alias("content"), "page_ref", F.try_variant_get(item, "$.confidence_score", "double").alias("confidence_score"), *ASKED_ORDER, "p")
+    numbered = renumbered(ranking.clean_entities(rows), ["source_id"], [*ASKED_ORDER, "p"], "ordinal").withColumn("ordinal", F.col("ordinal") - 1)
     return numbered.select([f.name for f in schema(schemas.ENTITY)]).to(schema(schemas.ENTITY))
 
 

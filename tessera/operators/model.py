@@ -190,10 +190,16 @@ def prompts(lists: DataFrame, kind: str, task: str, keys: list[str], text: str =
 
 
 def entity_prompts(chunks: DataFrame, most_chars: int = 1200) -> DataFrame:
-    """One prompt per chunk: the types asked for by kind of document, and the first 1200 characters."""
+    """Prompts that ask about the whole of each chunk, with the types asked for by kind of document: one for each part of 1200 characters at most.
+
+    Parts end behind a line or a sentence, so none is divided: one that is longer than a part has a prompt of its own.
+    """
     types = F.create_map(*[F.lit(x) for k, v in ASKED_TYPES.items() for x in (k, ", ".join(v))])
     task = F.concat(F.lit("List the entities of this text as a JSON array with entity_type, content, confidence_score. Types: "), types[F.col("artifact_type")])
-    return chunks.select("metadata.section_id", "metadata.chunk_index", "chunk_id", "source_id", "artifact_type", "page_ref", F.lit("entities").alias("kind"), F.concat(task, F.lit("\n\n"), F.substring("content", 1, most_chars)).alias("prompt"))
+    end = r"(?:(?<=\n|[.!?]\s)|\z)"
+    parts = F.regexp_extract_all("content", F.lit(rf"(?s).{{1,{most_chars}}}{end}|.+?{end}"), F.lit(0))
+    rows = chunks.select("metadata.section_id", "metadata.chunk_index", "chunk_id", "source_id", "artifact_type", "page_ref", task.alias("task"), F.posexplode(parts).alias("part", "text"))
+    return rows.filter(T.trim_all("text") != "").select("*", F.lit("entities").alias("kind"), F.concat("task", F.lit("\n\n"), "text").alias("prompt")).drop("task", "text")
 
 
 def health(reply: F.Column | str) -> F.Column:

@@ -307,6 +307,21 @@ def test_entities_of_sections_beyond_9999_keep_their_order(spark):
     assert [r["content"].split()[-1] for r in rows.orderBy("ordinal").collect()] == ["2.", "9999.", "10000."]
 
 
+def test_entities_of_whole_chunks(spark, tmp_path):
+    said = [f"The system shall do {k}." for k in range(100)]
+    long = "The user " + "very " * 400 + "often shall wait for 5 seconds"  # no part holds it
+    kinds = [("lines", "\n".join(said)), ("sentences", "  ".join(said)), ("one", f"{said[0]}\n{long}\n\n{said[1]}"), ("blank", " \n ")]
+    sections = spark.createDataFrame([(name, "srs", 1, "r", text) for name, text in kinds], schemas.SECTION)
+    rows = demand.extract_entities(chunking.chunk(sections), M.RuleClient()).orderBy("source_id", "ordinal").collect()
+    got = {name: [r["content"] for r in rows if r["source_id"] == name] for name, _ in kinds}
+    assert got == {"lines": said, "sentences": said, "one": [said[0], " ".join(long.split()[:20]), said[1]], "blank": []}
+    assert [r["ordinal"] for r in rows if r["source_id"] == "lines"] == list(range(100))
+    client = Recorder(tmp_path / "log", {})
+    demand.extract_entities(chunking.chunk(sections), client).collect()
+    asked = [p.split("\n\n", 1)[1] for p in client.asked("entities")]
+    assert sorted(len(x) > 1200 for x in asked) == [False] * (len(asked) - 1) + [True] and "".join(sorted(asked)).count("shall do 99.") == 2
+
+
 def test_a_single_prompt_for_a_whole_document(spark, tmp_path):
     from tessera.operators import judging
 
